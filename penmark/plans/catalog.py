@@ -8,6 +8,7 @@ from penmark.plans import registry
 def _load():
     # importing the modules registers their queries
     from penmark.plans import text_queries  # noqa: F401
+    from penmark.plans import ngram_queries  # noqa: F401
 
 
 def queries():

@@ -290,3 +290,38 @@ h AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE avg_word_length END
              CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lexical_diversity END AS b FROM lex)
 SELECT doc_id, {r6('coalesce(a, avg(a) OVER ())')} AS avg_word_length,
        {r6('coalesce(b, avg(b) OVER ())')} AS lexical_diversity FROM h"""
+
+
+# ---------------------------------------------------------------- n-grams / TF-IDF
+
+def grams_cte(src: str, id_col: str, text: str = "text") -> str:
+    uni = f"regexp_extract_all(lower({text}), {q('[' + WB + ']{2,}')})"
+    return (f"g AS (SELECT {id_col}, {uni} AS u FROM {src}), "
+            f"gl AS (SELECT {id_col}, u || list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]) "
+            f"AS grams FROM g)")
+
+
+def vocab_cte(src: str = "documents", id_col: str = "doc_id", k: int = 500) -> str:
+    return (f"{grams_cte(src, id_col)}, "
+            f"tf AS (SELECT {id_col}, term, count(*) AS c FROM (SELECT {id_col}, unnest(grams) AS term FROM gl) z "
+            f"GROUP BY ALL), "
+            f"st AS (SELECT term, sum(c) AS cf, count(*) AS df FROM tf GROUP BY term), "
+            f"vocab AS (SELECT term, CAST(cf AS BIGINT) AS cf, CAST(df AS BIGINT) AS df, "
+            f"ln((1 + (SELECT count(*) FROM {src})) / (1 + df)) + 1 AS idf "
+            f"FROM st ORDER BY cf DESC, term ASC LIMIT {k})")
+
+
+ORACLES["ngrams"] = (f"WITH {grams_cte('documents', 'doc_id')} SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_grams, "
+                     f"md5(array_to_string(grams, '|')) AS grams_md5 FROM gl")
+ORACLES["vocab_topk"] = f"WITH {vocab_cte()} SELECT term, cf, df, {r6('idf')} AS idf FROM vocab"
+ORACLES["tfidf"] = f"""WITH {vocab_cte()},
+w AS (SELECT doc_id, term, (1 + ln(c)) * idf AS w FROM tf JOIN vocab USING (term)),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY doc_id)
+SELECT doc_id, term, {r6('w / n')} AS weight FROM w JOIN nrm USING (doc_id)"""
+ORACLES["tfidf_transform"] = f"""WITH {vocab_cte()},
+bg AS (SELECT item_id, regexp_extract_all(lower(text), {q('[' + WB + ']{2,}')}) AS u FROM benchmark),
+bgl AS (SELECT item_id, u || list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]) AS grams FROM bg),
+btf AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(grams) AS term FROM bgl) z GROUP BY ALL),
+w AS (SELECT item_id, term, (1 + ln(c)) * idf AS w FROM btf JOIN vocab USING (term)),
+nrm AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM w GROUP BY item_id)
+SELECT item_id, term, {r6('w / n')} AS weight FROM w JOIN nrm USING (item_id)"""
