@@ -9,6 +9,7 @@ def _load():
     # importing the modules registers their queries
     from penmark.plans import text_queries  # noqa: F401
     from penmark.plans import ngram_queries  # noqa: F401
+    from penmark.plans import pair_queries  # noqa: F401
 
 
 def queries():

@@ -325,3 +325,88 @@ btf AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(grams)
 w AS (SELECT item_id, term, (1 + ln(c)) * idf AS w FROM btf JOIN vocab USING (term)),
 nrm AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM w GROUP BY item_id)
 SELECT item_id, term, {r6('w / n')} AS weight FROM w JOIN nrm USING (item_id)"""
+
+
+# ---------------------------------------------------------------- pairs
+
+def H(*parts: str) -> str:
+    """60-bit integer from md5 of the '|'-joined parts (SQL expressions)."""
+    inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST('0x' || substr(md5(concat_ws('|', {inner})), 1, 15) AS BIGINT)"
+
+
+def members_cte(g: str, tag: str) -> str:
+    return (f"mem_{tag} AS (SELECT {g} AS grp, article_id, row_number() OVER (PARTITION BY {g} "
+            f"ORDER BY {H('42', 'article_id')}, article_id) - 1 AS rank FROM articles WHERE {g} IS NOT NULL)")
+
+
+def same_pairs_cte(g: str, tag: str, k: int) -> str:
+    return f"""{members_cte(g, tag)},
+sz_{tag} AS (SELECT grp, count(*) AS m FROM mem_{tag} GROUP BY grp HAVING count(*) >= 2),
+dr_{tag} AS (SELECT grp, m, unnest(range(0, least({k}, m))) AS draw FROM sz_{tag}),
+d2_{tag} AS (SELECT grp, draw, {H('42', q('same'), 'grp', 'draw', '1')} % m AS r1,
+                    {H('42', q('same'), 'grp', 'draw', '2')} % (m - 1) AS r2p FROM dr_{tag}),
+same_{tag} AS (SELECT d.grp, d.draw, a.article_id AS id1, b.article_id AS id2
+  FROM (SELECT grp, draw, r1, CASE WHEN r2p >= r1 THEN r2p + 1 ELSE r2p END AS r2 FROM d2_{tag}) d
+  JOIN mem_{tag} a ON a.grp = d.grp AND a.rank = d.r1 JOIN mem_{tag} b ON b.grp = d.grp AND b.rank = d.r2)"""
+
+
+def diff_pairs_cte(tag: str) -> str:
+    return f"""gs_{tag} AS (SELECT grp, count(*) AS m FROM mem_{tag} GROUP BY grp),
+gr_{tag} AS (SELECT grp, m, row_number() OVER (ORDER BY {H('42', q('g'), 'grp')}, grp) - 1 AS grank FROM gs_{tag}),
+ng_{tag} AS (SELECT count(*) AS ng FROM gr_{tag}),
+cd_{tag} AS (SELECT unnest(range(0, (SELECT count(*) FROM same_{tag}))) AS draw),
+cd2_{tag} AS (SELECT draw, {H('42', q('cross'), 'draw', '1')} % ng AS gr1,
+                     {H('42', q('cross'), 'draw', '2')} % (ng - 1) AS gr2p FROM cd_{tag}, ng_{tag} WHERE ng >= 2),
+cd3_{tag} AS (SELECT draw, gr1, CASE WHEN gr2p >= gr1 THEN gr2p + 1 ELSE gr2p END AS gr2 FROM cd2_{tag}),
+cd4_{tag} AS (SELECT draw, ga.grp AS group1, gb.grp AS group2,
+                     {H('42', q('pick'), 'draw', '1')} % ga.m AS r1, {H('42', q('pick'), 'draw', '2')} % gb.m AS r2
+  FROM cd3_{tag} JOIN gr_{tag} ga ON ga.grank = cd3_{tag}.gr1 JOIN gr_{tag} gb ON gb.grank = cd3_{tag}.gr2),
+diff_{tag} AS (SELECT draw, group1, group2, a.article_id AS id1, b.article_id AS id2 FROM cd4_{tag}
+  JOIN mem_{tag} a ON a.grp = group1 AND a.rank = r1 JOIN mem_{tag} b ON b.grp = group2 AND b.rank = r2)"""
+
+
+def labelled_cte(tag: str) -> str:
+    return f"""lab_{tag} AS (SELECT id1, id2, label,
+    row_number() OVER (ORDER BY {H('42', q('shuffle'), 'key')}, key) - 1 AS pair_id FROM (
+  SELECT id1, id2, 1 AS label, concat_ws('/', 'same', grp, CAST(draw AS VARCHAR)) AS key FROM same_{tag}
+  UNION ALL SELECT id1, id2, 0 AS label, concat_ws('/', 'diff', CAST(draw AS VARCHAR)) AS key FROM diff_{tag}) u)"""
+
+
+ORACLES["same_source_pairs"] = (f"WITH {articles_cte()}, {same_pairs_cte('source', 's', 50)} "
+                                f"SELECT grp AS source, draw, id1, id2 FROM same_s")
+ORACLES["diff_source_pairs"] = (f"WITH {articles_cte()}, {same_pairs_cte('source', 's', 50)}, {diff_pairs_cte('s')} "
+                                f"SELECT * FROM diff_s")
+ORACLES["author_pairs_sampled"] = (f"WITH {articles_cte()}, {same_pairs_cte('author', 'a', 3)} "
+                                   f"SELECT grp AS author, draw, id1, id2 FROM same_a")
+ORACLES["diff_author_pairs"] = (f"WITH {articles_cte()}, {same_pairs_cte('author', 'a', 3)}, {diff_pairs_cte('a')} "
+                                f"SELECT * FROM diff_a")
+_AUTHOR_LAB = f"{articles_cte()}, {same_pairs_cte('author', 'a', 3)}, {diff_pairs_cte('a')}, {labelled_cte('a')}"
+ORACLES["author_pair_table"] = f"""WITH {_AUTHOR_LAB}
+SELECT pair_id, id1 AS article1_idx, id2 AS article2_idx, label AS same_author,
+       x.title AS article1_title, y.title AS article2_title, x.author AS article1_author, y.author AS article2_author
+FROM lab_a LEFT JOIN articles x ON x.article_id = id1 LEFT JOIN articles y ON y.article_id = id2"""
+
+ORACLES["pair_cosine"] = f"""WITH {_AUTHOR_LAB},
+ids AS (SELECT id1 AS article_id FROM lab_a UNION SELECT id2 FROM lab_a),
+corpus AS (SELECT article_id, text FROM articles WHERE article_id IN (SELECT article_id FROM ids)),
+{vocab_cte('corpus', 'article_id')},
+w AS (SELECT article_id, term, (1 + ln(c)) * idf AS w FROM tf JOIN vocab USING (term)),
+nrm AS (SELECT article_id, sqrt(sum(w * w)) AS n FROM w GROUP BY article_id),
+wn AS (SELECT article_id, term, w / n AS w FROM w JOIN nrm USING (article_id)),
+dots AS (SELECT pair_id, sum(a.w * b.w) AS s FROM lab_a JOIN wn a ON a.article_id = id1
+         JOIN wn b ON b.article_id = id2 AND b.term = a.term GROUP BY pair_id)
+SELECT pair_id, id1 AS article1_idx, id2 AS article2_idx, {r6('coalesce(s, 0.0)')} AS word_ngram_similarity
+FROM lab_a LEFT JOIN dots USING (pair_id)"""
+
+from penmark.functions.lexicons import basic_feature_names  # noqa: E402
+
+_SOURCE_LAB = (f"{articles_cte()}, {same_pairs_cte('source', 's', 50)}, {diff_pairs_cte('s')}, {labelled_cte('s')}, "
+               f"feats AS ({features_sql('articles', ['article_id'], 'text', 'normalized', ['lexical', 'function_words', 'readability', 'punctuation', 'structure'], round_doubles=False)})")
+_DIFF_SUM = " + ".join(f"abs(CAST(x.{c} AS DOUBLE) - CAST(y.{c} AS DOUBLE))" for c in basic_feature_names())
+ORACLES["pair_abs_diff"] = f"""WITH {_SOURCE_LAB}
+SELECT pair_id, id1, id2, label, {r6(_DIFF_SUM)} AS diff_sum, CAST(0 AS BIGINT) AS n_missing
+FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2"""
+ORACLES["missing_cells"] = f"""WITH {_SOURCE_LAB}
+SELECT CAST(0 AS BIGINT) AS n_missing, CAST(count(*) * {len(basic_feature_names())} AS BIGINT) AS n_cells, 0.0::DOUBLE AS share
+FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2"""
