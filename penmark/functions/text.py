@@ -3,6 +3,12 @@
 Everything here returns a ``Column`` built from JVM-side functions, so it runs
 inside whole-stage code generation next to the scan; nothing leaves the JVM.
 
+Generators
+----------
+Exploding an expensive array uses the ``*_outer`` generators: for the plain
+ones Catalyst infers a ``size(array) > 0`` filter and pushes it below the
+projections, which re-evaluates the whole array expression there.
+
 Regex dialect notes
 -------------------
 Java's ``\\w``/``\\s`` are ASCII-only, Python's are Unicode-aware.  The classes

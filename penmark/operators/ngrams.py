@@ -52,7 +52,7 @@ def term_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform(F.col(GRAMS), lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
         F.transform(F.array_distinct(F.col(GRAMS)),
                     lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))))
-    return (g.select(F.inline(rows))
+    return (g.select(F.inline_outer(rows)).where(F.col("term").isNotNull())
             .groupBy("term").agg(F.sum("c").cast("bigint").alias("cf"), F.sum("d").cast("bigint").alias("df")))
 
 
@@ -107,7 +107,7 @@ def fit(df: DataFrame, text_col: str = "text", max_features: int = 500) -> Tfidf
 def long_weights(df: DataFrame, model: TfidfModel, id_col: str, vec_col: str = "tfidf") -> DataFrame:
     """Sparse long form ``(id, term, weight)`` of the non-zero weights."""
     terms = F.array(*[F.lit(t) for t in model.terms])
-    return (df.select(id_col, F.posexplode(vec_col).alias("pos", "weight"))
+    return (df.select(id_col, F.posexplode_outer(vec_col).alias("pos", "weight"))
             .where(F.col("weight") != 0)
             .select(id_col, F.element_at(terms, F.col("pos") + 1).alias("term"), "weight"))
 

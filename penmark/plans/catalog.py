@@ -10,6 +10,8 @@ def _load():
     from penmark.plans import text_queries  # noqa: F401
     from penmark.plans import ngram_queries  # noqa: F401
     from penmark.plans import pair_queries  # noqa: F401
+    from penmark.plans import prep_queries  # noqa: F401
+    from penmark.plans import syntax_queries  # noqa: F401
 
 
 def queries():

@@ -410,3 +410,148 @@ FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2
 ORACLES["missing_cells"] = f"""WITH {_SOURCE_LAB}
 SELECT CAST(0 AS BIGINT) AS n_missing, CAST(count(*) * {len(basic_feature_names())} AS BIGINT) AS n_cells, 0.0::DOUBLE AS share
 FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2"""
+
+
+# ---------------------------------------------------------------- preparation / evaluation
+
+_NAMES = basic_feature_names()
+_ALLF = ['lexical', 'function_words', 'readability', 'punctuation', 'structure']
+_HOLED = f"""{articles_cte()},
+feats AS ({features_sql('articles', ['article_id'], 'text', 'normalized', _ALLF, round_doubles=False)}),
+long0 AS (UNPIVOT (SELECT article_id, {', '.join(f'CAST({c} AS DOUBLE) AS "{i}"' for i, c in enumerate(_NAMES))} FROM feats)
+          ON {', '.join(f'"{i}"' for i in range(len(_NAMES)))} INTO NAME pos0 VALUE v0),
+long1 AS (SELECT article_id, CAST(pos0 AS BIGINT) AS pos0,
+                 CASE WHEN CAST(pos0 AS BIGINT) = 3 OR (article_id + CAST(pos0 AS BIGINT)) % 11 = 0 THEN NULL ELSE v0 END AS v
+          FROM long0),
+st AS (SELECT pos0, avg(v) AS m, count(v) AS nn, count(*) AS n, var_pop(v) AS var FROM long1 GROUP BY pos0 HAVING count(v) > 0),
+kept AS (SELECT pos0, m, CASE WHEN sqrt(coalesce(var, 0) * nn / n) > 10 * 2.220446049250313e-16
+                              THEN sqrt(coalesce(var, 0) * nn / n) ELSE 1.0 END AS s,
+                row_number() OVER (ORDER BY pos0) - 1 AS pos FROM st)"""
+ORACLES["impute_mean"] = f"""WITH {_HOLED}
+SELECT article_id, pos, {r6('coalesce(v, m)')} AS value FROM long1 JOIN kept USING (pos0)"""
+ORACLES["standardize"] = f"""WITH {_HOLED}
+SELECT article_id, pos, {r6('(coalesce(v, m) - m) / s')} AS value FROM long1 JOIN kept USING (pos0)"""
+ORACLES["label_encode"] = ("SELECT doc_id AS article_id, source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS BIGINT) AS label "
+                           "FROM documents")
+ORACLES["hash_split"] = (f"SELECT doc_id AS article_id, CASE WHEN {H('42', q('bucket'), 'doc_id')} % 100 < 80 "
+                         f"THEN 'train' ELSE 'test' END AS split FROM documents")
+ORACLES["split_data"] = f"""WITH {_AUTHOR_LAB},
+r AS (SELECT pair_id, row_number() OVER (ORDER BY {H('42', q('split'), 'pair_id')}, pair_id) - 1 AS rk,
+             count(*) OVER () AS n FROM lab_a)
+SELECT pair_id, CASE WHEN rk < n - floor(n * 0.2) - floor(n * 0.1) THEN 'train'
+                     WHEN rk < n - floor(n * 0.2) THEN 'val' ELSE 'test' END AS split FROM r"""
+ORACLES["stratified_split"] = f"""WITH {_SOURCE_LAB},
+r AS (SELECT pair_id, label, row_number() OVER (PARTITION BY label ORDER BY {H('42', q('strat'), 'pair_id')}, pair_id) - 1 AS rk,
+             count(*) OVER (PARTITION BY label) AS n FROM lab_s)
+SELECT pair_id, label, CASE WHEN rk < floor(ceil(n * 0.3) * 0.5) THEN 'val' WHEN rk < ceil(n * 0.3) THEN 'test'
+                            ELSE 'train' END AS split FROM r"""
+_SCORED = f"""WITH {_SOURCE_LAB},
+z AS (SELECT pair_id, label, 1.0 - 2.0 * abs(x.avg_word_length - y.avg_word_length)
+                              - 5.0 * abs(x.lexical_diversity - y.lexical_diversity)
+                              - 0.001 * abs(CAST(x.word_count AS DOUBLE) - CAST(y.word_count AS DOUBLE)) AS z
+      FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2),
+sc AS (SELECT pair_id, label, 1.0 / (1.0 + exp(-z)) AS prob_1 FROM z),
+pr AS (SELECT pair_id, label, prob_1, CASE WHEN prob_1 >= 0.5 THEN 1 ELSE 0 END AS prediction FROM sc)"""
+ORACLES["linear_score"] = f"{_SCORED} SELECT pair_id, label, {r6('prob_1')} AS prob_1, prediction FROM pr"
+ORACLES["accuracy"] = f"{_SCORED} SELECT {r6('avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM pr"
+ORACLES["log_loss"] = (f"{_SCORED} SELECT {r6('avg(CASE WHEN label = 1 THEN -ln(least(greatest(prob_1, 1e-15), 1 - 1e-15)) ELSE -ln(1.0 - least(greatest(prob_1, 1e-15), 1 - 1e-15)) END)')} AS log_loss FROM pr")
+ORACLES["confusion_matrix"] = f"{_SCORED} SELECT label, prediction, count(*) AS n FROM pr GROUP BY ALL"
+ORACLES["classification_report"] = f"""{_SCORED},
+cls AS (SELECT label AS c FROM pr UNION SELECT prediction FROM pr),
+per AS (SELECT c, count(*) FILTER (WHERE label = c) AS support, count(*) FILTER (WHERE prediction = c) AS predicted,
+               count(*) FILTER (WHERE label = c AND prediction = c) AS tp FROM cls, pr GROUP BY c),
+pm AS (SELECT CAST(c AS VARCHAR) AS class, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+              CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, support FROM per),
+pf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pm)
+SELECT class, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, CAST(support AS BIGINT) AS support FROM pf
+UNION ALL SELECT 'macro avg', {r6('avg(precision)')}, {r6('avg(recall)')}, {r6('avg(f1)')}, CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'weighted avg', {r6('sum(precision * support) / sum(support)')}, {r6('sum(recall * support) / sum(support)')},
+                 {r6('sum(f1 * support) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'accuracy', NULL, NULL, {r6('avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)')}, count(*) FROM pr"""
+
+
+# ---------------------------------------------------------------- syntax (stand-in annotation)
+
+def _inlist(ws) -> str:
+    return ", ".join(q(w) for w in ws)
+
+
+def annotation_ctes() -> str:
+    from penmark.functions.lexicons import FUNCTION_WORDS as FW
+    from penmark.operators.syntax import MAX_SENT_TOKENS, STANDIN_CCONJ, STANDIN_SCONJ
+    keep = (f"list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*'), "
+            f"lambda s: regexp_matches(regexp_replace(s, '[.!?]+\\z', ''), {q('[^' + SB + ']')}))")
+    pos = (f"CASE WHEN lower(text) IN ({_inlist(FW['articles'])}) THEN 'DET' "
+           f"WHEN lower(text) IN ({_inlist(FW['prepositions'])}) THEN 'ADP' "
+           f"WHEN lower(text) IN ({_inlist(STANDIN_CCONJ)}) THEN 'CCONJ' "
+           f"WHEN lower(text) IN ({_inlist(STANDIN_SCONJ)}) THEN 'SCONJ' "
+           f"WHEN lower(text) IN ({_inlist(FW['pronouns'])}) THEN 'PRON' "
+           f"WHEN lower(text) IN ({_inlist(FW['auxiliary_verbs'])}) THEN 'AUX' "
+           f"WHEN regexp_full_match(text, {q(r'\p{Nd}+')}) THEN 'NUM' "
+           f"WHEN tok_id > 0 AND regexp_matches(substr(text, 1, 1), {q(r'\p{Lu}')}) THEN 'PROPN' ELSE 'NOUN' END")
+    return f"""docs AS (SELECT doc_id, {styled()} AS text FROM documents),
+sl AS (SELECT doc_id, {keep} AS l FROM docs),
+sents AS (SELECT doc_id AS article_id, CAST(sent_id AS BIGINT) AS sent_id, text FROM
+          (SELECT doc_id, unnest(l) AS text, unnest(range(0, len(l))) AS sent_id FROM sl) z),
+tl AS (SELECT article_id, sent_id, {words('text')}[1:{MAX_SENT_TOKENS}] AS l FROM sents),
+tk0 AS (SELECT article_id, sent_id, text, CAST(tok_id AS BIGINT) AS tok_id FROM
+          (SELECT article_id, sent_id, unnest(l) AS text, unnest(range(0, len(l))) AS tok_id FROM tl) z),
+tk1 AS (SELECT *, {pos} AS pos FROM tk0),
+tokens AS (SELECT *, CASE WHEN tok_id = 0 THEN 'ROOT' WHEN pos = 'SCONJ' THEN 'mark' WHEN pos = 'CCONJ' THEN 'cc'
+                         WHEN pos = 'DET' THEN 'det' WHEN pos = 'AUX' THEN (CASE WHEN tok_id % 5 = 0 THEN 'auxpass' ELSE 'aux' END)
+                         ELSE 'dep' END AS dep,
+                  CASE WHEN tok_id = 0 THEN tok_id ELSE tok_id - 1 END AS head_id FROM tk1),
+mk AS (SELECT article_id, sent_id, tok_id, pos,
+              lead(pos) OVER (PARTITION BY article_id, sent_id ORDER BY tok_id) AS nxt,
+              lag(pos) OVER (PARTITION BY article_id, sent_id ORDER BY tok_id) AS prv FROM tokens),
+chunks AS (SELECT article_id, sent_id, tok_id AS chunk_id FROM mk WHERE pos = 'DET' AND nxt IN ('NOUN', 'PROPN')),
+ents AS (SELECT article_id, CAST(sent_id AS VARCHAR) || ':' || CAST(tok_id AS VARCHAR) AS ent_id,
+                CASE WHEN tok_id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS label
+         FROM mk WHERE pos = 'PROPN' AND (prv IS NULL OR prv <> 'PROPN'))"""
+
+
+def _tagfreq(table: str, col: str) -> str:
+    return (f"SELECT p.article_id, tag, {r6('n / total')} AS freq FROM "
+            f"(SELECT article_id, {col} AS tag, count(*) AS n FROM {table} GROUP BY ALL) p JOIN "
+            f"(SELECT article_id, count(*) AS total FROM {table} GROUP BY article_id) t USING (article_id)")
+
+
+ORACLES["pos_freq"] = f"WITH {annotation_ctes()} {_tagfreq('tokens', 'pos')}"
+ORACLES["dep_freq"] = f"WITH {annotation_ctes()} {_tagfreq('tokens', 'dep')}"
+ORACLES["ent_freq"] = f"WITH {annotation_ctes()} {_tagfreq('ents', 'label')}"
+_RATIOS = """ratios AS (SELECT article_id,
+   count(*) FILTER (WHERE pos IN ('VERB', 'AUX')) / greatest(1, count(*) FILTER (WHERE pos IN ('NOUN', 'PROPN'))) AS verb_noun_ratio,
+   count(*) FILTER (WHERE pos = 'ADJ') / greatest(1, count(*) FILTER (WHERE pos = 'ADV')) AS adj_adv_ratio,
+   count(*) FILTER (WHERE dep IN ('auxpass', 'nsubjpass')) / count(*) AS passive_voice_freq
+ FROM tokens GROUP BY article_id)"""
+ORACLES["pos_ratios"] = (f"WITH {annotation_ctes()}, {_RATIOS} SELECT article_id, {r6('verb_noun_ratio')} AS verb_noun_ratio, "
+                         f"{r6('adj_adv_ratio')} AS adj_adv_ratio FROM ratios")
+ORACLES["passive_freq"] = (f"WITH {annotation_ctes()}, {_RATIOS} SELECT article_id, "
+                           f"{r6('passive_voice_freq')} AS passive_voice_freq FROM ratios")
+_SENTF = f"""walk AS (SELECT article_id, sent_id, tok_id, tok_id AS cur, 0 AS steps FROM tokens WHERE dep <> 'ROOT'
+  UNION ALL SELECT w.article_id, w.sent_id, w.tok_id, t.head_id, w.steps + 1 FROM walk w
+  JOIN tokens t ON t.article_id = w.article_id AND t.sent_id = w.sent_id AND t.tok_id = w.cur WHERE t.head_id <> t.tok_id),
+tokdepth AS (SELECT article_id, sent_id, tok_id, max(steps) + 1 AS d FROM walk GROUP BY ALL),
+sdepth AS (SELECT t.article_id, t.sent_id, max(coalesce(d, 0)) AS max_depth FROM tokens t
+           LEFT JOIN tokdepth USING (article_id, sent_id, tok_id) GROUP BY ALL),
+flags AS (SELECT article_id, sent_id, max(CASE WHEN dep = 'mark' THEN 1 ELSE 0 END) AS has_mark,
+                 max(CASE WHEN dep = 'cc' THEN 1 ELSE 0 END) AS has_cc FROM tokens GROUP BY ALL),
+nch AS (SELECT article_id, sent_id, count(*) AS n_chunks FROM chunks GROUP BY ALL),
+sj AS (SELECT s.article_id, s.sent_id, CASE WHEN ends_with({strip('s.text')}, '?') THEN 1 ELSE 0 END AS is_q,
+              has_mark, has_cc, n_chunks, max_depth FROM sents s LEFT JOIN flags USING (article_id, sent_id)
+              LEFT JOIN nch USING (article_id, sent_id) LEFT JOIN sdepth USING (article_id, sent_id)),
+sentf AS (SELECT article_id, sum(is_q) / greatest(1, count(*)) AS question_freq,
+                 sum(coalesce(has_mark, 0)) / greatest(1, count(*)) AS complex_sentence_ratio,
+                 sum(coalesce(has_cc, 0)) / greatest(1, count(*)) AS compound_sentence_ratio,
+                 sum(coalesce(max_depth, 0)) / greatest(1, count(*)) AS avg_dependency_depth,
+                 sum(coalesce(n_chunks, 0)) / count(*) AS avg_sentence_complexity FROM sj GROUP BY article_id)"""
+_REC = f"WITH RECURSIVE {annotation_ctes()}, {_SENTF}"
+ORACLES["question_freq"] = f"{_REC} SELECT article_id, {r6('question_freq')} AS question_freq FROM sentf"
+ORACLES["clause_ratios"] = (f"{_REC} SELECT article_id, {r6('complex_sentence_ratio')} AS complex_sentence_ratio, "
+                            f"{r6('compound_sentence_ratio')} AS compound_sentence_ratio FROM sentf")
+ORACLES["dep_depth"] = f"{_REC} SELECT article_id, {r6('avg_dependency_depth')} AS avg_dependency_depth FROM sentf"
+ORACLES["sentence_complexity"] = f"{_REC} SELECT article_id, {r6('avg_sentence_complexity')} AS avg_sentence_complexity FROM sentf"
+ORACLES["syntax_features"] = f"""{_REC}, {_RATIOS}
+SELECT d.doc_id AS article_id,
+  {', '.join(f"{r6(f'CASE WHEN r.article_id IS NULL THEN 0.0 ELSE coalesce({c}, 0.0) END')} AS {c}" for c in ['verb_noun_ratio', 'adj_adv_ratio', 'passive_voice_freq', 'question_freq', 'complex_sentence_ratio', 'compound_sentence_ratio', 'avg_dependency_depth'])}
+FROM docs d LEFT JOIN ratios r ON r.article_id = d.doc_id LEFT JOIN sentf s ON s.article_id = d.doc_id"""

@@ -109,7 +109,7 @@ def stopword_filter(spark, sf_dir):
 def term_counts(spark, sf_dir):
     """Corpus frequency of every lower-cased word."""
     d = tables.documents(spark, sf_dir)
-    toks = d.select(F.explode(T.word_tokens(F.lower("text"))).alias("token"))
+    toks = d.select(F.explode_outer(T.word_tokens(F.lower("text"))).alias("token")).where("token IS NOT NULL")
     return stats.term_counts(toks, "token")
 
 
@@ -117,7 +117,8 @@ def term_counts(spark, sf_dir):
 def syllables(spark, sf_dir):
     """T8 for every distinct word of the corpus, with its frequency."""
     d = tables.documents(spark, sf_dir)
-    words = stats.term_counts(d.select(F.explode(T.word_tokens("text")).alias("word")), "word")
+    words = stats.term_counts(d.select(F.explode_outer(T.word_tokens("text")).alias("word"))
+                              .where("word IS NOT NULL"), "word")
     return words.select("word", T.syllables("word").alias("syllables"), "n")
 
 
