@@ -12,6 +12,7 @@ def _load():
     from penmark.plans import pair_queries  # noqa: F401
     from penmark.plans import prep_queries  # noqa: F401
     from penmark.plans import syntax_queries  # noqa: F401
+    from penmark.plans import clean_queries  # noqa: F401
 
 
 def queries():

@@ -555,3 +555,142 @@ ORACLES["syntax_features"] = f"""{_REC}, {_RATIOS}
 SELECT d.doc_id AS article_id,
   {', '.join(f"{r6(f'CASE WHEN r.article_id IS NULL THEN 0.0 ELSE coalesce({c}, 0.0) END')} AS {c}" for c in ['verb_noun_ratio', 'adj_adv_ratio', 'passive_voice_freq', 'question_freq', 'complex_sentence_ratio', 'compound_sentence_ratio', 'avg_dependency_depth'])}
 FROM docs d LEFT JOIN ratios r ON r.article_id = d.doc_id LEFT JOIN sentf s ON s.article_id = d.doc_id"""
+
+
+# ---------------------------------------------------------------- cleaning (RE2 runs the original-style regexes)
+
+S_ = "[" + SB + "]"
+NS_ = "[^" + SB + "]"
+D_ = r"\p{Nd}"
+
+
+def pages_cte() -> str:
+    from penmark.sources.tables import FURNITURE_BLOCK
+    base = f"array_to_string(regexp_extract_all(split_part(text, {NL}, 1), {q(NS_ + '+')})[1:5], ' ')"
+    did = "CAST(doc_id AS VARCHAR)"
+    day = "CAST(doc_id % 28 + 1 AS VARCHAR)"
+    lay = "CASE WHEN doc_id % 7 = 6 THEN 'x' ELSE ['a', 'b', 'c'][doc_id % 3 + 1] END"
+    return f"""p0 AS (SELECT doc_id, lang, text, {base} AS base, {lay} AS lay FROM documents),
+pages AS (SELECT doc_id,
+  CASE lay WHEN 'a' THEN 'texts/NYT/' || lang || '/' || {did} || '.pdf'
+           WHEN 'b' THEN 'texts/NotNYT/FinancialTimes/' || {did} || '.pdf'
+           WHEN 'c' THEN 'texts/NotNYT/WashingtonPost/' || {did} || '.pdf'
+           ELSE 'texts/NotNYT/Other/' || {did} || '.pdf' END AS path,
+  CASE lay WHEN 'a' THEN base || ' - The New York Times' WHEN 'c' THEN base || ' - The Washington Post' ELSE base END AS title,
+  CASE lay WHEN 'a' THEN {q('Section' + chr(10) + 'https://x.example/story/')} || {did} || {q('.html' + chr(10) + 'By Ann Lee and Bo Ray' + chr(10) + 'Summary' + chr(10) + 'January ')}
+                         || {day} || {q(', 2025' + chr(10) + 'Updated today' + chr(10) + FURNITURE_BLOCK)} || base || {NL} || text
+                         || {q(chr(10) + 'Photo by Cy Doe for The New York Times' + chr(10) + 'Ann Lee reports from Paris.' + chr(10) + 'Bo Ray edits the desk.' + chr(10))}
+           WHEN 'b' THEN {q('Front page' + chr(10))} || base || {q(chr(10) + 'cover note' + chr(10) + '1/5/25, 10:02 AM' + chr(10) + 'Ann Lee in Paris' + chr(10) + 'Published JANUARY ')}
+                         || {day} || {q(' 2025' + chr(10) + 'https://x.example/b/')} || {did} || {q(' more' + chr(10))} || text
+                         || {q(chr(10) + 'Photo © Agency' + chr(10) + 'Copyright The Financial Times Limited 2025. All rights reserved. tail' + chr(10))}
+           ELSE {q('Motto' + chr(10) + 'March ')} || {day} || {q(', 2025' + chr(10) + 'Updated later' + chr(10) + 'By Ann Lee' + chr(10))} || base || {NL} || text
+                || {q(chr(10) + 'Democracy Dies in Darkness' + chr(10) + 'Bo Ray contributed to this report.' + chr(10))}
+                || CASE WHEN doc_id % 5 = 0 THEN {q('What readers are saying' + chr(10) + 'many things' + chr(10))} ELSE '' END END AS page_text
+  FROM p0)"""
+
+
+RX_FURN = (f"(?m)^{D_}{{1,2}}/{D_}{{1,2}}/{D_}{{2}},{S_}+{D_}{{1,2}}:{D_}{{2}}{S_}+[AP]M\\n.*\\n"
+           f"(?:https?://{NS_}+|www\\.{NS_}+)\\n{D_}+/{D_}+\\n?")
+RX_HTML = r"(?:https?://|www\.)[\S\s]+?\.html\b\n"
+RX_DATE = f"[A-Z][a-z]+ {D_}{{1,2}}, {D_}{{4}}(?:, .*?)?\\n"
+RX_HA = f"(?m)((.*\\n)*?Listen to this article.*\\n)?(?:.*\\n)*?^By .*\\n(?:.*\\n)*?{RX_DATE}(?:Updated .*\\n)?"
+RX_HB = r"(?m)^(?:.*\n)*?^Published.*\n"
+RX_HC = f"(?m)(?:.*\\n)*?{RX_DATE}(?:Updated .*\\n)?^By .*\\n"
+RX_STAMP = f"{D_}{{1,2}}/{D_}{{1,2}}/{D_}{{2}},{S_}+{D_}{{1,2}}:{D_}{{2}}{S_}+[AP]M\\n"
+RX_CAP_A = f"(?m)^.*{S_}for{S_}The{S_}New{S_}York{S_}Times{S_}*$"
+RX_CAP_B = "(?m)^.*©.*$\\n?"
+
+
+def title_rx(title: str) -> str:
+    return (f"(array_to_string(list_transform(regexp_extract_all(coalesce({title}, ''), {q(NS_ + '+')}), "
+            f"lambda w: '\\Q' || w || '\\E'), {q(S_ + '*')}) || {NL})")
+
+
+def contribution_sql(t: str) -> str:
+    lines = f"string_split({t}, {NL})"
+    k = f"list_position(list_transform(list_reverse({lines}), lambda x: regexp_matches(x, {q(NS_)})), true)"
+    j = f"(len({lines}) - {k} + 1)"
+    line = f"{lines}[{j}]"
+    hit = f"({k} IS NOT NULL AND regexp_matches({line}, {q('^.*' + chr(92) + 'bcontributed .*' + chr(92) + '.' + S_ + '*$')}))"
+    before = f"(array_to_string({lines}[1:{j} - 1], {NL}) || CASE WHEN {j} > 1 THEN {NL} ELSE '' END)"
+    return f"(CASE WHEN {hit} THEN regexp_replace({before}, {q(S_ + '+$')}, '') ELSE {t} END)"
+
+
+def bios_sql(t: str, names: str) -> str:
+    body = strip(t)
+    lines = (f"(CASE WHEN {body} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({body}, "
+             f"{q(chr(92) + 'r' + chr(92) + 'n|[' + chr(92) + 'n' + chr(92) + 'x0b' + chr(92) + 'x0c' + chr(92) + 'r' + chr(92) + 'x1c-' + chr(92) + 'x1e' + chr(92) + 'x85' + chr(92) + 'x{2028}' + chr(92) + 'x{2029}]')}) END)")
+    rev = f"list_reverse({lines})"
+    first = f"list_transform({names}, lambda a: coalesce(list_position(list_transform({rev}, lambda l: contains(l, a)), true), 0))"
+    all_seen = f"(len({names}) = len(list_distinct({names})) AND NOT coalesce(list_bool_or(list_transform({first}, lambda p: p = 0)), false))"
+    hits = f"list_transform({rev}, lambda l: coalesce(list_bool_or(list_transform({names}, lambda a: contains(l, a))), false))"
+    latest = (f"(CASE WHEN len({names}) = 0 THEN 0 WHEN {all_seen} THEN list_max({first}) "
+              f"WHEN list_position({hits}, true) IS NOT NULL THEN len({lines}) - list_position(list_reverse({hits}), true) + 1 ELSE 0 END)")
+    return f"{strip(f'array_to_string({lines}[1:len({lines}) - {latest}], {NL})')}"
+
+
+def names_sql(author: str) -> str:
+    return f"string_split_regex(replace({author}, chr(160), ' '), ', and | and |, ')"
+
+
+def pubdate_sql(date: str, rule: str) -> str:
+    parts = f"regexp_split_to_array(coalesce({date}, ''), '[ ,\\n]+')"
+    if rule == "b":
+        m = " ".join(f"WHEN {q(x.lower())} THEN '{i + 1}'" for i, x in enumerate(MONTHS_))
+        month = f"coalesce(CASE lower({parts}[1]) {m} END, '')"
+    else:
+        m = " ".join(f"WHEN {q(x)} THEN '{i + 1}'" for i, x in enumerate(MONTHS_))
+        month = f"CASE {parts}[1] {m} END" if rule == "a" else f"coalesce(CASE {parts}[1] {m} END, '')"
+    return f"({month} || '/' || {parts}[2] || '/' || {parts}[3])"
+
+
+from penmark.functions.lexicons import MONTHS as MONTHS_  # noqa: E402
+
+_P = f"WITH {pages_cte()}"
+
+
+def _md5q(expr: str, col: str = "text_md5") -> str:
+    return f"{_P} SELECT doc_id, md5({expr}) AS {col} FROM pages"
+
+
+ORACLES["strip_page_furniture"] = _md5q(f"regexp_replace(page_text, {q(RX_FURN)}, '', 'g')")
+ORACLES["strip_html_urls"] = _md5q(f"regexp_replace(page_text, {q(RX_HTML)}, '', 'g')")
+ORACLES["header_a"] = _md5q(f"regexp_replace(page_text, {q(RX_HA)}, '', 'g')")
+ORACLES["header_b"] = _md5q(f"regexp_replace(page_text, {q(RX_HB)}, '')")
+ORACLES["header_c"] = _md5q(f"regexp_replace(page_text, {q(RX_HC)}, '')")
+ORACLES["strip_title"] = _md5q(f"regexp_replace(page_text, {title_rx('title')}, '', 'g')")
+_G = f"regexp_extract(page_text, '(?m)^.*\\n' || {title_rx('title')} || '((?:.*\\n)*?)' || {q(RX_STAMP)}, 1)"
+ORACLES["strip_title_page"] = _md5q(
+    f"CASE WHEN {_G} <> '' AND strpos(page_text, {_G}) > 0 THEN substr(page_text, 1, strpos(page_text, {_G}) - 1) "
+    f"|| substr(page_text, strpos(page_text, {_G}) + length({_G})) ELSE page_text END")
+ORACLES["strip_contribution"] = _md5q(contribution_sql("page_text"))
+ORACLES["strip_captions"] = (f"{_P} SELECT doc_id, md5(regexp_replace(page_text, {q(RX_CAP_A)}, '', 'g')) AS a_md5, "
+                             f"md5(regexp_replace(page_text, {q(RX_CAP_B)}, '', 'g')) AS b_md5 FROM pages")
+from penmark.operators.clean import CORRECTION_A, MOTTO_C, PROMO_C  # noqa: E402
+
+ORACLES["strip_boilerplate"] = (
+    f"{_P} SELECT doc_id, md5(regexp_replace(page_text, {q(CORRECTION_A)}, '', 'g')) AS a_md5, "
+    f"md5(replace(regexp_replace(page_text, {q(PROMO_C)}, '', 'g'), {q(MOTTO_C)}, '')) AS c_md5 FROM pages")
+ORACLES["truncate_tail"] = (
+    f"{_P} SELECT doc_id, md5(regexp_replace(page_text, {q('(?s)Copyright The Financial Times Limited 2025' + chr(92) + '. All rights reserved' + chr(92) + '..*')}, '')) AS b_md5, "
+    f"md5(regexp_replace(page_text, '(?s)What readers are saying.*', '')) AS c_md5 FROM pages")
+_AUTH_A = "regexp_extract(page_text, '(?m)^By (.*)\\n', 1)"
+_DATE_A = f"regexp_extract(page_text, {q(RX_DATE)}, 0)"
+_DATE_B = "regexp_extract(page_text, 'Published (.*)\\n', 1)"
+ORACLES["extract_metadata"] = (
+    f"{_P} SELECT doc_id, {_DATE_A} AS date_a, {_AUTH_A} AS author_a, "
+    f"regexp_extract(page_text, {q(r'(?:https?://|www\.)[\S\s]+?\.html\b')}, 0) AS url_a, {_DATE_B} AS date_b, "
+    f"regexp_extract(page_text, '(.*) in .*\\n', 1) AS author_b FROM pages")
+ORACLES["author_split"] = (f"{_P} SELECT doc_id, array_to_string({names_sql(_AUTH_A)}, ';') AS authors, "
+                           f"CAST(len({names_sql(_AUTH_A)}) AS BIGINT) AS n_authors FROM pages")
+ORACLES["pubdate_parse"] = (f"{_P} SELECT doc_id, {pubdate_sql(_DATE_A, 'a')} AS pub_a, {pubdate_sql(_DATE_B, 'b')} AS pub_b, "
+                            f"{pubdate_sql(_DATE_A, 'c')} AS pub_c FROM pages")
+ORACLES["strip_author_bios"] = (f"{_P}, pn AS (SELECT doc_id, page_text, {names_sql(_AUTH_A)} AS names FROM pages) "
+                                f"SELECT doc_id, md5({bios_sql('page_text', 'names')}) AS text_md5 FROM pn")
+_LAYOUT = ("CASE WHEN string_split(path, '/')[2] = 'NYT' THEN 'a' WHEN string_split(path, '/')[3] = 'FinancialTimes' "
+           "THEN 'b' WHEN string_split(path, '/')[3] = 'WashingtonPost' THEN 'c' END")
+ORACLES["dispatch_clean"] = f"{_P} SELECT doc_id, {_LAYOUT} AS layout FROM pages"
+ORACLES["date_coerce"] = (f"WITH {articles_cte()}, d AS (SELECT article_id, CAST(try_strptime(pub_date_raw, '%m/%d/%Y') AS DATE) AS pub_date FROM articles) "
+                          f"SELECT article_id, pub_date, (SELECT count(*) FROM d WHERE pub_date IS NULL) AS n_missing_dates FROM d")
+ORACLES["path_metadata"] = ("SELECT page_id, string_split(url, '/')[1] AS part0, string_split(url, '/')[3] AS host, "
+                            "string_split(url, '/')[4] AS part3 FROM pages")
