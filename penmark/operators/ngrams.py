@@ -129,8 +129,9 @@ def pair_cosine(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_
     corpus = docs.join(ids, id_col, "left_semi")
     model = fit(corpus, text_col, max_features)
     vec = model.transform(corpus.select(id_col, text_col), text_col).select(id_col, "tfidf")
-    v1 = vec.select(F.col(id_col).alias(left), F.col("tfidf").alias("__v1"))
-    v2 = vec.select(F.col(id_col).alias(right), F.col("tfidf").alias("__v2"))
-    j = pairs.join(v1, left, "left").join(v2, right, "left")
+    from penmark.operators.pairs import attach_both
+    key = [c for c in pairs.columns if c not in (left, right)][0]
+    j = pairs.join(attach_both(pairs, vec, id_col, ["tfidf"], key, left, right, ("__v1_", "__v2_"))
+                   .select(key, F.col("__v1_tfidf").alias("__v1"), F.col("__v2_tfidf").alias("__v2")), key, "left")
     sim = F.when(F.col("__v1").isNull() | F.col("__v2").isNull(), F.lit(0.0)).otherwise(dot(F.col("__v1"), F.col("__v2")))
     return j.select(*pairs.columns, sim.alias("word_ngram_similarity"))

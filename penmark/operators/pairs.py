@@ -83,19 +83,34 @@ def labelled_pairs(same: DataFrame, diff: DataFrame, group: str, seed: int = 42)
 
 
 def with_pair_details(pairs: DataFrame, articles: DataFrame, id_col: str = "article_id",
-                      cols: tuple[str, ...] = ("title", "author")) -> DataFrame:
-    """Both ends' details (two joins on the id)."""
-    a = articles.select(F.col(id_col).alias("id1"), *[F.col(c).alias(f"article1_{c}") for c in cols])
-    b = articles.select(F.col(id_col).alias("id2"), *[F.col(c).alias(f"article2_{c}") for c in cols])
-    return pairs.join(a, "id1", "left").join(b, "id2", "left")
+                      cols: tuple[str, ...] = ("title", "author"), key: str = "pair_id") -> DataFrame:
+    """Both ends' details (one lookup join, see ``attach_both``)."""
+    return attach_both(pairs, articles, id_col, list(cols), key, prefixes=("article1_", "article2_"))
+
+
+def attach_both(pairs: DataFrame, values: DataFrame, id_col: str, cols: list[str], key: str = "pair_id",
+                left: str = "id1", right: str = "id2", prefixes=("a1_", "a2_")) -> DataFrame:
+    """Look up ``cols`` of both ends of every pair with ONE join: each pair
+    becomes two (key, side, id) rows, those are joined to ``values`` once and
+    folded back per pair (two rows per group).  Joining twice would compute
+    ``values`` twice -- the two sides' exchanges differ, so they are not
+    reused."""
+    ends = pairs.select(key, F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), F.col(left).alias("__id")),
+        F.struct(F.lit(2).alias("side"), F.col(right).alias("__id")))).alias("e")).select(key, "e.side", "e.__id")
+    v = values.select(F.col(id_col).alias("__id"), *cols)
+    j = ends.join(v, "__id")
+    folded = j.groupBy(key).agg(*[F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True).alias(p + c)
+                                  for s, p in ((1, prefixes[0]), (2, prefixes[1])) for c in cols],
+                                F.count(F.lit(1)).alias("__n"))
+    # inner-join semantics: both ends must exist
+    return pairs.join(folded.where(F.col("__n") == 2).drop("__n"), key)
 
 
 def pair_abs_diff(pairs: DataFrame, vectors: DataFrame, id_col: str, vec_col: str = "features") -> DataFrame:
     """``|f(id1) - f(id2)|`` element-wise; NULL stays NULL."""
-    a = vectors.select(F.col(id_col).alias("id1"), F.col(vec_col).alias("__v1"))
-    b = vectors.select(F.col(id_col).alias("id2"), F.col(vec_col).alias("__v2"))
-    j = pairs.join(a, "id1").join(b, "id2")
-    diff = F.zip_with("__v1", "__v2", lambda x, y: F.abs(x - y))
+    j = attach_both(pairs, vectors, id_col, [vec_col], prefixes=("__v1_", "__v2_"))
+    diff = F.zip_with(f"__v1_{vec_col}", f"__v2_{vec_col}", lambda x, y: F.abs(x - y))
     return j.select(*pairs.columns, diff.alias("diff"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from penmark.operators import basic, ngrams, pairs
 from penmark.plans.registry import query, rounded
+from penmark.session import cut_lineage
 from penmark.sources import tables
 
 SEED = 42
@@ -19,7 +20,8 @@ def _articles(spark, sf_dir):
 
 def source_pair_sets(spark, sf_dir):
     art = _articles(spark, sf_dir)
-    same = pairs.same_group_pairs(art, "source", "article_id", SOURCE_DRAWS, SEED)
+    # the draws are small and feed two plans: materialise them once
+    same = cut_lineage(pairs.same_group_pairs(art, "source", "article_id", SOURCE_DRAWS, SEED))
     n_same = same.count()
     diff = pairs.cross_group_pairs(art, "source", "article_id", n_same, SEED)
     return art, same, diff
@@ -53,16 +55,16 @@ def diff_author_pairs(spark, sf_dir):
 
 def author_pair_table_df(spark, sf_dir):
     art = _articles(spark, sf_dir)
-    same = pairs.same_group_pairs(art, "author", "article_id", AUTHOR_DRAWS, SEED)
+    same = cut_lineage(pairs.same_group_pairs(art, "author", "article_id", AUTHOR_DRAWS, SEED))
     diff = pairs.cross_group_pairs(art, "author", "article_id", same.count(), SEED)
-    return art, pairs.labelled_pairs(same, diff, "author", SEED)
+    return art, cut_lineage(pairs.labelled_pairs(same, diff, "author", SEED))
 
 
 @query("author_pair_table")
 def author_pair_table(spark, sf_dir):
     """A3 + J3: labelled, shuffled pairs with titles and authors of both ends."""
     art, lab = author_pair_table_df(spark, sf_dir)
-    out = pairs.with_pair_details(lab, art)
+    out = pairs.with_pair_details(lab, art.select("article_id", "title", "author"))
     return out.select("pair_id", F.col("id1").alias("article1_idx"), F.col("id2").alias("article2_idx"),
                       F.col("label").alias("same_author"), "article1_title", "article2_title",
                       "article1_author", "article2_author")
@@ -78,7 +80,7 @@ def pair_cosine(spark, sf_dir):
 
 def source_pair_vectors(spark, sf_dir):
     art, same, diff = source_pair_sets(spark, sf_dir)
-    lab = pairs.labelled_pairs(same.withColumnRenamed("source", "grp"), diff, "grp", SEED)
+    lab = cut_lineage(pairs.labelled_pairs(same.withColumnRenamed("source", "grp"), diff, "grp", SEED))
     feats = basic.basic_features(art.select("article_id", "text"), keep=["article_id"], mode="normalized")
     names = [c for c in feats.columns if c != "article_id"]
     vec = feats.select("article_id", F.array(*[F.col(c).cast("double") for c in names]).alias("features"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from penmark.operators import basic, evaluate, prep
 from penmark.plans.pair_queries import author_pair_table_df, source_pair_vectors
 from penmark.plans.registry import query, rounded
+from penmark.session import cut_lineage
 from penmark.sources import tables
 
 HOLE_POS = 3    # sentence_count: missing in every row -> dropped by the imputer
@@ -81,8 +82,9 @@ def scored_pairs(spark, sf_dir):
          - F.lit(5.0) * F.element_at("diff", pos["lexical_diversity"])
          - F.lit(0.001) * F.element_at("diff", pos["word_count"]))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    return d.select("pair_id", "label", p.alias("prob_1"),
-                    F.when(p >= 0.5, F.lit(1)).otherwise(F.lit(0)).alias("prediction"))
+    # one small row per pair, read by several metric plans: materialise once
+    return cut_lineage(d.select("pair_id", "label", p.alias("prob_1"),
+                    F.when(p >= 0.5, F.lit(1)).otherwise(F.lit(0)).alias("prediction")))
 
 
 @query("linear_score")
