@@ -13,6 +13,8 @@ def _load():
     from penmark.plans import prep_queries  # noqa: F401
     from penmark.plans import syntax_queries  # noqa: F401
     from penmark.plans import clean_queries  # noqa: F401
+    from penmark.plans import io_queries  # noqa: F401
+    from penmark.plans import model_queries  # noqa: F401
 
 
 def queries():

@@ -12,6 +12,7 @@ from penmark.functions.lexicons import (
     FUNCTION_WORDS, LEXICAL_FEATURES, PUNCTUATION_MARKS, READABILITY_FEATURES, STOP_WORDS,
     STRUCTURE_FEATURES, TREEBANK_SPLITS, function_word_feature_names,
 )
+from penmark.functions.lexicons import SYNTAX_FEATURES as SYNTAX_FEATURES_
 from penmark.operators.stats import SELECTED_FEATURES
 from penmark.sources.tables import STYLE_PREFIX
 
@@ -694,3 +695,24 @@ ORACLES["date_coerce"] = (f"WITH {articles_cte()}, d AS (SELECT article_id, CAST
                           f"SELECT article_id, pub_date, (SELECT count(*) FROM d WHERE pub_date IS NULL) AS n_missing_dates FROM d")
 ORACLES["path_metadata"] = ("SELECT page_id, string_split(url, '/')[1] AS part0, string_split(url, '/')[3] AS host, "
                             "string_split(url, '/')[4] AS part3 FROM pages")
+
+
+# ---------------------------------------------------------------- loading / typing / projection
+
+ORACLES["sink_roundtrip"] = (f"WITH {articles_cte()} SELECT source, title, CAST(length(text) AS BIGINT) AS n_chars, "
+                             f"md5(text) AS text_md5 FROM articles")
+ORACLES["load_typed"] = (f"WITH {articles_cte()} SELECT article_id, source, is_target, "
+                         f"CAST(try_strptime(pub_date_raw, '%m/%d/%Y') AS DATE) AS pub_date FROM articles")
+ORACLES["numeric_coerce"] = ("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lang ELSE CAST(n_chars AS VARCHAR) END AS raw, "
+                             "TRY_CAST(CASE WHEN doc_id % 5 = 0 THEN lang ELSE CAST(n_chars AS VARCHAR) END AS DOUBLE) AS value "
+                             "FROM documents")
+ORACLES["filter_source"] = f"WITH {articles_cte()} SELECT article_id, title FROM articles WHERE source = 'src0'"
+ORACLES["binary_label"] = f"WITH {articles_cte()} SELECT article_id, CASE WHEN is_target THEN 1 ELSE 0 END AS label FROM articles"
+ORACLES["concat_pages"] = ("SELECT conv_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM "
+                           "(SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id) z")
+ORACLES["align_features"] = (f"SELECT doc_id, {', '.join(c for c in LEXICAL_FEATURES)}, 0.0::DOUBLE AS pos_NOUN_freq, "
+                             f"0.0::DOUBLE AS word_ngram_0 FROM ({features_sql('documents', ['doc_id'], 'text', 'normalized', ['lexical'])}) z")
+_REG_STATIC = (" UNION ALL ".join([f"SELECT 'basic' AS family, {i} AS pos, {q(n)} AS feature" for i, n in enumerate(basic_feature_names())]
+                                  + [f"SELECT 'syntax', {i}, {q(n)}" for i, n in enumerate(SYNTAX_FEATURES_)]))
+ORACLES["feature_registry"] = (f"WITH {vocab_cte()} {_REG_STATIC} UNION ALL "
+                               f"SELECT 'word_ngram', CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER), term FROM vocab")
