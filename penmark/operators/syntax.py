@@ -109,25 +109,24 @@ def token_ratios(tokens: DataFrame) -> DataFrame:
 
 def _sentence_depths(tokens: DataFrame) -> DataFrame:
     """Y8 per sentence: max over tokens of the depth (ROOT 0, otherwise 1 +
-    edges to the self-headed root).  Heads are walked inside the sentence's
-    own array, with a step bound of the sentence length."""
+    edges to the self-headed root).  ``tok_id``/``head_id`` are 0-based
+    positions in the sentence, so a head is an O(1) array lookup; the walk
+    is bounded by the sentence length."""
     s = tokens.groupBy("article_id", "sent_id").agg(
         F.array_sort(F.collect_list(F.struct("tok_id", "head_id", "dep"))).alias("toks"))
     s = s.select("article_id", "sent_id", "toks",
-                 F.transform("toks", lambda t: t["head_id"]).alias("heads"),
-                 F.transform("toks", lambda t: t["tok_id"]).alias("ids"))
-    s = s.withColumn("hi", F.map_from_arrays("ids", "heads"))
+                 F.transform("toks", lambda t: (t["head_id"] + 1).cast("int")).alias("heads1"),
+                 F.sequence(F.lit(1), F.size("toks")).alias("steps"))
 
     def depth(t):
         walk = F.aggregate(
-            F.sequence(F.lit(1), F.size(F.col("toks"))),
-            F.struct(t["tok_id"].alias("cur"), F.lit(0).alias("steps")),
-            lambda acc, _: F.when(F.element_at(F.col("hi"), acc["cur"]) == acc["cur"], acc).otherwise(
-                F.struct(F.element_at(F.col("hi"), acc["cur"]).alias("cur"), (acc["steps"] + 1).alias("steps"))))
-        return F.when(t["dep"] == "ROOT", F.lit(0)).otherwise(walk["steps"] + 1)
-
-    return s.select("article_id", "sent_id",
-                    F.array_max(F.transform("toks", depth)).alias("max_depth"))
+            F.col("steps"),
+            F.struct((t["tok_id"] + 1).cast("int").alias("cur"), F.lit(0).alias("n")),
+            lambda acc, _: F.when(F.element_at(F.col("heads1"), acc["cur"]) == acc["cur"], acc).otherwise(
+                F.struct(F.element_at(F.col("heads1"), acc["cur"]).alias("cur"), (acc["n"] + 1).alias("n"))))
+        return F.when(t["dep"] == "ROOT", F.lit(0)).otherwise(walk["n"] + 1)
+
+    return s.select("article_id", "sent_id", F.array_max(F.transform("toks", depth)).alias("max_depth"))
 
 
 def sentence_features(sents: DataFrame, tokens: DataFrame, chunks: DataFrame) -> DataFrame:

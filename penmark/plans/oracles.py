@@ -716,3 +716,63 @@ _REG_STATIC = (" UNION ALL ".join([f"SELECT 'basic' AS family, {i} AS pos, {q(n)
                                   + [f"SELECT 'syntax', {i}, {q(n)}" for i, n in enumerate(SYNTAX_FEATURES_)]))
 ORACLES["feature_registry"] = (f"WITH {vocab_cte()} {_REG_STATIC} UNION ALL "
                                f"SELECT 'word_ngram', CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER), term FROM vocab")
+
+
+# ---------------------------------------------------------------- whole cleaning (C13) and combined features (F8)
+
+def _chain(steps: list[tuple[str, str]], src: str, keep: str) -> str:
+    """CTE chain: each step adds one column computed from the previous ones."""
+    ctes, prev = [], src
+    for i, (name, expr) in enumerate(steps):
+        cur = f"{src}_{i}"
+        ctes.append(f"{cur} AS (SELECT *, {expr} AS {name} FROM {prev})")
+        prev = cur
+    return ", ".join(ctes), prev
+
+
+_URL_A = r"(?:https?://|www\.)[\S\s]+?\.html\b"
+_URL_B = r"(?:https?://|www\.)[\S\s]+?.*\b"
+_TITLE_PAGE = (lambda t, ti: f"CASE WHEN g6 <> '' AND strpos({t}, g6) > 0 THEN substr({t}, 1, strpos({t}, g6) - 1) "
+                             f"|| substr({t}, strpos({t}, g6) + length(g6)) ELSE {t} END")
+_LA = [("date", _DATE_A), ("byl", _AUTH_A), ("url0", f"regexp_extract(page_text, {q(_URL_A)}, 0)"),
+       ("ttl", "replace(coalesce(title, ''), ' - The New York Times', '')"), ("names", names_sql("byl")),
+       ("t1", f"regexp_replace(page_text, {q(RX_FURN)}, '', 'g')"), ("t2", f"regexp_replace(t1, {q(RX_HTML)}, '', 'g')"),
+       ("t3", f"regexp_replace(t2, {q(RX_HA)}, '', 'g')"), ("t4", f"regexp_replace(t3, {title_rx('ttl')}, '', 'g')"),
+       ("t5", f"regexp_replace(t4, {q(RX_CAP_A)}, '', 'g')"), ("t6", f"regexp_replace(t5, {q(CORRECTION_A)}, '', 'g')"),
+       ("t7", bios_sql("t6", "names")), ("tz", contribution_sql("t7")),
+       ("pub", pubdate_sql("date", "a")), ("url", strip("url0"))]
+_LB = [("date", _DATE_B), ("byl", "regexp_extract(page_text, '(.*) in .*\\n', 1)"),
+       ("url0", f"regexp_extract(page_text, {q(_URL_B)}, 0)"), ("ttl", "coalesce(title, '')"), ("names", names_sql("byl")),
+       ("g6", f"regexp_extract(page_text, '(?m)^.*\\n' || {title_rx('ttl')} || '((?:.*\\n)*?)' || {q(RX_STAMP)}, 1)"),
+       ("t1", _TITLE_PAGE("page_text", "ttl")), ("t2", f"regexp_replace(t1, {q(RX_FURN)}, '', 'g')"),
+       ("t3", f"regexp_replace(t2, {q(RX_HTML)}, '', 'g')"), ("t4", f"regexp_replace(t3, {q(RX_HB)}, '')"),
+       ("t5", f"regexp_replace(t4, {title_rx('ttl')}, '', 'g')"), ("t6", f"regexp_replace(t5, {q(RX_CAP_B)}, '', 'g')"),
+       ("tz", f"regexp_replace(t6, {q('(?s)Copyright The Financial Times Limited 2025' + chr(92) + '. All rights reserved' + chr(92) + '..*')}, '')"),
+       ("pub", pubdate_sql("date", "b")), ("url", strip("url0"))]
+_LC = [("date", _DATE_A), ("byl", _AUTH_A), ("ttl", "replace(coalesce(title, ''), ' - The Washington Post', '')"),
+       ("names", names_sql("byl")),
+       ("t1", f"regexp_replace(page_text, {q(RX_FURN)}, '', 'g')"), ("t2", f"regexp_replace(t1, {q(RX_HC)}, '')"),
+       ("t3", f"regexp_replace(t2, {title_rx('ttl')}, '', 'g')"),
+       ("t4", "regexp_replace(t3, '(?s)What readers are saying.*', '')"),
+       ("t5", f"regexp_replace(t4, {q(PROMO_C)}, '', 'g')"), ("t6", contribution_sql("t5")),
+       ("tz", f"replace(t6, {q(MOTTO_C)}, '')"), ("pub", pubdate_sql("date", "c")), ("url", "'NA'")]
+
+
+def _layout_sql(tag: str, steps) -> tuple[str, str]:
+    base = f"la{tag} AS (SELECT doc_id, path, title, page_text FROM pages WHERE ({_LAYOUT}) = '{tag}')"
+    chain, last = _chain(steps, f"la{tag}", "")
+    sel = (f"SELECT doc_id, '{tag}' AS layout, array_to_string(names, ';') AS author, "
+           f"string_split(path, '/')[2] AS source, CASE WHEN string_split(path, '/')[2] = 'NYT' THEN '1' ELSE '0' END AS is_target, "
+           f"string_split(path, '/')[3] AS genre, pub AS pub_date, ttl AS title, md5({strip('tz')}) AS text_md5, url FROM {last}")
+    return f"{base}, {chain}", sel
+
+
+_ca = [_layout_sql(t, s) for t, s in (("a", _LA), ("b", _LB), ("c", _LC))]
+ORACLES["clean_articles"] = (f"{_P}, " + ", ".join(c for c, _ in _ca) + " " + " UNION ALL ".join(s for _, s in _ca))
+
+ORACLES["all_features"] = f"""WITH RECURSIVE {annotation_ctes()}, {_SENTF}, {_RATIOS},
+b AS ({features_sql(styled_src(), ['doc_id'], 'text', 'normalized', ['lexical', 'function_words', 'readability', 'punctuation', 'structure'])}),
+s AS (SELECT d.doc_id,
+  {', '.join(f"{r6(f'CASE WHEN r.article_id IS NULL THEN 0.0 ELSE coalesce({c}, 0.0) END')} AS {c}" for c in ['verb_noun_ratio', 'adj_adv_ratio', 'passive_voice_freq', 'question_freq', 'complex_sentence_ratio', 'compound_sentence_ratio', 'avg_dependency_depth'])}
+  FROM docs d LEFT JOIN ratios r ON r.article_id = d.doc_id LEFT JOIN sentf sf ON sf.article_id = d.doc_id)
+SELECT b.doc_id AS article_id, * EXCLUDE (doc_id) FROM b JOIN s USING (doc_id)"""

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from penmark.operators import basic, syntax
 from penmark.plans.registry import query, rounded
+from penmark.session import cut_lineage
 from penmark.sources import tables
 
 
 def annotated(spark, sf_dir):
+    """Styled documents and their annotation tables.  Like a tagger's
+    output, the tables are materialised once (checkpoint in the shared
+    folder) and read by every aggregate."""
     d = tables.documents(spark, sf_dir)
     docs = d.select("doc_id", tables.styled_text().alias("text"))
-    return (docs,) + syntax.annotate_standin(docs, "doc_id", "text")
+    return (docs,) + tuple(cut_lineage(t) for t in syntax.annotate_standin(docs, "doc_id", "text"))
 
 
 @query("pos_freq")
@@ -100,3 +104,30 @@ def process_articles(spark, sf_dir):
            .join(cx, "article_id", "left")
            .withColumn("avg_sentence_complexity", F.coalesce("avg_sentence_complexity", F.lit(0.0))))
     return rounded(out)
+
+
+@query("advanced_features")
+def advanced_features(spark, sf_dir):
+    """The seven syntax features, the tag frequencies and the 500 TF-IDF
+    weights of each article as one standardised vector (fit on the whole
+    corpus, one global TF-IDF fit).  Kept as ``ARRAY<DOUBLE>`` with the
+    column names in ``feature_names`` -- a 600-column projection would
+    break code generation."""
+    from penmark.operators import ngrams, prep
+    docs, sents, tokens, _, chunks = annotated(spark, sf_dir)
+    syn = syntax.syntax_features(docs.withColumnRenamed("doc_id", "article_id"), sents, tokens, chunks)
+    pos = syntax.tag_frequencies(tokens, "pos")
+    tags = sorted(r[0] for r in pos.select("tag").distinct().collect())   # the annotator's tag set
+    wide = syntax.wide_tags(pos, "pos_", "_freq", tags)
+    norm = docs.select(F.col("doc_id").alias("article_id"), basic.T.normalize_text("text").alias("text"))
+    model = ngrams.fit(norm, "text", 500)
+    tf = model.transform(norm, "text").select("article_id", "tfidf")
+    names = list(syn.columns[1:]) + list(wide.columns[1:]) + [f"word_ngram_{i}" for i in range(len(model.terms))]
+    j = syn.join(wide, "article_id", "left").join(tf, "article_id", "left")
+    vec = F.concat(F.array(*[F.col(c).cast("double") for c in names[:len(syn.columns) - 1 + len(wide.columns) - 1]]),
+                   F.col("tfidf"))
+    v = cut_lineage(j.select("article_id", vec.alias("x")))
+    st = prep.fit_vector_stats(v, "x")
+    out = prep.standardize(v, "x", st, "features")
+    return out.select("article_id", F.size("features").cast("bigint").alias("n_features"),
+                      F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
