@@ -55,8 +55,9 @@ def normalize_text(col) -> Column:
     collapse whitespace -> strip, in exactly this order."""
     t = F.lower(as_text(col))
     t = F.regexp_replace(t, f"http{NONSPACE}+", "")
-    t = F.regexp_replace(t, f"[^{WORD_BODY}{SPACE_BODY}]", "")
-    t = F.regexp_replace(t, DIGITS, "")
+    # dropping non-word/non-space characters and then digit runs deletes each
+    # character by its own class only, so one pass over the union does both
+    t = F.regexp_replace(t, f"[\\p{{Nd}}[^{WORD_BODY}{SPACE_BODY}]]", "")
     t = F.regexp_replace(t, f"{SPACE}+", " ")
     return F.trim(t)  # only single ' ' can remain at the ends
 
@@ -132,9 +133,9 @@ def total_syllables(col) -> Column:
     t = F.lower(_c(col))
     t = F.regexp_replace(t, f"(?<!{WORD}){WORD}{{1,3}}(?!{WORD})", "a")
     t = F.regexp_replace(t, f"(?:es|ed|e)(?!{WORD})", "")
-    vowel_groups = F.regexp_count(t, F.lit("[aeiouy]+"))
-    no_vowel_words = F.regexp_count(t, F.lit(f"(?<!{WORD})[{WORD_BODY}&&[^aeiouy]]+(?!{WORD})"))
-    return (vowel_groups + no_vowel_words).cast("bigint")
+    # one pass counts both: a vowel group, or a whole word without a vowel
+    # (the two kinds of match never overlap)
+    return F.regexp_count(t, F.lit(f"[aeiouy]+|(?<!{WORD})[{WORD_BODY}&&[^aeiouy]]+(?!{WORD})")).cast("bigint")
 
 
 def without_stopwords(tokens, stop_words: list[str] | None = None) -> Column:

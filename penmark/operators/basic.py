@@ -32,7 +32,8 @@ _SNT = "__snt"      # sentence count
 _PAR = "__par"      # stripped non-blank paragraphs
 _QUO = "__quo"      # quoted spans
 _SYL = "__syl"      # syllable total
-HELPERS = [_T, _TOK, _WRD, _LWR, _NLW, _SNT, _PAR, _QUO, _SYL]
+_NST = "__nst"      # treebank tokens that are not stop words
+HELPERS = [_T, _TOK, _WRD, _LWR, _NLW, _SNT, _PAR, _QUO, _SYL, _NST]
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -74,7 +75,7 @@ def lexical_columns() -> list[Column]:
     """six lexical features; six zeros when there is no sentence or token."""
     tok = F.col(_TOK)
     n = F.size(tok).cast("bigint")
-    nonstop = T.without_stopwords(tok)
+    nonstop = F.col(_NST)
     empty = (F.col(_SNT) == 0) | (n == 0)
     feats = {
         "avg_sentence_length": _ratio(n, F.col(_SNT)),
@@ -202,6 +203,8 @@ def extract(df: DataFrame, text_col: str = "text", keep: list[str] | None = None
         raise ValueError(f"unknown feature families: {sorted(unknown)}")
     keep = list(keep if keep is not None else [c for c in df.columns if c != text_col])
     staged = _token_projection(with_text(df, text_col, mode), fams)
+    if "lexical" in fams:
+        staged = staged.withColumn(_NST, T.without_stopwords(F.col(_TOK)))
     cols = [F.col(c) for c in keep]
     for fam in FAMILY_ORDER:
         if fam in fams:
