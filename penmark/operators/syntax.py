@@ -34,13 +34,17 @@ STANDIN_CCONJ = ["and", "but", "or", "nor", "so", "yet"]
 STANDIN_SCONJ = ["because", "although", "since", "unless"]
 
 
-def annotate_standin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """Stand-in annotation -> (sentences, tokens, ents, chunks)."""
+def annotate_standin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", materialize=None):
+    """Stand-in annotation -> (sentences, tokens, ents, chunks).
+    ``materialize`` (e.g. a checkpoint) is applied to each table as soon as it
+    is built, so the next table is derived from the stored one."""
+    keep_df = materialize or (lambda x: x)
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
     keep = F.filter(pieces, lambda s: F.regexp_replace(s, r"[.!?]+\z", "").rlike(T.NONSPACE))
     sents = (docs.select(F.col(id_col).alias("article_id"), F.posexplode_outer(keep).alias("sent_id", "text"))
              .where(F.col("text").isNotNull())
              .withColumn("sent_id", F.col("sent_id").cast("bigint")))
+    sents = keep_df(sents)
     toks = F.slice(T.word_tokens(F.col("text")), 1, MAX_SENT_TOKENS)
     tokens = (sents.select("article_id", "sent_id", F.posexplode_outer(toks).alias("tok_id", "text"))
               .where(F.col("text").isNotNull())
@@ -62,12 +66,12 @@ def annotate_standin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
            .when(F.col("pos") == "DET", "det")
            .when(F.col("pos") == "AUX", F.when(F.col("tok_id") % 5 == 0, "auxpass").otherwise("aux"))
            .otherwise("dep"))
-    tokens = tokens.withColumn("dep", dep).withColumn(
-        "head_id", F.when(F.col("tok_id") == 0, F.col("tok_id")).otherwise(F.col("tok_id") - 1))
+    tokens = keep_df(tokens.withColumn("dep", dep).withColumn(
+        "head_id", F.when(F.col("tok_id") == 0, F.col("tok_id")).otherwise(F.col("tok_id") - 1)))
     w = Window.partitionBy("article_id", "sent_id").orderBy("tok_id")
     nxt = F.lead("pos").over(w)
     prv = F.lag("pos").over(w)
-    marked = tokens.select("article_id", "sent_id", "tok_id", "pos", nxt.alias("nxt"), prv.alias("prv"))
+    marked = keep_df(tokens.select("article_id", "sent_id", "tok_id", "pos", nxt.alias("nxt"), prv.alias("prv")))
     chunks = (marked.where((F.col("pos") == "DET") & F.col("nxt").isin("NOUN", "PROPN"))
               .select("article_id", "sent_id", F.col("tok_id").alias("chunk_id")))
     # maximal PROPN runs: a run starts where the previous token is not PROPN

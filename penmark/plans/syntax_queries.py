@@ -17,7 +17,7 @@ def annotated(spark, sf_dir):
     folder) and read by every aggregate."""
     d = tables.documents(spark, sf_dir)
     docs = d.select("doc_id", tables.styled_text().alias("text"))
-    return (docs,) + tuple(cut_lineage(t) for t in syntax.annotate_standin(docs, "doc_id", "text"))
+    return (docs,) + syntax.annotate_standin(docs, "doc_id", "text", materialize=cut_lineage)
 
 
 @query("pos_freq")
