@@ -43,3 +43,48 @@ def hash_rank(df: DataFrame, keys: list[str], h: Column, tie: Column, out: str =
     ranked = x.join(offsets, [*keys, "__b"])
     return ranked.withColumn(out, (F.col("__off") + F.col("__lr")).cast("bigint")) \
                  .drop("__h", "__tie", "__b", "__lr", "__off")
+
+
+def value_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank",
+               num_partitions: int | None = None) -> DataFrame:
+    """Append ``out`` = 0-based rank of each row within ``keys`` ordered by
+    ``value`` (ties in arbitrary but fixed order), without sending a group to
+    one task: rows are range partitioned on (keys, value), numbered inside
+    each partition, and the numbering is frozen by a checkpoint (range bounds
+    come from sampling, so a recomputation could otherwise differ); a small
+    table of per-partition group counts turns local numbers into ranks."""
+    from penmark.session import cut_lineage
+    spark = df.sparkSession
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              spark.sparkContext.defaultParallelism)
+    x = (df.repartitionByRange(n, *keys, value).sortWithinPartitions(*keys, value)
+         .withColumn("__pid", F.spark_partition_id())
+         .withColumn("__mid", F.monotonically_increasing_id()))
+    x = cut_lineage(x)
+    counts = x.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__c"), F.min("__mid").alias("__m0"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("__pid")
+    offsets = counts.withColumn("__off", F.sum("__c").over(w) - F.col("__c")).drop("__c")
+    return (x.join(offsets, ["__pid", *keys])
+             .withColumn(out, (F.col("__off") + F.col("__mid") - F.col("__m0")).cast("bigint"))
+             .drop("__pid", "__mid", "__m0", "__off"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles (= ``percentile`` /
+    ``quantile_cont``) per group, skew-safe: only the two rows around each
+    requested rank are fetched.  Returns keys + ``q0, q1, ...``."""
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    r = value_rank(v, keys, "__v", out="__r")
+    sizes = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    targets = sizes.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("qi"), (F.lit(p) * (F.col("__n") - 1)).alias("h")) for i, p in enumerate(probs)
+    ])).alias("t")).select(*keys, "t.qi", "t.h")
+    targets = targets.select(*keys, "qi", "h", F.floor("h").alias("lo"), F.ceil("h").alias("hi"))
+    want = targets.select(*keys, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("__r")).distinct()
+    picked = r.join(want, [*keys, "__r"]).select(*keys, "__r", "__v")
+    lo = picked.select(*keys, F.col("__r").alias("lo"), F.col("__v").alias("v_lo"))
+    hi = picked.select(*keys, F.col("__r").alias("hi"), F.col("__v").alias("v_hi"))
+    q = targets.join(lo, [*keys, "lo"]).join(hi, [*keys, "hi"])
+    val = F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))
+    wide = q.groupBy(*keys).pivot("qi", list(range(len(probs)))).agg(F.first(val))
+    return wide.select(*keys, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])

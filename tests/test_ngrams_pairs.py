@@ -51,3 +51,15 @@ def test_small_groups(spark):
     art = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "article_id long, source string")
     same = pairs.same_group_pairs(art, "source", "article_id", 50, 1).collect()
     assert len(same) == 2 and all({r.id1, r.id2} == {1, 2} for r in same)
+
+
+def test_exact_quantiles_skewed(spark):
+    from penmark.operators.ranking import exact_quantiles
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+        (F.col("id") % 7).cast("string")).alias("g"), (F.col("id") * 37 % 1013 / 7.0).alias("v"))
+    got = {r.g: (r.q0, r.q1, r.q2) for r in exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75]).collect()}
+    want = {r.g: tuple(r.p) for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")).collect()}
+    assert set(got) == set(want)
+    for g in want:
+        assert got[g] == pytest.approx(want[g], abs=1e-9)
