@@ -20,9 +20,11 @@ from penmark.operators.ranking import h60, hash_rank
 
 
 def ranked_members(df: DataFrame, group: str, id_col: str, seed: int) -> DataFrame:
-    """(group, id, rank) with ranks in a seeded pseudo-random order."""
+    """(group, id, rank) with ranks in a seeded pseudo-random order.  Read by
+    several joins, so it is materialised once (ids only, no text)."""
+    from penmark.session import cut_lineage
     m = df.select(group, id_col).where(F.col(group).isNotNull())
-    return hash_rank(m, [group], h60(seed, F.col(id_col)), F.col(id_col), out="rank")
+    return cut_lineage(hash_rank(m, [group], h60(seed, F.col(id_col)), F.col(id_col), out="rank"))
 
 
 def _two_distinct(h1: Column, h2: Column, m: Column) -> tuple[Column, Column]:
@@ -54,7 +56,9 @@ def cross_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: int
     spark = df.sparkSession
     mem = ranked_members(df, group, id_col, seed)
     sizes = mem.groupBy(group).agg(F.count(F.lit(1)).alias("m"))
-    groups = hash_rank(sizes, [], h60(seed, "g", F.col(group)), F.col(group), out="grank")
+    from penmark.session import cut_lineage
+    # one row per group, read three times: materialise once
+    groups = cut_lineage(hash_rank(sizes, [], h60(seed, "g", F.col(group)), F.col(group), out="grank"))
     n_groups = groups.select(F.count(F.lit(1))).scalar()
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("__g", n_groups)
     g1, g2 = _two_distinct(h60(seed, "cross", F.col("draw"), 1), h60(seed, "cross", F.col("draw"), 2),
