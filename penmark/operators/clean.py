@@ -279,50 +279,77 @@ def coerce_date(s) -> Column:
 
 # ------------------------------------------------------------- whole layouts
 
-def _steps(df, steps):
-    """Apply (name, expression-builder) steps; each result is its own column,
-    so a later step reads it by name instead of repeating its expression."""
-    for name, fn in steps:
-        df = df.withColumn(name, fn())
-    return df
-
-
-def clean_layout(df, layout: str, text: str = "page_text", title: str = "title"):
-    """Metadata capture on the uncut text, then the layout's removals in
-    the reference order.  Adds ``author, pub_date, clean_title, clean_text,
-    url`` and drops the working columns."""
+def _layout_steps(layout: str, text: str):
+    """Capture builders and the ordered text steps of one layout.  A step
+    maps the previous text column name to a Column."""
     suffix = TITLE_SUFFIX[layout]
-    ttl = (lambda: F.replace(F.coalesce(F.col(title), F.lit("")), F.lit(suffix), F.lit(""))) if suffix \
-        else (lambda: F.coalesce(F.col(title), F.lit("")))
-    common = [("__date", lambda: capture_date(text, layout)), ("__by", lambda: capture_author(text, layout)),
-              ("__url", lambda: capture_url(text, layout)), ("__title", ttl),
-              ("__names", lambda: split_authors("__by"))]
+    caps = {
+        "__date": lambda: capture_date(text, layout),
+        "__by": lambda: capture_author(text, layout),
+        "__url": (lambda: T.strip_ws(capture_url(text, layout))) if layout != "c" else (lambda: F.lit("NA")),
+        "__title": ((lambda: F.replace(F.coalesce(F.col("title_in"), F.lit("")), F.lit(suffix), F.lit("")))
+                    if suffix else (lambda: F.coalesce(F.col("title_in"), F.lit("")))),
+    }
     if layout == "a":
-        steps = [("__t1", lambda: strip_page_furniture(text)), ("__t2", lambda: strip_html_urls("__t1")),
-                 ("__t3", lambda: header_a("__t2")), ("__t4", lambda: strip_title("__t3", "__title")),
-                 ("__t5", lambda: strip_captions("__t4", "a")), ("__t6", lambda: strip_boilerplate("__t5", "a")),
-                 ("__t7", lambda: strip_author_bios("__t6", "__names")), ("__tz", lambda: strip_contribution("__t7"))]
+        steps = [strip_page_furniture, strip_html_urls, header_a, lambda t: strip_title(t, "__title"),
+                 lambda t: strip_captions(t, "a"), lambda t: strip_boilerplate(t, "a"),
+                 lambda t: strip_author_bios(t, "__names"), strip_contribution]
     elif layout == "b":
-        steps = [("__t1", lambda: strip_title_page(text, "__title")), ("__t2", lambda: strip_page_furniture("__t1")),
-                 ("__t3", lambda: strip_html_urls("__t2")), ("__t4", lambda: header_b("__t3")),
-                 ("__t5", lambda: strip_title("__t4", "__title")), ("__t6", lambda: strip_captions("__t5", "b")),
-                 ("__tz", lambda: truncate_tail("__t6", "b"))]
+        steps = [lambda t: strip_title_page(t, "__title"), strip_page_furniture, strip_html_urls, header_b,
+                 lambda t: strip_title(t, "__title"), lambda t: strip_captions(t, "b"),
+                 lambda t: truncate_tail(t, "b")]
     elif layout == "c":
-        steps = [("__t1", lambda: strip_page_furniture(text)), ("__t2", lambda: header_c("__t1")),
-                 ("__t3", lambda: strip_title("__t2", "__title")), ("__t4", lambda: truncate_tail("__t3", "c")),
-                 ("__t5", lambda: F.regexp_replace(F.col("__t4"), PROMO_C, "")),
-                 ("__t6", lambda: strip_contribution("__t5")),
-                 ("__tz", lambda: F.replace(F.col("__t6"), F.lit(MOTTO_C), F.lit("")))]
+        steps = [strip_page_furniture, header_c, lambda t: strip_title(t, "__title"),
+                 lambda t: truncate_tail(t, "c"), lambda t: F.regexp_replace(F.col(t), PROMO_C, ""),
+                 strip_contribution, lambda t: F.replace(F.col(t), F.lit(MOTTO_C), F.lit(""))]
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    out = _steps(df, common + steps)
-    work = [c for c in out.columns if c.startswith("__")]
-    return (out.withColumn("author", F.array_join("__names", ";"))
-               .withColumn("pub_date", pubdate("__date", layout))
-               .withColumn("clean_title", F.col("__title"))
-               .withColumn("clean_text", T.strip_ws(F.col("__tz")))
-               .withColumn("url", T.strip_ws(F.col("__url")) if layout != "c" else F.lit("NA"))
-               .drop(*work))
+    return caps, steps
+
+
+def clean_pages(df, layout_col: str = "layout", text: str = "page_text", title: str = "title",
+                layouts=("a", "b", "c")):
+    """C13 in ONE pass over the input: every stage is a column
+    ``CASE layout WHEN 'a' THEN step_a WHEN 'b' THEN step_b ...``; CASE runs
+    only the taken branch, so a row pays for its own layout's steps and the
+    text is scanned once whatever the layout mix.  Metadata is captured from
+    the uncut text first; then the steps run in each layout's own order.
+    Adds ``author, pub_date, clean_title, clean_text, url``."""
+    specs = {lay: _layout_steps(lay, text) for lay in layouts}
+    lay = F.col(layout_col)
+
+    def case(builders):
+        expr = None
+        for name, b in builders:
+            expr = (F.when(lay == name, b()) if expr is None else expr.when(lay == name, b()))
+        return expr
+
+    x = df.withColumn("title_in", F.col(title))
+    for cap in ("__date", "__by", "__url", "__title"):
+        x = x.withColumn(cap, case([(L, specs[L][0][cap]) for L in layouts]))
+    x = x.withColumn("__names", split_authors("__by"))
+    prev = text
+    for k in range(max(len(specs[L][1]) for L in layouts)):
+        cur = f"__t{k + 1}"
+        parts = []
+        for L in layouts:
+            steps = specs[L][1]
+            parts.append((L, (lambda f=steps[k], p=prev: f(p)) if k < len(steps) else (lambda p=prev: F.col(p))))
+        x = x.withColumn(cur, case(parts))
+        prev = cur
+    pub = case([(L, lambda L=L: pubdate("__date", L)) for L in layouts])
+    work = [c for c in x.columns if c.startswith("__")] + ["title_in"]
+    return (x.withColumn("author", F.array_join("__names", ";"))
+             .withColumn("pub_date", pub)
+             .withColumn("clean_title", F.col("__title"))
+             .withColumn("clean_text", T.strip_ws(F.col(prev)))
+             .withColumn("url", F.col("__url"))
+             .drop(*work))
+
+
+def clean_layout(df, layout: str, text: str = "page_text", title: str = "title"):
+    """C13 for input known to be of one layout."""
+    return clean_pages(df.withColumn("__layout", F.lit(layout)), "__layout", text, title, (layout,)).drop("__layout")
 
 
 def layout_of(path) -> Column:
@@ -334,15 +361,12 @@ def layout_of(path) -> Column:
 
 
 def clean_articles(df, path: str = "path", text: str = "page_text", title: str = "title"):
-    """C13 + P10 over mixed layouts: each layout's rows are cleaned by its own
-    plan (a filter on the dispatch column, pushed into one scan) and the
-    results are unioned; rows of an unknown layout are returned separately."""
+    """C13 + P10: dispatch by path and clean every row in one pass; rows of an
+    unknown layout are returned separately (kept, not dropped silently)."""
     x = df.withColumn("layout", layout_of(path))
-    parts = []
-    for lay in ("a", "b", "c"):
-        parts.append(clean_layout(x.where(F.col("layout") == lay), lay, text, title))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    meta = out.select("*", T.path_part(path, 1).alias("source"), T.path_part(path, 2).alias("genre"),
-                      F.when(T.path_part(path, 1) == TARGET_SOURCE, F.lit("1")).otherwise(F.lit("0")).alias("is_target"))
+    known = clean_pages(x.where(F.col("layout").isNotNull()), "layout", text, title)
+    meta = known.select("*", T.path_part(path, 1).alias("source"), T.path_part(path, 2).alias("genre"),
+                        F.when(T.path_part(path, 1) == TARGET_SOURCE, F.lit("1")).otherwise(F.lit("0"))
+                        .alias("is_target"))
     rejects = x.where(F.col("layout").isNull())
     return meta, rejects
