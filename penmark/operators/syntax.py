@@ -111,14 +111,17 @@ def token_ratios(tokens: DataFrame) -> DataFrame:
                     (F.col("passive") / F.col("n")).alias("passive_voice_freq"))
 
 
-def _sentence_depths(tokens: DataFrame) -> DataFrame:
-    """Y8 per sentence: max over tokens of the depth (ROOT 0, otherwise 1 +
-    edges to the self-headed root).  ``tok_id``/``head_id`` are 0-based
-    positions in the sentence, so a head is an O(1) array lookup; the walk
-    is bounded by the sentence length."""
+def _sentence_level(tokens: DataFrame) -> DataFrame:
+    """One aggregation per sentence: clause flags (Y7) and the dependency
+    depth (Y8: max over tokens of ROOT 0, otherwise 1 + edges to the
+    self-headed root).  ``tok_id``/``head_id`` are 0-based positions in the
+    sentence, so a head is an O(1) array lookup; the walk is bounded by the
+    sentence length (the annotator bounds sentences)."""
     s = tokens.groupBy("article_id", "sent_id").agg(
+        F.max((F.col("dep") == "mark").cast("int")).alias("has_mark"),
+        F.max((F.col("dep") == "cc").cast("int")).alias("has_cc"),
         F.array_sort(F.collect_list(F.struct("tok_id", "head_id", "dep"))).alias("toks"))
-    s = s.select("article_id", "sent_id", "toks",
+    s = s.select("article_id", "sent_id", "has_mark", "has_cc", "toks",
                  F.transform("toks", lambda t: (t["head_id"] + 1).cast("int")).alias("heads1"),
                  F.sequence(F.lit(1), F.size("toks")).alias("steps"))
 
@@ -130,21 +133,18 @@ def _sentence_depths(tokens: DataFrame) -> DataFrame:
                 F.struct(F.element_at(F.col("heads1"), acc["cur"]).alias("cur"), (acc["n"] + 1).alias("n"))))
         return F.when(t["dep"] == "ROOT", F.lit(0)).otherwise(walk["n"] + 1)
 
-    return s.select("article_id", "sent_id", F.array_max(F.transform("toks", depth)).alias("max_depth"))
+    return s.select("article_id", "sent_id", "has_mark", "has_cc",
+                    F.array_max(F.transform("toks", depth)).alias("max_depth"))
 
 
 def sentence_features(sents: DataFrame, tokens: DataFrame, chunks: DataFrame) -> DataFrame:
     """Y6, Y7, Y8, Y9 per article from sentence-level flags."""
-    flags = tokens.groupBy("article_id", "sent_id").agg(
-        F.max((F.col("dep") == "mark").cast("int")).alias("has_mark"),
-        F.max((F.col("dep") == "cc").cast("int")).alias("has_cc"))
+    per_sent = _sentence_level(tokens)
     nchunks = chunks.groupBy("article_id", "sent_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    depth = _sentence_depths(tokens)
     q = T.strip_ws(F.col("text")).endswith("?")
     s = (sents.select("article_id", "sent_id", q.cast("int").alias("is_q"))
-         .join(flags, ["article_id", "sent_id"], "left")
-         .join(nchunks, ["article_id", "sent_id"], "left")
-         .join(depth, ["article_id", "sent_id"], "left"))
+         .join(per_sent, ["article_id", "sent_id"], "left")
+         .join(nchunks, ["article_id", "sent_id"], "left"))
     n = F.count(F.lit(1))
     return s.groupBy("article_id").agg(
         (F.sum("is_q") / F.greatest(F.lit(1), n)).alias("question_freq"),
