@@ -100,25 +100,19 @@ def function_word_columns() -> list[Column]:
 
     Occurrences of ``w`` are counted as occurrences of ``|w|`` in the joined
     function-word string -- one native ``replace`` per word, no array copies.
+    The 62 columns are written as SQL expressions (one JVM call each).
     """
-    joined, total = F.col(_LWR), F.col(_NLW)
-
-    def count(w: str) -> Column:
+    def count(w: str) -> str:
         marked = f"|{w}|"
-        removed = F.length(joined) - F.length(F.replace(joined, F.lit(marked), F.lit("")))
-        return (removed / len(marked)).cast("bigint")
+        return f"CAST((length({_LWR}) - length(replace({_LWR}, '{marked}', ''))) DIV {len(marked)} AS BIGINT)"
 
-    counts = {w: count(w) for w in all_function_words()}
-    exprs: dict[str, Column] = {}
+    exprs: dict[str, str] = {}
     for cat, words in FUNCTION_WORDS.items():
-        cat_count = counts[words[0]]
-        for w in words[1:]:
-            cat_count = cat_count + counts[w]
-        exprs[f"{cat}_freq"] = cat_count
+        exprs[f"{cat}_freq"] = "(" + " + ".join(count(w) for w in words) + ")"
         for w in words:
-            exprs[f"{w}_freq"] = counts[w]
-    return [F.when(total == 0, F.lit(0.0)).otherwise(_ratio(exprs[name], total)).alias(name)
-            for name in function_word_feature_names()]
+            exprs[f"{w}_freq"] = count(w)
+    return [F.expr(f"CASE WHEN {_NLW} = 0 THEN 0.0 ELSE CAST({exprs[name]} AS DOUBLE) / CAST({_NLW} AS DOUBLE) END")
+            .alias(name) for name in function_word_feature_names()]
 
 
 def readability_columns() -> list[Column]:

@@ -28,12 +28,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     Floating sums depend on partition order; the oracle compares rounded
     values, so results are published rounded.
     """
-    cols = []
+    scale = f"{float(10 ** digits)!r}"
+    exprs = []
     for f in df.schema.fields:
+        name = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            scale = float(10 ** digits)
-            x = F.round(F.col(f.name).cast("double") * scale, 0) / scale + F.lit(0.0)
-            cols.append(x.alias(f.name))
+            # one SQL string per column: parsed JVM-side in a single call
+            exprs.append(f"round(CAST({name} AS DOUBLE) * {scale}, 0) / {scale} + 0.0 AS {name}")
         else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+            exprs.append(name)
+    return df.selectExpr(*exprs)

@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None, per_core: int = 8) -> DataFrame:
     """Hash-repartition by ``key`` only when the scan yields fewer tasks than
     the cluster has cores.
 
