@@ -67,6 +67,10 @@ def word_tokens(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(WORD_RUN), F.lit(0))
 
 
+# a cheap pre-check: a text without these letters needs no contraction split
+CONTRACTION_HINT = "(?i)cannot|gimme|gonna|gotta|lemme|wanna"
+
+
 def split_contractions(col) -> Column:
     """Insert the Treebank split inside cannot/gimme/gonna/gotta/lemme/wanna."""
     heads = "|".join(f"{w[:k]}(?={w[k:]})" for w, k in TREEBANK_SPLITS)

@@ -47,27 +47,40 @@ def with_text(df: DataFrame, text_col: str = "text", mode: str = "normalized") -
     return df.withColumn(_T, src)
 
 
-def _token_projection(df: DataFrame, families: set[str]) -> DataFrame:
-    """Stage 1: compute each token array / count once."""
+def _token_projection(df: DataFrame, families: set[str], mode: str = "raw") -> DataFrame:
+    """Stage 1: compute each token array / count once.
+
+    Normalised text holds only lower-case word characters separated by single
+    spaces, so there: words are a plain split on ' ', the text is its own
+    lower-case form, and a non-empty text is one sentence and one paragraph
+    without quotes -- the general regex forms give the same values, only
+    slower."""
     t = F.col(_T)
+    norm = mode == "normalized"
+    empty = F.array().cast("array<string>")
+    words = F.when(t == "", empty).otherwise(F.split(t, " ", -1)) if norm else T.word_tokens(t)
     cols: dict[str, Column] = {}
     if "lexical" in families:
-        cols[_TOK] = T.treebank_tokens(t)
+        if norm:
+            s = F.when(t.rlike(T.CONTRACTION_HINT), T.split_contractions(t)).otherwise(t)
+            cols[_TOK] = F.when(t == "", empty).otherwise(F.split(s, " ", -1))
+        else:
+            cols[_TOK] = T.treebank_tokens(t)
     if families & {"lexical", "readability", "structure"}:
-        cols[_SNT] = T.sentence_count(t)
+        cols[_SNT] = F.when(t == "", F.lit(0)).otherwise(F.lit(1)).cast("bigint") if norm else T.sentence_count(t)
     if families & {"readability", "structure"}:
-        cols[_WRD] = T.word_tokens(t)
+        cols[_WRD] = words
     if "readability" in families:
         cols[_SYL] = T.total_syllables(t)
     if "function_words" in families:
-        lw = T.word_tokens(F.lower(t))
+        lw = words if norm else T.word_tokens(F.lower(t))
         fw = all_function_words()
         # function words only, each wrapped in its own '|' pair: |the||of|...
         cols[_LWR] = F.concat(F.lit("|"), F.array_join(F.filter(lw, lambda w: w.isin(fw)), "||"), F.lit("|"))
         cols[_NLW] = F.size(lw).cast("bigint")
     if "structure" in families:
-        cols[_PAR] = T.paragraphs(t)
-        cols[_QUO] = T.quote_spans(t)
+        cols[_PAR] = F.when(t == "", empty).otherwise(F.array(t)) if norm else T.paragraphs(t)
+        cols[_QUO] = empty if norm else T.quote_spans(t)
     return df.withColumns(cols)
 
 
@@ -196,7 +209,7 @@ def extract(df: DataFrame, text_col: str = "text", keep: list[str] | None = None
     if unknown:
         raise ValueError(f"unknown feature families: {sorted(unknown)}")
     keep = list(keep if keep is not None else [c for c in df.columns if c != text_col])
-    staged = _token_projection(with_text(df, text_col, mode), fams)
+    staged = _token_projection(with_text(df, text_col, mode), fams, mode)
     if "lexical" in fams:
         staged = staged.withColumn(_NST, T.without_stopwords(F.col(_TOK)))
     cols = [F.col(c) for c in keep]
