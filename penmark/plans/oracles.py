@@ -776,3 +776,33 @@ s AS (SELECT d.doc_id,
   {', '.join(f"{r6(f'CASE WHEN r.article_id IS NULL THEN 0.0 ELSE coalesce({c}, 0.0) END')} AS {c}" for c in ['verb_noun_ratio', 'adj_adv_ratio', 'passive_voice_freq', 'question_freq', 'complex_sentence_ratio', 'compound_sentence_ratio', 'avg_dependency_depth'])}
   FROM docs d LEFT JOIN ratios r ON r.article_id = d.doc_id LEFT JOIN sentf sf ON sf.article_id = d.doc_id)
 SELECT b.doc_id AS article_id, * EXCLUDE (doc_id) FROM b JOIN s USING (doc_id)"""
+
+
+# ---------------------------------------------------------------- Y11: standardised advanced vector
+
+_SYN7 = ['verb_noun_ratio', 'adj_adv_ratio', 'passive_voice_freq', 'question_freq', 'complex_sentence_ratio',
+         'compound_sentence_ratio', 'avg_dependency_depth']
+ORACLES["advanced_features"] = f"""{_REC}, {_RATIOS},
+syn AS (SELECT d.doc_id AS article_id,
+  {', '.join(f"CAST(CASE WHEN r.article_id IS NULL THEN 0.0 ELSE coalesce({c}, 0.0) END AS DOUBLE) AS {c}" for c in _SYN7)}
+  FROM docs d LEFT JOIN ratios r ON r.article_id = d.doc_id LEFT JOIN sentf s ON s.article_id = d.doc_id),
+tags AS (SELECT DISTINCT pos AS tag FROM tokens),
+posf AS (SELECT p.article_id, tag, n / total AS freq FROM
+         (SELECT article_id, pos AS tag, count(*) AS n FROM tokens GROUP BY ALL) p JOIN
+         (SELECT article_id, count(*) AS total FROM tokens GROUP BY article_id) t USING (article_id)),
+ndocs AS (SELECT doc_id AS article_id, {norm('text')} AS text FROM docs),
+{vocab_cte('ndocs', 'article_id')},
+w AS (SELECT article_id, term, (1 + ln(c)) * idf AS w FROM tf JOIN vocab USING (term)),
+nrm AS (SELECT article_id, sqrt(sum(w * w)) AS n FROM w GROUP BY article_id),
+tfw AS (SELECT article_id, term, w / n AS v FROM w JOIN nrm USING (article_id)),
+lng AS ({' UNION ALL '.join(f"SELECT article_id, 'syn:{c}' AS f, {c} AS v FROM syn" for c in _SYN7)}
+  UNION ALL SELECT d.doc_id, 'pos:' || tags.tag, posf.freq FROM docs d CROSS JOIN tags
+            LEFT JOIN posf ON posf.article_id = d.doc_id AND posf.tag = tags.tag
+  UNION ALL SELECT d.doc_id, 'tf:' || vocab.term, coalesce(tfw.v, 0.0) FROM docs d CROSS JOIN vocab
+            LEFT JOIN tfw ON tfw.article_id = d.doc_id AND tfw.term = vocab.term),
+st2 AS (SELECT f, count(*) AS n, count(v) AS nn, avg(v) AS m, var_pop(v) AS var FROM lng GROUP BY f HAVING count(v) > 0),
+sc AS (SELECT f, m, CASE WHEN sqrt(coalesce(var, 0) * nn / n) > 10 * 2.220446049250313e-16
+                         THEN sqrt(coalesce(var, 0) * nn / n) ELSE 1.0 END AS s FROM st2)
+SELECT article_id, CAST(count(*) AS BIGINT) AS n_features,
+       {r6('sum(((coalesce(v, m) - m) / s) * ((coalesce(v, m) - m) / s))')} AS sq_norm
+FROM lng JOIN sc USING (f) GROUP BY article_id"""

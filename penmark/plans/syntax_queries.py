@@ -129,5 +129,5 @@ def advanced_features(spark, sf_dir):
     v = cut_lineage(j.select("article_id", vec.alias("x")))
     st = prep.fit_vector_stats(v, "x")
     out = prep.standardize(v, "x", st, "features")
-    return out.select("article_id", F.size("features").cast("bigint").alias("n_features"),
-                      F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
+    return rounded(out.select("article_id", F.size("features").cast("bigint").alias("n_features"),
+                              F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm")))
