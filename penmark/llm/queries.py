@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import decontaminate, line_dedup, packing, token_counts, warc
+from penmark.llm import decontaminate, jaccard, line_dedup, packing, token_counts, warc
 from penmark.llm.oracles import ORACLES
 
 
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.report(docs, items).drop("spans")
@@ -36,7 +40,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_warc, op6_decontaminate, op7_line_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_warc, op4_jaccard_join, op6_decontaminate, op7_line_dedup, op9_token_counts)}
 
 
 def queries():
