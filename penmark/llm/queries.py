@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import decontaminate, jaccard, line_dedup, packing, token_counts, warc
+from penmark.llm import decontaminate, jaccard, line_dedup, packing, pii, token_counts, toxicity, warc
 from penmark.llm.oracles import ORACLES
 
 
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -40,7 +44,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_warc, op4_jaccard_join, op6_decontaminate, op7_line_dedup, op9_token_counts)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_toxicity, op3_warc, op4_jaccard_join, op6_decontaminate, op7_line_dedup, op9_token_counts, op10_pii)}
 
 
 def queries():
