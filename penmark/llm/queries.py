@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import decontaminate, jaccard, line_dedup, packing, pii, token_counts, toxicity, warc
+from penmark.llm import ann, decontaminate, jaccard, line_dedup, packing, pii, token_counts, toxicity, warc
 from penmark.llm.oracles import ORACLES
 
 
@@ -40,6 +40,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_toxicity, op3_warc, op4_jaccard_join, op6_decontaminate, op7_line_dedup, op9_token_counts, op10_pii)}
+    op1_packing, op2_toxicity, op3_warc, op4_jaccard_join, op6_decontaminate, op7_line_dedup, op8_ann, op9_token_counts, op10_pii)}
 
 
 def queries():
