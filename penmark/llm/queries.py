@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import ann, decontaminate, jaccard, line_dedup, packing, pii, token_counts, toxicity, warc
+from penmark.llm import ann, decontaminate, jaccard, line_dedup, lm_score, packing, pii, token_counts, toxicity, warc
 from penmark.llm.oracles import ORACLES
 
 
@@ -31,6 +31,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.report(docs, items).drop("spans")
@@ -53,7 +57,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_toxicity, op3_warc, op4_jaccard_join, op6_decontaminate, op7_line_dedup, op8_ann, op9_token_counts, op10_pii)}
+    op1_packing, op2_toxicity, op3_warc, op4_jaccard_join, op5_lm_score, op6_decontaminate, op7_line_dedup, op8_ann,
+    op9_token_counts, op10_pii)}
 
 
 def queries():
