@@ -64,7 +64,9 @@ def capture_author(text, layout: str) -> Column:
 
 def capture_url(text, layout: str) -> Column:
     if layout == "a":
-        return F.regexp_extract(_c(text), r"(?:https?://|www\.)[\s\S]+?\.html\b", 0)
+        # the first URL start alone decides: if no '.html' follows it, none follows a later one
+        rest = F.regexp_extract(_c(text), r"(?:https?://|www\.)[\s\S]*", 0)
+        return F.regexp_extract(rest, r"\A(?:https?://|www\.)[\s\S]+?\.html\b", 0)
     if layout == "b":
         return F.regexp_extract(_c(text), r"(?:https?://|www\.)[\s\S]+?[^\n]*\b", 0)
     return F.lit("NA")
@@ -78,8 +80,12 @@ def strip_page_furniture(text) -> Column:
 
 
 def strip_html_urls(text) -> Column:
-    """A URL running (possibly over lines) to '.html' and a newline."""
-    return F.regexp_replace(_c(text), HTML_URL, "")
+    """A URL running (possibly over lines) to '.html' and a newline.
+    Matched only up to the last '.html' line end, so every attempt succeeds and
+    the pass is linear; what follows holds no match."""
+    tail = F.substring_index(_c(text), ".html\n", -1)
+    head = F.left(_c(text), F.length(_c(text)) - F.length(tail))
+    return F.concat(F.regexp_replace(head, HTML_URL, ""), tail)
 
 
 def _lines(text) -> Column:

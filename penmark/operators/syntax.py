@@ -14,9 +14,9 @@ so the aggregates can be tested; it is a stand-in, not a parser.
 
 Plan: every aggregate is keyed by article (or by sentence, then article), so
 the work is one shuffle of the token rows with map-side partial aggregation.
-Dependency depth walks head pointers inside one sentence; a sentence's tokens
-are gathered into one array (a sentence is a bounded unit: the annotator caps
-it), never a whole article.
+Dependency depth follows head pointers inside one sentence; a sentence's tokens
+are gathered into one array, never a whole article, and all tokens' depths come
+from pointer doubling (n log n for n tokens).
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from penmark.functions import text as T
 from penmark.functions.lexicons import FUNCTION_WORDS, SYNTAX_FEATURES
 
-MAX_SENT_TOKENS = 40
-
 # --- FIXED VALUES: stand-in tagging rule word lists (FIXTURES section 3) ---
 STANDIN_CCONJ = ["and", "but", "or", "nor", "so", "yet"]
 STANDIN_SCONJ = ["because", "although", "since", "unless"]
@@ -45,7 +43,7 @@ def annotate_standin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
              .where(F.col("text").isNotNull())
              .withColumn("sent_id", F.col("sent_id").cast("bigint")))
     sents = keep_df(sents)
-    toks = F.slice(T.word_tokens(F.col("text")), 1, MAX_SENT_TOKENS)
+    toks = T.word_tokens(F.col("text"))
     tokens = (sents.select("article_id", "sent_id", F.posexplode_outer(toks).alias("tok_id", "text"))
               .where(F.col("text").isNotNull())
               .withColumn("tok_id", F.col("tok_id").cast("bigint")))
@@ -66,8 +64,11 @@ def annotate_standin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
            .when(F.col("pos") == "DET", "det")
            .when(F.col("pos") == "AUX", F.when(F.col("tok_id") % 5 == 0, "auxpass").otherwise("aux"))
            .otherwise("dep"))
-    tokens = keep_df(tokens.withColumn("dep", dep).withColumn(
-        "head_id", F.when(F.col("tok_id") == 0, F.col("tok_id")).otherwise(F.col("tok_id") - 1)))
+    # heads of mixed shape: a binary tree, chains of eight, or a star, by sentence
+    shape, t = F.col("sent_id") % 3, F.col("tok_id")
+    head = (F.when(shape == 0, F.floor(t / 2)).when((shape == 1) & (t % 8 != 0), t - 1)
+            .when(shape == 1, F.floor(t / 8)).otherwise(F.lit(0)))
+    tokens = keep_df(tokens.withColumn("dep", dep).withColumn("head_id", head.cast("bigint")))
     w = Window.partitionBy("article_id", "sent_id").orderBy("tok_id")
     nxt = F.lead("pos").over(w)
     prv = F.lag("pos").over(w)
@@ -115,26 +116,27 @@ def _sentence_level(tokens: DataFrame) -> DataFrame:
     """One aggregation per sentence: clause flags (Y7) and the dependency
     depth (Y8: max over tokens of ROOT 0, otherwise 1 + edges to the
     self-headed root).  ``tok_id``/``head_id`` are 0-based positions in the
-    sentence, so a head is an O(1) array lookup; the walk is bounded by the
-    sentence length (the annotator bounds sentences)."""
+    sentence.  Pointer doubling: every round replaces a token's ancestor by that
+    ancestor's ancestor and adds their distances, so log2(n) rounds reach
+    every root."""
     s = tokens.groupBy("article_id", "sent_id").agg(
         F.max((F.col("dep") == "mark").cast("int")).alias("has_mark"),
         F.max((F.col("dep") == "cc").cast("int")).alias("has_cc"),
         F.array_sort(F.collect_list(F.struct("tok_id", "head_id", "dep"))).alias("toks"))
-    s = s.select("article_id", "sent_id", "has_mark", "has_cc", "toks",
-                 F.transform("toks", lambda t: (t["head_id"] + 1).cast("int")).alias("heads1"),
-                 F.sequence(F.lit(1), F.size("toks")).alias("steps"))
-
-    def depth(t):
-        walk = F.aggregate(
-            F.col("steps"),
-            F.struct((t["tok_id"] + 1).cast("int").alias("cur"), F.lit(0).alias("n")),
-            lambda acc, _: F.when(F.element_at(F.col("heads1"), acc["cur"]) == acc["cur"], acc).otherwise(
-                F.struct(F.element_at(F.col("heads1"), acc["cur"]).alias("cur"), (acc["n"] + 1).alias("n"))))
-        return F.when(t["dep"] == "ROOT", F.lit(0)).otherwise(walk["n"] + 1)
-
+    s = s.select("article_id", "sent_id", "has_mark", "has_cc",
+                 F.transform("toks", lambda t: t["dep"] == "ROOT").alias("root"),
+                 F.transform("toks", lambda t: (t["head_id"] + 1).cast("int")).alias("up"),
+                 F.transform("toks", lambda t: (t["head_id"] != t["tok_id"]).cast("int")).alias("dist"))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size("up"))).cast("int")))
+    walked = F.aggregate(
+        rounds, F.struct(F.col("up").alias("up"), F.col("dist").alias("dist")),
+        lambda acc, _: F.struct(
+            F.transform(acc["up"], lambda u: F.element_at(acc["up"], u)).alias("up"),
+            F.zip_with(acc["dist"], acc["up"], lambda d, u: d + F.element_at(acc["dist"], u)).alias("dist")),
+        lambda acc: acc["dist"])
+    s = s.select("article_id", "sent_id", "has_mark", "has_cc", "root", walked.alias("dist"))
     return s.select("article_id", "sent_id", "has_mark", "has_cc",
-                    F.array_max(F.transform("toks", depth)).alias("max_depth"))
+                    F.array_max(F.zip_with("root", "dist", lambda r, d: F.when(r, F.lit(0)).otherwise(d + 1))).alias("max_depth"))
 
 
 def sentence_features(sents: DataFrame, tokens: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -479,7 +479,7 @@ def _inlist(ws) -> str:
 
 def annotation_ctes() -> str:
     from penmark.functions.lexicons import FUNCTION_WORDS as FW
-    from penmark.operators.syntax import MAX_SENT_TOKENS, STANDIN_CCONJ, STANDIN_SCONJ
+    from penmark.operators.syntax import STANDIN_CCONJ, STANDIN_SCONJ
     keep = (f"list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*'), "
             f"lambda s: regexp_matches(regexp_replace(s, '[.!?]+\\z', ''), {q('[^' + SB + ']')}))")
     pos = (f"CASE WHEN lower(text) IN ({_inlist(FW['articles'])}) THEN 'DET' "
@@ -494,14 +494,15 @@ def annotation_ctes() -> str:
 sl AS (SELECT doc_id, {keep} AS l FROM docs),
 sents AS (SELECT doc_id AS article_id, CAST(sent_id AS BIGINT) AS sent_id, text FROM
           (SELECT doc_id, unnest(l) AS text, unnest(range(0, len(l))) AS sent_id FROM sl) z),
-tl AS (SELECT article_id, sent_id, {words('text')}[1:{MAX_SENT_TOKENS}] AS l FROM sents),
+tl AS (SELECT article_id, sent_id, {words('text')} AS l FROM sents),
 tk0 AS (SELECT article_id, sent_id, text, CAST(tok_id AS BIGINT) AS tok_id FROM
           (SELECT article_id, sent_id, unnest(l) AS text, unnest(range(0, len(l))) AS tok_id FROM tl) z),
 tk1 AS (SELECT *, {pos} AS pos FROM tk0),
 tokens AS (SELECT *, CASE WHEN tok_id = 0 THEN 'ROOT' WHEN pos = 'SCONJ' THEN 'mark' WHEN pos = 'CCONJ' THEN 'cc'
                          WHEN pos = 'DET' THEN 'det' WHEN pos = 'AUX' THEN (CASE WHEN tok_id % 5 = 0 THEN 'auxpass' ELSE 'aux' END)
                          ELSE 'dep' END AS dep,
-                  CASE WHEN tok_id = 0 THEN tok_id ELSE tok_id - 1 END AS head_id FROM tk1),
+                  CASE WHEN sent_id % 3 = 0 THEN tok_id // 2 WHEN sent_id % 3 = 1 THEN
+                    (CASE WHEN tok_id % 8 <> 0 THEN tok_id - 1 ELSE tok_id // 8 END) ELSE 0 END AS head_id FROM tk1),
 mk AS (SELECT article_id, sent_id, tok_id, pos,
               lead(pos) OVER (PARTITION BY article_id, sent_id ORDER BY tok_id) AS nxt,
               lag(pos) OVER (PARTITION BY article_id, sent_id ORDER BY tok_id) AS prv FROM tokens),

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from penmark.operators import clean, syntax
@@ -22,6 +24,37 @@ def test_dependency_depth_cases(spark):
     assert got == {1: 0.0, 2: 2.0, 3: 3.0, 4: 1.5}
 
 
+def test_dependency_depth_of_a_long_sentence(spark):
+    n = 5000
+    chain = spark.range(n).select(F.lit(1).alias("article_id"), F.lit(0).alias("sent_id"), F.col("id").alias("tok_id"),
+                                  F.lit("a").alias("text"), F.lit("NOUN").alias("pos"),
+                                  F.when(F.col("id") == 0, "ROOT").otherwise("dep").alias("dep"),
+                                  F.greatest(F.col("id") - 1, F.lit(0)).alias("head_id"))
+    tree = chain.withColumn("article_id", F.lit(2)).withColumn("head_id", F.floor(F.col("tok_id") / 2))
+    toks = chain.unionByName(tree)
+    sents = toks.select("article_id", "sent_id", F.lit("x.").alias("text")).distinct()
+    chunks = toks.select("article_id", "sent_id", F.col("tok_id").alias("chunk_id")).where("false")
+    got = {r.article_id: r.avg_dependency_depth for r in syntax.sentence_features(sents, toks, chunks).collect()}
+    assert got == {1: float(n), 2: 1.0 + (n - 1).bit_length()}
+
+
+def test_standin_reads_whole_sentences(spark):
+    docs = spark.createDataFrame([(1, " ".join(["word"] * 300) + ".")], "doc_id long, text string")
+    _, tokens, _, _ = syntax.annotate_standin(docs)
+    assert tokens.count() == 300
+
+
+def test_many_urls_without_an_end_are_linear(spark):
+    body = "see http://x.example/page\n" * 20_000
+    t0 = time.time()
+    assert one(spark, lambda d: clean.strip_html_urls("t"), body) == body
+    assert one(spark, lambda d: clean.capture_url("t", "a"), body) == ""
+    text = "a http://x.example/1.html\nb www.y.example/2\n3.html\n" + body
+    assert one(spark, lambda d: clean.strip_html_urls("t"), text) == "a b " + body
+    assert one(spark, lambda d: clean.capture_url("t", "a"), text) == "http://x.example/1.html"
+    assert time.time() - t0 < 30
+
+
 def test_entity_frequencies(spark):
     ents = spark.createDataFrame([(1, "e1", "PERSON"), (1, "e2", "PERSON"), (1, "e3", "ORG")],
                                  "article_id long, ent_id string, label string")
