@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penmark.operators.ranking import h60, hash_rank
+from penmark.operators.ranking import h60, hash_rank, value_rank
 
 
 @dataclass
@@ -34,6 +34,11 @@ def _clean(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit(None)).otherwise(v)
 
 
+def coerce_number(v: Column) -> Column:
+    """Text -> DOUBLE; unparseable text and NaN -> NULL."""
+    return _clean(v.try_cast("double"))
+
+
 def fit_vector_stats(df: DataFrame, vec_col: str) -> VectorStats:
     """M1 + M2 fit.  The imputer drops all-missing positions; the scaler's
     std is that of the imputed column (missing cells sit at the mean), with
@@ -96,11 +101,10 @@ def union_features(frames: list[DataFrame]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, col: str, out: str = "label") -> DataFrame:
-    """M3: class -> index in alphabetical order of the classes.  The class
-    list is one row per class (bounded by the number of classes)."""
-    classes = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
-    idx = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    return df.withColumn(out, F.element_at(idx, F.col(col)).cast("bigint"))
+    """M3: class -> index in alphabetical order of the classes.  The classes are
+    ranked as a distributed table and joined back, so their number is not bounded by the driver."""
+    classes = value_rank(df.select(col).where(F.col(col).isNotNull()).distinct(), [], col, out="__index")
+    return df.join(classes.withColumnRenamed("__index", out), col, "left")
 
 
 def hash_split(df: DataFrame, id_col: str, train_pct: int = 80, seed: int = 42, out: str = "split") -> DataFrame:

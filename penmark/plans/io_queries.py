@@ -45,10 +45,11 @@ def load_typed(spark, sf_dir):
 
 @query("numeric_coerce")
 def numeric_coerce(spark, sf_dir):
-    """Text -> DOUBLE, unparseable -> NULL."""
+    """Text -> DOUBLE, unparseable or not a number -> NULL."""
     d = tables.documents(spark, sf_dir)
-    s = F.when(F.col("doc_id") % 5 == 0, F.col("lang")).otherwise(F.col("n_chars").cast("string"))
-    return d.select("doc_id", s.alias("raw"), s.try_cast("double").alias("value"))
+    s = (F.when(F.col("doc_id") % 5 == 0, F.col("lang")).when(F.col("doc_id") % 7 == 0, "nan")
+         .when(F.col("doc_id") % 7 == 1, " NaN").otherwise(F.col("n_chars").cast("string")))
+    return d.select("doc_id", s.alias("raw"), prep.coerce_number(s).alias("value"))
 
 
 @query("filter_source")

@@ -64,8 +64,9 @@ def source_classifier(spark, sf_dir):
     f = cut_lineage(f.select("article_id", "label", "split", "x"))
     st = prep.fit_vector_stats(f.where(F.col("split") == "train"), "x")
     z = model.to_vector(prep.standardize(f, "x", st, "z"), "z")
-    m = model.train_logistic(z.where(F.col("split") == "train"), family="multinomial", reg=0.0, l1_ratio=0.0,
-                             max_iter=1000)
+    # ridge penalty of strength C = 1: regParam is per row
+    train = z.where(F.col("split") == "train")
+    m = model.train_logistic(train, family="multinomial", reg=1.0 / max(1, train.count()), l1_ratio=0.0, max_iter=1000)
     return model.predict(m, z.where(F.col("split") == "test")).select("article_id", "label", "prediction")
 
 
@@ -119,11 +120,11 @@ def source_report(spark, sf_dir):
 
 
 @query("score_articles")
-def score_articles(spark, sf_dir):
+def score_articles(spark, sf_dir, draws_per_text: int = 5):
     """M11 re-aimed: the pair model scores PAIRS, so every generated text
-    (assistant turns of a conversation, concatenated) is paired with five
-    seeded draws of target-source articles; its score is the mean
-    'same source' probability over its pairs."""
+    (assistant turns of a conversation, concatenated) is paired with
+    ``draws_per_text`` seeded draws of target-source articles; its score is the mean
+    'same source' probability over its pairs.  Only drawn articles are featurised."""
     z, st, names = prepared_pairs(spark, sf_dir)
     m = model.train_logistic(z.where(F.col("split") == "train"))
     conv = tables.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
@@ -131,18 +132,20 @@ def score_articles(spark, sf_dir):
     gen = files.concat_pages(conv, "conv_id", "turn", "text").withColumnRenamed("conv_id", "gen_id")
     art = tables.articles(spark, sf_dir).where(F.col("is_target"))
     gfeat = basic.basic_features(gen, keep=["gen_id"], mode="normalized")
-    afeat = basic.basic_features(art.select("article_id", "text"), keep=["article_id"], mode="normalized")
     gvec = gfeat.select(F.col("gen_id").alias("vid"), F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
-    avec = afeat.select(F.col("article_id").alias("vid"), F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
-    # five draws per generated text among the target articles (ranked by hash)
+    # draws of each generated text among the target articles (ranked by hash)
     ranked = pairs.ranked_members(art.select(F.lit("t").alias("g"), "article_id"), "g", "article_id", 42)
     n_t = ranked.select(F.count(F.lit(1))).scalar()
     from penmark.operators.ranking import h60
-    draws = gen.select("gen_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))) \
+    draws = gen.select("gen_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws_per_text - 1)))) \
         .withColumn("rank", F.pmod(h60(42, "score", F.col("gen_id"), F.col("k")), n_t))
     pr = draws.join(ranked.select("rank", "article_id"), "rank") \
         .select(F.concat_ws("/", F.col("gen_id").cast("string"), F.col("k").cast("string")).alias("pair_id"),
                 F.col("gen_id").alias("id1"), F.col("article_id").alias("id2"))
+    pr = cut_lineage(pr)
+    drawn = art.select("article_id", "text").join(pr.select(F.col("id2").alias("article_id")), "article_id", "left_semi")
+    afeat = basic.basic_features(drawn, keep=["article_id"], mode="normalized")
+    avec = afeat.select(F.col("article_id").alias("vid"), F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
     # generated and article ids live in different spaces: tag them
     vecs = gvec.select(F.concat(F.lit("g"), F.col("vid").cast("string")).alias("vid"), "v").unionByName(
         avec.select(F.concat(F.lit("a"), F.col("vid").cast("string")).alias("vid"), "v"))

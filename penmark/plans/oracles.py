@@ -404,13 +404,17 @@ from penmark.functions.lexicons import basic_feature_names  # noqa: E402
 
 _SOURCE_LAB = (f"{articles_cte()}, {same_pairs_cte('source', 's', 50)}, {diff_pairs_cte('s')}, {labelled_cte('s')}, "
                f"feats AS ({features_sql('articles', ['article_id'], 'text', 'normalized', ['lexical', 'function_words', 'readability', 'punctuation', 'structure'], round_doubles=False)})")
-_DIFF_SUM = " + ".join(f"abs(CAST(x.{c} AS DOUBLE) - CAST(y.{c} AS DOUBLE))" for c in basic_feature_names())
-ORACLES["pair_abs_diff"] = f"""WITH {_SOURCE_LAB}
-SELECT pair_id, id1, id2, label, {r6(_DIFF_SUM)} AS diff_sum, CAST(0 AS BIGINT) AS n_missing
-FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2"""
-ORACLES["missing_cells"] = f"""WITH {_SOURCE_LAB}
-SELECT CAST(0 AS BIGINT) AS n_missing, CAST(count(*) * {len(basic_feature_names())} AS BIGINT) AS n_cells, 0.0::DOUBLE AS share
-FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2"""
+_DIFFS = ", ".join(f'abs(CAST(x.{c} AS DOUBLE) - CAST(y.{c} AS DOUBLE)) AS "{i}"' for i, c in enumerate(basic_feature_names()))
+ORACLES["pair_abs_diff"] = f"""WITH {_SOURCE_LAB},
+wide AS (SELECT pair_id, id1, id2, label, {_DIFFS}
+         FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2)
+SELECT pair_id, id1, id2, label, CAST(pos0 AS BIGINT) AS pos, {r6('v0')} AS value
+FROM (UNPIVOT wide ON {', '.join(f'"{i}"' for i in range(len(basic_feature_names())))} INTO NAME pos0 VALUE v0) u"""
+ORACLES["missing_cells"] = f"""WITH {_SOURCE_LAB},
+cells AS (SELECT id1, id2, unnest(range({len(basic_feature_names())})) AS i FROM lab_s),
+n AS (SELECT CAST(count(*) FILTER (WHERE i = 3 OR (id1 + i) % 11 = 0 OR (id2 + i) % 11 = 0) AS BIGINT) AS n_missing,
+             count(*) AS n_cells FROM cells)
+SELECT n_missing, n_cells, {r6('n_missing / n_cells')} AS share FROM n"""
 
 
 # ---------------------------------------------------------------- preparation / evaluation
@@ -704,9 +708,10 @@ ORACLES["sink_roundtrip"] = (f"WITH {articles_cte()} SELECT source, title, CAST(
                              f"md5(text) AS text_md5 FROM articles")
 ORACLES["load_typed"] = (f"WITH {articles_cte()} SELECT article_id, source, is_target, "
                          f"CAST(try_strptime(pub_date_raw, '%m/%d/%Y') AS DATE) AS pub_date FROM articles")
-ORACLES["numeric_coerce"] = ("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lang ELSE CAST(n_chars AS VARCHAR) END AS raw, "
-                             "TRY_CAST(CASE WHEN doc_id % 5 = 0 THEN lang ELSE CAST(n_chars AS VARCHAR) END AS DOUBLE) AS value "
-                             "FROM documents")
+_RAW = ("CASE WHEN doc_id % 5 = 0 THEN lang WHEN doc_id % 7 = 0 THEN 'nan' WHEN doc_id % 7 = 1 THEN ' NaN' "
+        "ELSE CAST(n_chars AS VARCHAR) END")
+ORACLES["numeric_coerce"] = (f"SELECT doc_id, {_RAW} AS raw, CASE WHEN isnan(TRY_CAST({_RAW} AS DOUBLE)) THEN NULL "
+                             f"ELSE TRY_CAST({_RAW} AS DOUBLE) END AS value FROM documents")
 ORACLES["filter_source"] = f"WITH {articles_cte()} SELECT article_id, title FROM articles WHERE source = 'src0'"
 ORACLES["binary_label"] = f"WITH {articles_cte()} SELECT article_id, CASE WHEN is_target THEN 1 ELSE 0 END AS label FROM articles"
 ORACLES["concat_pages"] = ("SELECT conv_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM "
@@ -769,7 +774,10 @@ def _layout_sql(tag: str, steps) -> tuple[str, str]:
 
 
 _ca = [_layout_sql(t, s) for t, s in (("a", _LA), ("b", _LB), ("c", _LC))]
-ORACLES["clean_articles"] = (f"{_P}, " + ", ".join(c for c, _ in _ca) + " " + " UNION ALL ".join(s for _, s in _ca))
+_REJECTS = (f"SELECT doc_id, NULL, NULL, string_split(path, '/')[2], '0', string_split(path, '/')[3], NULL, NULL, NULL, NULL "
+            f"FROM pages WHERE ({_LAYOUT}) IS NULL")
+ORACLES["clean_articles"] = (f"{_P}, " + ", ".join(c for c, _ in _ca) + " "
+                             + " UNION ALL ".join([*(s for _, s in _ca), _REJECTS]))
 
 ORACLES["all_features"] = f"""WITH RECURSIVE {annotation_ctes()}, {_SENTF}, {_RATIOS},
 b AS ({features_sql(styled_src(), ['doc_id'], 'text', 'normalized', ['lexical', 'function_words', 'readability', 'punctuation', 'structure'])}),

@@ -13,6 +13,15 @@ SEED = 42
 SOURCE_DRAWS = 50      # reference: min(50, group size) draws per source
 AUTHOR_DRAWS = 3       # per-author budget replacing "all same-author pairs"
 
+HOLE_POS = 3    # sentence_count: missing in every row -> dropped by the imputer
+HOLE_MOD = 11   # and a scatter of missing cells
+
+
+def with_holes(id_col, vec):
+    """A test vector with missing cells: one position, and a scatter by id."""
+    return F.transform(vec, lambda x, i: F.when((i == HOLE_POS) | ((id_col + i) % HOLE_MOD == 0),
+                                                F.lit(None).cast("double")).otherwise(x))
+
 
 def _articles(spark, sf_dir):
     return tables.articles(spark, sf_dir)
@@ -78,27 +87,37 @@ def pair_cosine(spark, sf_dir):
     return rounded(ngrams.pair_cosine(art.select("article_id", "text"), p, "article_id", "text"))
 
 
-def source_pair_vectors(spark, sf_dir):
+def source_pair_table(spark, sf_dir):
+    """Articles and the labelled, shuffled source pairs."""
     art, same, diff = source_pair_sets(spark, sf_dir)
-    lab = cut_lineage(pairs.labelled_pairs(same.withColumnRenamed("source", "grp"), diff, "grp", SEED))
-    feats = basic.basic_features(art.select("article_id", "text"), keep=["article_id"], mode="normalized")
+    return art, cut_lineage(pairs.labelled_pairs(same.withColumnRenamed("source", "grp"), diff, "grp", SEED))
+
+
+def source_pair_vectors(spark, sf_dir, families=tuple(basic.FAMILY_ORDER), holes=None):
+    """|feature difference| vectors of the source pairs and the feature names.
+    Only articles of some pair are featurised (semi-join below the features), and
+    only the families asked for; ``holes`` maps (id column, vector) to a vector with missing cells."""
+    art, lab = source_pair_table(spark, sf_dir)
+    used = lab.select(F.explode(F.array("id1", "id2")).alias("article_id"))
+    texts = art.select("article_id", "text").join(used, "article_id", "left_semi")
+    feats = basic.extract(texts, keep=["article_id"], families=list(families), mode="normalized")
     names = [c for c in feats.columns if c != "article_id"]
-    vec = feats.select("article_id", F.array(*[F.col(c).cast("double") for c in names]).alias("features"))
-    return pairs.pair_abs_diff(lab, vec, "article_id", "features"), names
+    vec = F.array(*[F.col(c).cast("double") for c in names])
+    vec = holes(F.col("article_id"), vec) if holes else vec
+    return pairs.pair_abs_diff(lab, feats.select("article_id", vec.alias("features")), "article_id", "features"), names
 
 
 @query("pair_abs_diff")
 def pair_abs_diff(spark, sf_dir):
     """|feature difference| of each labelled source pair (88 basic
-    features), summarised per pair by its sum and missing cells."""
+    features), one row per pair and feature position."""
     d, _ = source_pair_vectors(spark, sf_dir)
-    s = F.aggregate("diff", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    return rounded(d.select("pair_id", "id1", "id2", "label", s.alias("diff_sum"),
-                            F.size(F.filter("diff", lambda v: v.isNull())).cast("bigint").alias("n_missing")))
+    return rounded(d.select("pair_id", "id1", "id2", "label", F.posexplode_outer("diff").alias("pos", "value"))
+                   .withColumn("pos", F.col("pos").cast("bigint")))
 
 
 @query("missing_cells")
 def missing_cells(spark, sf_dir):
-    """A7 over the pair vectors."""
-    d, _ = source_pair_vectors(spark, sf_dir)
+    """A7 over pair vectors with missing cells (the holes of ``impute_mean``)."""
+    d, _ = source_pair_vectors(spark, sf_dir, holes=with_holes)
     return rounded(pairs.missing_cells(d, "diff"))

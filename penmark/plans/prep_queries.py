@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penmark.operators import basic, evaluate, prep
-from penmark.plans.pair_queries import author_pair_table_df, source_pair_vectors
+from penmark.plans.pair_queries import author_pair_table_df, source_pair_table, source_pair_vectors, with_holes
 from penmark.plans.registry import query, rounded
 from penmark.session import cut_lineage
 from penmark.sources import tables
 
-HOLE_POS = 3    # sentence_count: missing in every row -> dropped by the imputer
-HOLE_MOD = 11   # and a scatter of missing cells
-
 
 def holed_vectors(spark, sf_dir):
     art = tables.articles(spark, sf_dir)
     feats = basic.basic_features(art.select("article_id", "text"), keep=["article_id"], mode="normalized")
     names = [c for c in feats.columns if c != "article_id"]
     vec = F.array(*[F.col(c).cast("double") for c in names])
-    holed = F.transform(vec, lambda x, i: F.when((i == HOLE_POS) | ((F.col("article_id") + i) % HOLE_MOD == 0),
-                                                 F.lit(None).cast("double")).otherwise(x))
-    return feats.select("article_id", holed.alias("features"))
+    return feats.select("article_id", with_holes(F.col("article_id"), vec).alias("features"))
 
 
 def _long(df, id_col, vec):
@@ -70,13 +65,14 @@ def split_data(spark, sf_dir):
 @query("stratified_split")
 def stratified_split(spark, sf_dir):
     """M6: 70/15/15 split of the source pairs, stratified by label."""
-    d, _ = source_pair_vectors(spark, sf_dir)
+    _, d = source_pair_table(spark, sf_dir)
     return prep.stratified_split(d.select("pair_id", "label"), "pair_id", "label", 0.3, 0.5, 42)
 
 
 def scored_pairs(spark, sf_dir):
-    """M11 with given weights: p = sigmoid(b + w . |diff|) on three features."""
-    d, names = source_pair_vectors(spark, sf_dir)
+    """M11 with given weights: p = sigmoid(b + w . |diff|) on three features,
+    all of the lexical family."""
+    d, names = source_pair_vectors(spark, sf_dir, families=("lexical",))
     pos = {n: i + 1 for i, n in enumerate(names)}
     z = (F.lit(1.0) - F.lit(2.0) * F.element_at("diff", pos["avg_word_length"])
          - F.lit(5.0) * F.element_at("diff", pos["lexical_diversity"])
