@@ -366,13 +366,18 @@ def layout_of(path) -> Column:
     return F.when(src == TARGET_SOURCE, F.lit("a")).otherwise(F.element_at(by_genre, genre))
 
 
+def clean_all(df, path: str = "path", text: str = "page_text", title: str = "title"):
+    """C13 + P10 in one pass over all rows: dispatch by path and clean.  A row of
+    an unknown layout stays as a reject: ``layout`` and all cleaned columns are NULL."""
+    x = clean_pages(df.withColumn("layout", layout_of(path)), "layout", text, title)
+    known = F.col("layout").isNotNull()
+    cleaned = {c: F.when(known, F.col(c)) for c in ("author", "pub_date", "clean_title", "clean_text", "url")}
+    return x.withColumns(cleaned).select(
+        "*", T.path_part(path, 1).alias("source"), T.path_part(path, 2).alias("genre"),
+        F.when(T.path_part(path, 1) == TARGET_SOURCE, F.lit("1")).otherwise(F.lit("0")).alias("is_target"))
+
+
 def clean_articles(df, path: str = "path", text: str = "page_text", title: str = "title"):
-    """C13 + P10: dispatch by path and clean every row in one pass; rows of an
-    unknown layout are returned separately (kept, not dropped silently)."""
-    x = df.withColumn("layout", layout_of(path))
-    known = clean_pages(x.where(F.col("layout").isNotNull()), "layout", text, title)
-    meta = known.select("*", T.path_part(path, 1).alias("source"), T.path_part(path, 2).alias("genre"),
-                        F.when(T.path_part(path, 1) == TARGET_SOURCE, F.lit("1")).otherwise(F.lit("0"))
-                        .alias("is_target"))
-    rejects = x.where(F.col("layout").isNull())
-    return meta, rejects
+    """C13 + P10 as two frames: cleaned rows, and the rejects."""
+    x = clean_all(df, path, text, title)
+    return x.where(F.col("layout").isNotNull()), x.where(F.col("layout").isNull())

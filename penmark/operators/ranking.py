@@ -69,22 +69,49 @@ def value_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank",
              .drop("__pid", "__mid", "__m0", "__off"))
 
 
+def value_ranges(df: DataFrame, keys: list[str], value: str, num_partitions: int | None = None) -> DataFrame:
+    """Distinct ``(keys, value)`` with ``first`` and ``n``: the value's rows take the
+    0-based ranks ``first .. first + n - 1`` within ``keys``.  Equal values are
+    counted before anything is sorted (map-side combine), so a value that most rows
+    share is one row here; the distinct values are range partitioned and numbered by
+    running counts, and a small table of per-partition totals makes them global."""
+    from penmark.session import cut_lineage
+    spark = df.sparkSession
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              spark.sparkContext.defaultParallelism)
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    # range bounds come from sampling: frozen, so that a recomputation can't differ
+    x = cut_lineage(counted.repartitionByRange(n, *keys, value).withColumn("__pid", F.spark_partition_id()))
+    run_w = Window.partitionBy("__pid", *keys).orderBy(value)
+    x = x.withColumn("__before", F.sum("n").over(run_w) - F.col("n"))
+    totals = x.groupBy("__pid", *keys).agg(F.sum("n").alias("__c"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("__pid")
+    offsets = totals.withColumn("__off", F.sum("__c").over(w) - F.col("__c")).drop("__c")
+    return (x.join(offsets, ["__pid", *keys])
+             .withColumn("first", (F.col("__off") + F.col("__before")).cast("bigint"))
+             .drop("__pid", "__before", "__off"))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles (= ``percentile`` /
-    ``quantile_cont``) per group, skew-safe: only the two rows around each
-    requested rank are fetched.  Returns keys + ``q0, q1, ...``."""
+    ``quantile_cont``) per group, safe for hot groups and hot values: only the
+    distinct values around each requested rank are fetched.  Returns keys +
+    ``q0, q1, ...``."""
+    if not keys:
+        return exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs).drop("__all")
     v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    r = value_rank(v, keys, "__v", out="__r")
-    sizes = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    from penmark.session import cut_lineage
+    r = cut_lineage(value_ranges(v, keys, "__v"))      # read twice below
+    sizes = r.groupBy(*keys).agg(F.sum("n").alias("__n"))
     targets = sizes.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), (F.lit(p) * (F.col("__n") - 1)).alias("h")) for i, p in enumerate(probs)
     ])).alias("t")).select(*keys, "t.qi", "t.h")
-    targets = targets.select(*keys, "qi", "h", F.floor("h").alias("lo"), F.ceil("h").alias("hi"))
-    want = targets.select(*keys, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("__r")).distinct()
-    picked = r.join(want, [*keys, "__r"]).select(*keys, "__r", "__v")
-    lo = picked.select(*keys, F.col("__r").alias("lo"), F.col("__v").alias("v_lo"))
-    hi = picked.select(*keys, F.col("__r").alias("hi"), F.col("__v").alias("v_hi"))
-    q = targets.join(lo, [*keys, "lo"]).join(hi, [*keys, "hi"])
-    val = F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))
+    ends = targets.select(*keys, "qi", "h", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("__r"))
+    # each rank lies in the range of exactly one distinct value
+    on = [r[k].eqNullSafe(ends[k]) for k in keys]
+    hit = (F.col("__r") >= F.col("first")) & (F.col("__r") < F.col("first") + F.col("n"))
+    found = ends.join(r, [*on, hit]).select(*[ends[k] for k in keys], "qi", "h", "__r", "__v")
+    q = found.groupBy(*keys, "qi", "h").agg(F.min_by("__v", "__r").alias("v_lo"), F.max_by("__v", "__r").alias("v_hi"))
+    val = F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))
     wide = q.groupBy(*keys).pivot("qi", list(range(len(probs)))).agg(F.first(val))
     return wide.select(*keys, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])

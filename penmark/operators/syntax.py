@@ -30,6 +30,10 @@ from penmark.functions.lexicons import FUNCTION_WORDS, SYNTAX_FEATURES
 # --- FIXED VALUES: stand-in tagging rule word lists (FIXTURES section 3) ---
 STANDIN_CCONJ = ["and", "but", "or", "nor", "so", "yet"]
 STANDIN_SCONJ = ["because", "although", "since", "unless"]
+# the stand-in's whole tag inventory, as any annotator publishes its own
+STANDIN_POS = ["ADP", "AUX", "CCONJ", "DET", "NOUN", "NUM", "PRON", "PROPN", "SCONJ"]
+STANDIN_DEP = ["ROOT", "aux", "auxpass", "cc", "dep", "det", "mark"]
+STANDIN_ENT = ["ORG", "PERSON"]
 
 
 def annotate_standin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", materialize=None):

@@ -104,13 +104,9 @@ def dispatch_clean(spark, sf_dir):
 def clean_articles(spark, sf_dir):
     """C13 + P10: whole cleaning per layout; rows of an unknown layout are kept as
     rejects, with their path parts and nothing cleaned."""
-    p = _pages(spark, sf_dir)
-    out, rejects = clean.clean_articles(p, "path", "page_text", "title")
-    out = out.select("doc_id", "layout", "author", "source", "is_target", "genre", "pub_date",
-                     F.col("clean_title").alias("title"), _md5("clean_text").alias("text_md5"), "url")
-    rejects = rejects.select("doc_id", "layout", T.path_part("path", 1).alias("source"), F.lit("0").alias("is_target"),
-                             T.path_part("path", 2).alias("genre"))
-    return out.unionByName(rejects, allowMissingColumns=True)
+    out = clean.clean_all(_pages(spark, sf_dir), "path", "page_text", "title")
+    return out.select("doc_id", "layout", "author", "source", "is_target", "genre", "pub_date",
+                      F.col("clean_title").alias("title"), _md5("clean_text").alias("text_md5"), "url")
 
 
 @query("date_coerce")

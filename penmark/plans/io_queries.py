@@ -106,14 +106,12 @@ def feature_registry(spark, sf_dir):
 
 @query("union_features")
 def union_features(spark, sf_dir):
-    """Wide tag frequencies of two batches with different tag sets,
-    unioned by name (a tag absent from a batch is NULL)."""
+    """Wide tag frequencies of two batches with different tag sets (the
+    second annotator knows no SCONJ), unioned by name: the missing tag is NULL there."""
     from penmark.plans.syntax_queries import annotated
     _, _, tokens, _, _ = annotated(spark, sf_dir)
     frames = []
-    for parity in (0, 1):
-        t = tokens.where(F.col("article_id") % 2 == parity)
-        long = syntax.tag_frequencies(t, "pos")
-        tags = sorted(r[0] for r in long.select("tag").distinct().collect())  # a tagger's tag set
+    for parity, tags in enumerate((syntax.STANDIN_POS, syntax.STANDIN_POS[:-1])):
+        long = syntax.tag_frequencies(tokens.where(F.col("article_id") % 2 == parity), "pos")
         frames.append(syntax.wide_tags(long, "pos_", "_freq", tags))
     return rounded(prep.union_features(frames))

@@ -815,3 +815,27 @@ sc AS (SELECT f, m, CASE WHEN sqrt(coalesce(var, 0) * nn / n) > 10 * 2.220446049
 SELECT article_id, CAST(count(*) AS BIGINT) AS n_features,
        {r6('sum(((coalesce(v, m) - m) / s) * ((coalesce(v, m) - m) / s))')} AS sq_norm
 FROM lng JOIN sc USING (f) GROUP BY article_id"""
+
+
+# ---------------------------------------------------------------- Y12 and U1: wide tag frequencies
+
+def _tag_columns(col: str, tags: list[str], prefix: str, suffix: str) -> str:
+    n = "count(*) FILTER (WHERE {} = {})"
+    return ", ".join(f"{r6(f'CASE WHEN {n.format(col, q(t))} > 0 THEN {n.format(col, q(t))} / count(*) END')} AS {prefix}{t}{suffix}"
+                     for t in tags)
+
+
+from penmark.operators.syntax import STANDIN_DEP, STANDIN_ENT, STANDIN_POS  # noqa: E402
+
+ORACLES["article_tags"] = f"""{_REC},
+tw AS (SELECT article_id, {_tag_columns('pos', STANDIN_POS, 'pos_freq_', '')}, {_tag_columns('dep', STANDIN_DEP, 'dep_freq_', '')}
+       FROM tokens GROUP BY article_id),
+ew AS (SELECT article_id, {_tag_columns('label', STANDIN_ENT, 'ent_freq_', '')} FROM ents GROUP BY article_id)
+SELECT doc_id AS article_id, tw.* EXCLUDE (article_id), ew.* EXCLUDE (article_id),
+       {r6('coalesce(avg_sentence_complexity, 0.0)')} AS avg_sentence_complexity
+FROM docs LEFT JOIN tw ON tw.article_id = doc_id LEFT JOIN ew ON ew.article_id = doc_id
+     LEFT JOIN sentf ON sentf.article_id = doc_id"""
+ORACLES["union_features"] = f"""WITH {annotation_ctes()}
+SELECT article_id, {_tag_columns('pos', STANDIN_POS, 'pos_', '_freq')} FROM tokens WHERE article_id % 2 = 0 GROUP BY article_id
+UNION ALL BY NAME
+SELECT article_id, {_tag_columns('pos', STANDIN_POS[:-1], 'pos_', '_freq')} FROM tokens WHERE article_id % 2 = 1 GROUP BY article_id"""

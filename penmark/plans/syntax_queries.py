@@ -83,27 +83,31 @@ def syntax_features(spark, sf_dir):
     return rounded(syntax.syntax_features(docs.withColumnRenamed("doc_id", "article_id"), sents, tokens, chunks))
 
 
+def _article_tags(docs, sents, tokens, ents, chunks):
+    pos = syntax.wide_tags(syntax.tag_frequencies(tokens, "pos"), "pos_freq_", "", syntax.STANDIN_POS)
+    dep = syntax.wide_tags(syntax.tag_frequencies(tokens, "dep"), "dep_freq_", "", syntax.STANDIN_DEP)
+    ent = syntax.wide_tags(syntax.entity_frequencies(ents), "ent_freq_", "", syntax.STANDIN_ENT)
+    cx = syntax.sentence_features(sents, tokens, chunks).select("article_id", "avg_sentence_complexity")
+    out = docs.select(F.col("doc_id").alias("article_id"))
+    for part in (pos, dep, ent, cx):
+        out = out.join(part, "article_id", "left")
+    return out.withColumn("avg_sentence_complexity", F.coalesce("avg_sentence_complexity", F.lit(0.0)))
+
+
+@query("article_tags")
+def article_tags(spark, sf_dir):
+    """The tag half of Y12: a column per tag of the annotator, and noun-chunk complexity."""
+    return rounded(_article_tags(*annotated(spark, sf_dir)))
+
+
 @query("process_articles")
 def process_articles(spark, sf_dir):
-    """Five lexical features (F1b) and the stylistic tag frequencies and
-    noun-chunk complexity, one wide row per article; tags from the data."""
-    docs, sents, tokens, ents, chunks = annotated(spark, sf_dir)
-    lex = basic.extract(docs, keep=["doc_id"], families=["lexical"], mode="raw") \
+    """Five lexical features (F1b) and the tags of ``article_tags``, one
+    wide row per article."""
+    parts = annotated(spark, sf_dir)
+    lex = basic.extract(parts[0], keep=["doc_id"], families=["lexical"], mode="raw") \
         .withColumnRenamed("doc_id", "article_id").drop("unique_word_ratio")
-    pos = syntax.tag_frequencies(tokens, "pos")
-    dep = syntax.tag_frequencies(tokens, "dep")
-    ent = syntax.entity_frequencies(ents)
-    # the tag sets are vocabularies of the annotator: a handful of rows
-    pos_tags = sorted(r[0] for r in pos.select("tag").distinct().collect())
-    dep_tags = sorted(r[0] for r in dep.select("tag").distinct().collect())
-    ent_tags = sorted(r[0] for r in ent.select("tag").distinct().collect())
-    cx = syntax.sentence_features(sents, tokens, chunks).select("article_id", "avg_sentence_complexity")
-    out = (lex.join(syntax.wide_tags(pos, "pos_freq_", "", pos_tags), "article_id", "left")
-           .join(syntax.wide_tags(dep, "dep_freq_", "", dep_tags), "article_id", "left")
-           .join(syntax.wide_tags(ent, "ent_freq_", "", ent_tags), "article_id", "left")
-           .join(cx, "article_id", "left")
-           .withColumn("avg_sentence_complexity", F.coalesce("avg_sentence_complexity", F.lit(0.0))))
-    return rounded(out)
+    return rounded(lex.join(_article_tags(*parts), "article_id", "left"))
 
 
 @query("advanced_features")
@@ -116,9 +120,7 @@ def advanced_features(spark, sf_dir):
     from penmark.operators import ngrams, prep
     docs, sents, tokens, _, chunks = annotated(spark, sf_dir)
     syn = syntax.syntax_features(docs.withColumnRenamed("doc_id", "article_id"), sents, tokens, chunks)
-    pos = syntax.tag_frequencies(tokens, "pos")
-    tags = sorted(r[0] for r in pos.select("tag").distinct().collect())   # the annotator's tag set
-    wide = syntax.wide_tags(pos, "pos_", "_freq", tags)
+    wide = syntax.wide_tags(syntax.tag_frequencies(tokens, "pos"), "pos_", "_freq", syntax.STANDIN_POS)
     norm = docs.select(F.col("doc_id").alias("article_id"), basic.T.normalize_text("text").alias("text"))
     model = ngrams.fit(norm, "text", 500)
     tf = model.transform(norm, "text").select("article_id", "tfidf")

@@ -13,6 +13,8 @@ from penmark.session import apply_runtime_conf
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+INPUT_PARTITIONS = "spark.penmark.inputPartitions"
+
 # --- FIXED VALUES: text prefix that adds a URL, an apostrophe and a contraction ---
 STYLE_PREFIX = "See http://x.example/a?b=1 don't cannot "
 
@@ -23,18 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, key: str | None = None, per_core: int = 8) -> DataFrame:
-    """Hash-repartition by ``key`` only when the scan yields fewer tasks than
-    the cluster has cores.
-
-    Text features are CPU-bound; a file with one row group is one task.  On a
-    large input the scan already has far more splits than cores, so nothing
-    is shuffled there; only a small input pays a (small) shuffle.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by ``key`` over as many partitions as the session's
+    ``spark.penmark.inputPartitions`` says; without that setting the scan's own splits stay.
+    For test files of one row group, which would otherwise be one task."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

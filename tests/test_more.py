@@ -42,8 +42,11 @@ def test_mean_fill(spark):
     assert g.x == 2.0
 
 
-def test_spread_only_when_needed(spark):
-    small = spark.range(10).coalesce(1)
-    assert tables.spread(small, "id").rdd.getNumPartitions() > 1
-    wide = spark.range(1000).repartition(64)
-    assert tables.spread(wide, "id").rdd.getNumPartitions() == 64
+def test_spread_only_on_request(spark):
+    small = spark.range(100).coalesce(1)
+    assert tables.spread(small, "id").rdd.getNumPartitions() == 1
+    spark.conf.set(tables.INPUT_PARTITIONS, "6")
+    try:
+        assert tables.spread(small, "id").rdd.getNumPartitions() == 6
+    finally:
+        spark.conf.unset(tables.INPUT_PARTITIONS)
