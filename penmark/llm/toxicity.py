@@ -77,6 +77,13 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return {r.term: r.z for r in best.collect()}
 
 
+def lead(raw: bytes, at: int) -> int:
+    """Start of the look-alike characters right before a position."""
+    while at and raw[at - 1] in b"013457@$!":
+        at -= 1
+    return at
+
+
 class Featurizer:
     """Dense features of a text under a lexicon."""
 
@@ -112,7 +119,7 @@ class Featurizer:
         if len(at):     # most hits within a stretch of words that begins at a hit
             stretch = int((np.searchsorted(at, at + STRETCH) - np.arange(len(at))).max())
         without = lambda chars: len(raw) - len(raw.translate(None, chars))
-        hidden = HIDDEN.findall(raw)
+        hidden = [raw[lead(raw, m.start()):m.end()] for m in HIDDEN.finditer(raw)]
         found = sum(self.weight(b"".join(words_of(h.translate(LOOKALIKE, b"*#").decode()))) > 0 for h in hidden)
         size = len(raw)
         return [math.log1p(n), float(len(at)), len(at) / n, float(weight.sum()) / n, float(weight.max()),

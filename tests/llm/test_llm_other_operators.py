@@ -52,7 +52,7 @@ def test_toxicity_edges(spark):
 def test_features():
     f = toxicity.Featurizer({"idiot": 5.0, "scum*": 4.0})
     x = dict(zip(toxicity.FEATURES, f("You are an IDIOT, scumbag! 1d10t st*pid")))
-    assert x["hits"] == 2 and x["near_second_person"] == 2 and x["strongest"] == 5 and x["hidden"] >= 1 and x["capitals"] > 0
+    assert x["hits"] == 2 and x["near_second_person"] == 2 and x["strongest"] == 5 and x["hidden"] > 0 and x["hidden_hits"] == 1 and x["capitals"] > 0
     assert f(None) == f("") == [0.0] * len(toxicity.FEATURES)
 
 
