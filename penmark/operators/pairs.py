@@ -1,12 +1,13 @@
 """Article pairs (A-series, J3-J6).
 
 No pair set is ever enumerated: every pair is a *draw*.  A draw picks ranks
-with a seeded md5 hash and finds the members through equi-joins on
+(with a seeded md5 hash, or by a permuted ordinal) and finds the members through equi-joins on
 ``(group, rank)``; ranks come from ``ranking.hash_rank``, which is exact and
 skew-safe.  The number of rows produced is the number of draws asked for.
 
-* same-group pairs (A1 with a per-group budget, A4 with 50): for each group
-  of m >= 2 members, ``min(k, m)`` draws of two distinct members.
+* same-group pairs of the whole table (A1): n different pairs.
+* same-group pairs per group (A4): for each group of m >= 2 members,
+  ``min(50, m)`` draws of two distinct members.
 * cross-group pairs (A2, A5): n draws of two distinct groups, uniform, and one
   member of each, uniform.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penmark.operators.ranking import h60, hash_rank
+from penmark.operators.ranking import h60, hash_rank, running_offsets
 
 
 def ranked_members(df: DataFrame, group: str, id_col: str, seed: int) -> DataFrame:
@@ -36,7 +37,7 @@ def _two_distinct(h1: Column, h2: Column, m: Column) -> tuple[Column, Column]:
 
 def same_group_pairs(df: DataFrame, group: str, id_col: str, draws_per_group: int = 50,
                      seed: int = 42) -> DataFrame:
-    """A4 (and A1 with a budget): ``(group, draw, id1, id2)``; each draw is a
+    """A4: ``(group, draw, id1, id2)``; each draw is a
     uniform 2-subset of its group (ordered as drawn); draws may repeat."""
     mem = ranked_members(df, group, id_col, seed)
     sizes = mem.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= 2)
@@ -50,6 +51,49 @@ def same_group_pairs(df: DataFrame, group: str, id_col: str, draws_per_group: in
     return draws.join(a, [group, "r1"]).join(b, [group, "r2"]).select(group, "draw", "id1", "id2")
 
 
+# --- FIXED VALUES: two primes; one of them is coprime to any number of pairs below their product ---
+STEP_PRIMES = (2147483647, 2147483629)
+ORDINAL_BUCKETS = 4096
+
+
+def distinct_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """A1: ``(group, draw, id1, id2)`` for ``min(n, total)`` *different*
+    same-group pairs, every pair of the whole table equally likely.
+
+    The pair space is numbered but never listed: a group of m members owns
+    m(m-1)/2 consecutive ordinals, starting at a running sum over the group
+    table.  Draw d takes ordinal (d * prime + shift) mod total, a permutation
+    of all ordinals; the ordinal names its group and two ranks, and equi-joins
+    find the members.  Ordinals meet their groups by equal slices of the range."""
+    mem = ranked_members(df, group, id_col, seed)
+    sizes = mem.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= 2) \
+               .withColumn("__pairs", F.expr("m * (m - 1) div 2"))
+    from penmark.session import cut_lineage
+    space = cut_lineage(running_offsets(sizes, "__pairs", h60(seed, "space", F.col(group)), F.col(group), "__first"))
+    total = space.agg(F.sum("__pairs").alias("n")).first().n or 0
+    if not total:
+        return mem.select(group, F.lit(0).cast("bigint").alias("draw"), F.col(id_col).alias("id1"),
+                          F.col(id_col).alias("id2")).where(F.lit(False))
+    prime = next(p for p in STEP_PRIMES if total % p)
+    width = -(-total // ORDINAL_BUCKETS)
+    draws = df.sparkSession.range(min(n, total)).select(
+        F.col("id").alias("draw"), ((F.col("id") * prime + seed) % total).alias("__o"))
+    draws = draws.withColumn("__slice", F.expr(f"__o div {width}"))
+    slices = space.withColumn("__slice", F.explode(F.sequence(
+        F.expr(f"__first div {width}"), F.expr(f"(__first + __pairs - 1) div {width}"))))
+    own = draws.join(slices, "__slice").where((F.col("__o") >= F.col("__first")) & (F.col("__o") < F.col("__first") + F.col("__pairs")))
+    o = F.col("__o") - F.col("__first")
+    # ordinal o is the pair (i, j), i < j, with o = j(j-1)/2 + i; the root is set right by one step
+    j = F.floor((F.sqrt(o * 8.0 + 1.0) + 1.0) / 2.0).cast("bigint")
+    own = own.select(group, "draw", o.alias("__l"), j.alias("__j"))
+    fix = (F.when(F.expr("__j * (__j - 1) div 2") > F.col("__l"), F.col("__j") - 1)
+           .when(F.expr("__j * (__j + 1) div 2") <= F.col("__l"), F.col("__j") + 1).otherwise(F.col("__j")))
+    own = own.withColumn("__j", fix).withColumn("__i", F.col("__l") - F.expr("__j * (__j - 1) div 2"))
+    a = mem.select(F.col(group), F.col("rank").alias("__i"), F.col(id_col).alias("id1"))
+    b = mem.select(F.col(group), F.col("rank").alias("__j"), F.col(id_col).alias("id2"))
+    return own.join(a, [group, "__i"]).join(b, [group, "__j"]).select(group, "draw", "id1", "id2")
+
+
 def cross_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """A2/A5: ``(draw, group1, group2, id1, id2)`` for ``n`` draws; empty when
     there are fewer than two groups."""

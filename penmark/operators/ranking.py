@@ -45,6 +45,20 @@ def hash_rank(df: DataFrame, keys: list[str], h: Column, tie: Column, out: str =
                  .drop("__h", "__tie", "__b", "__lr", "__off")
 
 
+def running_offsets(df: DataFrame, weight: str, h: Column, tie: Column, out: str = "offset",
+                    bucket_bits: int = 10) -> DataFrame:
+    """Append ``out`` = sum of ``weight`` over all rows before a row in the order
+    ``(h, tie)``; buckets are summed on their own, as in ``hash_rank``."""
+    x = df.select("*", h.alias("__h"), tie.alias("__tie")).withColumn("__b", F.shiftright(F.col("__h"), H_BITS - bucket_bits))
+    local = F.sum(weight).over(Window.partitionBy("__b").orderBy("__h", "__tie")) - F.col(weight)
+    x = x.withColumn("__local", local)
+    # at most 2**bucket_bits rows
+    sums = x.groupBy("__b").agg(F.sum(weight).alias("__c"))
+    sums = sums.withColumn("__off", F.sum("__c").over(Window.partitionBy().orderBy("__b")) - F.col("__c")).drop("__c")
+    return x.join(sums, "__b").withColumn(out, (F.col("__off") + F.col("__local")).cast("bigint")) \
+            .drop("__h", "__tie", "__b", "__local", "__off")
+
+
 def value_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank",
                num_partitions: int | None = None) -> DataFrame:
     """Append ``out`` = 0-based rank of each row within ``keys`` ordered by

@@ -352,6 +352,21 @@ same_{tag} AS (SELECT d.grp, d.draw, a.article_id AS id1, b.article_id AS id2
   JOIN mem_{tag} a ON a.grp = d.grp AND a.rank = d.r1 JOIN mem_{tag} b ON b.grp = d.grp AND b.rank = d.r2)"""
 
 
+def distinct_pairs_cte(g: str, tag: str, n: int) -> str:
+    return f"""{members_cte(g, tag)},
+sz_{tag} AS (SELECT grp, count(*) AS m FROM mem_{tag} GROUP BY grp HAVING count(*) >= 2),
+sp_{tag} AS (SELECT grp, m * (m - 1) // 2 AS pairs,
+                    sum(m * (m - 1) // 2) OVER (ORDER BY {H('42', q('space'), 'grp')}, grp) - m * (m - 1) // 2 AS first FROM sz_{tag}),
+tt_{tag} AS (SELECT CAST(coalesce(sum(pairs), 0) AS BIGINT) AS total FROM sp_{tag}),
+dr_{tag} AS (SELECT d AS draw, (d * (CASE WHEN total % 2147483647 <> 0 THEN 2147483647 ELSE 2147483629 END) + 42) % total AS o
+             FROM tt_{tag}, range(0, {n}) t(d) WHERE d < total),
+dl_{tag} AS (SELECT grp, draw, CAST(o - first AS BIGINT) AS l FROM dr_{tag} JOIN sp_{tag} ON o >= first AND o < first + pairs),
+dj_{tag} AS (SELECT grp, draw, l, b.rank AS j, b.article_id AS id2 FROM dl_{tag} JOIN mem_{tag} b USING (grp)
+             WHERE b.rank * (b.rank - 1) // 2 <= l AND b.rank * (b.rank + 1) // 2 > l),
+same_{tag} AS (SELECT d.grp, d.draw, a.article_id AS id1, d.id2
+  FROM dj_{tag} d JOIN mem_{tag} a ON a.grp = d.grp AND a.rank = d.l - d.j * (d.j - 1) // 2)"""
+
+
 def diff_pairs_cte(tag: str) -> str:
     return f"""gs_{tag} AS (SELECT grp, count(*) AS m FROM mem_{tag} GROUP BY grp),
 gr_{tag} AS (SELECT grp, m, row_number() OVER (ORDER BY {H('42', q('g'), 'grp')}, grp) - 1 AS grank FROM gs_{tag}),
@@ -378,11 +393,11 @@ ORACLES["same_source_pairs"] = (f"WITH {articles_cte()}, {same_pairs_cte('source
                                 f"SELECT grp AS source, draw, id1, id2 FROM same_s")
 ORACLES["diff_source_pairs"] = (f"WITH {articles_cte()}, {same_pairs_cte('source', 's', 50)}, {diff_pairs_cte('s')} "
                                 f"SELECT * FROM diff_s")
-ORACLES["author_pairs_sampled"] = (f"WITH {articles_cte()}, {same_pairs_cte('author', 'a', 3)} "
+ORACLES["author_pairs_sampled"] = (f"WITH {articles_cte()}, {distinct_pairs_cte('author', 'a', 200)} "
                                    f"SELECT grp AS author, draw, id1, id2 FROM same_a")
-ORACLES["diff_author_pairs"] = (f"WITH {articles_cte()}, {same_pairs_cte('author', 'a', 3)}, {diff_pairs_cte('a')} "
+ORACLES["diff_author_pairs"] = (f"WITH {articles_cte()}, {distinct_pairs_cte('author', 'a', 200)}, {diff_pairs_cte('a')} "
                                 f"SELECT * FROM diff_a")
-_AUTHOR_LAB = f"{articles_cte()}, {same_pairs_cte('author', 'a', 3)}, {diff_pairs_cte('a')}, {labelled_cte('a')}"
+_AUTHOR_LAB = f"{articles_cte()}, {distinct_pairs_cte('author', 'a', 200)}, {diff_pairs_cte('a')}, {labelled_cte('a')}"
 ORACLES["author_pair_table"] = f"""WITH {_AUTHOR_LAB}
 SELECT pair_id, id1 AS article1_idx, id2 AS article2_idx, label AS same_author,
        x.title AS article1_title, y.title AS article2_title, x.author AS article1_author, y.author AS article2_author

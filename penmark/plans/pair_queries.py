@@ -11,7 +11,7 @@ from penmark.sources import tables
 
 SEED = 42
 SOURCE_DRAWS = 50      # reference: min(50, group size) draws per source
-AUTHOR_DRAWS = 3       # per-author budget replacing "all same-author pairs"
+N_SAME_AUTHOR_PAIRS = 200   # the reference's argument of that name; its caller draws as many different-author pairs
 
 HOLE_POS = 3    # sentence_count: missing in every row -> dropped by the imputer
 HOLE_MOD = 11   # and a scatter of missing cells
@@ -49,22 +49,22 @@ def diff_source_pairs(spark, sf_dir):
 
 
 @query("author_pairs_sampled")
-def author_pairs_sampled(spark, sf_dir):
-    """A1: same-author pairs, a budget of draws per author."""
-    return pairs.same_group_pairs(_articles(spark, sf_dir), "author", "article_id", AUTHOR_DRAWS, SEED)
+def author_pairs_sampled(spark, sf_dir, n=N_SAME_AUTHOR_PAIRS):
+    """A1: n different same-author pairs (all of them, if there are fewer)."""
+    return pairs.distinct_group_pairs(_articles(spark, sf_dir), "author", "article_id", n, SEED)
 
 
 @query("diff_author_pairs")
-def diff_author_pairs(spark, sf_dir):
+def diff_author_pairs(spark, sf_dir, n=N_SAME_AUTHOR_PAIRS):
     """A2: different-author pairs, as many as same-author pairs."""
     art = _articles(spark, sf_dir)
-    n = pairs.same_group_pairs(art, "author", "article_id", AUTHOR_DRAWS, SEED).count()
+    n = pairs.distinct_group_pairs(art, "author", "article_id", n, SEED).count()
     return pairs.cross_group_pairs(art, "author", "article_id", n, SEED)
 
 
-def author_pair_table_df(spark, sf_dir):
+def author_pair_table_df(spark, sf_dir, n=N_SAME_AUTHOR_PAIRS):
     art = _articles(spark, sf_dir)
-    same = cut_lineage(pairs.same_group_pairs(art, "author", "article_id", AUTHOR_DRAWS, SEED))
+    same = cut_lineage(pairs.distinct_group_pairs(art, "author", "article_id", n, SEED))
     diff = pairs.cross_group_pairs(art, "author", "article_id", same.count(), SEED)
     return art, cut_lineage(pairs.labelled_pairs(same, diff, "author", SEED))
 

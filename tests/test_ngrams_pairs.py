@@ -63,3 +63,26 @@ def test_exact_quantiles_skewed(spark):
     assert set(got) == set(want)
     for g in want:
         assert got[g] == pytest.approx(want[g], abs=1e-9)
+
+
+def test_distinct_group_pairs(spark):
+    art = spark.range(60).select(F.col("id").alias("article_id"), F.when(F.col("id") < 30, F.lit("hot")).otherwise(
+        (F.col("id") % 11).cast("string")).alias("author"))
+    members = {r.article_id: r.author for r in art.collect()}
+    sizes = [sum(a == x for a in members.values()) for x in set(members.values())]
+    total = sum(m * (m - 1) // 2 for m in sizes)
+    every = pairs.distinct_group_pairs(art, "author", "article_id", 10 * total, 7).collect()
+    assert len(every) == total == len({frozenset((r.id1, r.id2)) for r in every})
+    assert all(members[r.id1] == members[r.id2] == r.author and r.id1 != r.id2 for r in every)
+    some = pairs.distinct_group_pairs(art, "author", "article_id", 25, 7).collect()
+    assert len(some) == 25 == len({frozenset((r.id1, r.id2)) for r in some})
+    alone = art.where("article_id = 0")
+    assert pairs.distinct_group_pairs(alone, "author", "article_id", 5, 7).count() == 0
+
+
+def test_quantiles_of_one_common_value(spark):
+    from penmark.operators.ranking import exact_quantiles
+    df = spark.range(4000).select(F.lit("g").alias("g"), F.when(F.col("id") % 10 == 0, F.col("id") * 1.0).otherwise(5.0).alias("v"))
+    got = exact_quantiles(df, ["g"], "v", [0.05, 0.5, 0.99]).first()
+    want = df.agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.99))).alias("p")).first().p
+    assert [got.q0, got.q1, got.q2] == pytest.approx(want, abs=1e-9)
