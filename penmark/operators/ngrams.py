@@ -74,6 +74,15 @@ class TfidfModel:
         return spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(zip(self.terms, self.idf))],
                                      "pos int, term string, idf double")
 
+    def save(self, spark, path: str) -> None:
+        """One row per term (bounded by the vocabulary size)."""
+        self.table(spark).withColumn("n_docs", F.lit(self.n_docs).cast("bigint")).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark, path: str) -> TfidfModel:
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r.pos)
+        return TfidfModel([r.term for r in rows], [r.idf for r in rows], rows[0].n_docs if rows else 0)
+
     def transform(self, df: DataFrame, text_col: str = "text", out: str = "tfidf") -> DataFrame:
         """Normalised TF-IDF vector (``ARRAY<DOUBLE>`` over ``terms``);
         unknown terms are ignored; an empty document gives all zeros."""
@@ -105,11 +114,12 @@ def fit(df: DataFrame, text_col: str = "text", max_features: int = 500) -> Tfidf
 
 
 def long_weights(df: DataFrame, model: TfidfModel, id_col: str, vec_col: str = "tfidf") -> DataFrame:
-    """Sparse long form ``(id, term, weight)`` of the non-zero weights."""
+    """Sparse long form ``(id, term, weight)`` of the non-zero weights.  Zero
+    cells are dropped inside the array, so only real entries become rows."""
     terms = F.array(*[F.lit(t) for t in model.terms])
-    return (df.select(id_col, F.posexplode_outer(vec_col).alias("pos", "weight"))
-            .where(F.col("weight") != 0)
-            .select(id_col, F.element_at(terms, F.col("pos") + 1).alias("term"), "weight"))
+    cells = F.filter(F.arrays_zip(terms.alias("term"), F.col(vec_col).alias("weight")), lambda c: c["weight"] != 0)
+    return df.select(id_col, F.explode_outer(cells).alias("cell")).where(F.col("cell").isNotNull()) \
+             .select(id_col, "cell.term", "cell.weight")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -29,6 +29,16 @@ class VectorStats:
     def width(self) -> int:
         return len(self.keep)
 
+    def save(self, spark, path: str) -> None:
+        """One row per kept position (bounded by the vector width)."""
+        rows = list(zip(self.keep, self.mean, self.scale))
+        spark.createDataFrame(rows, "pos int, mean double, scale double").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark, path: str) -> VectorStats:
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r.pos)
+        return VectorStats([r.pos for r in rows], [r["mean"] for r in rows], [r["scale"] for r in rows])
+
 
 def _clean(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit(None)).otherwise(v)
