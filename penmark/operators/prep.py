@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penmark.functions.lexicons import META_COLUMNS
 from penmark.operators.ranking import h60, hash_rank, value_rank
 
 
@@ -94,6 +95,11 @@ def standardize(df: DataFrame, vec_col: str, stats: VectorStats, out: str | None
     return x.withColumn(out or vec_col, scaled).drop("__imp")
 
 
+def feature_columns(df: DataFrame, keys: list[str] | None = None) -> list[str]:
+    """The columns that are neither keys nor metadata, in order."""
+    return [c for c in df.columns if c not in META_COLUMNS and c not in (keys or [])]
+
+
 def align_by_name(df: DataFrame, expected: list[str], fill: float = 0.0) -> DataFrame:
     """K3: select the expected feature columns by name; a missing column is
     ``fill`` (0 after scaling = the training mean), extra columns are

@@ -85,6 +85,27 @@ def all_features(spark, sf_dir):
     return rounded(b.join(s, "article_id"))
 
 
+@query("join_features")
+def join_features(spark, sf_dir):
+    """P8 + J1 + J2: the wide table, article columns joined to the basic features, the
+    syntax features and the tag frequencies on the article id."""
+    from penmark.plans.syntax_queries import annotated, article_tag_table
+    docs, sents, tokens, ents, chunks = annotated(spark, sf_dir)
+    art = tables.articles(spark, sf_dir).select("article_id", "source", "genre", "title")
+    b = basic.basic_features(docs, keep=["doc_id"], mode="normalized").withColumnRenamed("doc_id", "article_id")
+    s = syntax.syntax_features(docs.withColumnRenamed("doc_id", "article_id"), sents, tokens, chunks)
+    t = article_tag_table(docs, sents, tokens, ents, chunks)
+    return rounded(art.join(b, "article_id").join(s, "article_id").join(t, "article_id"))
+
+
+@query("feature_projection")
+def feature_projection(spark, sf_dir):
+    """The feature columns of a table, by exclusion of the metadata names."""
+    f = basic.extract(_reference_shaped(spark, sf_dir), "Article Text", families=["lexical", "readability"],
+                      keep=["article_id", "Author", "Source", "Genre", "Article Title"], mode="normalized")
+    return rounded(f.select("article_id", *prep.feature_columns(f, ["article_id"])))
+
+
 @query("align_features")
 def align_features(spark, sf_dir):
     """K3: align a frame to an expected feature list by name (missing -> 0,

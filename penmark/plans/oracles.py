@@ -854,3 +854,18 @@ ORACLES["union_features"] = f"""WITH {annotation_ctes()}
 SELECT article_id, {_tag_columns('pos', STANDIN_POS, 'pos_', '_freq')} FROM tokens WHERE article_id % 2 = 0 GROUP BY article_id
 UNION ALL BY NAME
 SELECT article_id, {_tag_columns('pos', STANDIN_POS[:-1], 'pos_', '_freq')} FROM tokens WHERE article_id % 2 = 1 GROUP BY article_id"""
+ORACLES["join_features"] = f"""WITH RECURSIVE {annotation_ctes()}, {_SENTF}, {_RATIOS}, {articles_cte()},
+b AS ({features_sql(styled_src(), ['doc_id'], 'text', 'normalized', _ALLF)}),
+s AS (SELECT d.doc_id,
+  {', '.join(f"{r6(f'CASE WHEN r.article_id IS NULL THEN 0.0 ELSE coalesce({c}, 0.0) END')} AS {c}" for c in _SYN7)}
+  FROM docs d LEFT JOIN ratios r ON r.article_id = d.doc_id LEFT JOIN sentf sf ON sf.article_id = d.doc_id),
+tw AS (SELECT article_id, {_tag_columns('pos', STANDIN_POS, 'pos_freq_', '')}, {_tag_columns('dep', STANDIN_DEP, 'dep_freq_', '')}
+       FROM tokens GROUP BY article_id),
+ew AS (SELECT article_id, {_tag_columns('label', STANDIN_ENT, 'ent_freq_', '')} FROM ents GROUP BY article_id)
+SELECT a.article_id, a.source, a.genre, a.title, b.* EXCLUDE (doc_id), s.* EXCLUDE (doc_id), tw.* EXCLUDE (article_id),
+       ew.* EXCLUDE (article_id), {r6('coalesce(avg_sentence_complexity, 0.0)')} AS avg_sentence_complexity
+FROM articles a JOIN b ON b.doc_id = a.article_id JOIN s ON s.doc_id = a.article_id
+     LEFT JOIN tw ON tw.article_id = a.article_id LEFT JOIN ew ON ew.article_id = a.article_id
+     LEFT JOIN sentf ON sentf.article_id = a.article_id"""
+ORACLES["feature_projection"] = features_sql("articles_src", ["article_id"], "text", "normalized", ["lexical", "readability"]).replace(
+    "articles_src", "(SELECT doc_id AS article_id, text FROM documents)")

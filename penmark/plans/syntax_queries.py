@@ -83,7 +83,7 @@ def syntax_features(spark, sf_dir):
     return rounded(syntax.syntax_features(docs.withColumnRenamed("doc_id", "article_id"), sents, tokens, chunks))
 
 
-def _article_tags(docs, sents, tokens, ents, chunks):
+def article_tag_table(docs, sents, tokens, ents, chunks):
     pos = syntax.wide_tags(syntax.tag_frequencies(tokens, "pos"), "pos_freq_", "", syntax.STANDIN_POS)
     dep = syntax.wide_tags(syntax.tag_frequencies(tokens, "dep"), "dep_freq_", "", syntax.STANDIN_DEP)
     ent = syntax.wide_tags(syntax.entity_frequencies(ents), "ent_freq_", "", syntax.STANDIN_ENT)
@@ -97,7 +97,7 @@ def _article_tags(docs, sents, tokens, ents, chunks):
 @query("article_tags")
 def article_tags(spark, sf_dir):
     """The tag half of Y12: a column per tag of the annotator, and noun-chunk complexity."""
-    return rounded(_article_tags(*annotated(spark, sf_dir)))
+    return rounded(article_tag_table(*annotated(spark, sf_dir)))
 
 
 @query("process_articles")
@@ -107,7 +107,7 @@ def process_articles(spark, sf_dir):
     parts = annotated(spark, sf_dir)
     lex = basic.extract(parts[0], keep=["doc_id"], families=["lexical"], mode="raw") \
         .withColumnRenamed("doc_id", "article_id").drop("unique_word_ratio")
-    return rounded(lex.join(_article_tags(*parts), "article_id", "left"))
+    return rounded(lex.join(article_tag_table(*parts), "article_id", "left"))
 
 
 @query("advanced_features")
