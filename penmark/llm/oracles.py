@@ -33,3 +33,44 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+ORACLES["op6_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bk AS (SELECT item, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+bi AS (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM bk),
+windows AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM bi),
+di AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) ks WHERE len(w) >= k),
+found AS (SELECT doc_id, item, i, di.k FROM di JOIN windows ON windows.k = di.k AND windows.s = array_to_string(w[i:i + di.k - 1], ' ')),
+spots AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM found),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM spots GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l
+          FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+# exact all-pairs form, for small tables: the operator finds the same links through bands
+ORACLES["op4_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dk AS (SELECT doc_id, w, least(5, len(w)) AS k FROM d WHERE len(w) > 0),
+di AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dk),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM di),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b, o = x.n AND o = y.n AS same FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+         WHERE o >= 0.8 * (x.n + y.n - o)),
+reach AS (SELECT doc_id AS v, doc_id AS u FROM d UNION SELECT v, link.b FROM reach JOIN link ON link.a = reach.u),
+class AS (SELECT v AS doc_id, min(u) AS class_id FROM reach GROUP BY v),
+copies AS (SELECT d.doc_id, least(d.doc_id, min(b)) AS copy_id, 1 + count(b) AS n_copies
+           FROM d LEFT JOIN link ON a = d.doc_id AND same GROUP BY d.doc_id),
+other AS (SELECT a AS doc_id, count(*) AS n_links, count(DISTINCT CASE WHEN NOT same THEN copy_id END) AS n_text_links
+          FROM link JOIN copies ON copies.doc_id = b GROUP BY a)
+SELECT d.doc_id, class_id, coalesce(copy_id, d.doc_id) AS copy_id, n_copies::BIGINT AS n_copies,
+       coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_text_links, 0)::BIGINT AS n_text_links
+FROM d JOIN class USING (doc_id) JOIN copies USING (doc_id) LEFT JOIN other USING (doc_id)
+"""
