@@ -33,62 +33,111 @@ from penmark.llm.common import map_columns, stored
 WINDOW = 2048
 END_ID = 1                  # closes every document
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 24            # terms of a seed that query the index: those that weigh most in it
+QUERY_TERMS = 16            # terms of a seed that query the index: those that weigh most in it
 NEIGHBOURS = 64             # neighbours fetched at a time; more are fetched while the window has room
 K1, B = 1.2, 0.75           # BM25
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
+# Latin-1 bytes, lower-cased as the tokenizer does it, line ends as blanks
+FOLDED = bytes(32 if b == 10 else ord(chr(b).lower()) for b in range(256))
+
+
 class Encoder:
     """Token ids as 16-bit little-endian bytes.
 
     The tokenizer drops white space and never joins what stands left and right
     of it, so the ids of a text are those of its parts between blanks and line
-    ends, and each distinct part is encoded once per worker (bounded cache).  Its
-    normaliser lower-cases character by character and its splitter separates
-    letters from a following comma or full stop, so these variants share an entry."""
+    ends, and each distinct part is encoded once per worker (bounded caches).  Its
+    normaliser lower-cases character by character, so a Latin-1 text (which NFC leaves
+    alone) may be lower-cased first; its splitter separates letters from a
+    following comma or full stop, so such parts share the bare word's entry."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("token ids need more than 16 bits")
-        self.cache: dict[str, bytes] = {"": b""}
+        # words of Latin-1 letters only: what the normaliser and splitter make of them is known
+        # (one piece, its bytes in the byte-level alphabet), so they go to the model itself
+        self.model = Tokenizer(self.tokenizer.model)
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
+        probe = [chr(c) + w for c in self.letters if chr(c).islower() for w in ("", "the", "éa")]
+        if self._direct(probe) != self._ids(probe):
+            raise ValueError("expected a byte-level tokenizer that lower-cases and splits off letters")
+        self.folded: dict[bytes, bytes] = {b"": b""}    # parts of Latin-1 texts
+        self.other: dict[str, bytes] = {"": b""}        # parts of all other texts
         self.limit = limit
 
-    def _encode(self, parts: list[str]) -> None:
-        for p, e in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False)):
-            self.cache[p] = np.array(e.ids, dtype="<u2").tobytes()
-
-    def learn(self, parts: set[str]) -> None:
-        cache = self.cache
-        missing = parts.difference(cache)
-        plain: dict[str, str] = {}
-        for p in missing:
-            low = p.lower() if p.isascii() else p
-            # (one capital's lower case ends with a combining mark, which would join the stop)
-            plain[p] = low[:-1] if low[-1] in ",." and low[:-1].isalpha() and low[:-1].lower()[-1].isalpha() else low
-        wanted = set(plain.values()).difference(cache)
-        wanted.update({",", "."}.difference(cache))
-        if wanted:
-            self._encode(list(wanted))
-        for p, q in plain.items():
-            if len(q) != len(p):
-                cache[p] = cache[q] + cache[p[-1]]
-            elif p != q:
-                cache[p] = cache[q]
+    def _direct(self, words: list[str]) -> list[bytes]:
+        return self._ids([w.translate(self.letters) for w in words], self.model)
+
+    def _ids(self, parts: list[str], tokenizer=None) -> list[bytes]:
+        """The ids of each part, from one call."""
+        if not parts:
+            return []
+        e = (tokenizer or self.tokenizer).encode(parts, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(e.ids, dtype="<u2").tobytes()
+        bounds = (2 * np.searchsorted(np.array(e.word_ids), np.arange(len(parts) + 1))).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def learn(self, parts: set[bytes]) -> list[bytes]:
+        """Put the parts that the cache lacks into it; returns the long ones among them."""
+        cache = self.folded
+        words: dict[bytes, str] = {}
+        rest: dict[bytes, str] = {}
+        stopped: list[bytes] = []
+        long = []
+        for p in parts.difference(cache):
+            s = p.decode("latin-1")
+            if s.isalpha():
+                words[p] = s
+            elif s[-1] in ",." and s[:-1].isalpha():
+                stopped.append(p)
+                if p[:-1] not in cache:
+                    words[p[:-1]] = s[:-1]
+            else:
+                rest[p] = s
+            if len(p) > 64:
+                long.append(p)
+        for stop in (",", "."):
+            if stop.encode() not in cache:
+                rest[stop.encode()] = stop
+        cache.update(zip(words, self._direct(list(words.values()))))
+        cache.update(zip(rest, self._ids(list(rest.values()))))
+        for p in stopped:
+            cache[p] = cache[p[:-1]] + cache[p[-1:]]
+        return long
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.cache = {"": b""}
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        parts = set().union(*split)
-        self.learn(parts)
-        out = [b"".join(map(self.cache.__getitem__, s)) for s in split]
-        for p in parts:
+        if len(self.folded) > self.limit:
+            self.folded = {b"": b""}
+        if len(self.other) > self.limit // 4:
+            self.other = {"": b""}
+        split: list[list] = []
+        for t in texts:
+            try:
+                b = (t or "").encode("latin-1")
+                # (lower-casing must not make a special token's name)
+                split.append(b.translate(FOLDED).split(b" ") if b"<|" not in b else t.replace("\n", " ").split(" "))
+            except UnicodeEncodeError:
+                split.append(t.replace("\n", " ").split(" "))
+        is_folded = [isinstance(x[0], bytes) for x in split]
+        parts = set().union(*(x for x, f in zip(split, is_folded) if f))
+        others = set().union(*(x for x, f in zip(split, is_folded) if not f))
+        long = self.learn(parts)
+        missing = list(others.difference(self.other))
+        self.other.update(zip(missing, self._ids(missing)))
+        folded, other = self.folded.__getitem__, self.other.__getitem__
+        out = [b"".join(map(folded if f else other, x)) for x, f in zip(split, is_folded)]
+        for p in long:
+            del self.folded[p]
+        for p in missing:
             if len(p) > 64:
-                self.cache.pop(p, None)
+                del self.other[p]
         return out
 
 
@@ -106,7 +155,7 @@ def tokenize(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int =
     def run(batches):
         e = encoder(tokenizer)
         for b in batches:
-            for i, j in batched(b["text"]):
+            for i, j in batched(b["text"], 1 << 21):
                 ids = [x + end for x in e.encode(b["text"][i:j])]
                 yield {"doc_id": b["doc_id"][i:j], "ids": ids, "n": [len(x) // 2 for x in ids]}
 
