@@ -10,8 +10,8 @@ chances add up to ``TABLE_CHANCE``.  ``TABLES`` tables miss independently.
 The number of projections follows the number of vectors, so buckets stay near
 ``BUCKET_ROWS``.  Equal vectors are indexed once, with their smallest ids (as many as a result
 can hold); a bucket that is large all the same is split into parts of ``PART_ROWS``.  Each (table, bucket, part)
-is a unit of work: vectors and probing queries meet there, distances are exact, and only the
-best few per query leave.  The last step merges the tables' candidates and ranks them.
+is a unit of work: vectors and probing queries meet there, distances are exact, and a task merges
+each query's best few over all its units before they leave.  The last step merges the tables' candidates and ranks them.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ TABLE_CHANCE = 0.6
 TARGET_COSINE = 0.42    # neighbours of at least this cosine are found with the stated chance
 BUCKET_ROWS = 250
 PART_ROWS = 4096
+HELD_QUERIES = 100_000  # queries whose best rows a task merges before it reports them
 SEED = 12345
 CELLS_PER_PROJECTION = math.sqrt(2 * math.pi * math.e)      # effective number of unit cells of a normal distribution
 
@@ -162,28 +163,30 @@ def nearest(df: DataFrame, is_query: Column, top: int = TOP, id_col: str = "vec_
     def compare(batches):
         at, raw, ids, unit = None, [], [], None
         asking: list[tuple[int, bytes]] = []
+        best: dict[int, list[tuple[float, int]]] = {}       # per query, over all buckets of this task
 
         def answer():
-            out = {"q": [], "vec_id": [], "score": []}
             for (q, own), row in zip(asking, unit_of([r for _, r in asking]) @ unit.T if asking and raw else ()):
                 n = len(row)
                 least = np.partition(row, n - keep)[n - keep] if n > keep else -2.0
                 own = np.frombuffer(own, "<f8")
-                best = [(-cosine(own, np.frombuffer(raw[j], "<f8")), ids[j]) for j in np.flatnonzero(row >= least - 1e-9)]
-                for score, members in sorted(best)[:keep]:
-                    for m in members:
-                        out["q"].append(q)
-                        out["vec_id"].append(m)
-                        out["score"].append(-score)
+                found = sorted((-cosine(own, np.frombuffer(raw[j], "<f8")), ids[j]) for j in np.flatnonzero(row >= least - 1e-9))
+                best[q] = merge(best.get(q, []), [(s, m) for s, members in found[:keep] for m in members], keep)
             asking.clear()
+
+        def report():
+            out = {"q": [q for q, x in best.items() for _ in x], "vec_id": [m for x in best.values() for _, m in x],
+                   "score": [-s for x in best.values() for s, _ in x]}
+            best.clear()
             return out
 
         for b in batches:
             for table, bucket, part, q, r, i in zip(*(b[c] for c in (*key, "q", "raw", "ids"))):
                 if (table, bucket, part) != at:
-                    if asking:
-                        yield answer()
+                    answer()
                     at, raw, ids, unit = (table, bucket, part), [], [], None
+                    if len(best) > HELD_QUERIES:
+                        yield report()
                 if q is None:
                     raw.append(r)
                     ids.append(i)
@@ -192,9 +195,10 @@ def nearest(df: DataFrame, is_query: Column, top: int = TOP, id_col: str = "vec_
                     unit = unit_of(raw) if raw else np.empty((0, size // 8))
                 asking.append((q, r))
                 if len(asking) == 256:
-                    yield answer()
-        if asking:
-            yield answer()
+                    answer()
+        answer()
+        if best:
+            yield report()
 
     near = map_columns(work, compare, "q bigint, vec_id bigint, score double")
     order = [F.desc("score"), F.asc("vec_id")]
@@ -207,6 +211,17 @@ def nearest(df: DataFrame, is_query: Column, top: int = TOP, id_col: str = "vec_
     return out.select("query_id", "rank", "vec_id", "score")
 
 
+def merge(a: list[tuple[float, int]], b: list[tuple[float, int]], keep: int) -> list[tuple[float, int]]:
+    """The best ``keep`` of two lists of (-score, id), each id once."""
+    out: dict[int, float] = {}
+    for s, m in sorted(a + b):
+        if m not in out:
+            out[m] = s
+            if len(out) == keep:
+                break
+    return [(s, m) for m, s in out.items()]
+
+
 def projections(n_rows: int) -> int:
     """Projections of a table, so that a bucket holds about ``BUCKET_ROWS`` vectors."""
     return max(1, round(math.log(max(n_rows / BUCKET_ROWS, 1)) / math.log(CELLS_PER_PROJECTION)))
