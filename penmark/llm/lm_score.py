@@ -25,11 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penmark.llm.common import map_columns, words_of
+from penmark.llm.common import map_columns, stored, words_of
 
 CLASSES, SLOTS = 64, 64         # classes, and words of a class
 BUCKETS = 256                   # vocabulary entries for all words that have none of their own
-DIMS = 24
+DIMS = 16
 SIDE = 2                        # context words on either side
 ROUNDS = 2
 BATCH = 16_384                  # words of a step
@@ -164,22 +164,40 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row[at], row[at[:, None] + offsets]
 
 
-def train(docs: DataFrame, words: list[bytes], rounds: int = ROUNDS) -> np.ndarray:
+def numbered(docs: DataFrame, words: list[bytes], rounds: int) -> DataFrame:
+    """(doc_id, part, ids): every document's words as 16-bit vocabulary ids, read by
+    all rounds and by scoring; ``part`` is the round that trains on the document."""
+    from penmark.llm.token_counts import batched
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        ids = Ids(shared.value)
+        for b in batches:
+            for i, j in batched(b["text"]):
+                yield {"doc_id": b["doc_id"][i:j], "part": b["part"][i:j],
+                       "ids": [ids(words_of(t)).astype("<u2").tobytes() for t in b["text"][i:j]]}
+
+    part = F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("part")
+    return stored(map_columns(docs.select("doc_id", part, "text"), run, "doc_id bigint, part int, ids binary"), "lm-ids")
+
+
+def unpacked(ids: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int32) for x in ids]
+
+
+def train(numbers: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after all rounds, each over its own part of the documents."""
-    spark = docs.sparkSession
+    spark = numbers.sparkSession
     flat = Network().flat
-    part = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((words, flat))
+        shared = spark.sparkContext.broadcast(flat)
 
         def run(batches):
-            vocab, start = shared.value
-            net, ids = Network(start.copy()), Ids(vocab)
+            net = Network(shared.value.copy())
             seen = {name: np.full_like(w, 1e-2) for name, w in net.w.items()}
             held, size, total = [], 0, 0
             for b in batches:
-                for t in b["text"]:
-                    x = ids(words_of(t))
+                for x in unpacked(b["ids"]):
                     if len(x):
                         held.append(x)
                         size += len(x)
@@ -205,7 +223,7 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = ROUNDS) -> np.ndarr
             if sums:
                 yield {"block": [*sums], "weights": [(s / totals[i]).astype(np.float32).tobytes() for i, s in sums.items()]}
 
-        reports = map_columns(docs.where(part == k).select("text"), run, "block int, weights binary, words bigint")
+        reports = map_columns(numbers.where(F.col("part") == k).select("ids"), run, "block int, weights binary, words bigint")
         mean = map_columns(reports.repartition("block"), add, "block int, weights binary").collect()    # one model
         for r in mean:
             flat[r.block:r.block + BLOCK] = np.frombuffer(r.weights, np.float32)
@@ -215,8 +233,10 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = ROUNDS) -> np.ndarr
 
 def learn(net: Network, texts: list[np.ndarray], seen: dict[str, np.ndarray]) -> None:
     target, context = windows(texts)
-    for i in range(0, len(target), BATCH):
-        net.step(target[i:i + BATCH], context[i:i + BATCH], seen)
+    # equal steps: what a long text adds makes no small step of its own
+    bounds = np.linspace(0, len(target), max(1, round(len(target) / BATCH)) + 1).astype(int)
+    for a, b in zip(bounds, bounds[1:]):
+        net.step(target[a:b], context[a:b], seen)
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -227,24 +247,28 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows are trained on and scored each; a null doc_id stays null; an empty table
     gives no rows; other columns are not read."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = vocabulary(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((words, train(docs, words, rounds)))
+    numbers = numbered(docs, vocabulary(docs), rounds)
+    shared = docs.sparkSession.sparkContext.broadcast(train(numbers, rounds))
 
     def run(batches):
-        vocab, flat = shared.value
-        net, ids = Network(flat), Ids(vocab)
-        from penmark.llm.token_counts import batched
+        net = Network(shared.value)
         for b in batches:
-            for i, j in batched(b["text"]):
-                texts = [ids(words_of(t)) for t in b["text"][i:j]]
+            at = 0
+            while at < len(b["ids"]):       # runs of about ten steps' words
+                texts, size, start = [], 0, at
+                while at < len(b["ids"]) and size < 10 * BATCH:
+                    texts += unpacked(b["ids"][at:at + 1])
+                    size += len(texts[-1])
+                    at += 1
                 sizes = np.array([len(x) for x in texts])
                 ends = np.cumsum(sizes)
                 target, context = windows(texts)
-                lp = np.concatenate([np.zeros(1), *(net.log_probs(target[a:a + BATCH], context[a:a + BATCH]).astype(np.float64)
-                                                    for a in range(0, len(target), BATCH))])
+                bounds = np.linspace(0, len(target), max(1, round(len(target) / BATCH)) + 1).astype(int)
+                lp = np.concatenate([np.zeros(1), *(net.log_probs(target[i:j], context[i:j]).astype(np.float64)
+                                                    for i, j in zip(bounds, bounds[1:]))])
                 run_sum = np.cumsum(lp)
                 pll = run_sum[ends] - run_sum[ends - sizes]
-                yield {"doc_id": b["doc_id"][i:j], "n_words": sizes.tolist(), "pll": pll.tolist(),
+                yield {"doc_id": b["doc_id"][start:at], "n_words": sizes.tolist(), "pll": pll.tolist(),
                        "mean_pll": [p / n if n else None for p, n in zip(pll.tolist(), sizes.tolist())]}
 
-    return map_columns(docs, run, "doc_id bigint, n_words bigint, pll double, mean_pll double")
+    return map_columns(numbers.select("doc_id", "ids"), run, "doc_id bigint, n_words bigint, pll double, mean_pll double")
