@@ -29,7 +29,7 @@ from penmark.llm.common import map_columns, stored, words_of
 
 CLASSES, SLOTS = 64, 64         # classes, and words of a class
 BUCKETS = 256                   # vocabulary entries for all words that have none of their own
-DIMS = 16
+DIMS = 24
 SIDE = 2                        # context words on either side
 ROUNDS = 2
 BATCH = 16_384                  # words of a step

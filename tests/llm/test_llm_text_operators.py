@@ -408,6 +408,11 @@ def test_network_gradient():
     assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(gradient[k], rel=0.05)
 
 
+def test_width_of_the_network():
+    assert lm_score.DIMS == 24
+    assert lm_score.Network().w["to_word"].shape == (lm_score.CLASSES, 24, lm_score.SLOTS)
+
+
 def test_probabilities_sum_to_one():
     net = lm_score.Network()
     every = np.arange(lm_score.SIZE, dtype=np.int32)
