@@ -33,7 +33,7 @@ from penmark.llm.common import map_columns, stored
 WINDOW = 2048
 END_ID = 1                  # closes every document
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 16            # terms of a seed that query the index: those that weigh most in it
+FREQUENT = 8                # terms that one in so many documents of a shard holds are kept as dense rows
 NEIGHBOURS = 64             # neighbours fetched at a time; more are fetched while the window has room
 K1, B = 1.2, 0.75           # BM25
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -193,21 +193,40 @@ class Shard:
             terms.append(t)
             weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean)))
         self.bounds = np.cumsum([0] + [len(t) for t in terms])
-        rows, terms, weights = (np.concatenate(x) if x else np.empty(0) for x in (rows, terms, weights))
-        self.terms, self.weights = terms, weights.astype(np.float32)
-        order = np.argsort(terms, kind="stable")
-        self.rows, self.by_term = rows[order], self.weights[order]
-        self.postings = np.searchsorted(terms[order], np.arange((1 << 16) + 1))
+        self.terms = np.concatenate(terms) if ids else np.empty(0, dtype=np.int64)
+        order = np.argsort(self.terms, kind="stable")
+        self.order = self.terms[order]
+        self.index(np.concatenate(rows)[order] if ids else np.empty(0, dtype=np.int32),
+                   np.concatenate(weights).astype(np.float32)[order] if ids else np.empty(0, dtype=np.float32))
+
+    def index(self, rows: np.ndarray, weights: np.ndarray) -> None:
+        """Postings of the unused pieces; ``order`` holds their terms, ascending."""
+        self.rows, self.by_term = rows, weights
+        self.alive = np.unique(rows)                            # pieces of the index
+        self.postings = np.searchsorted(self.order, np.arange((1 << 16) + 1))
+        held = np.diff(self.postings)
+        self.dense = np.full(1 << 16, -1)
+        often = np.flatnonzero(held * FREQUENT >= max(1, len(self.alive)))
+        self.dense[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), len(self.alive)), dtype=np.float32)
+        at = self.dense[self.order]
+        self.matrix[at[at >= 0], np.searchsorted(self.alive, rows[at >= 0])] = weights[at >= 0]
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused pieces that share a query term with the seed, best first."""
-        a, b = self.bounds[seed], self.bounds[seed + 1]
-        t, w = self.terms[a:b], self.weights[a:b]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.postings[x], self.postings[x + 1]) for x in t]
-        rows = np.concatenate([self.rows[s] for s in spans])
-        score = np.bincount(rows, weights=np.concatenate([self.by_term[s] for s in spans]), minlength=len(self.left))
+        """Unused pieces that share a term with the seed, best first."""
+        unused = self.left[self.alive] > 0
+        if 2 * unused.sum() < len(self.alive):                  # half of the pieces are used up: a smaller index
+            keep = self.left[self.rows] > 0
+            self.order = self.order[keep]
+            self.index(self.rows[keep], self.by_term[keep])
+        t = self.terms[self.bounds[seed]:self.bounds[seed + 1]]
+        dense = self.dense[t]
+        spans = [slice(a, b) for a, b in zip(self.postings[t[dense < 0]].tolist(), self.postings[t[dense < 0] + 1].tolist())]
+        score = np.zeros(len(self.left))
+        score[self.alive] = self.matrix[dense[dense >= 0]].sum(axis=0)
+        if spans:
+            score += np.bincount(np.concatenate([self.rows[s] for s in spans]),
+                                 weights=np.concatenate([self.by_term[s] for s in spans]), minlength=len(self.left))
         score[self.left == 0] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]

@@ -321,6 +321,25 @@ def test_retrieval_prefers_neighbours():
     assert np.mean(pure) > 0.6
 
 
+def test_every_term_of_a_seed_queries():
+    # 40 terms weigh alike in the seed; each neighbour shares just one of them
+    ids = [np.arange(100, 140, dtype="<u2")] + [np.array([100 + k, 1000 + k], dtype="<u2") for k in range(40)]
+    shard = packing.Shard(ids, np.ones(1 << 16, dtype=np.float32), 3.0)
+    shard.left[0] = 0
+    assert sorted(shard.neighbours(0).tolist()) == list(range(1, 41))
+    rng = np.random.default_rng(1)
+    ids = [np.unique(rng.integers(0, 60 if k % 3 else 900, size=30)).astype("<u2") for k in range(200)]
+    idf = rng.random(1 << 16).astype(np.float32) + 0.1
+    shard = packing.Shard(ids, idf, 20.0)
+    for used in (1, 120, 180):
+        shard.left[:used] = 0
+        share = {i: sum(float(idf[t]) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(x) / 20.0)) for t in set(x) & set(ids[0]))
+                 for i, x in enumerate(ids) if i >= used and set(x) & set(ids[0])}
+        found = shard.neighbours(0).tolist()
+        assert set(found) == set(share)
+        assert all(share[a] >= share[b] - 1e-4 for a, b in zip(found, found[1:]))
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty).count() == 0
 
