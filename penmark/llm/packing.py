@@ -3,8 +3,11 @@
 1. Documents are tokenized in a map-only pass and stored as 16-bit token ids.
 2. One pass over the stored ids counts, for every token id, the documents that hold
    it; that table is bounded by the vocabulary and broadcast.
-3. Documents are dealt by a hash of doc_id into shards of about
-   ``SHARD_TOKENS`` tokens.  Each shard builds a BM25 inverted index over its
+3. Documents are dealt by content into shards of at most about ``SHARD_TOKENS``
+   tokens.  A document's keys are the two terms that win a weighted MinHash; documents that
+   share their keys meet in a shard, with a chance that doesn't depend on the corpus' size.
+   A first key that overflows a shard is split by the second, and what still
+   overflows (copies) by row.  Each shard builds a BM25 inverted index over its
    documents (token ids as terms, corpus-wide document frequencies).  A seed opens a window; the
    index returns its unused neighbours, best first, and they fill the window
    greedily.  What still doesn't fit is cut: the best neighbour gives the
@@ -23,18 +26,20 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penmark.llm.common import map_columns, stored
+from penmark.llm.common import map_columns, splitmix, stored
 
 WINDOW = 2048
 END_ID = 1                  # closes every document
 SHARD_TOKENS = 2_000_000
 FREQUENT = 8                # terms that one in so many documents of a shard holds are kept as dense rows
 NEIGHBOURS = 64             # neighbours fetched at a time; more are fetched while the window has room
+SPLIT = 16                  # bins of the second key for every shard that a first key would fill
 K1, B = 1.2, 0.75           # BM25
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
@@ -181,6 +186,82 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, total.n, (total.tokens or 0) / max(1, total.n)
 
 
+@functools.lru_cache(maxsize=1)
+def races() -> np.ndarray:
+    """Exponential variables of all token ids, the same in every task."""
+    x = splitmix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(11)
+    return -np.log((x.astype(np.float64) + 0.5) / (1 << 53))
+
+
+def content_keys(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[int, int]:
+    """The two terms that win the race of squared BM25 weights: a text's likely
+    neighbours have the same with the chance of their weighted overlap."""
+    t, tf = np.unique(ids, return_counts=True)
+    w = idf[t] * tf / (tf + K1 * (1 - B + B * len(ids) / mean))
+    v = races()[t] / np.maximum(w * w, 1e-30)
+    if len(t) < 2:
+        return int(t[0]), int(t[0])
+    first = int(v.argmin())
+    v[first] = np.inf
+    return int(t[first]), int(t[v.argmin()])
+
+
+def bin_of(key: int, bins: int) -> int:
+    return (key * 40503 % (1 << 16)) * bins >> 16
+
+
+class Deal:
+    """Which shard a document goes to: neighbouring units (a first key, a bin of its second key, or
+    a part of such a bin) share a shard while they fit."""
+
+    def __init__(self, units: list[tuple[int, int, int]], bins: dict[int, int], room: int):
+        self.bins = bins                                        # first keys that are split
+        self.place: dict[tuple[int, int], tuple[int, int]] = {}     # unit -> first shard, shards
+        shard, held = 0, 0
+        for key, part, tokens in sorted(units):
+            parts = max(1, -(-tokens // room))
+            if held and held + tokens > room:
+                shard, held = shard + 1, 0
+            self.place[key, part] = shard, parts
+            shard, held = shard + parts - 1, held + tokens if parts == 1 else room
+        self.shards = shard + 1
+
+    def __call__(self, first: int, second: int, salt: int) -> int:
+        bins = self.bins.get(first)
+        shard, parts = self.place[first, bin_of(second, bins) if bins else -1]
+        return shard + salt % parts
+
+
+def deal(tokens: DataFrame, shared, room: int) -> Deal:
+    """Counts the tokens of all keys; the driver gets at most one row per token id, and
+    ``SPLIT`` rows per shard that an overflowing key fills."""
+    def run(batches):
+        idf, mean = shared.value
+        n: Counter = Counter()
+        for b in batches:
+            for x in b["ids"]:
+                x = np.frombuffer(x, "<u2")
+                n[content_keys(x, idf, mean)] += len(x)
+            if len(n) > 100_000:
+                yield {"first": [k for k, _ in n], "second": [k for _, k in n], "n": [*n.values()]}
+                n.clear()
+        yield {"first": [k for k, _ in n], "second": [k for _, k in n], "n": [*n.values()]}
+
+    keys = stored(map_columns(tokens.select("ids"), run, "first int, second int, n bigint"), "pack-keys")
+    units, bins = [], {}
+    for r in keys.groupBy("first").agg(F.sum("n").alias("n")).collect():
+        if r.n > room:
+            bins[r["first"]] = min(1 << 16, SPLIT * -(-r.n // room))
+        else:
+            units.append((r["first"], -1, r.n))
+    if bins:
+        split = keys.sparkSession.createDataFrame(list(bins.items()), "first int, bins bigint")
+        part = F.shiftright(F.col("second").cast("bigint") * 40503 % (1 << 16) * F.col("bins"), 16).cast("int")
+        rows = keys.join(F.broadcast(split), "first").groupBy("first", part.alias("part")).agg(F.sum("n").alias("n"))
+        units += [(r["first"], r.part, r.n) for r in rows.collect()]
+    return Deal(units, bins, room)
+
+
 class Shard:
     """The unused pieces of a shard and their BM25 index."""
 
@@ -319,33 +400,48 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = DEFAULT_TOKENIZ
     df, n_docs, mean = document_frequencies(tokens)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, max(mean, 1.0)))
-    n_shards = max(1, -(-int(n_docs * mean) // shard_tokens))
+    dealt = spark.sparkContext.broadcast(deal(tokens, shared, shard_tokens))
 
-    def run(batches):
-        from pyspark import TaskContext
-        shard = TaskContext.get().partitionId()
-        doc_ids, ids = [], []
+    def place(batches):
+        idf, mean = shared.value
         for b in batches:
-            doc_ids += b["doc_id"]
-            ids += [np.frombuffer(x, "<u2") for x in b["ids"]]
+            where = [dealt.value(*content_keys(np.frombuffer(x, "<u2"), idf, mean), salt) for x, salt in zip(b["ids"], b["salt"])]
+            yield {"doc_id": b["doc_id"], "ids": b["ids"], "n": b["n"], "shard": where}
+
+    def packed(shard, doc_ids, ids):
         out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padding")}
         if with_ids:
             out["ids"] = []
+        for k, sequence in enumerate(pack_shard(doc_ids, ids, *shared.value, window)):
+            offset = 0
+            for i, s, n in sequence:
+                piece = ids[i][s:s + n].astype("<u4").tobytes()
+                for name, v in (("doc_id", doc_ids[i]), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(piece)),
+                                ("doc_tokens", len(ids[i])), ("sequence_id", shard << 32 | k), ("offset", offset),
+                                ("padding", 0)):
+                    out[name].append(v)
+                if with_ids:
+                    out["ids"].append(piece)
+                offset += n
+        return out
+
+    def run(batches):
+        shard, doc_ids, ids = None, [], []
+        for b in batches:
+            for at, i, x in zip(b["shard"], b["doc_id"], b["ids"]):
+                if at != shard:
+                    if ids:
+                        yield packed(shard, doc_ids, ids)
+                    shard, doc_ids, ids = at, [], []
+                doc_ids.append(i)
+                ids.append(np.frombuffer(x, "<u2"))
         if ids:
-            for k, sequence in enumerate(pack_shard(doc_ids, ids, *shared.value, window)):
-                offset = 0
-                for i, s, n in sequence:
-                    piece = ids[i][s:s + n].astype("<u4").tobytes()
-                    for name, v in (("doc_id", doc_ids[i]), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(piece)),
-                                    ("doc_tokens", len(ids[i])), ("sequence_id", shard << 32 | k), ("offset", offset),
-                                    ("padding", 0)):
-                        out[name].append(v)
-                    if with_ids:
-                        out["ids"].append(piece)
-                    offset += n
-        yield out
+            yield packed(shard, doc_ids, ids)
 
     schema = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
               "offset bigint, padding bigint")
-    shards = tokens.repartition(n_shards, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "n", F.crc32("ids"))
-    return map_columns(shards.select("doc_id", "ids"), run, schema + (", ids binary" if with_ids else ""))
+    # the stored rows are read in the same order by every attempt, so the salt is the row's own
+    salted = tokens.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    placed = map_columns(salted, place, "doc_id bigint, ids binary, n bigint, shard int")
+    shards = placed.repartitionById(dealt.value.shards, "shard").sortWithinPartitions("shard", "doc_id", "n", F.crc32("ids"))
+    return map_columns(shards.select("shard", "doc_id", "ids"), run, schema + (", ids binary" if with_ids else ""))

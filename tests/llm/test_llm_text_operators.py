@@ -340,6 +340,38 @@ def test_every_term_of_a_seed_queries():
         assert all(share[a] >= share[b] - 1e-4 for a, b in zip(found, found[1:]))
 
 
+def test_likely_neighbours_meet_in_a_shard(spark):
+    # 30 topics, each dealt over ids and rows without a doc_id; then one text many times
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    topics = [["".join(rng.choice(letters) for _ in range(7)) for _ in range(12)] for _ in range(30)]
+    rows = [(k * 977 % 100_003 if k % 3 else None, " ".join(rng.choice(topics[k % 30]) for _ in range(40))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = {(r.doc_id, r.text): k % 30 for k, r in enumerate(df.collect())}
+    topic = {i: k for (i, _), k in docs.items() if i is not None}
+    tokens = sum(r.n for r in packing.tokenize(df).collect())
+    pieces = packing.pack(df, window=256, shard_tokens=tokens // 30).collect()
+    assert len({p.sequence_id >> 32 for p in pieces}) >= 25
+    assert sum(p.length for p in pieces) == tokens
+    pairs = same = 0
+    by_shard = {}
+    for p in pieces:
+        if p.doc_id is not None:
+            by_shard.setdefault(p.sequence_id >> 32, set()).add(p.doc_id)
+    for ids in by_shard.values():
+        for a, b in itertools.combinations(sorted(ids), 2):
+            pairs += 1
+            same += topic[a] == topic[b]
+    assert same > 0.3 * pairs                       # by chance: 1 in 30
+
+    copies = spark.createDataFrame([(None, "the very same text of some ten words or so") for _ in range(500)], "doc_id long, text string")
+    pieces = packing.pack(copies, window=64, shard_tokens=1_000).collect()
+    sizes = Counter()
+    for p in pieces:
+        sizes[p.sequence_id >> 32] += p.length
+    assert len(sizes) >= 5 and max(sizes.values()) < 2_500
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty).count() == 0
 
