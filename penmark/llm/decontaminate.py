@@ -11,21 +11,24 @@ adjacent in no item, end every match, so only runs between such breaks are
 walked word by word; runs shorter than the shortest window can hold none.
 
 The automaton is linear in the benchmark's size, which doesn't follow the
-corpus.  It is built on the driver and broadcast; the benchmark's size is checked
-first, and one of more than ``MAX_ITEM_CHARS`` of text is refused (run the operator
-once per part of it).  Documents are never shuffled.
+corpus.  It is built on the driver and broadcast, and documents are not shuffled.  A
+benchmark of more than ``MAX_ITEM_CHARS`` of text is dealt into groups of at most that
+size (a longer item into overlapping parts that hold all its windows).  The groups are
+built, broadcast and scanned for one after another; a document's spans and items of
+all groups are united by row before anything is derived from them.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penmark.llm.common import WORD_BYTES, map_columns, words_of
+from penmark.llm.common import WORD_BYTES, map_columns, shared_path, stored, words_of
 
 WINDOW = 13                  # words
 COVERAGE = 20                # contaminated: COVERAGE * hit words >= all words
@@ -148,49 +151,134 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def item_rows(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")) \
+                    .where("i is not null and t is not null")
+
+
+def item_chars(benchmark: DataFrame) -> int:
+    return item_rows(benchmark).agg(F.sum(F.length("t") + 16).alias("n")).first().n or 0
+
+
 def build(benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_ITEM_CHARS) -> Automaton:
     """The automaton of a benchmark table (item_id, text) of checked size."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")) \
-                    .where("i is not null and t is not null")
-    size = rows.agg(F.sum(F.length("t") + 16).alias("n")).first().n or 0
+    size = item_chars(benchmark)
     if size > max_chars:
         raise ValueError(f"benchmark of {size} characters; split it into parts of at most {max_chars}")
-    return Automaton([(r.i, words_of(r.t)) for r in rows.collect()], window)
+    return Automaton([(r.i, words_of(r.t)) for r in item_rows(benchmark).collect()], window)
+
+
+def parts_of(words: list[bytes], window: int, max_chars: int) -> Iterator[list[bytes]]:
+    """Parts of an item that hold each of its windows, of about ``max_chars`` at most."""
+    a = 0
+    while a < len(words):
+        b, size = a, 0
+        while b < len(words) and (b - a < window or size + len(words[b]) < max_chars):
+            size += len(words[b]) + 1
+            b += 1
+        yield words[a:b]
+        if b == len(words):
+            return
+        a = b - window + 1
+
+
+def groups(benchmark: DataFrame, window: int, max_chars: int) -> Iterator[Automaton]:
+    """Automata of bounded size, one at a time."""
+    held, size = [], 0
+    for r in item_rows(benchmark).toLocalIterator():
+        for words in parts_of(words_of(r.t), window, max_chars):
+            n = sum(len(w) + 1 for w in words) + 16
+            if held and size + n > max_chars:
+                yield Automaton(held, window)
+                held, size = [], 0
+            held.append((r.i, words))
+            size += n
+    if held:
+        yield Automaton(held, window)
+
+
+def grouped_hits(rows: DataFrame, benchmark: DataFrame, window: int, max_chars: int) -> DataFrame:
+    """(row, spans, items) of the rows (row, text) that hold a window of any group."""
+    spark = rows.sparkSession
+    path = shared_path(spark, "bench-hits")
+    schema = "row bigint, spans array<struct<first: bigint, last: bigint>>, items array<string>"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for automaton in groups(benchmark, window, max_chars):
+        shared = spark.sparkContext.broadcast(automaton)
+
+        def run(batches, shared=shared):
+            for b in batches:
+                out = {"row": [], "spans": [], "items": []}
+                for row, t in zip(b["row"], b["text"]):
+                    spans, items = shared.value.scan(words_of(t))
+                    if spans:
+                        out["row"].append(row)
+                        out["spans"].append([{"first": s, "last": e - 1} for s, e in spans])
+                        out["items"].append(sorted(items))
+                yield out
+
+        map_columns(rows.select("row", "text"), run, schema).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path).groupBy("row").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def united(spans: list[dict] | None) -> list[tuple[int, int]]:
+    return merged([(x["first"], x["last"] + 1) for x in spans or []])
 
 
 def is_contaminated(n_hit: int, n_words: int, coverage: int = COVERAGE) -> bool:
     return n_hit > 0 and coverage * n_hit >= n_words
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+REPORT = ("doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
+          "contaminated boolean, spans array<struct<first: bigint, last: bigint>>")
+
+
+def reported(doc_ids: list, n_words: list[int], hits: list[tuple[list[tuple[int, int]], set[str]]], coverage: int) -> dict:
+    n_hit = [sum(e - s for s, e in spans) for spans, _ in hits]
+    return {"doc_id": doc_ids, "n_words": n_words, "n_hit": n_hit, "n_items": [len(items) for _, items in hits],
+            "items_sha256": [hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() for _, items in hits],
+            "contaminated": [is_contaminated(h, n, coverage) for h, n in zip(n_hit, n_words)],
+            "spans": [[{"first": s, "last": e - 1} for s, e in spans] for spans, _ in hits]}
+
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
+           max_chars: int = MAX_ITEM_CHARS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated, spans (hit word ranges).
 
     Null and empty texts have no words and are clean; benchmark rows with a
     null id or text hold no window; an empty benchmark hits nothing; repeated
     rows are reported each; other columns of either table are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if item_chars(benchmark) > max_chars:
+        return grouped_report(docs, benchmark, window, coverage, max_chars)
+    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window, max_chars))
 
     def run(batches):
         automaton = shared.value
         for b in batches:
-            out = {"doc_id": b["doc_id"], "n_words": [], "n_hit": [], "n_items": [], "items_sha256": [],
-                   "contaminated": [], "spans": []}
-            for t in b["text"]:
-                words = words_of(t)
-                spans, items = automaton.scan(words)
-                n_hit = sum(e - s for s, e in spans)
-                out["n_words"].append(len(words))
-                out["n_hit"].append(n_hit)
-                out["n_items"].append(len(items))
-                out["items_sha256"].append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-                out["contaminated"].append(is_contaminated(n_hit, len(words), coverage))
-                out["spans"].append([{"first": s, "last": e - 1} for s, e in spans])
-            yield out
-
-    return map_columns(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run,
-                       "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
-                       "contaminated boolean, spans array<struct<first: bigint, last: bigint>>")
+            texts = [words_of(t) for t in b["text"]]
+            yield reported(b["doc_id"], [len(w) for w in texts], [automaton.scan(w) for w in texts], coverage)
+
+    return map_columns(docs, run, REPORT)
+
+
+def grouped_report(docs: DataFrame, benchmark: DataFrame, window: int, coverage: int, max_chars: int) -> DataFrame:
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "bench-docs")
+
+    def count(batches):
+        for b in batches:
+            yield {"row": b["row"], "doc_id": b["doc_id"], "n_words": [len(words_of(t)) for t in b["text"]]}
+
+    def run(batches):
+        for b in batches:
+            hits = [(united(s), set(i or [])) for s, i in zip(b["spans"], b["items"])]
+            yield reported(b["doc_id"], b["n_words"], hits, coverage)
+
+    counts = map_columns(rows, count, "row bigint, doc_id bigint, n_words bigint")
+    return map_columns(counts.join(grouped_hits(rows, benchmark, window, max_chars), "row", "left"), run, REPORT)
 
 
 def word_bounds(text: bytes) -> list[tuple[int, int]]:
@@ -209,20 +297,66 @@ def cut(automaton: Automaton, text: str, coverage: int = COVERAGE) -> str | None
         n_hit = sum(e - s for s, e in spans)
         if not (n_hit if changed else is_contaminated(n_hit, len(words), coverage)):
             return raw.decode() if changed else None
-        bounds = word_bounds(raw)
-        keep, at = [], 0
-        for s, e in spans:
-            keep.append(raw[at:bounds[s][0]])
-            at = bounds[e - 1][1]
-        raw, changed = b"".join(keep) + raw[at:], True
+        raw, changed = without(raw, spans), True
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A UTF-8 text without some word ranges."""
+    bounds = word_bounds(raw)
+    keep, at = [], 0
+    for s, e in spans:
+        keep.append(raw[at:bounds[s][0]])
+        at = bounds[e - 1][1]
+    return b"".join(keep) + raw[at:]
+
+
+def grouped_clean(docs: DataFrame, benchmark: DataFrame, window: int, coverage: int, max_chars: int) -> DataFrame:
+    """As ``cut``, one round over all groups at a time; only rows that were cut go on."""
+    spark, names = docs.sparkSession, docs.columns
+    base = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "bench-docs")
+    path = shared_path(spark, "bench-cut")
+    todo, first = base.select(F.col("__row").alias("row"), "text"), True
+    spark.createDataFrame([], "row bigint, new string").write.parquet(path)
+    while first or todo.head(1):
+        hits = stored(grouped_hits(todo, benchmark, window, max_chars), "bench-round")
+
+        def run(batches, first=first):
+            for b in batches:
+                out = {"row": [], "text": []}
+                for row, t, spans in zip(b["row"], b["text"], b["spans"]):
+                    spans = united(spans)
+                    if not first or is_contaminated(sum(e - s for s, e in spans), len(words_of(t)), coverage):
+                        out["row"].append(row)
+                        out["text"].append(without(t.encode(), spans).decode())
+                yield out
+
+        if not first:
+            todo.join(hits, "row", "left_anti").select("row", F.col("text").alias("new")).write.mode("append").parquet(path)
+        todo = stored(map_columns(todo.join(hits.select("row", "spans"), "row"), run, "row bigint, text string"), "bench-round")
+        first = False
+
+    def worded(batches):
+        for b in batches:
+            yield {"__row": b["row"], "__new": b["new"], "__kept": [bool(words_of(t)) for t in b["new"]]}
+
+    cuts = map_columns(spark.read.schema("row bigint, new string").parquet(path), worded, "__row bigint, __new string, __kept boolean")
+    out = base.join(cuts, "__row", "left").where("__kept is null or __kept")
+    new = {"text": F.coalesce("__new", "text").alias("text")}
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("__new").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(kind)).alias("n_chars")
+    return out.select(*(new.get(c, F.col(f"`{c}`")) for c in names))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
+          max_chars: int = MAX_ITEM_CHARS) -> DataFrame:
     """``docs`` with the hit spans of contaminated documents removed from
     ``text``; all other rows and columns pass unchanged, also clean documents that
     hold a window below the coverage limit.  A document of which no word is
     left is dropped.  ``n_chars``, if there, follows the new text."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
+    if item_chars(benchmark) > max_chars:
+        return grouped_clean(docs, benchmark, window, coverage, max_chars)
+    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window, max_chars))
     names = docs.columns
     at = names.index("text")
     chars = names.index("n_chars") if "n_chars" in names else None

@@ -148,6 +148,27 @@ def test_decontamination_report(spark, texts):
     assert again.where("contaminated").count() == 0
 
 
+def test_a_large_benchmark_is_scanned_in_groups(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    items = [(f"i{k}", " ".join(rng.choice(words) for _ in range(rng.choice((5, 20, 90))))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        t = [f"f{rng.randint(0, 500)}" for _ in range(rng.randint(0, 200))]
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            a = rng.randint(0, max(0, len(w) - 15))
+            t[len(t) // 2:len(t) // 2] = w[a:a + rng.randint(5, 40)]
+        docs.append((k % 40 if k % 7 else None, " ".join(t), len(" ".join(t))))
+    docs += [(1, None, 0), (2, "", 0), (3, items[1][1], 9)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, n_chars int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for f in (decontaminate.report, decontaminate.clean):
+        whole, grouped = (sorted(map(repr, f(docs, bench, max_chars=n).collect())) for n in (10 ** 6, 200))
+        assert whole == grouped
+    assert decontaminate.report(docs, bench, max_chars=200).where("contaminated").count() > 5
+
+
 def test_decontamination_edges(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (None, "word and more"), (2, "same text twice"), (2, "same text twice"), (3, "")],
                                   "item_id long, text string")
