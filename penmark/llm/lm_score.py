@@ -5,7 +5,9 @@ document's score is the sum of the log-probabilities of its words, each
 conditioned on its neighbours (pseudo-log-likelihood).
 
 1. Word counts over all documents (combined per task before the shuffle) choose the
-   vocabulary: the most frequent words, and hash buckets for all others.
+   vocabulary: the most frequent words, and hash buckets for all others.  A word of a bucket has
+   the bucket's probability times its exact share of the bucket's words in the corpus; the
+   words' counts stay a distributed table, which is joined.
 2. Training covers all documents, in ``ROUNDS`` rounds over disjoint parts of them.  In a round
    every task starts from the same weights and takes AdaGrad steps in numpy over its own
    documents; the tasks' weights are averaged by their number of words.  Only
@@ -43,8 +45,8 @@ SHAPES = {"embed": (SIZE + 1, DIMS), "gate": (2 * SIDE, DIMS), "bias": (DIMS,),
           "class_bias": (CLASSES,), "to_word": (CLASSES, DIMS, SLOTS), "word_bias": (CLASSES, SLOTS)}
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of the corpus, most frequent first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words of the corpus, stored."""
     from penmark.llm.token_counts import batched
 
     def run(batches):
@@ -56,10 +58,35 @@ def vocabulary(docs: DataFrame) -> list[bytes]:
                 yield {"word": [w.decode() for w in n], "n": [*n.values()]}
 
     counts = map_columns(docs.select("text"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return stored(counts, "lm-counts")
+
+
+def vocabulary(counts: DataFrame) -> list[bytes]:
+    """The most frequent words of the corpus, most frequent first."""
     best = counts.orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS).collect()      # bounded by the vocabulary
     return [r.word.encode() for r in best]
 
 
+def rare_shares(numbers: DataFrame, counts: DataFrame, words: list[bytes]) -> DataFrame:
+    """(row, share): the sum, over a document's words that stand in buckets, of the logarithm of
+    the word's exact share of its bucket in the corpus.  The table of words grows with the corpus."""
+    spark = numbers.sparkSession
+    own = spark.createDataFrame([(w.decode(),) for w in words], "word string")
+    rare = counts.join(F.broadcast(own), "word", "left_anti").withColumn("bucket", F.crc32("word") % BUCKETS)
+    total = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
+    shares = rare.join(F.broadcast(total), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+
+    def run(batches):
+        for b in batches:
+            for row, x in zip(b["row"], b["rare"]):
+                n = Counter(x.split())
+                if n:
+                    yield {"row": [row] * len(n), "word": [w.decode() for w in n], "n": [*n.values()]}
+
+    held = map_columns(numbers.select("row", "rare"), run, "row bigint, word string, n bigint")
+    return held.join(shares, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("share"))
+
+
 class Network:
     """Weights as named arrays; ids are class + CLASSES * slot, so frequent words spread over the classes."""
 
@@ -165,8 +192,9 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def numbered(docs: DataFrame, words: list[bytes], rounds: int) -> DataFrame:
-    """(doc_id, part, ids): every document's words as 16-bit vocabulary ids, read by
-    all rounds and by scoring; ``part`` is the round that trains on the document."""
+    """(doc_id, row, part, ids, rare): every document's words as 16-bit vocabulary ids, read by
+    all rounds and by scoring; ``part`` is the round that trains on the document, ``rare`` its
+    words outside the vocabulary."""
     from penmark.llm.token_counts import batched
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -174,11 +202,14 @@ def numbered(docs: DataFrame, words: list[bytes], rounds: int) -> DataFrame:
         ids = Ids(shared.value)
         for b in batches:
             for i, j in batched(b["text"]):
-                yield {"doc_id": b["doc_id"][i:j], "part": b["part"][i:j],
-                       "ids": [ids(words_of(t)).astype("<u2").tobytes() for t in b["text"][i:j]]}
+                texts = [words_of(t) for t in b["text"][i:j]]
+                yield {"doc_id": b["doc_id"][i:j], "row": b["row"][i:j], "part": b["part"][i:j],
+                       "ids": [ids(x).astype("<u2").tobytes() for x in texts],
+                       "rare": [b" ".join([w for w in x if w not in ids.own]) for x in texts]}
 
     part = F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("part")
-    return stored(map_columns(docs.select("doc_id", part, "text"), run, "doc_id bigint, part int, ids binary"), "lm-ids")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), part, "text")
+    return stored(map_columns(rows, run, "doc_id bigint, row bigint, part int, ids binary, rare binary"), "lm-ids")
 
 
 def unpacked(ids: list[bytes]) -> list[np.ndarray]:
@@ -241,13 +272,16 @@ def learn(net: Network, texts: list[np.ndarray], seen: dict[str, np.ndarray]) ->
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Per document: doc_id, n_words, pll (sum of the conditional
-    log-probabilities of its words, natural logarithm), mean_pll (pll / n_words).
+    log-probabilities of its words, natural logarithm; a bucket counts as one word),
+    mean_pll (pll / n_words), word_pll and mean_word_pll (the same with every word's own probability).
 
     Null and empty texts have no words, a pll of 0 and a null mean.  Repeated
     rows are trained on and scored each; a null doc_id stays null; an empty table
     gives no rows; other columns are not read."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    numbers = numbered(docs, vocabulary(docs), rounds)
+    counts = word_counts(docs)
+    words = vocabulary(counts)
+    numbers = numbered(docs, words, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(train(numbers, rounds))
 
     def run(batches):
@@ -268,7 +302,10 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                                                     for i, j in zip(bounds, bounds[1:]))])
                 run_sum = np.cumsum(lp)
                 pll = run_sum[ends] - run_sum[ends - sizes]
-                yield {"doc_id": b["doc_id"][start:at], "n_words": sizes.tolist(), "pll": pll.tolist(),
-                       "mean_pll": [p / n if n else None for p, n in zip(pll.tolist(), sizes.tolist())]}
+                yield {"doc_id": b["doc_id"][start:at], "row": b["row"][start:at], "n_words": sizes.tolist(), "pll": pll.tolist()}
 
-    return map_columns(numbers.select("doc_id", "ids"), run, "doc_id bigint, n_words bigint, pll double, mean_pll double")
+    scored = map_columns(numbers.select("doc_id", "row", "ids"), run, "doc_id bigint, row bigint, n_words bigint, pll double")
+    exact = F.col("pll") + F.coalesce("share", F.lit(0.0))
+    mean = [F.when(F.col("n_words") > 0, x / F.col("n_words")) for x in (F.col("pll"), exact)]
+    return scored.join(rare_shares(numbers, counts, words), "row", "left").select(
+        "doc_id", "n_words", "pll", mean[0].alias("mean_pll"), exact.alias("word_pll"), mean[1].alias("mean_word_pll"))

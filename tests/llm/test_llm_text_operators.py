@@ -480,6 +480,17 @@ def test_network_gradient():
     assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(gradient[k], rel=0.05)
 
 
+def test_words_of_a_bucket_have_their_own_probability(spark):
+    by_bucket = {}
+    for k in range(1000):
+        by_bucket.setdefault(zlib.crc32(b"rare%d" % k) % lm_score.BUCKETS, []).append(f"rare{k}")
+    often, seldom = next(x for x in by_bucket.values() if len(x) > 1)[:2]
+    common = " ".join(f"c{k}" for k in range(lm_score.SIZE - lm_score.BUCKETS))
+    rows = [(None, common)] * 12 + [(1, f"c1 c2 {often} c3 c4")] * 8 + [(2, f"c1 c2 {seldom} c3 c4")]
+    got = {r.doc_id: r.word_pll for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] - got[2] == pytest.approx(np.log(8), abs=1e-4)
+
+
 def test_width_of_the_network():
     assert lm_score.DIMS == 24
     assert lm_score.Network().w["to_word"].shape == (lm_score.CLASSES, 24, lm_score.SLOTS)
