@@ -74,3 +74,59 @@ SELECT d.doc_id, class_id, coalesce(copy_id, d.doc_id) AS copy_id, n_copies::BIG
        coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_text_links, 0)::BIGINT AS n_text_links
 FROM d JOIN class USING (doc_id) JOIN copies USING (doc_id) LEFT JOIN other USING (doc_id)
 """
+
+
+def _crc32(codes: str) -> str:
+    """CRC-32 of a list of bytes in SQL; each byte is followed by eight -1 that stand for the bit steps."""
+    return (f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) "
+            "WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295::BIGINT)")
+
+
+_BITS = ", -1, -1, -1, -1, -1, -1, -1, -1"
+# bytes of a text of ASCII characters and of U+00C0 to U+00FF, with their bit steps
+_BYTES = (f"flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT{_BITS}] "
+          f"ELSE [195::BIGINT{_BITS}, unicode(x)::BIGINT - 64{_BITS}] END FOR x IN string_split({{}}, '')])")
+
+ORACLES["op11_periodic_runs"] = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0,
+                  {_crc32(_BYTES.format("CAST(doc_id AS VARCHAR)"))} AS h FROM documents),
+s AS (SELECT *, len(w0)::BIGINT AS n, CASE WHEN len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM t),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM s),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+             THEN list_concat(w0[1:a], [w0[a + (i - a) % p + 1] FOR i IN range(a, n)]) ELSE w0 END AS w FROM p),
+e AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+same AS (SELECT e.doc_id, b.i - e.i AS q, e.i FROM e JOIN e b ON b.doc_id = e.doc_id AND b.x = e.x AND b.i > e.i AND 4 * (b.i - e.i) <= e.n),
+isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM isle GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT * FROM stretch r WHERE NOT EXISTS (
+  SELECT 1 FROM stretch o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.m >= r.s + r.m)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM run),
+kept AS (SELECT e.doc_id, sha256(string_agg(x, ' ' ORDER BY e.i)) AS c FROM e ANTI JOIN gone ON gone.doc_id = e.doc_id AND gone.i = e.i
+         GROUP BY e.doc_id),
+best AS (SELECT doc_id, count(*) AS n_runs, min(struct_pack(m := -m, s := s, q := q)) AS b,
+                sha256(string_agg(concat(s, ',', m, ',', q, chr(10)), '' ORDER BY s, q)) AS r FROM run GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, (-b.m)::BIGINT AS length, b.q::BIGINT AS period,
+       (1000 * -b.m // b.q)::BIGINT AS exponent_milli, coalesce(r, sha256('')) AS runs_sha256, coalesce(c, sha256('')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op13_spelling"] = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, k, {_crc32(_BYTES.format("concat(doc_id, ':', run)"))} AS h FROM c),
+x AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM x WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+skip AS (SELECT word, i, left(word, i) || chr(1) || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS less
+         FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other FROM skip a JOIN skip b ON a.hole = b.hole AND a.word <> b.word
+         UNION SELECT less, word FROM skip WHERE less IN (SELECT word FROM v)
+         UNION SELECT word, less FROM skip WHERE less IN (SELECT word FROM v)),
+best AS (SELECT near.word, count(*) AS n_near, min(struct_pack(m := -v.n, w := other)) AS b FROM near JOIN v ON v.word = other GROUP BY near.word),
+f AS (SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.m >= 10 * n THEN b.w END AS form,
+             CASE WHEN -b.m >= 10 * n THEN (-b.m)::BIGINT END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, form, word AS root FROM f
+          UNION ALL SELECT chain.word, f.form, f.word FROM chain JOIN f ON f.word = chain.form)
+SELECT f.word, f.form, chain.root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word AND chain.form IS NULL
+"""

@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import ann, decontaminate, jaccard, line_dedup, lm_score, packing, pii, token_counts, toxicity, warc
+from penmark.llm import (ann, decontaminate, jaccard, line_dedup, lm_score, packing, periodic, pii, quality, spelling, token_counts, toxicity,
+                         warc)
 from penmark.llm.oracles import ORACLES
 
 
@@ -56,9 +57,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_toxicity, op3_warc, op4_jaccard_join, op5_lm_score, op6_decontaminate, op7_line_dedup, op8_ann,
-    op9_token_counts, op10_pii)}
+    op9_token_counts, op10_pii, op11_periodic_runs, op12_quality, op13_spelling)}
 
 
 def queries():
