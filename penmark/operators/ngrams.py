@@ -7,11 +7,12 @@ then L2-normalised per document over the vocabulary terms.
 
 Plan
 ----
-fit        one pass: explode every n-gram once for cf and once (distinct per
-           document) for df; partial aggregation per term runs map-side, so
-           one row per term and partition crosses the shuffle.  The top-k
-           vocabulary is a TakeOrdered of ``max_features`` rows -- the only
-           data brought to the driver, bounded by that parameter.
+fit        two map-only passes: frequent-item summaries, one per task and merged,
+           name candidates with an error bound, then only the candidates are
+           counted exactly (``frequent_terms``).  What crosses the network is a
+           summary and a row per candidate from each partition, however many
+           different n-grams there are.  ``term_stats``, one row per term, is left for
+           tables that are merged later (``fitstate``) and as the way out when no summary decides.
 transform  map-side only: Spark ML's ``CountVectorizerModel`` counts the
            vocabulary terms of each document in the JVM, and array
            expressions turn counts into normalised weights.  No shuffle.
@@ -19,6 +20,7 @@ transform  map-side only: Spark ML's ``CountVectorizerModel`` counts the
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, NGram
@@ -45,9 +47,14 @@ def with_ngrams(df: DataFrame, text_col: str = "text", out: str = GRAMS) -> Data
     return x.withColumn(out, F.concat(F.col(UNI), F.col("__bi"))).drop(UNI, "__bi")
 
 
-def term_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Corpus frequency ``cf`` and document frequency ``df`` of every term."""
+def term_stats(df: DataFrame, text_col: str = "text", only: list[str] | None = None) -> DataFrame:
+    """Corpus frequency ``cf`` and document frequency ``df`` of every term, or of the
+    given ones: then the others are dropped inside the arrays, before anything becomes a row."""
     g = with_ngrams(df.select(text_col), text_col).select(GRAMS)
+    if only is not None:
+        # terms hold word characters and blanks only, so they need no escaping; a list this long is looked up by hash
+        listed = ", ".join(f"'{t}'" for t in only)
+        g = g.select(F.expr(f"filter({GRAMS}, t -> t in ({listed}))").alias(GRAMS))
     rows = F.concat(
         F.transform(F.col(GRAMS), lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
         F.transform(F.array_distinct(F.col(GRAMS)),
@@ -61,6 +68,44 @@ def vocabulary(stats: DataFrame, max_features: int = 500) -> DataFrame:
     return stats.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
 
 
+TRACKED = 1 << 16           # items of a summary at first
+MOST_TRACKED = 1_000_000    # the most a summary may track; beyond it every term is counted
+# a summary of m items over N misses no item that occurs more than SUMMARY_ERROR * N / m times, and
+# overrates none by more (the summary's own bound is 3.5 * N / (a power of two above m / 0.75))
+SUMMARY_ERROR = 3.5
+
+
+def candidate_terms(grams: DataFrame, k: int, tracked: int) -> list[str] | None:
+    """Terms that hold the ``k`` most frequent ones for sure, or None if the summary
+    can't say.  Ties with the k-th are among them."""
+    found = grams.select(F.explode_outer(GRAMS).alias("term")).where(F.col("term").isNotNull()).agg(
+        F.expr(f"approx_top_k(term, {tracked}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n"))
+    items = found.select(F.explode_outer("top").alias("t"), (F.col("n") * F.lit(SUMMARY_ERROR / tracked)).alias("error"),
+                         F.get(F.col("top"), F.lit(k - 1))["count"].alias("kth"))
+    # the k best true counts are at least kth - error; what is not tracked occurs at most error times
+    decisive = (F.col("error") < 1) | F.coalesce(F.col("kth") - F.col("error") > F.col("error"), F.lit(False))
+    rows = items.where(F.col("t").isNotNull()).select("t.item", decisive.alias("decisive")).where(
+        F.coalesce(F.col("t.count") >= F.col("kth") - F.col("error"), F.lit(True))).collect()
+    if rows and rows[0].decisive is False:
+        return None
+    return [r["item"] for r in rows]
+
+
+def frequent_terms(df: DataFrame, text_col: str = "text", max_features: int = 500, tracked: int = TRACKED) -> tuple[list, int]:
+    """The ``max_features`` most frequent terms as (term, cf, df), best first, ties by term, and the
+    number of documents.  Counts are exact: the summary only chooses what to count.  A
+    larger summary is tried while the bound does not decide; in the end all terms are counted."""
+    grams = with_ngrams(df.select(text_col), text_col).select(GRAMS)
+    terms = None
+    while terms is None and tracked <= MOST_TRACKED:
+        terms = candidate_terms(grams, max_features, tracked)
+        tracked *= 4
+    if terms is not None and not terms:
+        return [], df.count()
+    best = vocabulary(term_stats(df, text_col, terms), max_features).collect()     # max_features rows
+    return [(r.term, r.cf, r.df) for r in best], df.count()
+
+
 @dataclass
 class TfidfModel:
     """A fitted vocabulary: ``terms`` in column order (alphabetical) with
@@ -103,14 +148,15 @@ class TfidfModel:
         return x.withColumn(out, vec).drop("__raw", "__norm")
 
 
+def model_of(terms: list, n_docs: int) -> TfidfModel:
+    """The model of (term, cf, df) rows: columns in alphabetical order, smooth idf."""
+    vocab = sorted(terms, key=lambda r: r[0].encode("utf-8"))
+    return TfidfModel([r[0] for r in vocab], [math.log((1 + n_docs) / (1 + r[2])) + 1.0 for r in vocab], n_docs)
+
+
 def fit(df: DataFrame, text_col: str = "text", max_features: int = 500) -> TfidfModel:
     """N3 fit: vocabulary and smooth idf over the documents of ``df``."""
-    n_docs = df.count()
-    vocab = vocabulary(term_stats(df, text_col), max_features).collect()  # <= max_features rows
-    vocab = sorted(vocab, key=lambda r: r["term"].encode("utf-8"))
-    import math
-    idf = [math.log((1 + n_docs) / (1 + r["df"])) + 1.0 for r in vocab]
-    return TfidfModel([r["term"] for r in vocab], idf, n_docs)
+    return model_of(*frequent_terms(df, text_col, max_features))
 
 
 def long_weights(df: DataFrame, model: TfidfModel, id_col: str, vec_col: str = "tfidf") -> DataFrame:

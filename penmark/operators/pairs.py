@@ -77,7 +77,7 @@ def distinct_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: i
     prime = next(p for p in STEP_PRIMES if total % p)
     width = -(-total // ORDINAL_BUCKETS)
     draws = df.sparkSession.range(min(n, total)).select(
-        F.col("id").alias("draw"), ((F.col("id") * prime + seed) % total).alias("__o"))
+        F.col("id").alias("draw"), ((F.col("id").cast("decimal(19,0)") * prime + seed) % total).cast("bigint").alias("__o"))
     draws = draws.withColumn("__slice", F.expr(f"__o div {width}"))
     slices = space.withColumn("__slice", F.explode(F.sequence(
         F.expr(f"__first div {width}"), F.expr(f"(__first + __pairs - 1) div {width}"))))

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penmark.functions.lexicons import META_COLUMNS
-from penmark.operators.ranking import h60, hash_rank, value_rank
+from penmark.operators import selection
+from penmark.operators.ranking import h60, value_rank
 
 
 @dataclass
@@ -50,20 +51,29 @@ def coerce_number(v: Column) -> Column:
     return _clean(v.try_cast("double"))
 
 
-def fit_vector_stats(df: DataFrame, vec_col: str) -> VectorStats:
+WIDEST = 128        # positions that are fitted as columns of one aggregate; wider vectors become one row per cell
+
+
+def moments(df: DataFrame, vec_col: str, width: int | None = None) -> DataFrame:
+    """(pos, n, nn, mean, var): cells, present cells, their mean and population
+    variance.  With a small ``width`` (vectors of exactly so many cells) this is one
+    aggregate over the rows as they are."""
+    if width is None or width > WIDEST:
+        long = df.select(F.posexplode_outer(vec_col).alias("pos", "v")).where(F.col("pos").isNotNull()).select("pos", _clean(F.col("v")).alias("v"))
+        return long.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("nn"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+    cell = lambda i: f"nullif({vec_col}[{i}], double('NaN'))"
+    wide = df.selectExpr("count(1) as n", *[f"struct({i} as pos, count({cell(i)}) as nn, avg({cell(i)}) as mean, var_pop({cell(i)}) as var) as c{i}"
+                                            for i in range(width)])
+    return wide.select("n", F.inline(F.array(*[f"c{i}" for i in range(width)]))).select("pos", "n", "nn", "mean", "var")
+
+
+def fit_vector_stats(df: DataFrame, vec_col: str, width: int | None = None) -> VectorStats:
     """M1 + M2 fit.  The imputer drops all-missing positions; the scaler's
     std is that of the imputed column (missing cells sit at the mean), with
     0 replaced by 1."""
-    long = df.select(F.posexplode_outer(vec_col).alias("pos", "v")).where(F.col("pos").isNotNull()).select("pos", _clean(F.col("v")).alias("v"))
-    st = long.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("nn"),
-                                 F.avg("v").alias("mean"), F.var_pop("v").alias("var")).collect()
-    st = sorted(st, key=lambda r: r["pos"])
     keep, mean, scale = [], [], []
-    for r in st:
-        if r["nn"] == 0:
-            continue
-        var = (r["var"] or 0.0) * r["nn"] / r["n"]
-        sd = math.sqrt(var)
+    for r in sorted(moments(df, vec_col, width).where("nn > 0").collect(), key=lambda r: r["pos"]):
+        sd = math.sqrt(r["var"] * r["nn"] / r["n"])
         keep.append(int(r["pos"]))
         mean.append(float(r["mean"]))
         scale.append(sd if sd > 10 * 2.220446049250313e-16 else 1.0)
@@ -133,26 +143,21 @@ def hash_split(df: DataFrame, id_col: str, train_pct: int = 80, seed: int = 42,
 def split_data(df: DataFrame, id_col: str, test_size: float = 0.2, val_size: float = 0.1,
                seed: int = 42, out: str = "split") -> DataFrame:
     """M5: seeded shuffle, then train / val / test by position with
-    ``int()``-truncated sizes (the remainder goes to train)."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    n_test = F.floor(n * F.lit(test_size))
-    n_val = F.floor(n * F.lit(val_size))
-    n_train = n - n_test - n_val
-    r = hash_rank(df, [], h60(seed, "split", F.col(id_col)), F.col(id_col), out="__r")
-    split = (F.when(F.col("__r") < n_train, F.lit("train"))
-             .when(F.col("__r") < n_train + n_val, F.lit("val")).otherwise(F.lit("test")))
-    return r.withColumn(out, split).drop("__r")
+    ``int()``-truncated sizes (the remainder goes to train).  Positions are never
+    computed: the thresholds between the parts are selected."""
+    n = df.count()
+    n_test, n_val = math.floor(n * test_size), math.floor(n * val_size)
+    return selection.split_by_quotas(df, h60(seed, "split", F.col(id_col)), F.col(id_col),
+                                     [("train", n - n_test - n_val), ("val", n_val)], "test", out)
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: float = 0.3,
                      val_share: float = 0.5, seed: int = 42, out: str = "split") -> DataFrame:
     """M6: per label, seeded shuffle; the first ``ceil(test_size * n_label)``
     rows are held out and split again ``val_share`` : rest into val / test."""
-    r = hash_rank(df, [label_col], h60(seed, "strat", F.col(id_col)), F.col(id_col), out="__r")
-    sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__n"))
-    r = r.join(sizes, label_col)  # one row per label
-    held = F.ceil(F.col("__n") * F.lit(test_size))
-    n_val = F.floor(held * F.lit(val_share))
-    split = (F.when(F.col("__r") < n_val, F.lit("val"))
-             .when(F.col("__r") < held, F.lit("test")).otherwise(F.lit("train")))
-    return r.withColumn(out, split).drop("__r", "__n")
+    def quotas(n: int) -> list[tuple[str, int]]:
+        held = math.ceil(n * test_size)
+        n_val = math.floor(held * val_share)
+        return [("val", n_val), ("test", held - n_val)]
+
+    return selection.split_groups(df, label_col, h60(seed, "strat", F.col(id_col)), F.col(id_col), quotas, "train", out)

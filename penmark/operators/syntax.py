@@ -1,90 +1,45 @@
-"""Syntax features (Y1-Y12) aggregated from annotation tables.
+"""Syntax features (Y1-Y12) aggregated from annotated sentences.
 
 A tagger/parser is not part of this library (none is installed, and a per-row
-model is not a Spark operator); the features are aggregates over annotation
-tables that any tagger can produce:
-
-* ``tokens(article_id, sent_id, tok_id, text, pos, dep, head_id)``
-* ``sentences(article_id, sent_id, text)``
-* ``ents(article_id, ent_id, label)``
-* ``chunks(article_id, sent_id, chunk_id)``
-
-``annotate_standin`` builds such tables with a fixed rule (FIXTURES section 3)
-so the aggregates can be tested; it is a stand-in, not a parser.
-
-Plan: every aggregate is keyed by article (or by sentence, then article), so
-the work is one shuffle of the token rows with map-side partial aggregation.
-Dependency depth follows head pointers inside one sentence; a sentence's tokens
-are gathered into one array, never a whole article, and all tokens' depths come
-from pointer doubling (n log n for n tokens).
+model is not a Spark operator); ``annotate`` runs a caller's tagger, and the features are
+aggregates over its sentence rows (or over tables of sentences, tokens, entities and
+chunks that a tagger left elsewhere, see ``from_tables``).  ``standin`` is a fixed
+rule for tests, not a parser.
+
+Plan: whatever belongs to one sentence is computed from its row's arrays, map-side;
+one shuffle by article with partial aggregation is left.  Dependency depth follows
+head pointers inside one sentence by pointer doubling (n log n for n tokens).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penmark.functions import text as T
-from penmark.functions.lexicons import FUNCTION_WORDS, SYNTAX_FEATURES
-
-# --- FIXED VALUES: stand-in tagging rule word lists (FIXTURES section 3) ---
-STANDIN_CCONJ = ["and", "but", "or", "nor", "so", "yet"]
-STANDIN_SCONJ = ["because", "although", "since", "unless"]
-# the stand-in's whole tag inventory, as any annotator publishes its own
-STANDIN_POS = ["ADP", "AUX", "CCONJ", "DET", "NOUN", "NUM", "PRON", "PROPN", "SCONJ"]
-STANDIN_DEP = ["ROOT", "aux", "auxpass", "cc", "dep", "det", "mark"]
-STANDIN_ENT = ["ORG", "PERSON"]
-
-
-def annotate_standin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", materialize=None):
-    """Stand-in annotation -> (sentences, tokens, ents, chunks).
-    ``materialize`` (e.g. a checkpoint) is applied to each table as soon as it
-    is built, so the next table is derived from the stored one."""
-    keep_df = materialize or (lambda x: x)
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
-    keep = F.filter(pieces, lambda s: F.regexp_replace(s, r"[.!?]+\z", "").rlike(T.NONSPACE))
-    sents = (docs.select(F.col(id_col).alias("article_id"), F.posexplode_outer(keep).alias("sent_id", "text"))
-             .where(F.col("text").isNotNull())
-             .withColumn("sent_id", F.col("sent_id").cast("bigint")))
-    sents = keep_df(sents)
-    toks = T.word_tokens(F.col("text"))
-    tokens = (sents.select("article_id", "sent_id", F.posexplode_outer(toks).alias("tok_id", "text"))
-              .where(F.col("text").isNotNull())
-              .withColumn("tok_id", F.col("tok_id").cast("bigint")))
-    lw = F.lower("text")
-    fw = FUNCTION_WORDS
-    pos = (F.when(lw.isin(fw["articles"]), "DET")
-           .when(lw.isin(fw["prepositions"]), "ADP")
-           .when(lw.isin(STANDIN_CCONJ), "CCONJ")
-           .when(lw.isin(STANDIN_SCONJ), "SCONJ")
-           .when(lw.isin(fw["pronouns"]), "PRON")
-           .when(lw.isin(fw["auxiliary_verbs"]), "AUX")
-           .when(F.col("text").rlike(r"^\p{Nd}+$"), "NUM")
-           .when((F.col("tok_id") > 0) & F.substring("text", 1, 1).rlike(r"\p{Lu}"), "PROPN")
-           .otherwise("NOUN"))
-    tokens = tokens.withColumn("pos", pos)
-    dep = (F.when(F.col("tok_id") == 0, "ROOT")
-           .when(F.col("pos") == "SCONJ", "mark").when(F.col("pos") == "CCONJ", "cc")
-           .when(F.col("pos") == "DET", "det")
-           .when(F.col("pos") == "AUX", F.when(F.col("tok_id") % 5 == 0, "auxpass").otherwise("aux"))
-           .otherwise("dep"))
-    # heads of mixed shape: a binary tree, chains of eight, or a star, by sentence
-    shape, t = F.col("sent_id") % 3, F.col("tok_id")
-    head = (F.when(shape == 0, F.floor(t / 2)).when((shape == 1) & (t % 8 != 0), t - 1)
-            .when(shape == 1, F.floor(t / 8)).otherwise(F.lit(0)))
-    tokens = keep_df(tokens.withColumn("dep", dep).withColumn("head_id", head.cast("bigint")))
-    w = Window.partitionBy("article_id", "sent_id").orderBy("tok_id")
-    nxt = F.lead("pos").over(w)
-    prv = F.lag("pos").over(w)
-    marked = tokens.select("article_id", "sent_id", "tok_id", "pos", nxt.alias("nxt"), prv.alias("prv"))
-    chunks = (marked.where((F.col("pos") == "DET") & F.col("nxt").isin("NOUN", "PROPN"))
-              .select("article_id", "sent_id", F.col("tok_id").alias("chunk_id")))
-    # maximal PROPN runs: a run starts where the previous token is not PROPN
-    starts = marked.where((F.col("pos") == "PROPN") & (F.col("prv").isNull() | (F.col("prv") != "PROPN")))
-    ents = starts.select("article_id", F.concat_ws(":", F.col("sent_id").cast("string"),
-                                                   F.col("tok_id").cast("string")).alias("ent_id"),
-                         F.when(F.col("tok_id") % 2 == 0, "PERSON").otherwise("ORG").alias("label"))
-    return sents, tokens, ents, chunks
+from penmark.functions.lexicons import SYNTAX_FEATURES
+from penmark.operators import annotate, standin
+
+
+def annotate_standin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Sentence rows by the stand-in rule."""
+    return annotate.annotate(docs, standin.annotator, "standin", id_col, text_col)
+
+
+def from_tables(sents: DataFrame, tokens: DataFrame, ents: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Sentence rows from tables: sentences(article_id, sent_id, text), tokens(article_id,
+    sent_id, tok_id, text, pos, dep, head_id), ents(article_id, sent_id, ent_id, label),
+    chunks(article_id, sent_id, chunk_id).  One group is one sentence."""
+    key = ["article_id", "sent_id"]
+    out = sents.join(tokens.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("tok_id", "text", "pos", "dep", "head_id"))).alias("tokens")),
+                     key, "left")
+    empty = {"tokens": "array<struct<tok_id:bigint,text:string,pos:string,dep:string,head_id:bigint>>",
+             "ents": "array<struct<ent_id:string,label:string>>", "chunks": "array<bigint>"}
+    for table, name, item in ((ents, "ents", F.struct("ent_id", "label")), (chunks, "chunks", F.col("chunk_id"))):
+        part = table.groupBy(*key).agg(F.collect_list(item).alias(name)) if table is not None else None
+        out = out.join(part, key, "left") if part is not None else out.withColumn(name, F.lit(None).cast(empty[name]))
+    return out.select(*key, "text", *[F.coalesce(F.col(c).cast(t), F.array().cast(t)).alias(c) for c, t in empty.items()],
+                      F.lit(None).cast("string").alias("error"))
 
 
 def tag_frequencies(tokens: DataFrame, tag_col: str) -> DataFrame:
@@ -102,75 +57,76 @@ def entity_frequencies(ents: DataFrame) -> DataFrame:
     return per.join(tot, "article_id").select("article_id", "tag", (F.col("n") / F.col("total")).alias("freq"))
 
 
-def token_ratios(tokens: DataFrame) -> DataFrame:
-    """Y4 + Y5 from one aggregation of the tokens."""
-    c = lambda cond: F.count_if(cond)
-    g = tokens.groupBy("article_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        c(F.col("pos").isin("VERB", "AUX")).alias("verbs"), c(F.col("pos").isin("NOUN", "PROPN")).alias("nouns"),
-        c(F.col("pos") == "ADJ").alias("adj"), c(F.col("pos") == "ADV").alias("adv"),
-        c(F.col("dep").isin("auxpass", "nsubjpass")).alias("passive"))
-    return g.select("article_id",
-                    (F.col("verbs") / F.greatest(F.lit(1), F.col("nouns"))).alias("verb_noun_ratio"),
-                    (F.col("adj") / F.greatest(F.lit(1), F.col("adv"))).alias("adj_adv_ratio"),
-                    (F.col("passive") / F.col("n")).alias("passive_voice_freq"))
-
-
-def _sentence_level(tokens: DataFrame) -> DataFrame:
-    """One aggregation per sentence: clause flags (Y7) and the dependency
-    depth (Y8: max over tokens of ROOT 0, otherwise 1 + edges to the
-    self-headed root).  ``tok_id``/``head_id`` are 0-based positions in the
+RATIOS = ["verb_noun_ratio", "adj_adv_ratio", "passive_voice_freq"]
+SENTENCE_FEATURES = ["question_freq", "complex_sentence_ratio", "compound_sentence_ratio", "avg_dependency_depth", "avg_sentence_complexity"]
+
+
+def _with_depth(s: DataFrame) -> DataFrame:
+    """``max_depth`` of a sentence: max over tokens of ROOT 0, otherwise 1 + edges
+    to the self-headed root.  ``head_id`` is a 0-based position in the
     sentence.  Pointer doubling: every round replaces a token's ancestor by that
     ancestor's ancestor and adds their distances, so log2(n) rounds reach
     every root."""
-    s = tokens.groupBy("article_id", "sent_id").agg(
-        F.max((F.col("dep") == "mark").cast("int")).alias("has_mark"),
-        F.max((F.col("dep") == "cc").cast("int")).alias("has_cc"),
-        F.array_sort(F.collect_list(F.struct("tok_id", "head_id", "dep"))).alias("toks"))
-    s = s.select("article_id", "sent_id", "has_mark", "has_cc",
-                 F.transform("toks", lambda t: t["dep"] == "ROOT").alias("root"),
-                 F.transform("toks", lambda t: (t["head_id"] + 1).cast("int")).alias("up"),
-                 F.transform("toks", lambda t: (t["head_id"] != t["tok_id"]).cast("int")).alias("dist"))
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size("up"))).cast("int")))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.lit(1), F.size("tokens")))).cast("int")))
+    start = F.struct(F.transform("tokens", lambda t: (t["head_id"] + 1).cast("int")).alias("up"),
+                     F.transform("tokens", lambda t: (t["head_id"] != t["tok_id"]).cast("int")).alias("dist"))
     walked = F.aggregate(
-        rounds, F.struct(F.col("up").alias("up"), F.col("dist").alias("dist")),
+        rounds, start,
         lambda acc, _: F.struct(
             F.transform(acc["up"], lambda u: F.element_at(acc["up"], u)).alias("up"),
             F.zip_with(acc["dist"], acc["up"], lambda d, u: d + F.element_at(acc["dist"], u)).alias("dist")),
         lambda acc: acc["dist"])
-    s = s.select("article_id", "sent_id", "has_mark", "has_cc", "root", walked.alias("dist"))
-    return s.select("article_id", "sent_id", "has_mark", "has_cc",
-                    F.array_max(F.zip_with("root", "dist", lambda r, d: F.when(r, F.lit(0)).otherwise(d + 1))).alias("max_depth"))
-
-
-def sentence_features(sents: DataFrame, tokens: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Y6, Y7, Y8, Y9 per article from sentence-level flags."""
-    per_sent = _sentence_level(tokens)
-    nchunks = chunks.groupBy("article_id", "sent_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    q = T.strip_ws(F.col("text")).endswith("?")
-    s = (sents.select("article_id", "sent_id", q.cast("int").alias("is_q"))
-         .join(per_sent, ["article_id", "sent_id"], "left")
-         .join(nchunks, ["article_id", "sent_id"], "left"))
+    return s.withColumn("max_depth", F.array_max(F.zip_with(
+        "tokens", walked, lambda t, d: F.when(t["dep"] == "ROOT", F.lit(0)).otherwise(d + 1))))
+
+
+def article_features(annotated: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted ones of ``RATIOS`` and ``SENTENCE_FEATURES`` per article (Y4-Y9):
+    flags and counts per sentence row, then one aggregation by article.  Only the
+    nested columns that the wanted features read are fetched.  ``n_tokens`` is added."""
+    s = annotated.where("error is null")
+    if "avg_dependency_depth" in wanted:
+        s = _with_depth(s)
     n = F.count(F.lit(1))
-    return s.groupBy("article_id").agg(
-        (F.sum("is_q") / F.greatest(F.lit(1), n)).alias("question_freq"),
-        (F.sum(F.coalesce("has_mark", F.lit(0))) / F.greatest(F.lit(1), n)).alias("complex_sentence_ratio"),
-        (F.sum(F.coalesce("has_cc", F.lit(0))) / F.greatest(F.lit(1), n)).alias("compound_sentence_ratio"),
-        (F.sum(F.coalesce("max_depth", F.lit(0))) / F.greatest(F.lit(1), n)).alias("avg_dependency_depth"),
-        (F.sum(F.coalesce("n_chunks", F.lit(0))) / n).alias("avg_sentence_complexity"))
+    tagged = lambda field, *tags: F.sum(F.size(F.filter("tokens", lambda t: t[field].isin(*tags))))
+    share = lambda flag: F.sum(flag.cast("int")) / F.greatest(F.lit(1), n)
+    features = {
+        "verb_noun_ratio": lambda: tagged("pos", "VERB", "AUX") / F.greatest(F.lit(1), tagged("pos", "NOUN", "PROPN")),
+        "adj_adv_ratio": lambda: tagged("pos", "ADJ") / F.greatest(F.lit(1), tagged("pos", "ADV")),
+        "passive_voice_freq": lambda: tagged("dep", "auxpass", "nsubjpass") / F.greatest(F.lit(1), F.sum(F.size("tokens"))),
+        "question_freq": lambda: share(T.strip_ws(F.col("text")).endswith("?")),
+        "complex_sentence_ratio": lambda: share(F.exists("tokens", lambda t: t["dep"] == "mark")),
+        "compound_sentence_ratio": lambda: share(F.exists("tokens", lambda t: t["dep"] == "cc")),
+        "avg_dependency_depth": lambda: F.sum(F.coalesce("max_depth", F.lit(0))) / F.greatest(F.lit(1), n),
+        "avg_sentence_complexity": lambda: F.sum(F.size("chunks")) / n,
+    }
+    return s.groupBy("article_id").agg(*[features[c]().alias(c) for c in wanted], F.sum(F.size("tokens")).alias("n_tokens"))
+
+
+def token_ratios(annotated: DataFrame) -> DataFrame:
+    """Y4 + Y5 of the articles that have tokens."""
+    return article_features(annotated, RATIOS).where("n_tokens > 0").drop("n_tokens")
+
 
+def sentence_features(annotated: DataFrame, wanted: list[str] = SENTENCE_FEATURES) -> DataFrame:
+    """Y6, Y7, Y8, Y9 of the articles that have sentences."""
+    return article_features(annotated, wanted).drop("n_tokens")
 
-def syntax_features(articles: DataFrame, sents: DataFrame, tokens: DataFrame, chunks: DataFrame,
-                    id_col: str = "article_id") -> DataFrame:
+
+def syntax_features(articles: DataFrame, annotated: DataFrame, id_col: str = "article_id") -> DataFrame:
     """The seven fixed syntax features per article (Y4-Y8, Y10: an article
     without tokens gets seven zeros)."""
-    r = token_ratios(tokens)
-    s = sentence_features(sents, tokens, chunks).drop("avg_sentence_complexity")
-    base = articles.select(F.col(id_col).alias("article_id"))
-    j = base.join(r, "article_id", "left").join(s, "article_id", "left")
-    has_tokens = F.col("verb_noun_ratio").isNotNull()
-    return j.select("article_id", *[F.when(has_tokens, F.coalesce(F.col(c), F.lit(0.0))).otherwise(F.lit(0.0))
-                                    .cast("double").alias(c) for c in SYNTAX_FEATURES])
+    f = article_features(annotated, SYNTAX_FEATURES)
+    j = articles.select(F.col(id_col).alias("article_id")).join(f, "article_id", "left")
+    return j.select("article_id", *[F.when(F.col("n_tokens") > 0, F.col(c)).otherwise(F.lit(0.0)).cast("double").alias(c)
+                                    for c in SYNTAX_FEATURES])
+
+
+def tag_tables(annotated: DataFrame) -> dict[str, DataFrame]:
+    """The long tag frequencies of an annotation by family."""
+    tokens = annotate.tokens(annotated)
+    return {"pos": tag_frequencies(tokens, "pos"), "dep": tag_frequencies(tokens, "dep"),
+            "ent": entity_frequencies(annotate.entities(annotated))}
 
 
 def wide_tags(long: DataFrame, prefix: str, suffix: str, tags: list[str]) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penmark.functions.lexicons import LEXICAL_FEATURES, SYNTAX_FEATURES, basic_feature_names
-from penmark.operators import basic, clean, ngrams, prep, syntax
+from penmark.functions.lexicons import LEXICAL_FEATURES
+from penmark.operators import basic, clean, prep, syntax
 from penmark.plans.registry import query, rounded
 from penmark.sources import files, tables
 
@@ -74,28 +74,16 @@ def concat_pages(spark, sf_dir):
     return out.select("conv_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query("all_features")
-def all_features(spark, sf_dir):
-    """F8 + J1 + P4: basic and syntax features joined on the article id,
-    metadata columns projected away."""
-    from penmark.plans.syntax_queries import annotated
-    docs, sents, tokens, _, chunks = annotated(spark, sf_dir)
-    b = basic.basic_features(docs, keep=["doc_id"], mode="normalized").withColumnRenamed("doc_id", "article_id")
-    s = syntax.syntax_features(docs.withColumnRenamed("doc_id", "article_id"), sents, tokens, chunks)
-    return rounded(b.join(s, "article_id"))
-
-
 @query("join_features")
 def join_features(spark, sf_dir):
     """P8 + J1 + J2: the wide table, article columns joined to the basic features, the
     syntax features and the tag frequencies on the article id."""
-    from penmark.plans.syntax_queries import annotated, article_tag_table
-    docs, sents, tokens, ents, chunks = annotated(spark, sf_dir)
+    from penmark.plans.syntax_queries import annotated, article_tag_table, styled_documents
+    docs, sents = styled_documents(spark, sf_dir).withColumnRenamed("doc_id", "article_id"), annotated(spark, sf_dir)
     art = tables.articles(spark, sf_dir).select("article_id", "source", "genre", "title")
-    b = basic.basic_features(docs, keep=["doc_id"], mode="normalized").withColumnRenamed("doc_id", "article_id")
-    s = syntax.syntax_features(docs.withColumnRenamed("doc_id", "article_id"), sents, tokens, chunks)
-    t = article_tag_table(docs, sents, tokens, ents, chunks)
-    return rounded(art.join(b, "article_id").join(s, "article_id").join(t, "article_id"))
+    b = basic.basic_features(docs, keep=["article_id"], mode="normalized")
+    return rounded(art.join(b, "article_id").join(syntax.syntax_features(docs, sents), "article_id")
+                   .join(article_tag_table(docs, sents), "article_id"))
 
 
 @query("feature_projection")
@@ -116,23 +104,15 @@ def align_features(spark, sf_dir):
     return rounded(prep.align_by_name(f, expected))
 
 
-@query("feature_registry")
-def feature_registry(spark, sf_dir):
-    """Names of the basic, syntax and n-gram feature columns in order."""
-    d = tables.documents(spark, sf_dir).select("doc_id", "text")
-    model = ngrams.fit(d, "text", 500)
-    return files.feature_registry(spark, {"basic": basic_feature_names(), "syntax": SYNTAX_FEATURES,
-                                          "word_ngram": model.terms})
-
-
 @query("union_features")
 def union_features(spark, sf_dir):
     """Wide tag frequencies of two batches with different tag sets (the
     second annotator knows no SCONJ), unioned by name: the missing tag is NULL there."""
+    from penmark.operators import annotate, standin
     from penmark.plans.syntax_queries import annotated
-    _, _, tokens, _, _ = annotated(spark, sf_dir)
+    tokens = annotate.tokens(annotated(spark, sf_dir))
     frames = []
-    for parity, tags in enumerate((syntax.STANDIN_POS, syntax.STANDIN_POS[:-1])):
+    for parity, tags in enumerate((standin.POS, standin.POS[:-1])):
         long = syntax.tag_frequencies(tokens.where(F.col("article_id") % 2 == parity), "pos")
         frames.append(syntax.wide_tags(long, "pos_", "_freq", tags))
     return rounded(prep.union_features(frames))

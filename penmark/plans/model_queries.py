@@ -1,49 +1,49 @@
-"""Registered model queries (rows-only checks: optimiser output is not
-reproducible in SQL)."""
+"""Registered model queries.  The pair model's epochs are deterministic, so SQL
+can follow them; forests and the source classifier's solver are rows-only."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penmark.operators import basic, evaluate, model, pairs, prep, stats
+from penmark.operators import basic, bundle, evaluate, model, pairs, prep, stats
+from penmark.operators.ranking import h60
 from penmark.plans.pair_queries import source_pair_vectors
 from penmark.plans.registry import query, rounded
 from penmark.session import cut_lineage
-from penmark.sources import tables
+from penmark.sources import files, tables
 
-EPOCHS = [1, 2, 5, 10, 25, 50, 100]
+MAX_EPOCHS = 100
 
 
-def prepared_pairs(spark, sf_dir):
-    """Labelled source pairs with |diff| vectors, split 70/15/15 by label,
-    imputed and standardised with statistics of the training part."""
+def split_pairs(spark, sf_dir):
+    """Labelled source pairs with |diff| vectors, split 70/15/15 by label, and the feature names."""
     d, names = source_pair_vectors(spark, sf_dir)
-    d = prep.stratified_split(d, "pair_id", "label", 0.3, 0.5, 42)
-    d = cut_lineage(d)
-    st = prep.fit_vector_stats(d.where(F.col("split") == "train"), "diff")
-    z = model.to_vector(prep.standardize(d, "diff", st, "z"), "z")
-    return z, st, names
+    return cut_lineage(prep.stratified_split(cut_lineage(d), "pair_id", "label", 0.3, 0.5, 42)), names
+
+
+def fitted_pairs(spark, sf_dir):
+    """The split pairs and the bundle trained on them."""
+    d, names = split_pairs(spark, sf_dir)
+    return d, bundle.PairClassifier(names, maxIter=MAX_EPOCHS).fit(d)
 
 
 @query("train_pair_model")
 def train_pair_model(spark, sf_dir):
-    """M7: pair model trained on the training split; test predictions."""
-    z, _, _ = prepared_pairs(spark, sf_dir)
-    m = model.train_logistic(z.where(F.col("split") == "train"))
-    p = model.predict(m, z.where(F.col("split") == "test"))
-    return p.select("pair_id", "label", "prediction", "prob_1")
+    """M7: pair model trained on the training split, best epoch by validation
+    loss; test predictions."""
+    d, m = fitted_pairs(spark, sf_dir)
+    return rounded(m.transform(d.where(F.col("split") == "test")).select("pair_id", "label", "prediction", "prob_1"))
 
 
 @query("train_history")
 def train_history(spark, sf_dir):
-    """M8: per-epoch loss/accuracy on train and validation."""
-    z, _, _ = prepared_pairs(spark, sf_dir)
-    z = cut_lineage(z.select("pair_id", "label", "split", "features_vec"))
-    return model.history(z.where(F.col("split") == "train"), z.where(F.col("split") == "val"), EPOCHS)
+    """M8: loss and accuracy of every epoch on train and validation."""
+    return rounded(fitted_pairs(spark, sf_dir)[1].history(spark))
 
 
 @query("best_epoch")
 def best_epoch(spark, sf_dir):
+    """M8: the epoch with the lowest validation loss."""
     return model.best_epoch(train_history(spark, sf_dir))
 
 
@@ -119,41 +119,42 @@ def source_report(spark, sf_dir):
     return rounded(counts.unionByName(means_long).unionByName(imp).unionByName(rep_long))
 
 
+def score_texts(gen, art, m, draws_per_text):
+    """Every text of ``gen`` (gen_id, text) is paired with ``draws_per_text`` seeded draws
+    of the articles; its score is the mean 'same source' probability over its pairs.
+    Only drawn articles are featurised; features are aligned with the bundle's registry by name."""
+    names = m.fitted.names
+
+    def vectors(df, id_col, tag):
+        f = basic.basic_features(df, keep=[id_col], mode="normalized")
+        aligned = prep.align_by_name(f, [id_col, *names])
+        return aligned.select(F.concat(F.lit(tag), F.col(id_col).cast("string")).alias("vid"),
+                              F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
+
+    # draws of each generated text among the articles (ranked by hash)
+    ranked = pairs.ranked_members(art.select(F.lit("t").alias("g"), "article_id"), "g", "article_id", 42)
+    n_t = ranked.count()
+    draws = gen.select("gen_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws_per_text - 1)))) \
+        .withColumn("rank", F.pmod(h60(42, "score", F.col("gen_id"), F.col("k")), F.lit(max(n_t, 1))))
+    # generated and article ids live in different spaces: tagged
+    pr = cut_lineage(draws.join(ranked.select("rank", "article_id"), "rank").select(
+        F.concat_ws("/", F.col("gen_id").cast("string"), F.col("k").cast("string")).alias("pair_id"), "article_id",
+        F.concat(F.lit("g"), F.col("gen_id").cast("string")).alias("id1"), F.concat(F.lit("a"), F.col("article_id").cast("string")).alias("id2")))
+    drawn = art.select("article_id", "text").join(pr.select("article_id"), "article_id", "left_semi")
+    diff = pairs.pair_abs_diff(pr, vectors(gen, "gen_id", "g").unionByName(vectors(drawn, "article_id", "a")), "vid", "v")
+    p = m.transform(diff)
+    return (p.groupBy(F.col("id1").alias("gen")).agg(F.avg("prob_1").alias("prob_same_source"), F.count(F.lit(1)).alias("n_pairs"))
+            .withColumn("pred_label", (F.col("prob_same_source") >= 0.5).cast("int")))
+
+
 @query("score_articles")
 def score_articles(spark, sf_dir, draws_per_text: int = 5):
     """M11 re-aimed: the pair model scores PAIRS, so every generated text
-    (assistant turns of a conversation, concatenated) is paired with
-    ``draws_per_text`` seeded draws of target-source articles; its score is the mean
-    'same source' probability over its pairs.  Only drawn articles are featurised."""
-    z, st, names = prepared_pairs(spark, sf_dir)
-    m = model.train_logistic(z.where(F.col("split") == "train"))
+    (assistant turns of a conversation, concatenated) is paired with draws of
+    target-source articles.  The fitted bundle is saved and read back from disk."""
+    path = files.scratch_path(spark, "pair-model")
+    fitted_pairs(spark, sf_dir)[1].write().save(path)
+    m = bundle.PairClassifierModel.load(path)
     conv = tables.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    from penmark.sources import files
     gen = files.concat_pages(conv, "conv_id", "turn", "text").withColumnRenamed("conv_id", "gen_id")
-    art = tables.articles(spark, sf_dir).where(F.col("is_target"))
-    gfeat = basic.basic_features(gen, keep=["gen_id"], mode="normalized")
-    gvec = gfeat.select(F.col("gen_id").alias("vid"), F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
-    # draws of each generated text among the target articles (ranked by hash)
-    ranked = pairs.ranked_members(art.select(F.lit("t").alias("g"), "article_id"), "g", "article_id", 42)
-    n_t = ranked.select(F.count(F.lit(1))).scalar()
-    from penmark.operators.ranking import h60
-    draws = gen.select("gen_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws_per_text - 1)))) \
-        .withColumn("rank", F.pmod(h60(42, "score", F.col("gen_id"), F.col("k")), n_t))
-    pr = draws.join(ranked.select("rank", "article_id"), "rank") \
-        .select(F.concat_ws("/", F.col("gen_id").cast("string"), F.col("k").cast("string")).alias("pair_id"),
-                F.col("gen_id").alias("id1"), F.col("article_id").alias("id2"))
-    pr = cut_lineage(pr)
-    drawn = art.select("article_id", "text").join(pr.select(F.col("id2").alias("article_id")), "article_id", "left_semi")
-    afeat = basic.basic_features(drawn, keep=["article_id"], mode="normalized")
-    avec = afeat.select(F.col("article_id").alias("vid"), F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
-    # generated and article ids live in different spaces: tag them
-    vecs = gvec.select(F.concat(F.lit("g"), F.col("vid").cast("string")).alias("vid"), "v").unionByName(
-        avec.select(F.concat(F.lit("a"), F.col("vid").cast("string")).alias("vid"), "v"))
-    pr = pr.select("pair_id", F.concat(F.lit("g"), F.col("id1").cast("string")).alias("id1"),
-                   F.concat(F.lit("a"), F.col("id2").cast("string")).alias("id2"))
-    diff = pairs.pair_abs_diff(pr, vecs, "vid", "v")
-    zz = model.to_vector(prep.standardize(diff, "diff", st, "z"), "z")
-    p = model.predict(m, zz, label="__none")
-    return (p.groupBy(F.col("id1").alias("gen")).agg(F.avg("prob_1").alias("prob_same_source"),
-                                                     F.count(F.lit(1)).alias("n_pairs"))
-            .withColumn("pred_label", (F.col("prob_same_source") >= 0.5).cast("int")))
+    return rounded(score_texts(gen, tables.articles(spark, sf_dir).where(F.col("is_target")), m, draws_per_text))

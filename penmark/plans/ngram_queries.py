@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penmark.operators import ngrams
+from penmark.operators import fitstate, ngrams
 from penmark.plans.registry import query, rounded
-from penmark.sources import tables
+from penmark.sources import files, tables
 
 
 @query("ngrams")
@@ -21,13 +21,24 @@ def ngram_digest(spark, sf_dir):
 @query("vocab_topk")
 def vocab_topk(spark, sf_dir):
     """The 500-term vocabulary with corpus/document frequency and idf."""
-    d = tables.documents(spark, sf_dir)
-    n = d.select(F.count(F.lit(1))).scalar()
-    v = ngrams.vocabulary(ngrams.term_stats(d, "text"), 500)
-    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    terms, n = ngrams.frequent_terms(tables.documents(spark, sf_dir), "text", 500)
+    v = spark.createDataFrame(terms, "term string, cf bigint, df bigint")
+    idf = F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return rounded(v.select("term", "cf", "df", idf.alias("idf")))
 
 
+@query("merged_vocabulary")
+def merged_vocabulary(spark, sf_dir):
+    """N3 from merged fits: three batches are fitted on their own, the first two merged
+    and stored, and the third merged into what is read back; the vocabulary of all documents."""
+    d = tables.documents(spark, sf_dir).select("doc_id", "text")
+    states = [fitstate.TermState.of(d.where(F.col("doc_id") % 3 == i)) for i in range(3)]
+    path = files.scratch_path(spark, "terms")
+    states[0].merge(states[1]).save(path)
+    model = fitstate.TermState.load(spark, path).merge(states[2]).model(500)
+    return rounded(model.table(spark).select("term", "idf"))
+
+
 @query("tfidf")
 def tfidf(spark, sf_dir):
     """Normalised TF-IDF weights of every document, sparse long form."""

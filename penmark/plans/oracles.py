@@ -69,6 +69,14 @@ def tb_tokens_norm(t: str) -> str:
             f"lambda w: CASE WHEN w IN ({whole}) THEN [substr(w, 1, {k}), substr(w, {k + 1})] ELSE [w] END)) END)")
 
 
+def tb_tokens_raw(t: str) -> str:
+    """Treebank tokens of raw text: word runs and single marks, contraction words split in two."""
+    whole = ", ".join(q(w) for w, _ in TREEBANK_SPLITS)
+    k = TREEBANK_SPLITS[0][1]
+    return (f"flatten(list_transform(regexp_extract_all({t}, {q('[' + WB + ']+|[^' + WB + SB + ']')}), "
+            f"lambda w: CASE WHEN lower(w) IN ({whole}) THEN [substr(w, 1, {k}), substr(w, {k + 1})] ELSE [w] END))")
+
+
 def sent_count(x: str) -> str:
     return (f"len(list_filter(regexp_split_to_array({x}, '[.!?]+'), "
             f"lambda s: regexp_matches(s, {q('[^' + SB + ']')})))")
@@ -181,9 +189,7 @@ def stage_sql(src: str, id_cols: list[str], text_sql: str, mode: str, families:
     ids = ", ".join(id_cols)
     cols = [f"{ids}", "t"]
     if "lexical" in families:
-        if mode != "normalized":
-            raise ValueError("oracle lexical features only for normalised text")
-        cols.append(f"{tb_tokens_norm('t')} AS tok")
+        cols.append(f"{tb_tokens_norm('t') if mode == 'normalized' else tb_tokens_raw('t')} AS tok")
     cols.append(f"{sent_count('t')} AS snt")
     cols.append(f"{words('t')} AS wrd")
     cols.append(f"{words('lower(t)')} AS lw")
@@ -315,6 +321,7 @@ def vocab_cte(src: str = "documents", id_col: str = "doc_id", k: int = 500) -> s
 ORACLES["ngrams"] = (f"WITH {grams_cte('documents', 'doc_id')} SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_grams, "
                      f"md5(array_to_string(grams, '|')) AS grams_md5 FROM gl")
 ORACLES["vocab_topk"] = f"WITH {vocab_cte()} SELECT term, cf, df, {r6('idf')} AS idf FROM vocab"
+ORACLES["merged_vocabulary"] = f"WITH {vocab_cte()} SELECT term, {r6('idf')} AS idf FROM vocab"
 ORACLES["tfidf"] = f"""WITH {vocab_cte()},
 w AS (SELECT doc_id, term, (1 + ln(c)) * idf AS w FROM tf JOIN vocab USING (term)),
 nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY doc_id)
@@ -352,14 +359,15 @@ same_{tag} AS (SELECT d.grp, d.draw, a.article_id AS id1, b.article_id AS id2
   JOIN mem_{tag} a ON a.grp = d.grp AND a.rank = d.r1 JOIN mem_{tag} b ON b.grp = d.grp AND b.rank = d.r2)"""
 
 
-def distinct_pairs_cte(g: str, tag: str, n: int) -> str:
+def distinct_pairs_cte(g: str, tag: str) -> str:
+    """As many different pairs as there are articles, at most all."""
     return f"""{members_cte(g, tag)},
 sz_{tag} AS (SELECT grp, count(*) AS m FROM mem_{tag} GROUP BY grp HAVING count(*) >= 2),
 sp_{tag} AS (SELECT grp, m * (m - 1) // 2 AS pairs,
                     sum(m * (m - 1) // 2) OVER (ORDER BY {H('42', q('space'), 'grp')}, grp) - m * (m - 1) // 2 AS first FROM sz_{tag}),
 tt_{tag} AS (SELECT CAST(coalesce(sum(pairs), 0) AS BIGINT) AS total FROM sp_{tag}),
 dr_{tag} AS (SELECT d AS draw, (d * (CASE WHEN total % 2147483647 <> 0 THEN 2147483647 ELSE 2147483629 END) + 42) % total AS o
-             FROM tt_{tag}, range(0, {n}) t(d) WHERE d < total),
+             FROM (SELECT total, unnest(range(0, least(total, (SELECT count(*) FROM articles)))) AS d FROM tt_{tag}) t),
 dl_{tag} AS (SELECT grp, draw, CAST(o - first AS BIGINT) AS l FROM dr_{tag} JOIN sp_{tag} ON o >= first AND o < first + pairs),
 dj_{tag} AS (SELECT grp, draw, l, b.rank AS j, b.article_id AS id2 FROM dl_{tag} JOIN mem_{tag} b USING (grp)
              WHERE b.rank * (b.rank - 1) // 2 <= l AND b.rank * (b.rank + 1) // 2 > l),
@@ -393,11 +401,11 @@ ORACLES["same_source_pairs"] = (f"WITH {articles_cte()}, {same_pairs_cte('source
                                 f"SELECT grp AS source, draw, id1, id2 FROM same_s")
 ORACLES["diff_source_pairs"] = (f"WITH {articles_cte()}, {same_pairs_cte('source', 's', 50)}, {diff_pairs_cte('s')} "
                                 f"SELECT * FROM diff_s")
-ORACLES["author_pairs_sampled"] = (f"WITH {articles_cte()}, {distinct_pairs_cte('author', 'a', 200)} "
+ORACLES["author_pairs_sampled"] = (f"WITH {articles_cte()}, {distinct_pairs_cte('author', 'a')} "
                                    f"SELECT grp AS author, draw, id1, id2 FROM same_a")
-ORACLES["diff_author_pairs"] = (f"WITH {articles_cte()}, {distinct_pairs_cte('author', 'a', 200)}, {diff_pairs_cte('a')} "
+ORACLES["diff_author_pairs"] = (f"WITH {articles_cte()}, {distinct_pairs_cte('author', 'a')}, {diff_pairs_cte('a')} "
                                 f"SELECT * FROM diff_a")
-_AUTHOR_LAB = f"{articles_cte()}, {distinct_pairs_cte('author', 'a', 200)}, {diff_pairs_cte('a')}, {labelled_cte('a')}"
+_AUTHOR_LAB = f"{articles_cte()}, {distinct_pairs_cte('author', 'a')}, {diff_pairs_cte('a')}, {labelled_cte('a')}"
 ORACLES["author_pair_table"] = f"""WITH {_AUTHOR_LAB}
 SELECT pair_id, id1 AS article1_idx, id2 AS article2_idx, label AS same_author,
        x.title AS article1_title, y.title AS article2_title, x.author AS article1_author, y.author AS article2_author
@@ -425,6 +433,7 @@ wide AS (SELECT pair_id, id1, id2, label, {_DIFFS}
          FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2)
 SELECT pair_id, id1, id2, label, CAST(pos0 AS BIGINT) AS pos, {r6('v0')} AS value
 FROM (UNPIVOT wide ON {', '.join(f'"{i}"' for i in range(len(basic_feature_names())))} INTO NAME pos0 VALUE v0) u"""
+ORACLES["store_pair_diff"] = ORACLES["pair_abs_diff"]
 ORACLES["missing_cells"] = f"""WITH {_SOURCE_LAB},
 cells AS (SELECT id1, id2, unnest(range({len(basic_feature_names())})) AS i FROM lab_s),
 n AS (SELECT CAST(count(*) FILTER (WHERE i = 3 OR (id1 + i) % 11 = 0 OR (id2 + i) % 11 = 0) AS BIGINT) AS n_missing,
@@ -451,6 +460,7 @@ ORACLES["impute_mean"] = f"""WITH {_HOLED}
 SELECT article_id, pos, {r6('coalesce(v, m)')} AS value FROM long1 JOIN kept USING (pos0)"""
 ORACLES["standardize"] = f"""WITH {_HOLED}
 SELECT article_id, pos, {r6('(coalesce(v, m) - m) / s')} AS value FROM long1 JOIN kept USING (pos0)"""
+ORACLES["merged_standardize"] = ORACLES["standardize"]
 ORACLES["label_encode"] = ("SELECT doc_id AS article_id, source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS BIGINT) AS label "
                            "FROM documents")
 ORACLES["hash_split"] = (f"SELECT doc_id AS article_id, CASE WHEN {H('42', q('bucket'), 'doc_id')} % 100 < 80 "
@@ -465,6 +475,62 @@ r AS (SELECT pair_id, label, row_number() OVER (PARTITION BY label ORDER BY {H('
              count(*) OVER (PARTITION BY label) AS n FROM lab_s)
 SELECT pair_id, label, CASE WHEN rk < floor(ceil(n * 0.3) * 0.5) THEN 'val' WHEN rk < ceil(n * 0.3) THEN 'test'
                             ELSE 'train' END AS split FROM r"""
+# the pair model's epochs: accelerated proximal gradient steps as a recursive query over the standardised pair vectors
+_MARGIN = "1.0 / (1.0 + exp(-(list_dot_product(z, {w}) + {b})))"
+_CLIP = f"least(greatest({_MARGIN.format(w='w', b='b')}, 1e-15), 1 - 1e-15)"
+_TRAINED = f"""WITH RECURSIVE {_SOURCE_LAB},
+wide AS (SELECT pair_id, id1, id2, label, {_DIFFS}
+         FROM lab_s JOIN feats x ON x.article_id = id1 JOIN feats y ON y.article_id = id2),
+rk AS (SELECT pair_id, row_number() OVER (PARTITION BY label ORDER BY {H('42', q('strat'), 'pair_id')}, pair_id) - 1 AS rk,
+              count(*) OVER (PARTITION BY label) AS n FROM wide),
+sp AS (SELECT pair_id, CASE WHEN rk < floor(ceil(n * 0.3) * 0.5) THEN 'val' WHEN rk < ceil(n * 0.3) THEN 'test'
+                            ELSE 'train' END AS split FROM rk),
+dl AS (SELECT pair_id, label, split, CAST(pos0 AS BIGINT) AS pos, v FROM
+       (UNPIVOT wide ON {', '.join(f'"{i}"' for i in range(len(_NAMES)))} INTO NAME pos0 VALUE v) u JOIN sp USING (pair_id)),
+fit AS (SELECT pos, avg(v) AS m, CASE WHEN sqrt(var_pop(v)) > 10 * 2.220446049250313e-16 THEN sqrt(var_pop(v)) ELSE 1.0 END AS s
+        FROM dl WHERE split = 'train' GROUP BY pos),
+zl AS MATERIALIZED (SELECT pair_id, label, split, pos, (v - m) / s AS v FROM dl JOIN fit USING (pos)),
+xs AS MATERIALIZED (SELECT pair_id, split, label, CAST(label AS DOUBLE) AS y, list(v ORDER BY pos) AS z FROM zl GROUP BY ALL),
+cfg AS (SELECT 1.0 / (0.25 * avg(1.0 + list_dot_product(z, z)) + 0.001 * 0.85) AS step, max(len(z)) AS width FROM xs WHERE split = 'train'),
+it(e, w, b, aw, ab, t) AS (
+  SELECT 0, [CAST(0 AS DOUBLE) FOR i IN range(width)], CAST(0 AS DOUBLE), [CAST(0 AS DOUBLE) FOR i IN range(width)], CAST(0 AS DOUBLE),
+         CAST(1 AS DOUBLE) FROM cfg
+  UNION ALL
+  SELECT e + 1, nw, nb, [nw[i] + (t - 1) / nt * (nw[i] - w[i]) FOR i IN range(1, len(nw) + 1)], nb + (t - 1) / nt * (nb - b), nt
+  FROM (SELECT *, (1 + sqrt(1 + 4 * t * t)) / 2 AS nt, ab - step * gb AS nb,
+               [sign(u) * greatest(abs(u) - step * 0.001 * 0.15, 0) FOR u IN
+                [aw[i] - step * (g[i] + 0.001 * 0.85 * aw[i]) FOR i IN range(1, len(aw) + 1)]] AS nw
+        FROM it, cfg, (SELECT list(g ORDER BY pos) AS g, max(gb) AS gb FROM (
+          SELECT pos, avg(err * v) AS g, avg(err) AS gb
+          FROM (SELECT pair_id, {_MARGIN.format(w='aw', b='ab')} - y AS err FROM xs, it WHERE split = 'train') r JOIN zl USING (pair_id)
+          GROUP BY pos) c) d
+        WHERE e < 100) n),
+hist AS (SELECT e AS epoch, split, avg(CASE WHEN label = 1 THEN -ln({_CLIP}) ELSE -ln(1.0 - {_CLIP}) END) AS loss,
+                avg(CASE WHEN ({_CLIP} > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS accuracy
+         FROM it, xs WHERE e >= 1 AND split IN ('train', 'val') GROUP BY e, split),
+best AS (SELECT epoch, loss FROM hist WHERE split = 'val' ORDER BY loss, epoch LIMIT 1)"""
+ORACLES["train_history"] = (f"{_TRAINED} SELECT CAST(epoch AS INTEGER) AS epoch, split, {r6('loss')} AS loss, {r6('accuracy')} AS accuracy FROM hist")
+ORACLES["best_epoch"] = f"{_TRAINED} SELECT CAST(epoch AS INTEGER) AS best_epoch, {r6('loss')} AS best_val_loss FROM best"
+ORACLES["train_pair_model"] = f"""{_TRAINED}
+SELECT pair_id, label, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction, {r6('p')} AS prob_1
+FROM (SELECT pair_id, label, {_MARGIN.format(w='w', b='b')} AS p FROM xs, it JOIN best ON epoch = e WHERE split = 'test') t"""
+ORACLES["score_articles"] = f"""{_TRAINED},
+gen AS (SELECT conv_id AS gen_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+gf AS ({features_sql('gen', ['gen_id'], 'text', 'normalized', _ALLF, round_doubles=False)}),
+gl AS (UNPIVOT (SELECT gen_id, {', '.join(f'CAST({c} AS DOUBLE) AS "{i}"' for i, c in enumerate(_NAMES))} FROM gf)
+       ON {', '.join(f'"{i}"' for i in range(len(_NAMES)))} INTO NAME pos0 VALUE v),
+al AS (UNPIVOT (SELECT article_id, {', '.join(f'CAST({c} AS DOUBLE) AS "{i}"' for i, c in enumerate(_NAMES))} FROM feats)
+       ON {', '.join(f'"{i}"' for i in range(len(_NAMES)))} INTO NAME pos0 VALUE v),
+target AS (SELECT article_id, row_number() OVER (ORDER BY {H('42', 'article_id')}, article_id) - 1 AS rank, count(*) OVER () AS n
+           FROM articles WHERE is_target),
+dr AS (SELECT gen_id, k, {H('42', q('score'), 'gen_id', 'k')} % (SELECT max(n) FROM target) AS rank
+       FROM (SELECT gen_id, unnest(range(0, 5)) AS k FROM gen) g),
+sd AS (SELECT gen_id, k, sum((abs(gl.v - al.v) - m) / s * w[pos + 1]) + any_value(b) AS margin
+       FROM dr JOIN target USING (rank) JOIN gl USING (gen_id) JOIN al ON al.article_id = target.article_id AND al.pos0 = gl.pos0
+       JOIN fit ON fit.pos = CAST(gl.pos0 AS BIGINT), it JOIN best ON epoch = e GROUP BY gen_id, k)
+SELECT 'g' || gen_id AS gen, {r6('avg(1.0 / (1.0 + exp(-margin)))')} AS prob_same_source, count(*) AS n_pairs,
+       CASE WHEN avg(1.0 / (1.0 + exp(-margin))) >= 0.5 THEN 1 ELSE 0 END AS pred_label
+FROM sd GROUP BY gen_id"""
 _SCORED = f"""WITH {_SOURCE_LAB},
 z AS (SELECT pair_id, label, 1.0 - 2.0 * abs(x.avg_word_length - y.avg_word_length)
                               - 5.0 * abs(x.lexical_diversity - y.lexical_diversity)
@@ -498,7 +564,7 @@ def _inlist(ws) -> str:
 
 def annotation_ctes() -> str:
     from penmark.functions.lexicons import FUNCTION_WORDS as FW
-    from penmark.operators.syntax import STANDIN_CCONJ, STANDIN_SCONJ
+    from penmark.operators.standin import CCONJ as STANDIN_CCONJ, SCONJ as STANDIN_SCONJ
     keep = (f"list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*'), "
             f"lambda s: regexp_matches(regexp_replace(s, '[.!?]+\\z', ''), {q('[^' + SB + ']')}))")
     pos = (f"CASE WHEN lower(text) IN ({_inlist(FW['articles'])}) THEN 'DET' "
@@ -733,11 +799,6 @@ ORACLES["concat_pages"] = ("SELECT conv_id, CAST(length(t) AS BIGINT) AS n_chars
                            "(SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id) z")
 ORACLES["align_features"] = (f"SELECT doc_id, {', '.join(c for c in LEXICAL_FEATURES)}, 0.0::DOUBLE AS pos_NOUN_freq, "
                              f"0.0::DOUBLE AS word_ngram_0 FROM ({features_sql('documents', ['doc_id'], 'text', 'normalized', ['lexical'])}) z")
-_REG_STATIC = (" UNION ALL ".join([f"SELECT 'basic' AS family, {i} AS pos, {q(n)} AS feature" for i, n in enumerate(basic_feature_names())]
-                                  + [f"SELECT 'syntax', {i}, {q(n)}" for i, n in enumerate(SYNTAX_FEATURES_)]))
-ORACLES["feature_registry"] = (f"WITH {vocab_cte()} {_REG_STATIC} UNION ALL "
-                               f"SELECT 'word_ngram', CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER), term FROM vocab")
-
 
 # ---------------------------------------------------------------- whole cleaning (C13) and combined features (F8)
 
@@ -794,42 +855,61 @@ _REJECTS = (f"SELECT doc_id, NULL, NULL, string_split(path, '/')[2], '0', string
 ORACLES["clean_articles"] = (f"{_P}, " + ", ".join(c for c, _ in _ca) + " "
                              + " UNION ALL ".join([*(s for _, s in _ca), _REJECTS]))
 
-ORACLES["all_features"] = f"""WITH RECURSIVE {annotation_ctes()}, {_SENTF}, {_RATIOS},
-b AS ({features_sql(styled_src(), ['doc_id'], 'text', 'normalized', ['lexical', 'function_words', 'readability', 'punctuation', 'structure'])}),
-s AS (SELECT d.doc_id,
-  {', '.join(f"{r6(f'CASE WHEN r.article_id IS NULL THEN 0.0 ELSE coalesce({c}, 0.0) END')} AS {c}" for c in ['verb_noun_ratio', 'adj_adv_ratio', 'passive_voice_freq', 'question_freq', 'complex_sentence_ratio', 'compound_sentence_ratio', 'avg_dependency_depth'])}
-  FROM docs d LEFT JOIN ratios r ON r.article_id = d.doc_id LEFT JOIN sentf sf ON sf.article_id = d.doc_id)
-SELECT b.doc_id AS article_id, * EXCLUDE (doc_id) FROM b JOIN s USING (doc_id)"""
 
-
-# ---------------------------------------------------------------- Y11: standardised advanced vector
+# ---------------------------------------------------------------- the wide vector by registry
 
 _SYN7 = ['verb_noun_ratio', 'adj_adv_ratio', 'passive_voice_freq', 'question_freq', 'complex_sentence_ratio',
          'compound_sentence_ratio', 'avg_dependency_depth']
-ORACLES["advanced_features"] = f"""{_REC}, {_RATIOS},
+
+
+def _values(names: list[str]) -> str:
+    return f"(VALUES {', '.join(f'({i}, {q(n)})' for i, n in enumerate(names))}) t(io, name)"
+
+
+def _freqs(table: str, col: str) -> str:
+    return (f"SELECT p.article_id, tag, n / total AS v FROM (SELECT article_id, {col} AS tag, count(*) AS n FROM {table} GROUP BY ALL) p "
+            f"JOIN (SELECT article_id, count(*) AS total FROM {table} GROUP BY article_id) t USING (article_id)")
+
+
+def wide_ctes(basic_too: bool) -> str:
+    """reg (pos, family, name, key) and cell (article_id, family, key, v)."""
+    tags = [("pos", "posf"), ("dep", "depf"), ("ent", "entf")]
+    reg = [f"SELECT 1 AS fo, io, 'syntax' AS family, name, name AS key FROM {_values(_SYN7)}"]
+    reg += [f"SELECT {i + 2}, row_number() OVER (ORDER BY tag), '{f}', '{f}_' || tag || '_freq', tag FROM (SELECT DISTINCT tag FROM {t}) t"
+            for i, (f, t) in enumerate(tags)]
+    reg.append("SELECT 5, row_number() OVER (ORDER BY term), 'word_ngram', term, term FROM vocab")
+    cell = [f"SELECT article_id, 'syntax' AS family, '{c}' AS key, {c} AS v FROM syn" for c in _SYN7]
+    cell += [f"SELECT article_id, '{f}', tag, v FROM {t}" for f, t in tags]
+    cell.append("SELECT article_id, 'word_ngram', term, v FROM tfw")
+    basic_cte = ""
+    if basic_too:
+        reg.append(f"SELECT 0, io, 'basic', name, name FROM {_values(_NAMES)}")
+        cell += [f"SELECT article_id, 'basic', '{c}', CAST({c} AS DOUBLE) FROM bf WHERE {c} IS NOT NULL" for c in _NAMES]
+        basic_cte = f"bf AS (SELECT doc_id AS article_id, * EXCLUDE (doc_id) FROM ({features_sql(styled_src(), ['doc_id'], 'text', 'normalized', _ALLF, round_doubles=False)}) z),"
+    return f"""{annotation_ctes()}, {_SENTF}, {_RATIOS}, {basic_cte}
 syn AS (SELECT d.doc_id AS article_id,
   {', '.join(f"CAST(CASE WHEN r.article_id IS NULL THEN 0.0 ELSE coalesce({c}, 0.0) END AS DOUBLE) AS {c}" for c in _SYN7)}
   FROM docs d LEFT JOIN ratios r ON r.article_id = d.doc_id LEFT JOIN sentf s ON s.article_id = d.doc_id),
-tags AS (SELECT DISTINCT pos AS tag FROM tokens),
-posf AS (SELECT p.article_id, tag, n / total AS freq FROM
-         (SELECT article_id, pos AS tag, count(*) AS n FROM tokens GROUP BY ALL) p JOIN
-         (SELECT article_id, count(*) AS total FROM tokens GROUP BY article_id) t USING (article_id)),
+posf AS ({_freqs('tokens', 'pos')}), depf AS ({_freqs('tokens', 'dep')}), entf AS ({_freqs('ents', 'label')}),
 ndocs AS (SELECT doc_id AS article_id, {norm('text')} AS text FROM docs),
 {vocab_cte('ndocs', 'article_id')},
 w AS (SELECT article_id, term, (1 + ln(c)) * idf AS w FROM tf JOIN vocab USING (term)),
 nrm AS (SELECT article_id, sqrt(sum(w * w)) AS n FROM w GROUP BY article_id),
 tfw AS (SELECT article_id, term, w / n AS v FROM w JOIN nrm USING (article_id)),
-lng AS ({' UNION ALL '.join(f"SELECT article_id, 'syn:{c}' AS f, {c} AS v FROM syn" for c in _SYN7)}
-  UNION ALL SELECT d.doc_id, 'pos:' || tags.tag, posf.freq FROM docs d CROSS JOIN tags
-            LEFT JOIN posf ON posf.article_id = d.doc_id AND posf.tag = tags.tag
-  UNION ALL SELECT d.doc_id, 'tf:' || vocab.term, coalesce(tfw.v, 0.0) FROM docs d CROSS JOIN vocab
-            LEFT JOIN tfw ON tfw.article_id = d.doc_id AND tfw.term = vocab.term),
-st2 AS (SELECT f, count(*) AS n, count(v) AS nn, avg(v) AS m, var_pop(v) AS var FROM lng GROUP BY f HAVING count(v) > 0),
-sc AS (SELECT f, m, CASE WHEN sqrt(coalesce(var, 0) * nn / n) > 10 * 2.220446049250313e-16
+reg AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY fo, io) - 1 AS BIGINT) AS pos, family, name, key FROM ({' UNION ALL '.join(reg)}) r),
+cell AS MATERIALIZED ({' UNION ALL '.join(cell)})"""
+
+
+ORACLES["feature_registry"] = f"WITH RECURSIVE {wide_ctes(True)} SELECT pos, family, name FROM reg"
+ORACLES["all_features"] = (f"WITH RECURSIVE {wide_ctes(True)} SELECT article_id, pos, {r6('v')} AS value "
+                           f"FROM cell JOIN reg USING (family, key)")
+ORACLES["advanced_features"] = f"""WITH RECURSIVE {wide_ctes(False)},
+lng AS (SELECT d.doc_id AS article_id, reg.pos, CASE WHEN reg.family = 'word_ngram' THEN coalesce(v, 0.0) ELSE v END AS v
+        FROM docs d CROSS JOIN reg LEFT JOIN cell ON cell.article_id = d.doc_id AND cell.family = reg.family AND cell.key = reg.key),
+st2 AS (SELECT pos, count(*) AS n, count(v) AS nn, avg(v) AS m, var_pop(v) AS var FROM lng GROUP BY pos HAVING count(v) > 0),
+sc AS (SELECT pos, m, CASE WHEN sqrt(coalesce(var, 0) * nn / n) > 10 * 2.220446049250313e-16
                          THEN sqrt(coalesce(var, 0) * nn / n) ELSE 1.0 END AS s FROM st2)
-SELECT article_id, CAST(count(*) AS BIGINT) AS n_features,
-       {r6('sum(((coalesce(v, m) - m) / s) * ((coalesce(v, m) - m) / s))')} AS sq_norm
-FROM lng JOIN sc USING (f) GROUP BY article_id"""
+SELECT article_id, pos, {r6('(coalesce(v, m) - m) / s')} AS value FROM lng JOIN sc USING (pos)"""
 
 
 # ---------------------------------------------------------------- Y12 and U1: wide tag frequencies
@@ -840,7 +920,7 @@ def _tag_columns(col: str, tags: list[str], prefix: str, suffix: str) -> str:
                      for t in tags)
 
 
-from penmark.operators.syntax import STANDIN_DEP, STANDIN_ENT, STANDIN_POS  # noqa: E402
+from penmark.operators.standin import DEP as STANDIN_DEP, ENT as STANDIN_ENT, POS as STANDIN_POS  # noqa: E402
 
 ORACLES["article_tags"] = f"""{_REC},
 tw AS (SELECT article_id, {_tag_columns('pos', STANDIN_POS, 'pos_freq_', '')}, {_tag_columns('dep', STANDIN_DEP, 'dep_freq_', '')}
@@ -850,6 +930,10 @@ SELECT doc_id AS article_id, tw.* EXCLUDE (article_id), ew.* EXCLUDE (article_id
        {r6('coalesce(avg_sentence_complexity, 0.0)')} AS avg_sentence_complexity
 FROM docs LEFT JOIN tw ON tw.article_id = doc_id LEFT JOIN ew ON ew.article_id = doc_id
      LEFT JOIN sentf ON sentf.article_id = doc_id"""
+_TAG_SQL = ORACLES["article_tags"]
+ORACLES["process_articles"] = f"""SELECT l.article_id, l.* EXCLUDE (article_id, unique_word_ratio), t.* EXCLUDE (article_id)
+FROM (SELECT doc_id AS article_id, * EXCLUDE (doc_id) FROM ({features_sql(styled_src(), ['doc_id'], 'text', 'raw', ['lexical'])}) f) l
+LEFT JOIN ({_TAG_SQL}) t ON t.article_id = l.article_id"""
 ORACLES["union_features"] = f"""WITH {annotation_ctes()}
 SELECT article_id, {_tag_columns('pos', STANDIN_POS, 'pos_', '_freq')} FROM tokens WHERE article_id % 2 = 0 GROUP BY article_id
 UNION ALL BY NAME

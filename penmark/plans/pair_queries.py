@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from penmark.operators import basic, ngrams, pairs
 from penmark.plans.registry import query, rounded
 from penmark.session import cut_lineage
-from penmark.sources import tables
+from penmark.sources import feature_store, tables
 
 SEED = 42
 SOURCE_DRAWS = 50      # reference: min(50, group size) draws per source
-N_SAME_AUTHOR_PAIRS = 200   # the reference's argument of that name; its caller draws as many different-author pairs
 
 HOLE_POS = 3    # sentence_count: missing in every row -> dropped by the imputer
 HOLE_MOD = 11   # and a scatter of missing cells
@@ -48,23 +47,27 @@ def diff_source_pairs(spark, sf_dir):
     return source_pair_sets(spark, sf_dir)[2]
 
 
+def same_author_pairs(art, n=None):
+    """n different same-author pairs; as many as there are articles, unless told otherwise."""
+    return pairs.distinct_group_pairs(art, "author", "article_id", art.count() if n is None else n, SEED)
+
+
 @query("author_pairs_sampled")
-def author_pairs_sampled(spark, sf_dir, n=N_SAME_AUTHOR_PAIRS):
-    """A1: n different same-author pairs (all of them, if there are fewer)."""
-    return pairs.distinct_group_pairs(_articles(spark, sf_dir), "author", "article_id", n, SEED)
+def author_pairs_sampled(spark, sf_dir, n=None):
+    """A1: different same-author pairs, one per article (all pairs, if there are fewer)."""
+    return same_author_pairs(_articles(spark, sf_dir), n)
 
 
 @query("diff_author_pairs")
-def diff_author_pairs(spark, sf_dir, n=N_SAME_AUTHOR_PAIRS):
+def diff_author_pairs(spark, sf_dir, n=None):
     """A2: different-author pairs, as many as same-author pairs."""
     art = _articles(spark, sf_dir)
-    n = pairs.distinct_group_pairs(art, "author", "article_id", n, SEED).count()
-    return pairs.cross_group_pairs(art, "author", "article_id", n, SEED)
+    return pairs.cross_group_pairs(art, "author", "article_id", same_author_pairs(art, n).count(), SEED)
 
 
-def author_pair_table_df(spark, sf_dir, n=N_SAME_AUTHOR_PAIRS):
+def author_pair_table_df(spark, sf_dir, n=None):
     art = _articles(spark, sf_dir)
-    same = cut_lineage(pairs.distinct_group_pairs(art, "author", "article_id", n, SEED))
+    same = cut_lineage(same_author_pairs(art, n))
     diff = pairs.cross_group_pairs(art, "author", "article_id", same.count(), SEED)
     return art, cut_lineage(pairs.labelled_pairs(same, diff, "author", SEED))
 
@@ -116,6 +119,19 @@ def pair_abs_diff(spark, sf_dir):
                    .withColumn("pos", F.col("pos").cast("bigint")))
 
 
+@query("store_pair_diff")
+def store_pair_diff(spark, sf_dir):
+    """A6/J6 from the feature store: the basic features of all articles written once in
+    buckets of the id, the differences of the source pairs looked up there."""
+    art, lab = source_pair_table(spark, sf_dir)
+    feats = basic.basic_features(art.select("article_id", "text"), keep=["article_id"], mode="normalized")
+    vec = F.array(*[F.col(c).cast("double") for c in feats.columns if c != "article_id"])
+    store = spark.table(feature_store.write(feats.select("article_id", vec.alias("features")), buckets=16))
+    d = feature_store.abs_differences(lab, store)
+    return rounded(d.select("pair_id", "id1", "id2", "label", F.posexplode_outer("diff").alias("pos", "value"))
+                   .withColumn("pos", F.col("pos").cast("bigint")))
+
+
 @query("missing_cells")
 def missing_cells(spark, sf_dir):
     """A7 over pair vectors with missing cells (the holes of ``impute_mean``)."""

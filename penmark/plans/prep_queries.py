@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penmark.operators import basic, evaluate, prep
+from penmark.functions.lexicons import basic_feature_names
+from penmark.operators import basic, evaluate, fitstate, prep
 from penmark.plans.pair_queries import author_pair_table_df, source_pair_table, source_pair_vectors, with_holes
 from penmark.plans.registry import query, rounded
 from penmark.session import cut_lineage
-from penmark.sources import tables
+from penmark.sources import files, tables
 
 
 def holed_vectors(spark, sf_dir):
@@ -16,7 +17,10 @@ def holed_vectors(spark, sf_dir):
     feats = basic.basic_features(art.select("article_id", "text"), keep=["article_id"], mode="normalized")
     names = [c for c in feats.columns if c != "article_id"]
     vec = F.array(*[F.col(c).cast("double") for c in names])
-    return feats.select("article_id", with_holes(F.col("article_id"), vec).alias("features"))
+    rows = feats.select("article_id", with_holes(F.col("article_id"), vec).alias("features"))
+    # read by the fit and again by the transform: computed once
+    path = files.write_parquet(rows, files.scratch_path(spark, "vectors"))
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _long(df, id_col, vec):
@@ -29,7 +33,7 @@ def impute_mean(spark, sf_dir):
     """M1: mean imputation of article feature vectors; an all-missing
     position is dropped."""
     v = holed_vectors(spark, sf_dir)
-    st = prep.fit_vector_stats(v, "features")
+    st = prep.fit_vector_stats(v, "features", len(basic_feature_names()))
     return rounded(_long(prep.impute(v, "features", st), "article_id", "features"))
 
 
@@ -37,7 +41,18 @@ def impute_mean(spark, sf_dir):
 def standardize(spark, sf_dir):
     """M1 + M2: imputed, then (x - mean) / population std (0 std -> 1)."""
     v = holed_vectors(spark, sf_dir)
-    st = prep.fit_vector_stats(v, "features")
+    st = prep.fit_vector_stats(v, "features", len(basic_feature_names()))
+    return rounded(_long(prep.standardize(v, "features", st), "article_id", "features"))
+
+
+@query("merged_standardize")
+def merged_standardize(spark, sf_dir):
+    """M1 + M2 with statistics merged from two batches' moments, the first one stored in between."""
+    v = holed_vectors(spark, sf_dir)
+    path = files.scratch_path(spark, "moments")
+    fitstate.MomentState.of(v.where(F.col("article_id") % 2 == 0), "features").save(path)
+    rest = fitstate.MomentState.of(v.where(F.col("article_id") % 2 == 1), "features")
+    st = fitstate.MomentState.load(spark, path).merge(rest).stats()
     return rounded(_long(prep.standardize(v, "features", st), "article_id", "features"))
 
 

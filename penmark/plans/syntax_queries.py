@@ -1,135 +1,142 @@
-"""Registered queries for the syntax aggregates (Y-series) over stand-in
-annotation tables of the styled document text."""
+"""Registered queries for the syntax aggregates (Y-series) over the stand-in
+annotation of the styled document text."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penmark.operators import basic, syntax
+from penmark.operators import annotate, basic, ngrams, standin, syntax, wide
 from penmark.plans.registry import query, rounded
-from penmark.session import cut_lineage
-from penmark.sources import tables
+from penmark.sources import files, tables
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def styled_documents(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("doc_id", tables.styled_text().alias("text"))
 
 
 def annotated(spark, sf_dir):
-    """Styled documents and their annotation tables.  Like a tagger's
-    output, the tables are materialised once (checkpoint in the shared
-    folder) and read by every aggregate."""
-    d = tables.documents(spark, sf_dir)
-    docs = d.select("doc_id", tables.styled_text().alias("text"))
-    return (docs,) + syntax.annotate_standin(docs, "doc_id", "text", materialize=cut_lineage)
+    """Sentence rows of the styled documents.  Like a tagger's output they are written
+    once per application, as Parquet in the shared folder; every
+    aggregate reads the nested columns that it uses."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = files.write_parquet(syntax.annotate_standin(styled_documents(spark, sf_dir)), files.scratch_path(spark, "annotated"))
+    return spark.read.schema(annotate.SCHEMA).parquet(_stored[key])
 
 
 @query("pos_freq")
 def pos_freq(spark, sf_dir):
-    _, _, tokens, _, _ = annotated(spark, sf_dir)
-    return rounded(syntax.tag_frequencies(tokens, "pos"))
+    return rounded(syntax.tag_frequencies(annotate.tokens(annotated(spark, sf_dir)), "pos"))
 
 
 @query("dep_freq")
 def dep_freq(spark, sf_dir):
-    _, _, tokens, _, _ = annotated(spark, sf_dir)
-    return rounded(syntax.tag_frequencies(tokens, "dep"))
+    return rounded(syntax.tag_frequencies(annotate.tokens(annotated(spark, sf_dir)), "dep"))
 
 
 @query("ent_freq")
 def ent_freq(spark, sf_dir):
-    _, _, _, ents, _ = annotated(spark, sf_dir)
-    return rounded(syntax.entity_frequencies(ents))
+    return rounded(syntax.entity_frequencies(annotate.entities(annotated(spark, sf_dir))))
 
 
 @query("pos_ratios")
 def pos_ratios(spark, sf_dir):
-    _, _, tokens, _, _ = annotated(spark, sf_dir)
-    return rounded(syntax.token_ratios(tokens).drop("passive_voice_freq"))
+    return rounded(syntax.token_ratios(annotated(spark, sf_dir)).drop("passive_voice_freq"))
 
 
 @query("passive_freq")
 def passive_freq(spark, sf_dir):
-    _, _, tokens, _, _ = annotated(spark, sf_dir)
-    return rounded(syntax.token_ratios(tokens).select("article_id", "passive_voice_freq"))
-
-
-def _sentence_feats(spark, sf_dir):
-    _, sents, tokens, _, chunks = annotated(spark, sf_dir)
-    return syntax.sentence_features(sents, tokens, chunks)
+    return rounded(syntax.token_ratios(annotated(spark, sf_dir)).select("article_id", "passive_voice_freq"))
 
 
 @query("question_freq")
 def question_freq(spark, sf_dir):
-    return rounded(_sentence_feats(spark, sf_dir).select("article_id", "question_freq"))
+    return rounded(syntax.sentence_features(annotated(spark, sf_dir), ["question_freq"]))
 
 
 @query("clause_ratios")
 def clause_ratios(spark, sf_dir):
-    return rounded(_sentence_feats(spark, sf_dir).select("article_id", "complex_sentence_ratio",
-                                                         "compound_sentence_ratio"))
+    return rounded(syntax.sentence_features(annotated(spark, sf_dir), ["complex_sentence_ratio", "compound_sentence_ratio"]))
 
 
 @query("dep_depth")
 def dep_depth(spark, sf_dir):
-    return rounded(_sentence_feats(spark, sf_dir).select("article_id", "avg_dependency_depth"))
+    return rounded(syntax.sentence_features(annotated(spark, sf_dir), ["avg_dependency_depth"]))
 
 
 @query("sentence_complexity")
 def sentence_complexity(spark, sf_dir):
-    return rounded(_sentence_feats(spark, sf_dir).select("article_id", "avg_sentence_complexity"))
+    return rounded(syntax.sentence_features(annotated(spark, sf_dir), ["avg_sentence_complexity"]))
 
 
 @query("syntax_features")
 def syntax_features(spark, sf_dir):
     """Y4-Y8 and Y10 for every document (no tokens -> seven zeros)."""
-    docs, sents, tokens, _, chunks = annotated(spark, sf_dir)
-    return rounded(syntax.syntax_features(docs.withColumnRenamed("doc_id", "article_id"), sents, tokens, chunks))
-
-
-def article_tag_table(docs, sents, tokens, ents, chunks):
-    pos = syntax.wide_tags(syntax.tag_frequencies(tokens, "pos"), "pos_freq_", "", syntax.STANDIN_POS)
-    dep = syntax.wide_tags(syntax.tag_frequencies(tokens, "dep"), "dep_freq_", "", syntax.STANDIN_DEP)
-    ent = syntax.wide_tags(syntax.entity_frequencies(ents), "ent_freq_", "", syntax.STANDIN_ENT)
-    cx = syntax.sentence_features(sents, tokens, chunks).select("article_id", "avg_sentence_complexity")
-    out = docs.select(F.col("doc_id").alias("article_id"))
-    for part in (pos, dep, ent, cx):
-        out = out.join(part, "article_id", "left")
+    docs = tables.documents(spark, sf_dir).select(F.col("doc_id").alias("article_id"))
+    return rounded(syntax.syntax_features(docs, annotated(spark, sf_dir)))
+
+
+def article_tag_table(docs, sents):
+    """A column per tag of the annotator and the noun-chunk complexity, for every row of ``docs`` (article_id)."""
+    out = docs.select("article_id")
+    long = syntax.tag_tables(sents)
+    for family, tags in (("pos", standin.POS), ("dep", standin.DEP), ("ent", standin.ENT)):
+        out = out.join(syntax.wide_tags(long[family], f"{family}_freq_", "", tags), "article_id", "left")
+    out = out.join(syntax.sentence_features(sents, ["avg_sentence_complexity"]), "article_id", "left")
     return out.withColumn("avg_sentence_complexity", F.coalesce("avg_sentence_complexity", F.lit(0.0)))
 
 
 @query("article_tags")
 def article_tags(spark, sf_dir):
     """The tag half of Y12: a column per tag of the annotator, and noun-chunk complexity."""
-    return rounded(article_tag_table(*annotated(spark, sf_dir)))
+    docs = tables.documents(spark, sf_dir).select(F.col("doc_id").alias("article_id"))
+    return rounded(article_tag_table(docs, annotated(spark, sf_dir)))
 
 
 @query("process_articles")
 def process_articles(spark, sf_dir):
     """Five lexical features (F1b) and the tags of ``article_tags``, one
     wide row per article."""
-    parts = annotated(spark, sf_dir)
-    lex = basic.extract(parts[0], keep=["doc_id"], families=["lexical"], mode="raw") \
-        .withColumnRenamed("doc_id", "article_id").drop("unique_word_ratio")
-    return rounded(lex.join(article_tag_table(*parts), "article_id", "left"))
+    docs = styled_documents(spark, sf_dir).withColumnRenamed("doc_id", "article_id")
+    lex = basic.extract(docs, keep=["article_id"], families=["lexical"], mode="raw").drop("unique_word_ratio")
+    return rounded(lex.join(article_tag_table(docs, annotated(spark, sf_dir)), "article_id", "left"))
+
+
+def wide_features(spark, sf_dir, basic_too=False):
+    """The registry and the sparse rows of every document: (basic,) syntax, tag and n-gram features."""
+    docs = styled_documents(spark, sf_dir).withColumnRenamed("doc_id", "article_id")
+    sents = annotated(spark, sf_dir)
+    norm = docs.select("article_id", basic.T.normalize_text("text").alias("text"))
+    model = ngrams.fit(norm, "text", 500)
+    parts = []
+    if basic_too:
+        b = basic.basic_features(docs, keep=["article_id"], mode="normalized")
+        parts.append(wide.Fixed("basic", [c for c in b.columns if c != "article_id"], b))
+    parts.append(wide.Fixed("syntax", syntax.SYNTAX_FEATURES, syntax.syntax_features(docs, sents)))
+    parts += [wide.Tags(family, long, f"{family}_{{}}_freq") for family, long in syntax.tag_tables(sents).items()]
+    parts.append(wide.Vector("word_ngram", model.terms, model.transform(norm, "text").select("article_id", F.col("tfidf").alias("values"))))
+    return wide.assemble(docs.select("article_id"), parts)
 
 
 @query("advanced_features")
 def advanced_features(spark, sf_dir):
-    """The seven syntax features, the tag frequencies and the 500 TF-IDF
-    weights of each article as one standardised vector (fit on the whole
-    corpus, one global TF-IDF fit).  Kept as ``ARRAY<DOUBLE>`` with the
-    column names in ``feature_names`` -- a 600-column projection would
-    break code generation."""
-    from penmark.operators import ngrams, prep
-    docs, sents, tokens, _, chunks = annotated(spark, sf_dir)
-    syn = syntax.syntax_features(docs.withColumnRenamed("doc_id", "article_id"), sents, tokens, chunks)
-    wide = syntax.wide_tags(syntax.tag_frequencies(tokens, "pos"), "pos_", "_freq", syntax.STANDIN_POS)
-    norm = docs.select(F.col("doc_id").alias("article_id"), basic.T.normalize_text("text").alias("text"))
-    model = ngrams.fit(norm, "text", 500)
-    tf = model.transform(norm, "text").select("article_id", "tfidf")
-    names = list(syn.columns[1:]) + list(wide.columns[1:]) + [f"word_ngram_{i}" for i in range(len(model.terms))]
-    j = syn.join(wide, "article_id", "left").join(tf, "article_id", "left")
-    vec = F.concat(F.array(*[F.col(c).cast("double") for c in names[:len(syn.columns) - 1 + len(wide.columns) - 1]]),
-                   F.col("tfidf"))
-    v = cut_lineage(j.select("article_id", vec.alias("x")))
-    st = prep.fit_vector_stats(v, "x")
-    out = prep.standardize(v, "x", st, "features")
-    return rounded(out.select("article_id", F.size("features").cast("bigint").alias("n_features"),
-                              F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm")))
+    """Syntax features, part-of-speech, dependency and entity frequencies and the 500
+    TF-IDF weights of each article as one standardised vector (one global
+    fit); one row per article and position."""
+    registry, rows = wide_features(spark, sf_dir)
+    return rounded(wide.cells(wide.standardize(rows, wide.fit(registry, rows))))
+
+
+@query("all_features")
+def all_features(spark, sf_dir):
+    """F8 + J1: the cells of the whole wide vector (basic, syntax, tags and n-grams) as
+    they were measured; one row per article and position that has a value."""
+    return rounded(wide.cells(wide_features(spark, sf_dir, basic_too=True)[1]))
+
+
+@query("feature_registry")
+def feature_registry(spark, sf_dir):
+    """Position, family and name of every feature column, tags as they were seen."""
+    return wide_features(spark, sf_dir, basic_too=True)[0].table.select("pos", "family", "name")

@@ -100,12 +100,6 @@ def to_parquet(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFra
     return spark.read.parquet(parquet_path)
 
 
-def feature_registry(spark: SparkSession, families: dict[str, list[str]]) -> DataFrame:
-    """(family, pos, feature) rows, in output order."""
-    rows = [(fam, i, name) for fam, names in families.items() for i, name in enumerate(names)]
-    return spark.createDataFrame(rows, "family string, pos int, feature string")
-
-
 def write_report(df: DataFrame, path: str) -> str:
     """A (section, name, value) report table as JSON lines (written in
     parallel by the executors, not assembled on the driver)."""

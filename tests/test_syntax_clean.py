@@ -2,7 +2,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from penmark.operators import clean, syntax
+from penmark.operators import annotate, clean, syntax
 
 
 def tokens_df(spark, rows):
@@ -19,8 +19,7 @@ def test_dependency_depth_cases(spark):
         (4, 1, 0, "a", "NOUN", "ROOT", 0), (4, 1, 1, "b", "NOUN", "dep", 0), (4, 1, 2, "c", "NOUN", "dep", 1),
     ])
     sents = toks.select("article_id", "sent_id", F.lit("x.").alias("text")).distinct()
-    chunks = toks.select("article_id", "sent_id", F.col("tok_id").alias("chunk_id")).where("false")
-    got = {r.article_id: r.avg_dependency_depth for r in syntax.sentence_features(sents, toks, chunks).collect()}
+    got = {r.article_id: r.avg_dependency_depth for r in syntax.sentence_features(syntax.from_tables(sents, toks)).collect()}
     assert got == {1: 0.0, 2: 2.0, 3: 3.0, 4: 1.5}
 
 
@@ -33,15 +32,13 @@ def test_dependency_depth_of_a_long_sentence(spark):
     tree = chain.withColumn("article_id", F.lit(2)).withColumn("head_id", F.floor(F.col("tok_id") / 2))
     toks = chain.unionByName(tree)
     sents = toks.select("article_id", "sent_id", F.lit("x.").alias("text")).distinct()
-    chunks = toks.select("article_id", "sent_id", F.col("tok_id").alias("chunk_id")).where("false")
-    got = {r.article_id: r.avg_dependency_depth for r in syntax.sentence_features(sents, toks, chunks).collect()}
+    got = {r.article_id: r.avg_dependency_depth for r in syntax.sentence_features(syntax.from_tables(sents, toks)).collect()}
     assert got == {1: float(n), 2: 1.0 + (n - 1).bit_length()}
 
 
 def test_standin_reads_whole_sentences(spark):
     docs = spark.createDataFrame([(1, " ".join(["word"] * 300) + ".")], "doc_id long, text string")
-    _, tokens, _, _ = syntax.annotate_standin(docs)
-    assert tokens.count() == 300
+    assert annotate.tokens(syntax.annotate_standin(docs)).count() == 300
 
 
 def test_many_urls_without_an_end_are_linear(spark):
