@@ -50,7 +50,8 @@ def problem(document) -> str | None:
             return f"sentence {i}: needs text, tokens, ents, chunks"
         n = len(s["tokens"])
         for t in s["tokens"]:
-            if len(t) != 4 or not all(isinstance(x, str) for x in t[:3]) or not isinstance(t[3], int) or not 0 <= t[3] < n:
+            if (len(t) != 4 or type(t[0]) is not str or type(t[1]) is not str or type(t[2]) is not str or type(t[3]) is not int
+                    or not 0 <= t[3] < n):
                 return f"sentence {i}: a token needs text, pos, dep and a head among {n} tokens"
         if not all(len(e) == 2 and isinstance(e[1], str) and 0 <= e[0] < n for e in s["ents"]):
             return f"sentence {i}: an entity needs a start among {n} tokens and a label"
@@ -73,12 +74,12 @@ def annotated_batch(model: Annotator, texts: list[str]) -> list[tuple[Document,
     return [([] if w else d, w and f"bad annotation: {w}") for d, w in zip(documents, wrong)]
 
 
-def lists(items: list[list], kind: pa.DataType, columns: list[list] | None = None) -> pa.ListArray:
+def lists(items: list[list], kind: pa.DataType, columns: list | None = None) -> pa.ListArray:
     """A list column from flat children."""
     offsets = pa.array([0, *accumulate(map(len, items))], type=pa.int32())
     if columns is None:
         return pa.ListArray.from_arrays(offsets, pa.array([x for i in items for x in i], type=kind))
-    children = [pa.array(c, type=kind.field(i).type) for i, c in enumerate(columns)]
+    children = [pa.array(list(c), type=kind.field(i).type) for i, c in enumerate(columns)]
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(children, fields=[kind.field(i) for i in range(kind.num_fields)]))
 
 
@@ -89,11 +90,11 @@ def rows_of(ids: list, results: list[tuple[Document, str | None]], schema: pa.Sc
     tokens = [s["tokens"] for s in sents]
     # an empty document leaves no sentence, as an empty text does
     token_type, ent_type = schema.field("tokens").type.value_type, schema.field("ents").type.value_type
-    every = [t for x in tokens for t in x]
+    every = list(zip(*[t for x in tokens for t in x])) or [()] * 4
     return pa.RecordBatch.from_arrays([
         pa.array([x[0] for x in flat], type=pa.int64()), pa.array([x[1] for x in flat], type=pa.int64()),
         pa.array([s["text"] for s in sents], type=pa.string()),
-        lists(tokens, token_type, [[i for x in tokens for i in range(len(x))], *([t[k] for t in every] for k in range(4))]),
+        lists(tokens, token_type, [[i for x in tokens for i in range(len(x))], *every]),
         lists([s["ents"] for s in sents], ent_type, [[f"{i}:{e[0]}" for _, i, s, _ in flat for e in s["ents"]],
                                                      [e[1] for s in sents for e in s["ents"]]]),
         lists([s["chunks"] for s in sents], pa.int64()), pa.array([x[3] for x in flat], type=pa.string())], schema=schema)

@@ -68,18 +68,22 @@ def vocabulary(stats: DataFrame, max_features: int = 500) -> DataFrame:
     return stats.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
 
 
-TRACKED = 1 << 16           # items of a summary at first
+TRACKED = 3 << 15           # items of a summary at first
 MOST_TRACKED = 1_000_000    # the most a summary may track; beyond it every term is counted
-# a summary of m items over N misses no item that occurs more than SUMMARY_ERROR * N / m times, and
-# overrates none by more (the summary's own bound is 3.5 * N / (a power of two above m / 0.75))
-SUMMARY_ERROR = 3.5
+# a summary that tracks m items has at least m / 0.75 slots and an error of at most 3.5 * N / slots over N items: it
+# misses no item that occurs more often, and overrates none by more; merged summaries keep the bound
+SUMMARY_ERROR = 3.5 * 0.75
+MERGE_GROUPS = 1024         # tasks' summaries are merged in so many groups before the groups' are
 
 
 def candidate_terms(grams: DataFrame, k: int, tracked: int) -> list[str] | None:
     """Terms that hold the ``k`` most frequent ones for sure, or None if the summary
     can't say.  Ties with the k-th are among them."""
-    found = grams.select(F.explode_outer(GRAMS).alias("term")).where(F.col("term").isNotNull()).agg(
-        F.expr(f"approx_top_k(term, {tracked}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n"))
+    rows = grams.select(F.explode_outer(GRAMS).alias("term"), F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g"))
+    parts = rows.where(F.col("term").isNotNull()).groupBy("g").agg(
+        F.expr(f"approx_top_k_accumulate(term, {tracked})").alias("s"), F.count(F.lit(1)).alias("n"))
+    found = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n")).where("n > 0") \
+                 .select(F.expr(f"approx_top_k_estimate(s, {tracked})").alias("top"), "n")
     items = found.select(F.explode_outer("top").alias("t"), (F.col("n") * F.lit(SUMMARY_ERROR / tracked)).alias("error"),
                          F.get(F.col("top"), F.lit(k - 1))["count"].alias("kth"))
     # the k best true counts are at least kth - error; what is not tracked occurs at most error times

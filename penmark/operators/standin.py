@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import regex
 
 from penmark.functions.lexicons import FUNCTION_WORDS
@@ -18,8 +21,6 @@ ENT = ["ORG", "PERSON"]
 PIECE = regex.compile(r"[^.!?]+[.!?]*")
 WORD = regex.compile(f"[{WORD_BODY}]+")
 NONSPACE = regex.compile(f"[^{SPACE_BODY}]")
-NUMBER = regex.compile(r"\p{Nd}+")
-UPPER = regex.compile(r"\p{Lu}")
 
 # later lists give way to earlier ones
 WORD_POS = {w: tag for tag, ws in reversed([("DET", FUNCTION_WORDS["articles"]), ("ADP", FUNCTION_WORDS["prepositions"]), ("CCONJ", CCONJ),
@@ -28,31 +29,32 @@ WORD_POS = {w: tag for tag, ws in reversed([("DET", FUNCTION_WORDS["articles"]),
 POS_DEP = {"SCONJ": "mark", "CCONJ": "cc", "DET": "det"}
 
 
-def pos_of(word: str, at: int) -> str:
-    known = WORD_POS.get(word.lower())
+@lru_cache(100_000)
+def pos_of(word: str) -> tuple[str, str]:
+    """The tag at the start of a sentence, and elsewhere."""
+    known = WORD_POS.get(word.lower()) or ("NUM" if word.isdecimal() else None)
     if known:
-        return known
-    if NUMBER.fullmatch(word):
-        return "NUM"
-    return "PROPN" if at and UPPER.match(word) else "NOUN"
+        return known, known
+    return "NOUN", "PROPN" if unicodedata.category(word[0]) == "Lu" else "NOUN"
 
 
-def head_of(sent: int, at: int) -> int:
+def heads_of(sent: int, n: int) -> list[int]:
     """A binary tree, chains of eight or a star, by sentence."""
     shape = sent % 3
     if shape == 0:
-        return at // 2
+        return [i // 2 for i in range(n)]
     if shape == 1:
-        return at - 1 if at % 8 else at // 8
-    return 0
+        return [i - 1 if i % 8 else i // 8 for i in range(n)]
+    return [0] * n
 
 
 def sentence_of(number: int, text: str) -> dict:
     words = WORD.findall(text)
-    pos = [pos_of(w, i) for i, w in enumerate(words)]
-    dep = ["ROOT" if i == 0 else ("aux" if i % 5 else "auxpass") if p == "AUX" else POS_DEP.get(p, "dep") for i, p in enumerate(pos)]
+    pos = [pos_of(w)[i > 0] for i, w in enumerate(words)]
+    dep = [("aux" if i % 5 else "auxpass") if p == "AUX" else POS_DEP.get(p, "dep") for i, p in enumerate(pos)]
+    dep[:1] = ["ROOT"] * bool(dep)
     names = [i for i, p in enumerate(pos) if p == "PROPN" and (i == 0 or pos[i - 1] != "PROPN")]
-    return {"text": text, "tokens": [(w, p, d, head_of(number, i)) for i, (w, p, d) in enumerate(zip(words, pos, dep))],
+    return {"text": text, "tokens": list(zip(words, pos, dep, heads_of(number, len(words)))),
             "ents": [(i, "ORG" if i % 2 else "PERSON") for i in names],
             "chunks": [i for i, p in enumerate(pos[:-1]) if p == "DET" and pos[i + 1] in ("NOUN", "PROPN")]}
 
