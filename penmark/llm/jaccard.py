@@ -60,21 +60,20 @@ def band_hashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, set_hash, bands) of every document; set_hash is null and bands
+    """(row, doc_id, set_hash, bands) of every document; set_hash is null and bands
     are empty where there are no words."""
     def run(batches):
         hasher = WordHasher()
         a, b = permutations()
         for batch in batches:
-            out = {"doc_id": batch["doc_id"], "set_hash": [], "bands": []}
+            out = {"row": batch["row"], "doc_id": batch["doc_id"], "set_hash": [], "bands": []}
             for t in batch["text"]:
                 s = shingle_hashes(hasher(words_of(t)), SHINGLE)
                 out["set_hash"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 out["bands"].append(band_hashes(s, a, b).view(np.int64).tolist() if len(s) else [])
             yield out
 
-    return map_columns(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run,
-                       "doc_id bigint, set_hash binary, bands array<bigint>")
+    return map_columns(docs.select("row", "doc_id", "text"), run, "row bigint, doc_id bigint, set_hash binary, bands array<bigint>")
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -156,6 +155,15 @@ def compare_unit(key: tuple, members: list[dict], similarity: float) -> dict:
             "n_docs": (full @ size)[has].tolist(), "low": [nodes[order[low[n]]]["set_hash"] for n in has]}
 
 
+NO_ID = -(1 << 63)      # stands for a null doc_id
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a stored table with a number of its own for every row (``__row``): rows are
+    told apart by it, however many share an id or have none."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id of its near-duplicate
     class), copy_id (smallest doc_id with the same shingle set), n_copies
@@ -167,11 +175,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     shingle.  Rows that share a doc_id are copies if their texts are; a
     null doc_id counts as the smallest and is returned as null.  An empty table gives no rows;
     other columns are not read."""
-    no_id = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(no_id)).alias("doc_id"), F.col("text"))
+    rows = numbered(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    out = classes_of_rows(rows, similarity, block)
+    real = lambda c: F.when(c != NO_ID, c)
+    return out.select(real(F.col("doc_id")).alias("doc_id"), real(F.coalesce("class_id", "doc_id")).alias("class_id"),
+                      real(F.coalesce("copy_id", "doc_id")).alias("copy_id"), F.coalesce("size", F.lit(1)).alias("n_copies"),
+                      F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                      F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"))
+
+
+def classes_of_rows(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(row, doc_id, root, class_id, copy_id, size, n_links, n_text_links) of numbered rows;
+    the last six are null for a text without words, and a null doc_id is ``NO_ID``."""
+    rows = rows.select(F.col("__row").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
     sigs = stored(signatures(rows), "jaccard-signatures")
     classes = stored(sigs.where("set_hash is not null").groupBy("set_hash").agg(
-        F.min("doc_id").alias("rep0"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands")), "jaccard-classes")
+        F.min("doc_id").alias("rep0"), F.min("row").alias("row"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands")),
+        "jaccard-classes")
     # candidate search names a class by 60 bits of its hash; two classes of one name only
     # share a candidate group
     name = F.conv(F.substring(F.hex("set_hash"), 1, 15), 16, 10).cast("bigint")
@@ -182,9 +202,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     groups = components(links, "jaccard-groups")
 
     # full shingle sets of the candidates, from one text of each class
-    named = classes.select(name.alias("v"), "set_hash", F.col("rep0").alias("doc_id"), "size").join(groups, "v")
+    named = classes.select(name.alias("v"), "set_hash", "row", "size").join(groups, "v")
     blocks = named.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("blocks"))
-    chosen = stored(named.join(blocks, "root").select(F.col("root").alias("unit"), "blocks", "set_hash", "size", "doc_id"),
+    chosen = stored(named.join(blocks, "root").select(F.col("root").alias("unit"), "blocks", "set_hash", "size", "row"),
                     "jaccard-chosen")
     kept = ["unit", "blocks", "set_hash", "size"]
 
@@ -194,16 +214,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
             out = {k: [] for k in (*kept, "shingles")}
             for t, *row in zip(b["text"], *(b[k] for k in kept)):
                 s = shingle_hashes(hasher(words_of(t)), SHINGLE).tobytes()
-                # (a repeated doc_id may come with other texts)
-                if hashlib.blake2b(s, digest_size=16).digest() == row[2]:
-                    for k, v in zip(out, (*row, s)):
-                        out[k].append(v)
+                for k, v in zip(out, (*row, s)):
+                    out[k].append(v)
             yield out
 
     # the chosen side is the smaller one: the texts need no sort
-    texts = rows.join(chosen.hint("shuffle_hash"), "doc_id").select("text", *kept)
+    texts = rows.select("row", "text").join(chosen.hint("shuffle_hash"), "row").select("text", *kept)
     full = map_columns(texts, sets, "unit bigint, blocks bigint, set_hash binary, size bigint, shingles binary")
-    full = stored(full.dropDuplicates(["set_hash"]), "jaccard-sets")
+    full = stored(full, "jaccard-sets")
     own = F.pmod(F.xxhash64("set_hash"), "blocks")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     work = full.select("unit", "set_hash", "size", "shingles", own.alias("block"), other.alias("other")).select(
@@ -240,20 +258,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     per_class = stored(per_class, "jaccard-per-class")
     lowest = per_class.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     per_class = stored(per_class.join(lowest, "root"), "jaccard-result")
-    out = sigs.select("doc_id", "set_hash").join(per_class, "set_hash", "left")
-    real = lambda c: F.when(c != no_id, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), real(F.coalesce("class_id", "doc_id")).alias("class_id"),
-                      real(F.coalesce("copy_id", "doc_id")).alias("copy_id"), F.coalesce("size", F.lit(1)).alias("n_copies"),
-                      F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                      F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"))
+    return sigs.select("row", "doc_id", "set_hash").join(per_class, "set_hash", "left")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each near-duplicate class: that with the
-    smallest doc_id.  Texts without words all stay, but of rows that repeat a doc_id and a
-    text one stays; columns are unchanged."""
-    groups = near_duplicates(docs, similarity)
-    ids = stored(groups.where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("__kept")), "jaccard-kept")
-    kept = docs.join(ids.distinct(), docs["doc_id"].cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = ids.groupBy("__kept").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """``docs`` with one row of each near-duplicate class: that with the
+    smallest doc_id (a null one counts as the smallest), of several the first row.  Texts
+    without words all stay; columns are unchanged."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]       # no column can clash with a key
+    rows = numbered(docs.toDF(*names))
+    of = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
+    found = classes_of_rows(rows.select("__row", *[F.col(v).alias(k) for k, v in of.items()]), similarity, BLOCK)
+    found = stored(found.select("row", "doc_id", "root"), "jaccard-kept")
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    kept = first.union(found.where("root is null").select("row")).withColumnRenamed("row", "__row")
+    return rows.join(kept, "__row", "left_semi").select(*names).toDF(*docs.columns)
