@@ -136,43 +136,47 @@ def twice_seen(docs: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> bytes:
 
 
 def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Exactly confirmed repeats that a document loses: (id, digest)."""
+    """Exactly confirmed repeats that a document loses: (id, other, digest), the first two as in ``doc_keys``."""
     bits = filter_bits(count_lines(docs))
     shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, min_chars))
 
     def suspects(batches):
         packed = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            out = {"id": [], "digest": []}
-            for i, t in zip(b["id"], b["text"]):
+            out = {"id": [], "other": [], "digest": []}
+            for i, other, t in zip(b["id"], b["other"], b["text"]):
                 keys = [*{k for k in long_keys(t, min_chars) if k is not None}]
                 if keys:
                     p = positions(hashes_of(keys), bits)
                     hit = ((packed[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=0)
                     for j in np.flatnonzero(hit):
                         out["id"].append(i)
+                        out["other"].append(other)
                         out["digest"].append(digest(keys[j]))
             yield out
 
-    found = stored(map_columns(docs.select(doc_key().alias("id"), "text"), suspects, "id bigint, digest binary"),
-                   "line-suspects")
+    found = stored(map_columns(docs.select(*doc_keys(), "text"), suspects, "id bigint, other bigint, digest binary"), "line-suspects")
     # two steps: distinct documents of a key spread a hot key over all tasks
-    pairs = found.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
-    kept = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")) \
+    pairs = found.groupBy("digest", "id", "other").agg(F.count(F.lit(1)).alias("n"))
+    kept = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "other")).alias("keeper")) \
                 .where(F.col("n") >= min_docs).select("digest", "keeper")
     kept = stored(kept, "line-repeats")
-    return found.join(kept, "digest").where(F.col("id") != F.col("keeper")).select("id", "digest")
+    return found.join(kept, "digest").where(F.struct("id", "other") != F.col("keeper")).select("id", "other", "digest")
 
 
-def doc_key():
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+def doc_keys():
+    """What makes rows one document: the id, and for rows without one the text."""
+    no_id = F.col("doc_id").isNull()
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"),
+            F.when(no_id, F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")).alias("other")]
 
 
 def with_drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """``docs`` beside the array of key digests that each loses (``__drop``)."""
-    drops = repeats(docs, min_chars, min_docs).groupBy("id").agg(F.collect_set("digest").alias("__drop"))
-    rows = docs.withColumn("__row_id", doc_key())
-    return rows.join(drops.withColumnRenamed("id", "__row_id"), "__row_id", "left").drop("__row_id")
+    drops = repeats(docs, min_chars, min_docs).groupBy("id", "other").agg(F.collect_set("digest").alias("__drop"))
+    own = [k.alias(f"__own_{n}") for k, n in zip(doc_keys(), ("id", "other"))]
+    keyed = drops.select(F.col("id").alias("__own_id"), F.col("other").alias("__own_other"), "__drop")
+    return docs.select("*", *own).join(keyed, ["__own_id", "__own_other"], "left").select(*docs.columns, "__drop")
 
 
 def drop_lines(text: str | None, drop: list[bytes] | None, min_chars: int) -> tuple[list[str], int]:
@@ -188,8 +192,8 @@ def report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
     """Per document: doc_id, n_lines, n_dropped, kept_sha256.
 
     A null or empty text is one empty line; rows that share a doc_id are one
-    document; a null doc_id is smaller than all others; an empty table gives no
-    rows; other columns are not read."""
+    document, and so are rows without an id that share a text; a null doc_id is smaller than all
+    others; an empty table gives no rows; other columns are not read."""
     def run(batches):
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_lines": [], "n_dropped": [], "kept_sha256": []}
