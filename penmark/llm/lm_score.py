@@ -31,6 +31,7 @@ from penmark.llm.common import map_columns, stored, words_of
 
 CLASSES, SLOTS = 64, 64         # classes, and words of a class
 BUCKETS = 256                   # vocabulary entries for all words that have none of their own
+SHARED = 200_000                # rare words whose share of their bucket every task holds; the others' are joined
 DIMS = 24
 SIDE = 2                        # context words on either side
 ROUNDS = 2
@@ -67,15 +68,23 @@ def vocabulary(counts: DataFrame) -> list[bytes]:
     return [r.word.encode() for r in best]
 
 
-def rare_shares(numbers: DataFrame, counts: DataFrame, words: list[bytes]) -> DataFrame:
-    """(row, share): the sum, over a document's words that stand in buckets, of the logarithm of
-    the word's exact share of its bucket in the corpus.  The table of words grows with the corpus."""
-    spark = numbers.sparkSession
-    own = spark.createDataFrame([(w.decode(),) for w in words], "word string")
+def bucket_shares(counts: DataFrame, words: list[bytes]) -> DataFrame:
+    """(word, n, share): of every word without an entry of its own, the logarithm of its exact
+    share of its bucket in the corpus.  The table grows with the corpus."""
+    own = counts.sparkSession.createDataFrame([(w.decode(),) for w in words], "word string")
     rare = counts.join(F.broadcast(own), "word", "left_anti").withColumn("bucket", F.crc32("word") % BUCKETS)
     total = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
-    shares = rare.join(F.broadcast(total), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+    return stored(rare.join(F.broadcast(total), "bucket").select("word", "n", F.log(F.col("n") / F.col("total")).alias("share")), "lm-shares")
+
+
+def known_shares(shares: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The ``SHARED`` most frequent words of that table and their shares, for every task."""
+    best = shares.orderBy(F.desc("n"), "word").limit(SHARED).select("word", "share").toArrow()
+    return [w.encode() for w in best["word"].to_pylist()], best["share"].to_numpy()
+
 
+def other_shares(numbers: DataFrame, shares: DataFrame) -> DataFrame:
+    """(row, share): the sum of the shares of a document's words that are not among the known ones."""
     def run(batches):
         for b in batches:
             for row, x in zip(b["row"], b["rare"]):
@@ -84,7 +93,7 @@ def rare_shares(numbers: DataFrame, counts: DataFrame, words: list[bytes]) -> Da
                     yield {"row": [row] * len(n), "word": [w.decode() for w in n], "n": [*n.values()]}
 
     held = map_columns(numbers.select("row", "rare"), run, "row bigint, word string, n bigint")
-    return held.join(shares, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("share"))
+    return held.join(shares.select("word", "share"), "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("other"))
 
 
 class Network:
@@ -134,9 +143,8 @@ class Network:
         grad["gate"] = np.einsum("npd,nd->pd", e, dh)
         grad["embed"] = np.zeros_like(w["embed"])
         for k in range(2 * SIDE):
-            order = np.argsort(context[:, k], kind="stable")
-            ids, first = np.unique(context[order, k], return_index=True)
-            grad["embed"][ids] += np.add.reduceat(dh[order] * w["gate"][k], first, axis=0)
+            ids, first, order = grouped(context[:, k])
+            grad["embed"][ids] += np.add.reduceat(dh[order], first, axis=0) * w["gate"][k]
         grad["embed"][PAD] = 0
         for k, g in grad.items():
             g /= n ** 0.5
@@ -157,12 +165,19 @@ def picked(logits: np.ndarray, which: np.ndarray, gradient: bool = False):
     return at - np.log(total), logits
 
 
+def grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, where each begins in the order of ids, and that order (16 bits are sorted by digits)."""
+    ids = ids.astype(np.uint16)
+    order = np.argsort(ids, kind="stable")
+    ordered = ids[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return ordered[first], first, order
+
+
 def by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c]:bounds[c + 1]]
+    ids, first, order = grouped(cls)
+    for c, a, b in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        yield c, order[a:b]
 
 
 class Ids:
@@ -191,25 +206,29 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row[at], row[at[:, None] + offsets]
 
 
-def numbered(docs: DataFrame, words: list[bytes], rounds: int) -> DataFrame:
-    """(doc_id, row, part, ids, rare): every document's words as 16-bit vocabulary ids, read by
-    all rounds and by scoring; ``part`` is the round that trains on the document, ``rare`` its
-    words outside the vocabulary."""
+def numbered(docs: DataFrame, words: list[bytes], shares: tuple[list[bytes], np.ndarray], rounds: int) -> DataFrame:
+    """(doc_id, row, part, ids, share, rare): every document's words as 16-bit vocabulary ids, read by
+    all rounds and by scoring; ``part`` is the round that trains on the document, ``share`` the
+    sum of its known words' shares of their buckets, ``rare`` its words that have neither an entry nor a known share."""
     from penmark.llm.token_counts import batched
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast((words, *shares))
 
     def run(batches):
-        ids = Ids(shared.value)
+        own, names, values = shared.value
+        ids, known = Ids(own), dict(zip(names, values.tolist()))
+        known.update(dict.fromkeys(own, 0.0))
         for b in batches:
             for i, j in batched(b["text"]):
                 texts = [words_of(t) for t in b["text"][i:j]]
+                found = [list(map(known.get, x)) for x in texts]
                 yield {"doc_id": b["doc_id"][i:j], "row": b["row"][i:j], "part": b["part"][i:j],
                        "ids": [ids(x).astype("<u2").tobytes() for x in texts],
-                       "rare": [b" ".join([w for w in x if w not in ids.own]) for x in texts]}
+                       "share": [sum(filter(None, f)) for f in found],
+                       "rare": [b" ".join([w for w, v in zip(x, f) if v is None]) if None in f else b"" for x, f in zip(texts, found)]}
 
     part = F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("part")
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), part, "text")
-    return stored(map_columns(rows, run, "doc_id bigint, row bigint, part int, ids binary, rare binary"), "lm-ids")
+    return stored(map_columns(rows, run, "doc_id bigint, row bigint, part int, ids binary, share double, rare binary"), "lm-ids")
 
 
 def unpacked(ids: list[bytes]) -> list[np.ndarray]:
@@ -272,8 +291,8 @@ def learn(net: Network, texts: list[np.ndarray], seen: dict[str, np.ndarray]) ->
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Per document: doc_id, n_words, pll (sum of the conditional
-    log-probabilities of its words, natural logarithm; a bucket counts as one word),
-    mean_pll (pll / n_words), word_pll and mean_word_pll (the same with every word's own probability).
+    log-probabilities of its words, natural logarithm, every word with its own
+    probability), mean_pll (pll / n_words), bucket_pll and mean_bucket_pll (the same with a bucket as one word).
 
     Null and empty texts have no words, a pll of 0 and a null mean.  Repeated
     rows are trained on and scored each; a null doc_id stays null; an empty table
@@ -281,7 +300,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = word_counts(docs)
     words = vocabulary(counts)
-    numbers = numbered(docs, words, rounds)
+    shares = bucket_shares(counts, words)
+    numbers = numbered(docs, words, known_shares(shares), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(train(numbers, rounds))
 
     def run(batches):
@@ -302,10 +322,12 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                                                     for i, j in zip(bounds, bounds[1:]))])
                 run_sum = np.cumsum(lp)
                 pll = run_sum[ends] - run_sum[ends - sizes]
-                yield {"doc_id": b["doc_id"][start:at], "row": b["row"][start:at], "n_words": sizes.tolist(), "pll": pll.tolist()}
-
-    scored = map_columns(numbers.select("doc_id", "row", "ids"), run, "doc_id bigint, row bigint, n_words bigint, pll double")
-    exact = F.col("pll") + F.coalesce("share", F.lit(0.0))
-    mean = [F.when(F.col("n_words") > 0, x / F.col("n_words")) for x in (F.col("pll"), exact)]
-    return scored.join(rare_shares(numbers, counts, words), "row", "left").select(
-        "doc_id", "n_words", "pll", mean[0].alias("mean_pll"), exact.alias("word_pll"), mean[1].alias("mean_word_pll"))
+                yield {"doc_id": b["doc_id"][start:at], "row": b["row"][start:at], "n_words": sizes.tolist(), "bucket_pll": pll.tolist(),
+                       "share": b["share"][start:at]}
+
+    scored = map_columns(numbers.select("doc_id", "row", "ids", "share"), run,
+                         "doc_id bigint, row bigint, n_words bigint, bucket_pll double, share double")
+    scored = scored.join(other_shares(numbers, shares), "row", "left")
+    pll = F.col("bucket_pll") + F.col("share") + F.coalesce("other", F.lit(0.0))
+    mean = [F.when(F.col("n_words") > 0, x / F.col("n_words")) for x in (pll, F.col("bucket_pll"))]
+    return scored.select("doc_id", "n_words", pll.alias("pll"), mean[0].alias("mean_pll"), "bucket_pll", mean[1].alias("mean_bucket_pll"))
