@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from penmark.llm import decontaminate, jaccard, line_dedup, lm_score, packing, pii, token_counts
 from penmark.llm.common import words_of
@@ -286,6 +287,23 @@ def test_jaccard_edges(spark, empty):
     assert jaccard.near_duplicates(empty).count() == jaccard.keep_one(empty).count() == 0
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    """100 pairs of near copies without ids, and rows that share an id but no text."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(100):
+        w = [f"w{rng.randrange(10 ** 9)}" for _ in range(60)]
+        rows += [(None, " ".join(w)), (None, " ".join(w[:-1] + ["end"]))]
+    rows += [(7, f"{a} one two three four five six seven") for a in "abc"] + [(7, "a one two three four five six seven"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.lit("mine"))
+    kept = jaccard.keep_one(df)
+    texts = [r.text for r in kept.collect()]
+    assert kept.dtypes == df.dtypes and len(texts) == 100 + 3 + 2
+    assert {t for i, t in rows if i == 7} <= set(texts) and None in texts and "" in texts
+    links = jaccard.near_duplicates(df).where("doc_id is null").groupBy("n_links").count().collect()
+    assert {r.n_links: r["count"] for r in links} == {1: 200, 0: 2}
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(35)]
@@ -487,10 +505,45 @@ def test_words_of_a_bucket_have_their_own_probability(spark):
     often, seldom = next(x for x in by_bucket.values() if len(x) > 1)[:2]
     common = " ".join(f"c{k}" for k in range(lm_score.SIZE - lm_score.BUCKETS))
     rows = [(None, common)] * 12 + [(1, f"c1 c2 {often} c3 c4")] * 8 + [(2, f"c1 c2 {seldom} c3 c4")]
-    got = {r.doc_id: r.word_pll for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.pll for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] - got[2] == pytest.approx(np.log(8), abs=1e-4)
 
 
+@pytest.mark.parametrize("shared", [0, 3, 200_000])
+def test_scores_word_by_word(spark, monkeypatch, shared):
+    """Every word's probability by a plain loop over the untrained network, and its exact share of its bucket."""
+    monkeypatch.setattr(lm_score, "SHARED", shared)
+    monkeypatch.setattr(lm_score, "train", lambda numbers, rounds: lm_score.Network().flat)
+    common = [f"c{k}" for k in range(lm_score.SIZE - lm_score.BUCKETS)]
+    rng = random.Random(4)
+    rare = [f"r{k}" for k in range(600)]
+    rows = [(0, " ".join(common * 6))] + [(i, " ".join(rng.choice(rare if rng.random() < 0.4 else common[:50]) for _ in range(rng.randint(0, 30))))
+                                          for i in range(1, 40)]
+    counts = Counter(w for _, t in rows for w in t.split())
+    own = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:len(common)]]
+    number = {w: i for i, w in enumerate(own)}
+    bucket = Counter()
+    for w, n in counts.items():
+        if w not in number:
+            bucket[zlib.crc32(w.encode()) % lm_score.BUCKETS] += n
+    net = lm_score.Network().w
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[1:]:
+        words = text.split()
+        ids = [number.get(w, lm_score.SIZE - lm_score.BUCKETS + zlib.crc32(w.encode()) % lm_score.BUCKETS) for w in words]
+        total = 0.0
+        for at, (w, t) in enumerate(zip(words, ids)):
+            places = [at + d for d in range(-lm_score.SIDE, lm_score.SIDE + 1) if d]
+            around = [ids[p] if 0 <= p < len(ids) else lm_score.PAD for p in places]
+            h = np.tanh(sum(net["embed"][c].astype(float) * net["gate"][k] for k, c in enumerate(around)) + net["bias"])
+            cls, slot = t % lm_score.CLASSES, t // lm_score.CLASSES
+            for logits, which in ((h @ net["to_class"] + net["class_bias"], cls), (h @ net["to_word"][cls] + net["word_bias"][cls], slot)):
+                total += logits[which] - np.log(np.exp(logits).sum())
+            if w not in number:
+                total += np.log(counts[w] / bucket[zlib.crc32(w.encode()) % lm_score.BUCKETS])
+        assert got[i].n_words == len(words) and got[i].pll == pytest.approx(total, abs=1e-3)
+
+
 def test_width_of_the_network():
     assert lm_score.DIMS == 24
     assert lm_score.Network().w["to_word"].shape == (lm_score.CLASSES, 24, lm_score.SLOTS)
@@ -513,7 +566,20 @@ def test_training_beats_word_frequencies(spark, odd, empty):
         merged[w if w in own else zlib.crc32(w) % lm_score.BUCKETS] += n
     total = sum(merged.values())
     unigram = sum(n * np.log(n / total) for n in merged.values()) / total
-    assert sum(r.n_words for r in rows) == total and sum(r.pll for r in rows) / total > unigram
+    assert sum(r.n_words for r in rows) == total and sum(r.bucket_pll for r in rows) / total > unigram
     got = {r.doc_id: r for r in lm_score.score(odd).collect()}
     assert got[1].n_words == 0 and got[1].pll == 0 and got[1].mean_pll is None and got[3].pll < 0
     assert lm_score.score(empty).count() == 0
+
+
+def test_line_dedup_tells_rows_without_ids_apart(spark):
+    """Three texts without ids share a line: one of them keeps it; equal texts without ids are one document."""
+    line = "a line that is long enough"
+    rows = [(None, f"{line}\nown {i}") for i in range(3)] + [(None, f"{line}\nown 0")] + [(None, None)]
+    got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [r.n_lines - r.n_dropped for r in got]
+    assert len(got) == 5 and sorted(r.n_dropped for r in got)[:2] == [0, 0] and sum(r.n_dropped for r in got) in (2, 3) and min(kept) == 1
+    with_id = line_dedup.report(spark.createDataFrame(rows + [(1, line)], "doc_id long, text string")).collect()
+    assert all(r.n_dropped == (r.doc_id is None and r.n_lines == 2) for r in with_id)
+    two = line_dedup.report(spark.createDataFrame([rows[0], rows[0], rows[1]], "doc_id long, text string")).collect()
+    assert all(r.n_dropped == 0 for r in two)
