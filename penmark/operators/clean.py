@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from penmark.functions import text as T
 from penmark.functions.lexicons import MONTHS
+from penmark.operators import clean_rules
+from penmark.operators.clean_rules import Rule
 
 SP = T.SPACE
 NSP = T.NONSPACE
@@ -26,6 +28,8 @@ NSP = T.NONSPACE
 # --- FIXED VALUES: layout markers and boilerplate (regular expressions) ---
 TITLE_SUFFIX = {"a": " - The New York Times", "b": None, "c": " - The Washington Post"}
 CAPTION_A = (r"(?md)^[^\n]*" + SP + "for" + SP + "The" + SP + "New" + SP + "York" + SP + "Times" + SP + "*$")
+CAPTION_B = "(?md)^[^\n]*©[^\n]*$\n?"
+BYLINE = r"(?md)^By ([^\n]*)\n"
 CORRECTION_A = (r"When we learn of a mistake, we acknowledge it with a correction. If you spot an error, "
                 r"please let us know at\nnytnews@nytimes.com. Learn more(\n)*")
 COPYRIGHT_B = r"(?s)Copyright The Financial Times Limited 2025\. All rights reserved\..*"
@@ -59,7 +63,7 @@ def capture_date(text, layout: str) -> Column:
 def capture_author(text, layout: str) -> Column:
     if layout == "b":
         return F.regexp_extract(_c(text), r"([^\n]*) in [^\n]*\n", 1)
-    return F.regexp_extract(_c(text), r"(?md)^By ([^\n]*)\n", 1)
+    return F.regexp_extract(_c(text), BYLINE, 1)
 
 
 def capture_url(text, layout: str) -> Column:
@@ -136,11 +140,7 @@ def header_a(text) -> Column:
 
 def header_b(text) -> Column:
     """C4: drop everything through the first line starting 'Published'."""
-    lines = _lines(text)
-    n = F.size(lines)
-    hit = F.zip_with(lines, _terminated(lines), lambda ln, t: ln.startswith("Published") & t)
-    first = F.array_position(hit, True)
-    return F.when(first > 0, _drop_first(lines, first.cast("int"))).otherwise(_c(text))
+    return clean_rules.cut_through(_c(text), "Published")
 
 
 def header_c(text) -> Column:
@@ -193,7 +193,7 @@ def strip_captions(text, layout: str) -> Column:
     if layout == "a":
         return F.regexp_replace(_c(text), CAPTION_A, "")
     if layout == "b":
-        return F.regexp_replace(_c(text), "(?md)^[^\n]*©[^\n]*$\n?", "")
+        return F.regexp_replace(_c(text), CAPTION_B, "")
     return _c(text)
 
 
@@ -285,43 +285,65 @@ def coerce_date(s) -> Column:
 
 # ------------------------------------------------------------- whole layouts
 
-def _layout_steps(layout: str, text: str):
-    """Capture builders and the ordered text steps of one layout.  A step
-    maps the previous text column name to a Column."""
-    suffix = TITLE_SUFFIX[layout]
-    caps = {
-        "__date": lambda: capture_date(text, layout),
-        "__by": lambda: capture_author(text, layout),
-        "__url": (lambda: T.strip_ws(capture_url(text, layout))) if layout != "c" else (lambda: F.lit("NA")),
-        "__title": ((lambda: F.replace(F.coalesce(F.col("title_in"), F.lit("")), F.lit(suffix), F.lit("")))
-                    if suffix else (lambda: F.coalesce(F.col("title_in"), F.lit("")))),
-    }
-    if layout == "a":
-        steps = [strip_page_furniture, strip_html_urls, header_a, lambda t: strip_title(t, "__title"),
-                 lambda t: strip_captions(t, "a"), lambda t: strip_boilerplate(t, "a"),
-                 lambda t: strip_author_bios(t, "__names"), strip_contribution]
-    elif layout == "b":
-        steps = [lambda t: strip_title_page(t, "__title"), strip_page_furniture, strip_html_urls, header_b,
-                 lambda t: strip_title(t, "__title"), lambda t: strip_captions(t, "b"),
-                 lambda t: truncate_tail(t, "b")]
-    elif layout == "c":
-        steps = [strip_page_furniture, header_c, lambda t: strip_title(t, "__title"),
-                 lambda t: truncate_tail(t, "c"), lambda t: F.regexp_replace(F.col(t), PROMO_C, ""),
-                 strip_contribution, lambda t: F.replace(F.col(t), F.lit(MOTTO_C), F.lit(""))]
-    else:
-        raise ValueError(f"unknown layout {layout!r}")
-    return caps, steps
+for _name, _rule in {
+        "page_furniture": strip_page_furniture, "html_urls": strip_html_urls, "header_by_date": header_a, "header_date_by": header_c,
+        "contribution": strip_contribution, "title": lambda t: strip_title(t, "__title"), "title_page": lambda t: strip_title_page(t, "__title"),
+        "author_bios": lambda t: strip_author_bios(t, "__names"), "first_html_url": lambda t: T.strip_ws(capture_url(t, "a")),
+        "first_url": lambda t: T.strip_ws(capture_url(t, "b"))}.items():
+    clean_rules.built_in(_name)(_rule)
+
+# --- FIXED VALUES: the three layouts, steps in order ---
+RULES = clean_rules.checked([Rule(*r) for r in [
+    ("a", "source", 0, "folder", TARGET_SOURCE),
+    ("a", "date", 0, "extract", DATE_A),
+    ("a", "byline", 0, "extract_group", BYLINE),
+    ("a", "url", 0, "built_in", "first_html_url"),
+    ("a", "title", 0, "input", "title_in|" + TITLE_SUFFIX["a"]),
+    ("a", "text", 1, "built_in", "page_furniture"),
+    ("a", "text", 2, "built_in", "html_urls"),
+    ("a", "text", 3, "built_in", "header_by_date"),
+    ("a", "text", 4, "built_in", "title"),
+    ("a", "text", 5, "remove", CAPTION_A),
+    ("a", "text", 6, "remove", CORRECTION_A),
+    ("a", "text", 7, "built_in", "author_bios"),
+    ("a", "text", 8, "built_in", "contribution"),
+    *[("b", "genre", 0, "folder", g) for g, layout in LAYOUT_BY_SOURCE.items() if layout == "b"],
+    ("b", "date", 0, "extract_group", r"Published ([^\n]*)\n"),
+    ("b", "byline", 0, "extract_group", r"([^\n]*) in [^\n]*\n"),
+    ("b", "url", 0, "built_in", "first_url"),
+    ("b", "title", 0, "input", "title_in"),
+    ("b", "text", 1, "built_in", "title_page"),
+    ("b", "text", 2, "built_in", "page_furniture"),
+    ("b", "text", 3, "built_in", "html_urls"),
+    ("b", "text", 4, "cut_through", "Published"),
+    ("b", "text", 5, "built_in", "title"),
+    ("b", "text", 6, "remove", CAPTION_B),
+    ("b", "text", 7, "remove", COPYRIGHT_B),
+    *[("c", "genre", 0, "folder", g) for g, layout in LAYOUT_BY_SOURCE.items() if layout == "c"],
+    ("c", "date", 0, "extract", DATE_A),
+    ("c", "byline", 0, "extract_group", BYLINE),
+    ("c", "url", 0, "constant", "NA"),
+    ("c", "title", 0, "input", "title_in|" + TITLE_SUFFIX["c"]),
+    ("c", "text", 1, "built_in", "page_furniture"),
+    ("c", "text", 2, "built_in", "header_date_by"),
+    ("c", "text", 3, "built_in", "title"),
+    ("c", "text", 4, "remove", READERS_C),
+    ("c", "text", 5, "remove", PROMO_C),
+    ("c", "text", 6, "built_in", "contribution"),
+    ("c", "text", 7, "remove_text", MOTTO_C),
+]])
 
 
 def clean_pages(df, layout_col: str = "layout", text: str = "page_text", title: str = "title",
-                layouts=("a", "b", "c")):
+                layouts: list[str] | None = None, rules: list[Rule] = RULES):
     """C13 in ONE pass over the input: every stage is a column
     ``CASE layout WHEN 'a' THEN step_a WHEN 'b' THEN step_b ...``; CASE runs
     only the taken branch, so a row pays for its own layout's steps and the
     text is scanned once whatever the layout mix.  Metadata is captured from
     the uncut text first; then the steps run in each layout's own order.
     Adds ``author, pub_date, clean_title, clean_text, url``."""
-    specs = {lay: _layout_steps(lay, text) for lay in layouts}
+    layouts = layouts or clean_rules.layouts(rules)
+    specs = {lay: clean_rules.steps(rules, lay) for lay in layouts}
     lay = F.col(layout_col)
 
     def case(builders):
@@ -331,15 +353,15 @@ def clean_pages(df, layout_col: str = "layout", text: str = "page_text", title:
         return expr
 
     x = df.withColumn("title_in", F.col(title))
-    for cap in ("__date", "__by", "__url", "__title"):
-        x = x.withColumn(cap, case([(L, specs[L][0][cap]) for L in layouts]))
+    for cap, target in (("__date", "date"), ("__by", "byline"), ("__url", "url"), ("__title", "title")):
+        x = x.withColumn(cap, case([(L, lambda L=L: clean_rules.capture(rules, L, target, text)) for L in layouts]))
     x = x.withColumn("__names", split_authors("__by"))
     prev = text
-    for k in range(max(len(specs[L][1]) for L in layouts)):
+    for k in range(max(map(len, specs.values()))):
         cur = f"__t{k + 1}"
         parts = []
         for L in layouts:
-            steps = specs[L][1]
+            steps = specs[L]
             parts.append((L, (lambda f=steps[k], p=prev: f(p)) if k < len(steps) else (lambda p=prev: F.col(p))))
         x = x.withColumn(cur, case(parts))
         prev = cur
@@ -353,23 +375,21 @@ def clean_pages(df, layout_col: str = "layout", text: str = "page_text", title:
              .drop(*work))
 
 
-def clean_layout(df, layout: str, text: str = "page_text", title: str = "title"):
+def clean_layout(df, layout: str, text: str = "page_text", title: str = "title", rules: list[Rule] = RULES):
     """C13 for input known to be of one layout."""
-    return clean_pages(df.withColumn("__layout", F.lit(layout)), "__layout", text, title, (layout,)).drop("__layout")
+    return clean_pages(df.withColumn("__layout", F.lit(layout)), "__layout", text, title, [layout], rules).drop("__layout")
 
 
-def layout_of(path) -> Column:
-    """P10: 'texts/<Source>/<Genre>/file': the target source uses layout a,
-    otherwise the genre folder names the layout; unknown -> NULL."""
-    src, genre = T.path_part(path, 1), T.path_part(path, 2)
-    by_genre = F.create_map(*[x for k, v in LAYOUT_BY_SOURCE.items() for x in (F.lit(k), F.lit(v))])
-    return F.when(src == TARGET_SOURCE, F.lit("a")).otherwise(F.element_at(by_genre, genre))
+def layout_of(path, rules: list[Rule] = RULES) -> Column:
+    """P10: 'texts/<Source>/<Genre>/file': the rules name the layout by the source folder,
+    otherwise by the genre folder; unknown -> NULL."""
+    return clean_rules.layout_of(rules, T.path_part(path, 1), T.path_part(path, 2))
 
 
-def clean_all(df, path: str = "path", text: str = "page_text", title: str = "title"):
+def clean_all(df, path: str = "path", text: str = "page_text", title: str = "title", rules: list[Rule] = RULES):
     """C13 + P10 in one pass over all rows: dispatch by path and clean.  A row of
     an unknown layout stays as a reject: ``layout`` and all cleaned columns are NULL."""
-    x = clean_pages(df.withColumn("layout", layout_of(path)), "layout", text, title)
+    x = clean_pages(df.withColumn("layout", layout_of(path, rules)), "layout", text, title, rules=rules)
     known = F.col("layout").isNotNull()
     cleaned = {c: F.when(known, F.col(c)) for c in ("author", "pub_date", "clean_title", "clean_text", "url")}
     return x.withColumns(cleaned).select(
@@ -377,7 +397,7 @@ def clean_all(df, path: str = "path", text: str = "page_text", title: str = "tit
         F.when(T.path_part(path, 1) == TARGET_SOURCE, F.lit("1")).otherwise(F.lit("0")).alias("is_target"))
 
 
-def clean_articles(df, path: str = "path", text: str = "page_text", title: str = "title"):
+def clean_articles(df, path: str = "path", text: str = "page_text", title: str = "title", rules: list[Rule] = RULES):
     """C13 + P10 as two frames: cleaned rows, and the rejects."""
-    x = clean_all(df, path, text, title)
+    x = clean_all(df, path, text, title, rules)
     return x.where(F.col("layout").isNotNull()), x.where(F.col("layout").isNull())

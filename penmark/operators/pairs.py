@@ -5,7 +5,7 @@ No pair set is ever enumerated: every pair is a *draw*.  A draw picks ranks
 ``(group, rank)``; ranks come from ``ranking.hash_rank``, which is exact and
 skew-safe.  The number of rows produced is the number of draws asked for.
 
-* same-group pairs of the whole table (A1): n different pairs.
+* same-group pairs of the whole table (A1): n different pairs, or a stated share of all.
 * same-group pairs per group (A4): for each group of m >= 2 members,
   ``min(50, m)`` draws of two distinct members.
 * cross-group pairs (A2, A5): n draws of two distinct groups, uniform, and one
@@ -56,28 +56,21 @@ STEP_PRIMES = (2147483647, 2147483629)
 ORDINAL_BUCKETS = 4096
 
 
-def distinct_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """A1: ``(group, draw, id1, id2)`` for ``min(n, total)`` *different*
-    same-group pairs, every pair of the whole table equally likely.
-
-    The pair space is numbered but never listed: a group of m members owns
-    m(m-1)/2 consecutive ordinals, starting at a running sum over the group
-    table.  Draw d takes ordinal (d * prime + shift) mod total, a permutation
-    of all ordinals; the ordinal names its group and two ranks, and equi-joins
-    find the members.  Ordinals meet their groups by equal slices of the range."""
-    mem = ranked_members(df, group, id_col, seed)
+def pair_space(mem: DataFrame, group: str, seed: int) -> tuple[DataFrame, int]:
+    """The same-group pairs of ranked members, numbered but never listed: a group of m
+    members owns m(m-1)/2 consecutive ordinals from ``__first`` on, a running sum over the
+    group table.  Also the number of all pairs."""
+    from penmark.session import cut_lineage
     sizes = mem.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= 2) \
                .withColumn("__pairs", F.expr("m * (m - 1) div 2"))
-    from penmark.session import cut_lineage
     space = cut_lineage(running_offsets(sizes, "__pairs", h60(seed, "space", F.col(group)), F.col(group), "__first"))
-    total = space.agg(F.sum("__pairs").alias("n")).first().n or 0
-    if not total:
-        return mem.select(group, F.lit(0).cast("bigint").alias("draw"), F.col(id_col).alias("id1"),
-                          F.col(id_col).alias("id2")).where(F.lit(False))
-    prime = next(p for p in STEP_PRIMES if total % p)
-    width = -(-total // ORDINAL_BUCKETS)
-    draws = df.sparkSession.range(min(n, total)).select(
-        F.col("id").alias("draw"), ((F.col("id").cast("decimal(19,0)") * prime + seed) % total).cast("bigint").alias("__o"))
+    return space, space.agg(F.sum("__pairs").alias("n")).first().n or 0
+
+
+def pairs_of_ordinals(draws: DataFrame, mem: DataFrame, space: DataFrame, total: int, group: str, id_col: str) -> DataFrame:
+    """``(group, draw, id1, id2)`` of rows (draw, __o): the ordinal names its group and two ranks, and
+    equi-joins find the members.  Ordinals meet their groups by equal slices of the range."""
+    width = max(1, -(-total // ORDINAL_BUCKETS))
     draws = draws.withColumn("__slice", F.expr(f"__o div {width}"))
     slices = space.withColumn("__slice", F.explode(F.sequence(
         F.expr(f"__first div {width}"), F.expr(f"(__first + __pairs - 1) div {width}"))))
@@ -94,6 +87,61 @@ def distinct_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: i
     return own.join(a, [group, "__i"]).join(b, [group, "__j"]).select(group, "draw", "id1", "id2")
 
 
+def distinct_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """A1: ``(group, draw, id1, id2)`` for ``min(n, total)`` *different*
+    same-group pairs, every pair of the whole table equally likely.  Draw d takes the ordinal
+    (d * prime + shift) mod total of the pair space, a permutation of all ordinals."""
+    mem = ranked_members(df, group, id_col, seed)
+    space, total = pair_space(mem, group, seed)
+    prime = next((p for p in STEP_PRIMES if total % p), 1)
+    draws = df.sparkSession.range(min(n, total)).select(
+        F.col("id").alias("draw"),
+        ((F.col("id").cast("decimal(19,0)") * prime + seed) % max(total, 1)).cast("bigint").alias("__o"))
+    return pairs_of_ordinals(draws, mem, space, total, group, id_col)
+
+
+RANGE_DRAWS = 1024      # pairs expected in one range of ordinals
+
+
+def skip_ordinals(spark, total: int, share: float, seed: int) -> DataFrame:
+    """(draw = ordinal, __o) of a Bernoulli sample of 0 .. total - 1: every ordinal is taken with
+    probability ``share``.  Ranges are walked on their own, by geometric gaps from one
+    ordinal taken to the next, so the work is that of the sample and no ordinal is looked at in between."""
+    width = max(1, round(RANGE_DRAWS / share))
+    ranges = -(-total // width)
+
+    def walk(batches):
+        import hashlib
+        import math
+
+        import pandas as pd
+        missed = math.log1p(-share) if share < 1 else -math.inf
+        for b in batches:
+            taken = []
+            for r in b["id"].tolist():
+                at, end, i = r * width, min(total, (r + 1) * width), 0
+                while True:
+                    u = int(hashlib.md5(f"{seed}|gap|{r}|{i}".encode()).hexdigest()[:15], 16) / (1 << 60)
+                    at += math.floor(math.log1p(-u) / missed)
+                    if at >= end:
+                        break
+                    taken.append(at)
+                    at, i = at + 1, i + 1
+            yield pd.DataFrame({"draw": taken, "__o": taken}, dtype="int64")
+
+    return spark.range(ranges).mapInPandas(walk, "draw bigint, __o bigint")
+
+
+def sampled_group_pairs(df: DataFrame, group: str, id_col: str, share: float, seed: int = 42) -> DataFrame:
+    """``(group, draw, id1, id2)``, every same-group pair with probability
+    ``share`` (0 < share <= 1); the sample follows the number of pairs, which is never listed."""
+    if not 0 < share <= 1:
+        raise ValueError(f"share {share} is not in (0, 1]")
+    mem = ranked_members(df, group, id_col, seed)
+    space, total = pair_space(mem, group, seed)
+    return pairs_of_ordinals(skip_ordinals(df.sparkSession, total, share, seed), mem, space, total, group, id_col)
+
+
 def cross_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """A2/A5: ``(draw, group1, group2, id1, id2)`` for ``n`` draws; empty when
     there are fewer than two groups."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from penmark.functions.lexicons import basic_feature_names
 from penmark.operators import basic, bundle, evaluate, model, pairs, prep, stats
 from penmark.operators.ranking import h60
+from penmark.plans import shared
 from penmark.plans.pair_queries import source_pair_vectors
 from penmark.plans.registry import query, rounded
 from penmark.session import cut_lineage
@@ -16,15 +18,20 @@ MAX_EPOCHS = 100
 
 
 def split_pairs(spark, sf_dir):
-    """Labelled source pairs with |diff| vectors, split 70/15/15 by label, and the feature names."""
-    d, names = source_pair_vectors(spark, sf_dir)
-    return cut_lineage(prep.stratified_split(cut_lineage(d), "pair_id", "label", 0.3, 0.5, 42)), names
+    """Labelled source pairs with |diff| vectors, split 70/15/15 by label."""
+    def build():
+        d, _ = source_pair_vectors(spark, sf_dir)
+        return prep.stratified_split(cut_lineage(d), "pair_id", "label", 0.3, 0.5, 42)
+
+    return shared.stored_once(spark, sf_dir, "split-pairs", build)
 
 
 def fitted_pairs(spark, sf_dir):
-    """The split pairs and the bundle trained on them."""
-    d, names = split_pairs(spark, sf_dir)
-    return d, bundle.PairClassifier(names, maxIter=MAX_EPOCHS).fit(d)
+    """The split pairs, and the bundle trained on them as it is read back from disk."""
+    d = split_pairs(spark, sf_dir)
+    train = bundle.PairClassifier(basic_feature_names(), maxIter=MAX_EPOCHS)
+    path = shared.path_of(spark, sf_dir, "pair-model", lambda p: train.fit(d).write().save(p))
+    return d, bundle.PairClassifierModel.load(path)
 
 
 @query("train_pair_model")
@@ -97,26 +104,32 @@ def feature_importance(spark, sf_dir):
     return model.importances(m, sel, spark)
 
 
+def long_report(df, section, name, values):
+    """(section, name, value) rows of a wide table, one per row and value column."""
+    cells = F.array(*[F.struct(F.concat_ws(":", F.col(name), F.lit(c)).alias("name"), F.col(c).cast("double").alias("value")) for c in values])
+    return df.select(F.lit(section).alias("section"), F.explode_outer(cells).alias("kv")).select("section", "kv.name", "kv.value")
+
+
+@query("source_summary")
+def source_summary(spark, sf_dir):
+    """E6, the sections without a model: articles and feature means per source."""
+    f = _article_frame(spark, sf_dir)
+    counts = stats.value_counts(f, "source").select(F.lit("count").alias("section"), F.col("source").alias("name"),
+                                                    F.col("n").cast("double").alias("value"))
+    sel = stats.select_features(f)
+    return rounded(counts.unionByName(long_report(stats.filled_group_means(f, "source", sel), "mean", "source", sel)))
+
+
 @query("source_report")
 def source_report(spark, sf_dir):
     """The source-difference report as (section, name, value) rows:
     counts, group means, importances and the classification report."""
-    f = _article_frame(spark, sf_dir)
-    sel = stats.select_features(f)
-    counts = stats.value_counts(f, "source").select(F.lit("count").alias("section"), F.col("source").alias("name"),
-                                                    F.col("n").cast("double").alias("value"))
-    means = stats.filled_group_means(f, "source", sel)
-    means_long = means.select(F.lit("mean").alias("section"), F.explode_outer(F.array(*[
-        F.struct(F.concat_ws(":", F.col("source"), F.lit(c)).alias("name"), F.col(c).cast("double").alias("value"))
-        for c in sel])).alias("kv")).select("section", "kv.name", "kv.value")
-    m, ff, sel2 = forest(spark, sf_dir)
-    imp = model.importances(m, sel2, spark).select(F.lit("importance").alias("section"), F.col("feature").alias("name"),
-                                                   F.col("importance").alias("value"))
+    m, ff, sel = forest(spark, sf_dir)
+    imp = model.importances(m, sel, spark).select(F.lit("importance").alias("section"), F.col("feature").alias("name"),
+                                                  F.col("importance").alias("value"))
     rep = evaluate.classification_report(cut_lineage(model.predict(m, ff.where(F.col("split") == "test"))))
-    rep_long = rep.select(F.lit("report").alias("section"), F.explode_outer(F.array(*[
-        F.struct(F.concat_ws(":", F.col("class"), F.lit(c)).alias("name"), F.col(c).cast("double").alias("value"))
-        for c in ("precision", "recall", "f1", "support")])).alias("kv")).select("section", "kv.name", "kv.value")
-    return rounded(counts.unionByName(means_long).unionByName(imp).unionByName(rep_long))
+    rep = long_report(rep, "report", "class", ["precision", "recall", "f1", "support"])
+    return source_summary(spark, sf_dir).unionByName(rounded(imp.unionByName(rep)))
 
 
 def score_texts(gen, art, m, draws_per_text):
@@ -151,10 +164,8 @@ def score_texts(gen, art, m, draws_per_text):
 def score_articles(spark, sf_dir, draws_per_text: int = 5):
     """M11 re-aimed: the pair model scores PAIRS, so every generated text
     (assistant turns of a conversation, concatenated) is paired with draws of
-    target-source articles.  The fitted bundle is saved and read back from disk."""
-    path = files.scratch_path(spark, "pair-model")
-    fitted_pairs(spark, sf_dir)[1].write().save(path)
-    m = bundle.PairClassifierModel.load(path)
+    target-source articles.  The fitted bundle is read from disk."""
+    m = fitted_pairs(spark, sf_dir)[1]
     conv = tables.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     gen = files.concat_pages(conv, "conv_id", "turn", "text").withColumnRenamed("conv_id", "gen_id")
     return rounded(score_texts(gen, tables.articles(spark, sf_dir).where(F.col("is_target")), m, draws_per_text))

@@ -230,6 +230,13 @@ f AS ({features_sql('articles', ['article_id', 'source'], 'text', 'normalized',
 SELECT source, {', '.join(f'{r6(f"avg({c})")} AS {c}' for c in SELECTED_FEATURES)}
 FROM f GROUP BY source"""
 
+ORACLES["source_summary"] = f"""
+WITH {articles_cte()},
+f AS ({features_sql('articles', ['article_id', 'source'], 'text', 'normalized',
+                    ['lexical', 'function_words'], round_doubles=False)})
+SELECT 'count' AS section, source AS name, CAST(count(*) AS DOUBLE) AS value FROM f GROUP BY source
+UNION ALL {' UNION ALL '.join(f"SELECT 'mean', source || ':{c}', {r6(f'avg({c})')} FROM f GROUP BY source" for c in SELECTED_FEATURES)}"""
+
 ORACLES["normalize_text"] = f"SELECT doc_id, {norm('text')} AS norm_text FROM {styled_src()} s"
 
 
@@ -256,8 +263,8 @@ ORACLES["source_distribution"] = (
 
 
 def _long_lexical(features: list[str]) -> str:
-    lex = features_sql("articles", ["source"], "text", "normalized", ["lexical"], round_doubles=False)
-    parts = [f"SELECT source, {q(c)} AS feature, CAST({c} AS DOUBLE) AS value FROM lex" for c in features]
+    lex = features_sql("articles", ["article_id", "source"], "text", "normalized", ["lexical"], round_doubles=False)
+    parts = [f"SELECT article_id, source, {q(c)} AS feature, CAST({c} AS DOUBLE) AS value FROM lex" for c in features]
     return f"WITH {articles_cte()}, lex AS ({lex}), long AS ({' UNION ALL '.join(parts)})"
 
 
@@ -291,6 +298,21 @@ SELECT source, l.feature,
   count(*) AS n
 FROM long l JOIN rng USING (feature) WHERE value IS NOT NULL GROUP BY ALL"""
 
+_FENCED = f"""{_long_lexical(_BOX)},
+qq AS (SELECT source, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY source, feature)"""
+ORACLES["outlier_values"] = f"""{_FENCED}
+SELECT source, feature, article_id, {r6('value')} AS value FROM long JOIN qq USING (source, feature)
+WHERE NOT (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))"""
+_B = "CAST(CASE WHEN {r}.hi = {r}.lo THEN 1 ELSE least(10, floor(({v} - {r}.lo) / ({r}.hi - {r}.lo) * 10) + 1) END AS BIGINT)"
+ORACLES["feature_joint"] = f"""{_long_lexical(_BOX)},
+rng AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM long GROUP BY feature),
+pair AS (SELECT x.source, x.feature AS feature_x, y.feature AS feature_y, x.value AS vx, y.value AS vy
+         FROM long x JOIN long y ON x.article_id = y.article_id
+         AND list_position({lst(_BOX)}, x.feature) < list_position({lst(_BOX)}, y.feature))
+SELECT source, feature_x, feature_y, {_B.format(r='a', v='vx')} AS bucket_x, {_B.format(r='b', v='vy')} AS bucket_y, count(*) AS n
+FROM pair JOIN rng a ON a.feature = feature_x JOIN rng b ON b.feature = feature_y
+WHERE vx IS NOT NULL AND vy IS NOT NULL GROUP BY ALL"""
+
 ORACLES["mean_fill"] = f"""
 WITH lex AS ({features_sql('documents', ['doc_id'], 'text', 'normalized', ['lexical'], round_doubles=False)}),
 h AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE avg_word_length END AS a,
@@ -403,6 +425,21 @@ ORACLES["diff_source_pairs"] = (f"WITH {articles_cte()}, {same_pairs_cte('source
                                 f"SELECT * FROM diff_s")
 ORACLES["author_pairs_sampled"] = (f"WITH {articles_cte()}, {distinct_pairs_cte('author', 'a')} "
                                    f"SELECT grp AS author, draw, id1, id2 FROM same_a")
+ORACLES["author_pairs_share"] = f"""WITH {articles_cte()}, {members_cte('author', 'a')},
+sz AS (SELECT grp, count(*) AS m FROM mem_a GROUP BY grp HAVING count(*) >= 2),
+sp AS (SELECT grp, m * (m - 1) // 2 AS pairs,
+              sum(m * (m - 1) // 2) OVER (ORDER BY {H('42', q('space'), 'grp')}, grp) - m * (m - 1) // 2 AS first FROM sz),
+tt AS (SELECT CAST(coalesce(sum(pairs), 0) AS BIGINT) AS total FROM sp),
+rg AS (SELECT unnest(range(0, CAST(ceil(total / 4096) AS BIGINT))) AS r, total FROM tt),
+gp AS (SELECT r, i, total, floor(ln(1 - {H('42', q('gap'), 'r', 'i')} / 1152921504606846976.0) / ln(0.75)) AS gap
+       FROM (SELECT r, total, unnest(range(0, 4096)) AS i FROM rg) x),
+od AS (SELECT r, total, CAST(r * 4096 + sum(gap) OVER (PARTITION BY r ORDER BY i) + i AS BIGINT) AS o FROM gp),
+dl AS (SELECT grp, o, CAST(o - first AS BIGINT) AS l FROM od JOIN sp ON o >= first AND o < first + pairs
+       WHERE o < least(total, (r + 1) * 4096)),
+dj AS (SELECT grp, o, l, b.rank AS j, b.article_id AS id2 FROM dl JOIN mem_a b USING (grp)
+       WHERE b.rank * (b.rank - 1) // 2 <= l AND b.rank * (b.rank + 1) // 2 > l)
+SELECT d.grp AS author, d.o AS draw, a.article_id AS id1, d.id2
+FROM dj d JOIN mem_a a ON a.grp = d.grp AND a.rank = d.l - d.j * (d.j - 1) // 2"""
 ORACLES["diff_author_pairs"] = (f"WITH {articles_cte()}, {distinct_pairs_cte('author', 'a')}, {diff_pairs_cte('a')} "
                                 f"SELECT * FROM diff_a")
 _AUTHOR_LAB = f"{articles_cte()}, {distinct_pairs_cte('author', 'a')}, {diff_pairs_cte('a')}, {labelled_cte('a')}"

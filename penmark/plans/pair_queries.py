@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from penmark.operators import basic, ngrams, pairs
 from penmark.plans.registry import query, rounded
 from penmark.session import cut_lineage
-from penmark.sources import feature_store, tables
+from penmark.sources import feature_store, files, tables
 
 SEED = 42
 SOURCE_DRAWS = 50      # reference: min(50, group size) draws per source
@@ -58,6 +58,12 @@ def author_pairs_sampled(spark, sf_dir, n=None):
     return same_author_pairs(_articles(spark, sf_dir), n)
 
 
+@query("author_pairs_share")
+def author_pairs_share(spark, sf_dir, share=0.25):
+    """A stated share of all same-author pairs."""
+    return pairs.sampled_group_pairs(_articles(spark, sf_dir), "author", "article_id", share, SEED)
+
+
 @query("diff_author_pairs")
 def diff_author_pairs(spark, sf_dir, n=None):
     """A2: different-author pairs, as many as same-author pairs."""
@@ -87,7 +93,10 @@ def pair_cosine(spark, sf_dir):
     """TF-IDF fitted on the articles of the author pairs, cosine per pair."""
     art, lab = author_pair_table_df(spark, sf_dir)
     p = lab.select("pair_id", F.col("id1").alias("article1_idx"), F.col("id2").alias("article2_idx"))
-    return rounded(ngrams.pair_cosine(art.select("article_id", "text"), p, "article_id", "text"))
+    # the fit and the transform read the pairs' articles several times: stored once
+    used = p.select(F.explode(F.array("article1_idx", "article2_idx")).alias("article_id"))
+    path = files.write_parquet(art.select("article_id", "text").join(used, "article_id", "left_semi"), files.scratch_path(spark, "pair-corpus"))
+    return rounded(ngrams.pair_cosine(spark.read.schema("article_id bigint, text string").parquet(path), p, "article_id", "text"))
 
 
 def source_pair_table(spark, sf_dir):

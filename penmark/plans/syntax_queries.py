@@ -6,10 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penmark.operators import annotate, basic, ngrams, standin, syntax, wide
+from penmark.plans import shared
 from penmark.plans.registry import query, rounded
-from penmark.sources import files, tables
-
-_stored: dict[tuple[str, str], str] = {}
+from penmark.sources import tables
 
 
 def styled_documents(spark, sf_dir):
@@ -20,10 +19,7 @@ def annotated(spark, sf_dir):
     """Sentence rows of the styled documents.  Like a tagger's output they are written
     once per application, as Parquet in the shared folder; every
     aggregate reads the nested columns that it uses."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        _stored[key] = files.write_parquet(syntax.annotate_standin(styled_documents(spark, sf_dir)), files.scratch_path(spark, "annotated"))
-    return spark.read.schema(annotate.SCHEMA).parquet(_stored[key])
+    return shared.stored_once(spark, sf_dir, "annotated", lambda: syntax.annotate_standin(styled_documents(spark, sf_dir)))
 
 
 @query("pos_freq")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from penmark.functions import text as T
 from penmark.operators import basic, stats
+from penmark.plans import shared
 from penmark.plans.registry import query, rounded
 from penmark.sources import tables
 
@@ -139,26 +140,44 @@ def source_distribution(spark, sf_dir):
     return rounded(stats.value_counts(tables.documents(spark, sf_dir), "source"))
 
 
+PLOTTED = ["avg_word_length", "lexical_diversity", "word_count", "unique_word_ratio"]
+
+
+def lexical_by_source(spark, sf_dir):
+    """Lexical features of the articles with their source, computed once: the statistics read them several times."""
+    def build():
+        art = tables.articles(spark, sf_dir)
+        return basic.extract(art, keep=["article_id", "source"], families=["lexical"], mode="normalized")
+
+    return shared.stored_once(spark, sf_dir, "lexical", build)
+
+
 @query("box_stats")
 def box_stats(spark, sf_dir):
     """G8 on the lexical features per source."""
-    art = tables.articles(spark, sf_dir)
-    feats = basic.extract(art, keep=["source"], families=["lexical"], mode="normalized")
-    return rounded(stats.box_stats(feats, "source", ["avg_word_length", "lexical_diversity",
-                                                     "word_count", "unique_word_ratio"]))
+    return rounded(stats.box_stats(lexical_by_source(spark, sf_dir), "source", PLOTTED))
+
+
+@query("outlier_values")
+def outlier_values(spark, sf_dir):
+    """The points a box plot draws beyond its whiskers, with their articles."""
+    return rounded(stats.outliers(lexical_by_source(spark, sf_dir), "source", PLOTTED, "article_id"))
 
 
 @query("feature_corr")
 def feature_corr(spark, sf_dir):
-    art = tables.articles(spark, sf_dir)
-    feats = basic.extract(art, keep=["source"], families=["lexical"], mode="normalized")
-    return rounded(stats.feature_corr(feats, "source", ["avg_sentence_length", "avg_word_length",
-                                                        "lexical_diversity", "word_count"]))
+    """Correlations of the first four report features within each source."""
+    return rounded(stats.feature_corr(lexical_by_source(spark, sf_dir), "source",
+                                      ["avg_sentence_length", "avg_word_length", "lexical_diversity", "word_count"]))
 
 
 @query("feature_histogram")
 def feature_histogram(spark, sf_dir):
-    art = tables.articles(spark, sf_dir)
-    feats = basic.extract(art, keep=["source"], families=["lexical"], mode="normalized")
-    return stats.feature_histogram(feats, "source", ["avg_word_length", "lexical_diversity",
-                                                     "word_count", "unique_word_ratio"])
+    """The diagonal of the pair plot."""
+    return stats.feature_histogram(lexical_by_source(spark, sf_dir), "source", PLOTTED)
+
+
+@query("feature_joint")
+def feature_joint(spark, sf_dir):
+    """The other panels of the pair plot, every two features as a grid of counts."""
+    return stats.feature_joint(lexical_by_source(spark, sf_dir), "source", PLOTTED)

@@ -1,8 +1,9 @@
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from penmark.operators import annotate, clean, syntax
+from penmark.operators import annotate, clean, clean_rules, syntax
 
 
 def tokens_df(spark, rows):
@@ -85,3 +86,26 @@ def test_header_c_and_pubdate(spark):
     df = spark.createDataFrame([("March 3, 2025\n",), ("JANUARY 5 2025",), ("",)], "d string")
     got = [tuple(r) for r in df.select(clean.pubdate("d", "a"), clean.pubdate("d", "b")).collect()]
     assert got == [("3/3/2025", "3/3/2025"), (None, "1/5/2025"), (None, None)]
+
+
+def test_a_new_publisher_is_rows(spark):
+    rows = [("d", "genre", 0, "folder", "Herald"), ("d", "date", 0, "extract", clean.DATE_A), ("d", "byline", 0, "extract_group", r"(?m)^Words: (.*)$"),
+            ("d", "url", 0, "constant", "none"), ("d", "title", 0, "input", "title_in| | Herald"), ("d", "text", 2, "remove", r"\[ad\]"),
+            ("d", "text", 1, "cut_through", "Words:"), ("d", "text", 3, "remove_text", "THE END")]
+    table = clean_rules.to_table(spark, clean.RULES).union(spark.createDataFrame(rows, clean_rules.SCHEMA))
+    rules = clean_rules.from_table(table)
+    pages = spark.createDataFrame([("texts/NotNYT/Herald/1.pdf", "Big day | Herald", "May 1, 2025\nWords: Ann Lee\nBody [ad]text.\nTHE END"),
+                                   ("texts/NYT/news/2.pdf", "T - The New York Times", "By Bo Ray\nJanuary 5, 2025\nBody of Bo Ray.\nmore\n"),
+                                   ("texts/Other/x/3.pdf", "t", "text")], "path string, title string, page_text string")
+    got = {r.path: r for r in clean.clean_all(pages, rules=rules).collect()}
+    d = got["texts/NotNYT/Herald/1.pdf"]
+    assert (d.layout, d.author, d.clean_title, d.clean_text, d.url) == ("d", "Ann Lee", "Big day", "Body text.", "none")
+    plain = {r.path: r for r in clean.clean_all(pages).collect()}
+    assert got["texts/NYT/news/2.pdf"] == plain["texts/NYT/news/2.pdf"] and got["texts/NYT/news/2.pdf"].layout == "a"
+    assert plain["texts/NotNYT/Herald/1.pdf"].layout is None and got["texts/Other/x/3.pdf"].clean_text is None
+
+
+def test_wrong_rules_are_refused(spark):
+    for bad in (("e", "text", 1, "explode", ""), ("e", "text", 1, "built_in", "nothing"), ("e", "nowhere", 0, "constant", ""), ("e", "date", 0, "constant", "")):
+        with pytest.raises(ValueError):
+            clean_rules.checked([*clean.RULES, clean_rules.Rule(*bad)])
