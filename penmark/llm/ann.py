@@ -7,6 +7,10 @@ projects to a normal distribution around c times the query's projection, so ever
 chance of holding it; a query visits a table's buckets from the likeliest on until their
 chances add up to ``TABLE_CHANCE``.  ``TABLES`` tables miss independently.
 
+A second visit goes by the query's own results: where its worst kept cosine is below ``TARGET_COSINE``,
+the buckets that a neighbour of that cosine asks for are visited too.  A query that still has
+fewer rows than there are candidates for (up to the wanted number) is compared with all rows, in parts.
+
 The number of projections follows the number of vectors, so buckets stay near
 ``BUCKET_ROWS``.  Equal vectors are indexed once, with their smallest ids (as many as a result
 can hold); a bucket that is large all the same is split into parts of ``PART_ROWS``.  Each (table, bucket, part)
@@ -16,6 +20,7 @@ each query's best few over all its units before they leave.  The last step merge
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -55,19 +60,29 @@ class Hasher:
 
     def probes(self, unit: np.ndarray, table: int, chance: float = TABLE_CHANCE,
                cosine: float = TARGET_COSINE) -> np.ndarray:
-        """Buckets of one table in the order of their chance, for one query."""
+        """Buckets of one table in the order of their chance, for one query, until
+        their chances add up.  A heap over the ranks of the cells, by projection: every bucket has one parent (its last raised
+        rank lowered), so none comes twice, and only what is visited is made."""
         edges = np.arange(-CELLS, CELLS + 2) * WIDTH
         at = cosine * (unit @ self.lines[table])
         z = (edges[None, :] - self.offsets[table][:, None] - at[:, None]) / math.sqrt(2 * (1 - cosine * cosine))
         z[:, 0], z[:, -1] = -np.inf, np.inf
         p = np.diff(0.5 * (1 + erf(z)), axis=1)
-        all_p, codes = p[0], np.arange(self.base)
-        for i in range(1, self.k):
-            all_p = (all_p[None, :] * p[i][:, None]).ravel()
-            codes = (codes[None, :] + (np.arange(self.base) * self.base ** i)[:, None]).ravel()
-        order = np.argsort(-all_p, kind="stable")
-        n = int(np.searchsorted(np.cumsum(all_p[order]), chance)) + 1
-        return codes[order[:n]]
+        order = np.argsort(-p, axis=1, kind="stable")
+        by_rank = np.take_along_axis(p, order, axis=1).tolist()
+        codes = (order * self.base ** np.arange(self.k)[:, None]).tolist()
+        heap = [(-math.prod(x[0] for x in by_rank), sum(x[0] for x in codes), (0,) * self.k, 0)]
+        found, total = [], 0.0
+        while heap and total < chance:
+            negative, code, ranks, last = heapq.heappop(heap)
+            found.append(code)
+            total -= negative
+            for i in range(last, self.k):
+                r = ranks[i] + 1
+                if r < self.base and by_rank[i][r] > 0:
+                    heapq.heappush(heap, (negative / by_rank[i][r - 1] * by_rank[i][r], code + codes[i][r] - codes[i][r - 1],
+                                          ranks[:i] + (r,) + ranks[i + 1:], i))
+        return np.array(found, dtype=np.int64)
 
 
 erf = np.vectorize(math.erf, otypes=[np.float64])
@@ -144,21 +159,34 @@ def nearest(df: DataFrame, is_query: Column, top: int = TOP, id_col: str = "vec_
 
     def probe(batches):
         for b in batches:
-            for q, raw, unit in zip(b["q"], b["raw"], unit_of(b["raw"])):
+            for q, raw, worst, unit in zip(b["q"], b["raw"], b["worst"], unit_of(b["raw"])):
                 for t in range(tables):
                     found = hasher.probes(unit, t, chance)
+                    if worst is not None:       # the second visit: what the first one left out
+                        found = np.setdiff1d(hasher.probes(unit, t, chance, max(worst, -0.99)), found)
                     yield {"table": np.full(len(found), t), "bucket": found, "q": np.full(len(found), q), "raw": [raw] * len(found)}
 
     placed = map_columns(index, place, "table int, bucket bigint, raw binary, ids array<bigint>")
     parts = stored(placed.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")), "ann-buckets")
-    placed = placed.join(parts, ["table", "bucket"]).select(
-        "table", "bucket", F.pmod(F.xxhash64("raw"), "parts").cast("int").alias("part"), F.lit(None).cast("bigint").alias("q"), "raw", "ids")
-    probes = map_columns(asked.select("q", "raw"), probe, "table int, bucket bigint, q bigint, raw binary")
-    probes = probes.join(parts, ["table", "bucket"]).select(
-        "table", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q", "raw",
-        F.lit(None).cast("array<bigint>").alias("ids"))
+    no_query, no_ids = F.lit(None).cast("bigint").alias("q"), F.lit(None).cast("array<bigint>").alias("ids")
+    part = lambda n: F.pmod(F.xxhash64("raw"), n).cast("int").alias("part")
+    placed = placed.join(parts, ["table", "bucket"]).select("table", "bucket", part(F.col("parts")), no_query, "raw", "ids")
+
+    def visited(queries):
+        """Units of work of some queries (q, raw, worst): the rows of the buckets they probe, and the probes."""
+        probes = map_columns(queries.select("q", "raw", "worst"), probe, "table int, bucket bigint, q bigint, raw binary")
+        probes = probes.join(parts, ["table", "bucket"]).select(
+            "table", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q", "raw", no_ids)
+        return placed.unionByName(probes)
+
+    def everything(queries):
+        """The same for queries that are compared with all rows."""
+        n = max(1, -(-n_rows // PART_ROWS))
+        all_rows = index.select(F.lit(-1).alias("table"), F.lit(0).cast("bigint").alias("bucket"), part(F.lit(n)), no_query, "raw", "ids")
+        return all_rows.unionByName(queries.select(F.lit(-1).alias("table"), F.lit(0).cast("bigint").alias("bucket"),
+                                                   F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), "q", "raw", no_ids))
+
     key = ["table", "bucket", "part"]
-    work = placed.unionByName(probes).repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("q"))
 
     def compare(batches):
         at, raw, ids, unit = None, [], [], None
@@ -200,11 +228,27 @@ def nearest(df: DataFrame, is_query: Column, top: int = TOP, id_col: str = "vec_
         if best:
             yield report()
 
-    near = map_columns(work, compare, "q bigint, vec_id bigint, score double")
     order = [F.desc("score"), F.asc("vec_id")]
-    near = near.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("n") <= keep).drop("n")
-    near = stored(near, "ann-near")
+
+    def search(work, before=None):
+        work = work.repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("q"))
+        near = map_columns(work, compare, "q bigint, vec_id bigint, score double")
+        near = near if before is None else near.unionByName(before)
+        near = near.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("n") <= keep).drop("n")
+        return stored(near, "ann-near")
+
+    near = search(visited(asked.withColumn("worst", F.lit(None).cast("double"))))
+    # at most ``keep`` rows a query
+    held = near.groupBy("q").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("n"))
+    far = stored(asked.join(held.where(F.col("worst") < TARGET_COSINE), "q").select("q", "raw", "worst"), "ann-far")
+    if not far.isEmpty():
+        near = search(visited(far), near)
+    few = near.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    n_ids = index.select(F.explode("ids").alias("id")).distinct().limit(keep).count()
+    short = stored(asked.join(few, "q", "left").where(F.coalesce("n", F.lit(0)) < n_ids).select("q", "raw"), "ann-short")
+    if not short.isEmpty():
+        near = search(everything(short), near)
     out = wanted.join(asked, "raw").select("query_id", "q").join(near, "q").where("vec_id <> query_id")
     out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top)

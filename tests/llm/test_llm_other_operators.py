@@ -150,14 +150,65 @@ def test_nearest_edges(spark):
             (15, [0.0, 0.0, 0.0]), (16, [1.0, None, 2.0]), (17, [float("nan"), 1.0, 1.0]), (18, [1.0, 2.0]), (None, same), (7, same)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, chance=0.9999).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {0: [7, 8, 9, 10, 11], 50: [0, 7, 8, 9, 10]}
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [(r.vec_id, r["rank"]) for r in ann.nearest(few, F.col("vec_id") == 0, chance=0.9999).collect()] == [(1, 1)]
+    assert [(r.vec_id, r["rank"]) for r in ann.nearest(few, F.col("vec_id") == 0).collect()] == [(1, 1)]
     assert ann.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_a_lone_far_candidate_is_found(spark):
+    """Whatever the cosine, with the registered parameters."""
+    rng = np.random.default_rng(11)
+    for c in (0.4, 0.0, -0.5, -0.95):
+        a, b = rng.standard_normal(16), rng.standard_normal(16)
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)
+        df = spark.createDataFrame([(0, a.tolist()), (1, b.tolist())], "vec_id long, embedding array<double>")
+        assert [(r.vec_id, r["rank"]) for r in ann.nearest(df, F.col("vec_id") == 0).collect()] == [(1, 1)]
+
+
+def recall_of(spark, x, queries):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).where(F.col("vec_id") < len(x)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for q in queries:
+        c = unit @ unit[q]
+        c[q] = -2
+        hits.append(len(got[q] & set(np.argsort(-c)[:5].tolist())) / 5)
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_with_several_projections(spark, monkeypatch, clustered):
+    """Small buckets, so that a table has three projections."""
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 60)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, 32))
+    if clustered:
+        x = np.repeat(rng.standard_normal((200, 32)), 20, axis=0) + 0.3 * x
+    assert ann.projections(len(x)) == 3
+    assert recall_of(spark, x, range(0, len(x), 50)) >= 0.9
+    if clustered:       # near neighbours: a smaller part of the buckets is visited
+        h, unit = ann.Hasher(32, 3), x / np.linalg.norm(x, axis=1, keepdims=True)
+        buckets = h.buckets(unit)
+        share = np.mean([np.isin(buckets[:, 0], h.probes(unit[q], 0, cosine=0.9)).mean() for q in range(0, len(x), 200)])
+        assert share < 0.25
+
+
+def test_probing_makes_only_what_it_visits():
+    h = ann.Hasher(64, 9)
+    q = np.random.default_rng(1).standard_normal(64)
+    q /= np.linalg.norm(q)
+    found = h.probes(q, 0, 0.02, 0.9)
+    assert 0 < len(found) < 5000 and len(set(found.tolist())) == len(found)
+
+
 def test_probes_go_from_likely_to_unlikely():
     h = ann.Hasher(8, 2)
     rng = np.random.default_rng(3)
