@@ -38,7 +38,6 @@ WINDOW = 2048
 END_ID = 1                  # closes every document
 SHARD_TOKENS = 2_000_000
 FREQUENT = 8                # terms that one in so many documents of a shard holds are kept as dense rows
-NEIGHBOURS = 64             # neighbours fetched at a time; more are fetched while the window has room
 SPLIT = 16                  # bins of the second key for every shard that a first key would fill
 K1, B = 1.2, 0.75           # BM25
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -168,13 +167,22 @@ def tokenize(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int =
                        "doc_id bigint, ids binary, n bigint")
 
 
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of a text, ascending, and how often each occurs (16 bits are sorted by digits)."""
+    if not len(ids):
+        return ids, np.empty(0, dtype=np.int64)
+    ordered = np.sort(ids, kind="stable")
+    starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    return ordered[starts], np.diff(starts, append=len(ids))
+
+
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """Documents per token id, number of documents, mean length, over the whole corpus."""
     def run(batches):
         df = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
             for ids in b["ids"]:
-                df[np.unique(np.frombuffer(ids, "<u2"))] += 1
+                df[terms_of(np.frombuffer(ids, "<u2"))[0]] += 1
         terms = np.flatnonzero(df)
         yield {"term": terms, "df": df[terms]}
 
@@ -196,7 +204,7 @@ def races() -> np.ndarray:
 def content_keys(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[int, int]:
     """The two terms that win the race of squared BM25 weights: a text's likely
     neighbours have the same with the chance of their weighted overlap."""
-    t, tf = np.unique(ids, return_counts=True)
+    t, tf = terms_of(ids)
     w = idf[t] * tf / (tf + K1 * (1 - B + B * len(ids) / mean))
     v = races()[t] / np.maximum(w * w, 1e-30)
     if len(t) < 2:
@@ -269,7 +277,7 @@ class Shard:
         self.left = np.array([len(x) for x in ids], dtype=np.int64)     # unused tokens; 0: used up
         rows, terms, weights = [], [], []
         for i, x in enumerate(ids):
-            t, tf = np.unique(x, return_counts=True)
+            t, tf = terms_of(x)
             rows.append(np.full(len(t), i, dtype=np.int32))
             terms.append(t)
             weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean)))
@@ -342,10 +350,14 @@ def pack_shard(doc_ids: list, ids: list[np.ndarray], idf: np.ndarray, mean: floa
         room = window - sequence[0][2]
         if room:
             near = shard.neighbours(seed)
-            for i in near[left[near] <= room][:NEIGHBOURS]:     # whole pieces that fit, best first
-                if left[i] <= room:
-                    sequence.append(take(i, room))
-                    room -= sequence[-1][2]
+            sizes, at = left[near], 0
+            while room:                                         # whole pieces that fit, best first, to the last neighbour
+                fit = np.flatnonzero(sizes[at:] <= room)
+                if not len(fit):
+                    break
+                at += int(fit[0]) + 1
+                sequence.append(take(int(near[at - 1]), room))
+                room -= sequence[-1][2]
             for i in near:                                      # then the best of the rest, cut
                 if not room:
                     break
