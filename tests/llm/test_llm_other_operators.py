@@ -252,7 +252,54 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in before.collect()}
 
 
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    """Rows without ids and rows that share one keep their own texts through every stage."""
+    import corpus_pipeline
+    from penmark.llm.common import stored
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    twice = text(40)
+    rows = [(None, text(40), "a") for _ in range(20)] + [(None, twice, "a"), (None, twice, "b"), (9, text(30), None), (9, text(30), "c"),
+                                                         (9, None, "c"), (10, "", "c"), (None, None, None)]
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF001}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, before, str(tmp_path)), f"test-{name}")
+        assert after.dtypes == before.dtypes
+        if name == "ngram_jaccard_join":
+            assert Counter(r.text for r in after.collect())[twice] == 1
+        before = after
+    kept = Counter(r.text for r in before.collect() if r.text)
+    assert kept == Counter({t for _, t, _ in rows if t})
+    packed = corpus_pipeline.STAGES[-1][1](spark, before, str(tmp_path)).collect()
+    assert sum(r.start == 0 for r in packed) == before.count()
+
+
+def test_toxicity_features_by_a_plain_loop(spark):
+    lexicon = {"the": 4.0, "on*": 3.5, "ther": 5.0, "ist": 4.5}
+    f = toxicity.Featurizer(lexicon)
+    for r in spark.read.parquet(f"{SF001}/documents.parquet").limit(80).collect():
+        words = "".join(c.lower() if c.isascii() and (c.isalnum()) else c if not c.isascii() else " " for c in r.text).split()
+        weight = []
+        for w in words:
+            terms = [w] + [w[:k] + "*" for k in (4, 5, 6) if len(w) > k]
+            weight.append(max([lexicon.get(t, 0.0) for t in terms]))
+        hits = [i for i, x in enumerate(weight) if x]
+        you = [i for i, w in enumerate(words) if w.encode() in toxicity.SECOND_PERSON]
+        size = len(r.text.encode())
+        want = {"words": np.log1p(len(words)), "hits": len(hits), "density": len(hits) / len(words), "weighted_density": sum(weight) / len(words),
+                "strongest": max(weight), "distinct": len({words[i] for i in hits}), "second_person": len(you) / len(words),
+                "stretch_density": max((sum(i <= j < i + toxicity.STRETCH for j in hits) for i in hits), default=0) / min(len(words), toxicity.STRETCH),
+                "near_second_person": sum(any(abs(i - y) <= toxicity.NEAR for y in you) for i in hits),
+                "capitals": sum("A" <= c <= "Z" for c in r.text) / size, "exclamations": r.text.count("!") / size,
+                "stops": sum(c in "!?.,;:" for c in r.text) / size, "digits": sum(c in "0123456789" for c in r.text) / size,
+                "word_length": size / len(words)}
+        got = dict(zip(toxicity.FEATURES, f(r.text)))
+        assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()), (r.doc_id, want, got)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as E
     names = list(E.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names

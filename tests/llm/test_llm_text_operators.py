@@ -583,3 +583,17 @@ def test_line_dedup_tells_rows_without_ids_apart(spark):
     assert all(r.n_dropped == (r.doc_id is None and r.n_lines == 2) for r in with_id)
     two = line_dedup.report(spark.createDataFrame([rows[0], rows[0], rows[1]], "doc_id long, text string")).collect()
     assert all(r.n_dropped == 0 for r in two)
+
+
+def test_every_whole_neighbour_is_tried():
+    """After the best neighbour a window has room for 18 more: the next 99 are too long, the one behind them fits."""
+    idf = np.ones(1 << 16)
+    rng = np.random.default_rng(0)
+    long = [np.full(40, 7, dtype=np.uint16) for _ in range(100)]
+    short = np.concatenate((np.full(1, 7), rng.integers(100, 60_000, 17))).astype(np.uint16)
+    got = packing.pack_shard([0] * 102, [np.full(1990, 7, dtype=np.uint16), *long, short], idf, 100.0)
+    first = next(s for s in got if s[0][0] == 0)
+    assert len(first) == 3 and 1 <= first[1][0] <= 100 and first[2][0] == 101
+    x = rng.integers(0, 50, 1000).astype(np.uint16)
+    a, b = packing.terms_of(x), np.unique(x, return_counts=True)
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and len(packing.terms_of(x[:0])[0]) == 0
