@@ -21,7 +21,7 @@ predicted from the context.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -87,10 +87,13 @@ def other_shares(numbers: DataFrame, shares: DataFrame) -> DataFrame:
     """(row, share): the sum of the shares of a document's words that are not among the known ones."""
     def run(batches):
         for b in batches:
+            out = {"row": [], "word": [], "n": []}
             for row, x in zip(b["row"], b["rare"]):
                 n = Counter(x.split())
-                if n:
-                    yield {"row": [row] * len(n), "word": [w.decode() for w in n], "n": [*n.values()]}
+                out["row"] += [row] * len(n)
+                out["word"] += [w.decode() for w in n]
+                out["n"] += n.values()
+            yield out
 
     held = map_columns(numbers.select("row", "rare"), run, "row bigint, word string, n bigint")
     return held.join(shares.select("word", "share"), "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("other"))
@@ -117,34 +120,40 @@ class Network:
         return e, np.tanh(np.einsum("npd,pd->nd", e, self.w["gate"]) + self.w["bias"])
 
     def log_probs(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-        _, h = self.hidden(context)
-        cls, slot = target % CLASSES, target // CLASSES
-        out = picked(h @ self.w["to_class"] + self.w["class_bias"], cls)[0]
-        for c, rows in by_class(cls):
-            out[rows] += picked(h[rows] @ self.w["to_word"][c] + self.w["word_bias"][c], slot[rows])[0]
+        classes, order = by_class(target % CLASSES)
+        target = target[order]
+        h = np.ascontiguousarray(self.hidden(context[order])[1].T)
+        found = picked(self.w["to_class"].T @ h + self.w["class_bias"][:, None], target % CLASSES)[0]
+        for c, a, b in classes:
+            found[a:b] += picked(self.w["to_word"][c].T @ h[:, a:b] + self.w["word_bias"][c][:, None], target[a:b] // CLASSES)[0]
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def step(self, target: np.ndarray, context: np.ndarray, seen: dict[str, np.ndarray]) -> None:
-        """One AdaGrad step on the mean negative log-probability (times a constant)."""
+        """One AdaGrad step on the mean negative log-probability (times a constant).  Words
+        are handled in the order of their classes, so that a class is a slice."""
         w, n = self.w, len(target)
+        classes, order = by_class(target % CLASSES)
+        target, context = target[order], context[order]
         e, h = self.hidden(context)
-        cls, slot = target % CLASSES, target // CLASSES
+        h = np.ascontiguousarray(h.T)
         grad = {"to_word": np.zeros_like(w["to_word"]), "word_bias": np.zeros_like(w["word_bias"])}
-        _, p = picked(h @ w["to_class"] + w["class_bias"], cls, gradient=True)
-        dh = p @ w["to_class"].T
-        grad["to_class"], grad["class_bias"] = h.T @ p, p.sum(axis=0)
-        for c, rows in by_class(cls):
-            hc = h[rows]
-            _, p = picked(hc @ w["to_word"][c] + w["word_bias"][c], slot[rows], gradient=True)
-            dh[rows] += p @ w["to_word"][c].T
-            grad["to_word"][c], grad["word_bias"][c] = hc.T @ p, p.sum(axis=0)
+        _, p = picked(w["to_class"].T @ h + w["class_bias"][:, None], target % CLASSES, gradient=True)
+        dh = w["to_class"] @ p
+        grad["to_class"], grad["class_bias"] = h @ p.T, p.sum(axis=1)
+        for c, a, b in classes:
+            hc = h[:, a:b]
+            _, p = picked(w["to_word"][c].T @ hc + w["word_bias"][c][:, None], target[a:b] // CLASSES, gradient=True)
+            dh[:, a:b] += w["to_word"][c] @ p
+            grad["to_word"][c], grad["word_bias"][c] = hc @ p.T, p.sum(axis=1)
         dh *= 1 - h * h
-        grad["bias"] = dh.sum(axis=0)
-        grad["gate"] = np.einsum("npd,nd->pd", e, dh)
-        grad["embed"] = np.zeros_like(w["embed"])
-        for k in range(2 * SIDE):
-            ids, first, order = grouped(context[:, k])
-            grad["embed"][ids] += np.add.reduceat(dh[order], first, axis=0) * w["gate"][k]
+        grad["bias"] = dh.sum(axis=1)
+        grad["gate"] = np.einsum("npd,dn->pd", e, dh)
+        around = context.T.ravel()
+        grad["embed"] = np.empty_like(w["embed"])
+        for d in range(DIMS):       # what every neighbour adds, summed by id
+            grad["embed"][:, d] = np.bincount(around, np.outer(w["gate"][:, d], dh[d]).ravel(), SIZE + 1)
         grad["embed"][PAD] = 0
         for k, g in grad.items():
             g /= n ** 0.5
@@ -153,15 +162,15 @@ class Network:
 
 
 def picked(logits: np.ndarray, which: np.ndarray, gradient: bool = False):
-    """Log-softmax values at ``which`` and, if asked for, softmax minus one-hot."""
-    logits -= logits.max(axis=1, keepdims=True)
-    rows = np.arange(len(which))
-    at = logits[rows, which]
+    """Log-softmax values at ``which`` of every column and, if asked for, softmax minus one-hot."""
+    logits -= logits.max(axis=0)
+    columns = np.arange(len(which))
+    at = logits[which, columns]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
+    total = logits.sum(axis=0)
     if gradient:
-        logits /= total[:, None]
-        logits[rows, which] -= 1
+        logits /= total
+        logits[which, columns] -= 1
     return at - np.log(total), logits
 
 
@@ -174,27 +183,38 @@ def grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[first], first, order
 
 
-def by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def by_class(cls: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(class, begin, end) of every class in the order of classes, and that order."""
     ids, first, order = grouped(cls)
-    for c, a, b in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-        yield c, order[a:b]
+    return list(zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(order)])), order
 
 
 class Ids:
-    """Vocabulary ids of words, with a bounded cache for those outside the vocabulary."""
+    """Vocabulary ids and shares of words: entries 0.. are the vocabulary's own words, then the words
+    whose share is known, then one per bucket for all others, which a bounded cache remembers."""
 
-    def __init__(self, words: list[bytes], limit: int = 400_000):
-        self.own = {w: i for i, w in enumerate(words)}
-        self.known, self.limit = dict(self.own), limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __init__(self, own: list[bytes], names: list[bytes], shares: np.ndarray, limit: int = 400_000):
         import zlib
-        if len(self.known) > self.limit:
-            self.known = dict(self.own)
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = SIZE - BUCKETS + zlib.crc32(w) % BUCKETS
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
+        self.bucket = lambda w: SIZE - BUCKETS + zlib.crc32(w) % BUCKETS
+        self.entry = {w: i for i, w in enumerate([*own, *names])}
+        self.rest = len(self.entry)
+        self.ids = np.array([*range(len(own)), *map(self.bucket, names), *range(SIZE - BUCKETS, SIZE)], dtype="<u2")
+        self.shares = np.r_[np.zeros(len(own)), shares, np.zeros(BUCKETS)]
+        self.known, self.limit = {}, limit
+
+    def __call__(self, words: list[bytes]) -> tuple[bytes, float, bytes]:
+        """The ids, the sum of the known shares, and the words without a known one."""
+        entries = np.fromiter(map(self.entry.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        other = np.flatnonzero(entries < 0)
+        rare = [words[i] for i in other.tolist()]
+        if rare:
+            if len(self.known) > self.limit:
+                self.known.clear()
+            known = self.known
+            for w in set(rare).difference(known):
+                known[w] = self.rest + self.bucket(w) - (SIZE - BUCKETS)
+            entries[other] = np.fromiter(map(known.__getitem__, rare), dtype=np.int64, count=len(rare))
+        return self.ids[entries].tobytes(), float(self.shares[entries].sum()), b" ".join(rare)
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,17 +234,12 @@ def numbered(docs: DataFrame, words: list[bytes], shares: tuple[list[bytes], np.
     shared = docs.sparkSession.sparkContext.broadcast((words, *shares))
 
     def run(batches):
-        own, names, values = shared.value
-        ids, known = Ids(own), dict(zip(names, values.tolist()))
-        known.update(dict.fromkeys(own, 0.0))
+        ids = Ids(*shared.value)
         for b in batches:
             for i, j in batched(b["text"]):
-                texts = [words_of(t) for t in b["text"][i:j]]
-                found = [list(map(known.get, x)) for x in texts]
+                found = [ids(words_of(t)) for t in b["text"][i:j]]
                 yield {"doc_id": b["doc_id"][i:j], "row": b["row"][i:j], "part": b["part"][i:j],
-                       "ids": [ids(x).astype("<u2").tobytes() for x in texts],
-                       "share": [sum(filter(None, f)) for f in found],
-                       "rare": [b" ".join([w for w, v in zip(x, f) if v is None]) if None in f else b"" for x, f in zip(texts, found)]}
+                       "ids": [f[0] for f in found], "share": [f[1] for f in found], "rare": [f[2] for f in found]}
 
     part = F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("part")
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), part, "text")
