@@ -30,6 +30,9 @@ TITLE_SUFFIX = {"a": " - The New York Times", "b": None, "c": " - The Washington
 CAPTION_A = (r"(?md)^[^\n]*" + SP + "for" + SP + "The" + SP + "New" + SP + "York" + SP + "Times" + SP + "*$")
 CAPTION_B = "(?md)^[^\n]*©[^\n]*$\n?"
 BYLINE = r"(?md)^By ([^\n]*)\n"
+# what stands before the last ' in ' of the first ended line that holds one; tried at line starts only and for ended
+# lines only, so the pass is linear in the longest line
+BYLINE_B = r"(?md)^(?=[^\n]*+\n)([^\n]*) in "
 CORRECTION_A = (r"When we learn of a mistake, we acknowledge it with a correction. If you spot an error, "
                 r"please let us know at\nnytnews@nytimes.com. Learn more(\n)*")
 COPYRIGHT_B = r"(?s)Copyright The Financial Times Limited 2025\. All rights reserved\..*"
@@ -62,15 +65,16 @@ def capture_date(text, layout: str) -> Column:
 
 def capture_author(text, layout: str) -> Column:
     if layout == "b":
-        return F.regexp_extract(_c(text), r"([^\n]*) in [^\n]*\n", 1)
+        return F.regexp_extract(_c(text), BYLINE_B, 1)
     return F.regexp_extract(_c(text), BYLINE, 1)
 
 
 def capture_url(text, layout: str) -> Column:
     if layout == "a":
         # the first URL start alone decides: if no '.html' follows it, none follows a later one
-        rest = F.regexp_extract(_c(text), r"(?:https?://|www\.)[\s\S]*", 0)
-        return F.regexp_extract(rest, r"\A(?:https?://|www\.)[\s\S]+?\.html\b", 0)
+        # ('.' with (?s) is one look per character, the union [\s\S] several)
+        rest = F.regexp_extract(_c(text), r"(?s)(?:https?://|www\.).*", 0)
+        return F.regexp_extract(rest, r"(?s)\A(?:https?://|www\.).+?\.html\b", 0)
     if layout == "b":
         return F.regexp_extract(_c(text), r"(?:https?://|www\.)[\s\S]+?[^\n]*\b", 0)
     return F.lit("NA")
@@ -309,7 +313,7 @@ RULES = clean_rules.checked([Rule(*r) for r in [
     ("a", "text", 8, "built_in", "contribution"),
     *[("b", "genre", 0, "folder", g) for g, layout in LAYOUT_BY_SOURCE.items() if layout == "b"],
     ("b", "date", 0, "extract_group", r"Published ([^\n]*)\n"),
-    ("b", "byline", 0, "extract_group", r"([^\n]*) in [^\n]*\n"),
+    ("b", "byline", 0, "extract_group", BYLINE_B),
     ("b", "url", 0, "built_in", "first_url"),
     ("b", "title", 0, "input", "title_in"),
     ("b", "text", 1, "built_in", "title_page"),
