@@ -19,7 +19,7 @@ the nested columns that they use.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +29,8 @@ SCHEMA = ("article_id bigint, sent_id bigint, text string, "
           "tokens array<struct<tok_id:bigint,text:string,pos:string,dep:string,head_id:bigint>>, "
           "ents array<struct<ent_id:string,label:string>>, chunks array<bigint>, error string")
 
+READ_ROWS = 64          # rows of a batch that are Python objects at a time
+
 Document = list[dict]
 Annotator = Callable[[list[str]], list[Document]]
 
@@ -41,6 +43,15 @@ def model_of(name: str, factory: Callable[[], Annotator]) -> Annotator:
     return _loaded[name]
 
 
+def tokens_ok(tokens) -> bool:
+    """Are all (text, pos, dep, head), the head one of the tokens?  Read by columns."""
+    if set(map(len, tokens)) != {4}:
+        return False
+    *strings, heads = zip(*tokens)
+    return (all(set(map(type, c)) == {str} for c in strings) and set(map(type, heads)) == {int}
+            and min(heads) >= 0 and max(heads) < len(tokens))
+
+
 def problem(document) -> str | None:
     """What is wrong with an annotated document, or None."""
     if not isinstance(document, list):
@@ -49,10 +60,8 @@ def problem(document) -> str | None:
         if not isinstance(s, dict) or not {"text", "tokens", "ents", "chunks"} <= s.keys() or not isinstance(s["text"], str):
             return f"sentence {i}: needs text, tokens, ents, chunks"
         n = len(s["tokens"])
-        for t in s["tokens"]:
-            if (len(t) != 4 or type(t[0]) is not str or type(t[1]) is not str or type(t[2]) is not str or type(t[3]) is not int
-                    or not 0 <= t[3] < n):
-                return f"sentence {i}: a token needs text, pos, dep and a head among {n} tokens"
+        if n and not tokens_ok(s["tokens"]):
+            return f"sentence {i}: a token needs text, pos, dep and a head among {n} tokens"
         if not all(len(e) == 2 and isinstance(e[1], str) and 0 <= e[0] < n for e in s["ents"]):
             return f"sentence {i}: an entity needs a start among {n} tokens and a label"
         if not all(isinstance(c, int) and 0 <= c < n for c in s["chunks"]):
@@ -78,8 +87,8 @@ def lists(items: list[list], kind: pa.DataType, columns: list | None = None) ->
     """A list column from flat children."""
     offsets = pa.array([0, *accumulate(map(len, items))], type=pa.int32())
     if columns is None:
-        return pa.ListArray.from_arrays(offsets, pa.array([x for i in items for x in i], type=kind))
-    children = [pa.array(list(c), type=kind.field(i).type) for i, c in enumerate(columns)]
+        return pa.ListArray.from_arrays(offsets, pa.array(list(chain.from_iterable(items)), type=kind))
+    children = [pa.array(c, type=kind.field(i).type) for i, c in enumerate(columns)]
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(children, fields=[kind.field(i) for i in range(kind.num_fields)]))
 
 
@@ -90,11 +99,11 @@ def rows_of(ids: list, results: list[tuple[Document, str | None]], schema: pa.Sc
     tokens = [s["tokens"] for s in sents]
     # an empty document leaves no sentence, as an empty text does
     token_type, ent_type = schema.field("tokens").type.value_type, schema.field("ents").type.value_type
-    every = list(zip(*[t for x in tokens for t in x])) or [()] * 4
+    every = list(zip(*chain.from_iterable(tokens))) or [()] * 4
     return pa.RecordBatch.from_arrays([
         pa.array([x[0] for x in flat], type=pa.int64()), pa.array([x[1] for x in flat], type=pa.int64()),
         pa.array([s["text"] for s in sents], type=pa.string()),
-        lists(tokens, token_type, [[i for x in tokens for i in range(len(x))], *every]),
+        lists(tokens, token_type, [list(chain.from_iterable(range(len(x)) for x in tokens)), *every]),
         lists([s["ents"] for s in sents], ent_type, [[f"{i}:{e[0]}" for _, i, s, _ in flat for e in s["ents"]],
                                                      [e[1] for s in sents for e in s["ents"]]]),
         lists([s["chunks"] for s in sents], pa.int64()), pa.array([x[3] for x in flat], type=pa.string())], schema=schema)
@@ -113,13 +122,16 @@ def annotate(docs: DataFrame, factory: Callable[[], Annotator], name: str, id_co
         model = model_of(name, factory)
         for b in batches:
             ids, texts, size = [], [], 0
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(d)
-                texts.append(t or "")
-                size += len(texts[-1])
-                if size >= batch_chars or len(texts) >= batch_texts:
-                    yield rows_of(ids, annotated_batch(model, texts), schema)
-                    ids, texts, size = [], [], 0
+            # Spark's batches hold thousands of texts: only a few at a time become Python objects
+            for at in range(0, b.num_rows, READ_ROWS):
+                part = b.slice(at, READ_ROWS)
+                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids.append(d)
+                    texts.append(t or "")
+                    size += len(texts[-1])
+                    if size >= batch_chars or len(texts) >= batch_texts:
+                        yield rows_of(ids, annotated_batch(model, texts), schema)
+                        ids, texts, size = [], [], 0
             if texts:
                 yield rows_of(ids, annotated_batch(model, texts), schema)
 
@@ -134,6 +146,11 @@ def tokens(annotated: DataFrame) -> DataFrame:
     return annotated.where("error is null").select("article_id", "sent_id", F.inline("tokens"))
 
 
+def token_field(annotated: DataFrame, field: str) -> DataFrame:
+    """(article_id, field) per token; no other nested column is fetched."""
+    return annotated.where("error is null").select("article_id", F.explode(f"tokens.{field}").alias(field))
+
+
 def entities(annotated: DataFrame) -> DataFrame:
     return annotated.where("error is null").select("article_id", F.inline("ents"))
 

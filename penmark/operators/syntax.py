@@ -42,19 +42,23 @@ def from_tables(sents: DataFrame, tokens: DataFrame, ents: DataFrame | None = No
                       F.lit(None).cast("string").alias("error"))
 
 
+def _shares(rows: DataFrame, tag_col: str) -> DataFrame:
+    """(article_id, tag, freq) of rows (article_id, tag): counted by article and tag, the few counts
+    of an article are its total; rows are read once and never joined with themselves."""
+    per = rows.where("article_id is not null").groupBy("article_id", F.col(tag_col).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    one = per.groupBy("article_id").agg(F.sum("n").alias("total"), F.collect_list(F.struct("tag", "n")).alias("tags"))
+    return one.select("article_id", "total", F.inline("tags")).select("article_id", "tag", (F.col("n") / F.col("total")).alias("freq"))
+
+
 def tag_frequencies(tokens: DataFrame, tag_col: str) -> DataFrame:
     """(article_id, tag, freq) = tag count / token count; only tags
     seen in the article appear (absent = missing, not 0)."""
-    per = tokens.groupBy("article_id", F.col(tag_col).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
-    tot = tokens.groupBy("article_id").agg(F.count(F.lit(1)).alias("total"))
-    return per.join(tot, "article_id").select("article_id", "tag", (F.col("n") / F.col("total")).alias("freq"))
+    return _shares(tokens, tag_col)
 
 
 def entity_frequencies(ents: DataFrame) -> DataFrame:
     """Label count / number of entities of the article."""
-    per = ents.groupBy("article_id", F.col("label").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
-    tot = ents.groupBy("article_id").agg(F.count(F.lit(1)).alias("total"))
-    return per.join(tot, "article_id").select("article_id", "tag", (F.col("n") / F.col("total")).alias("freq"))
+    return _shares(ents, "label")
 
 
 RATIOS = ["verb_noun_ratio", "adj_adv_ratio", "passive_voice_freq"]
@@ -124,13 +128,15 @@ def syntax_features(articles: DataFrame, annotated: DataFrame, id_col: str = "ar
 
 def tag_tables(annotated: DataFrame) -> dict[str, DataFrame]:
     """The long tag frequencies of an annotation by family."""
-    tokens = annotate.tokens(annotated)
-    return {"pos": tag_frequencies(tokens, "pos"), "dep": tag_frequencies(tokens, "dep"),
+    return {"pos": tag_frequencies(annotate.token_field(annotated, "pos"), "pos"),
+            "dep": tag_frequencies(annotate.token_field(annotated, "dep"), "dep"),
             "ent": entity_frequencies(annotate.entities(annotated))}
 
 
-def wide_tags(long: DataFrame, prefix: str, suffix: str, tags: list[str]) -> DataFrame:
-    """Pivot long tag frequencies to ``{prefix}{tag}{suffix}`` columns with
-    an explicit tag list (absent = NULL)."""
-    p = long.groupBy("article_id").pivot("tag", tags).agg(F.first("freq"))
-    return p.select("article_id", *[F.col(t).alias(f"{prefix}{t}{suffix}") for t in tags])
+def wide_tags(rows: DataFrame, tag_col: str, prefix: str, suffix: str, tags: list[str]) -> DataFrame:
+    """One row per article of the rows (article_id, tag): the share of each listed tag as a column
+    ``{prefix}{tag}{suffix}`` (absent = NULL).  One aggregation with a counter per tag."""
+    n = [F.count_if(F.col(tag_col) == t).alias(f"__{i}") for i, t in enumerate(tags)]
+    counted = rows.where("article_id is not null").groupBy("article_id").agg(F.count(F.lit(1)).alias("__n"), *n)
+    return counted.select("article_id", *[F.when(F.col(f"__{i}") > 0, F.col(f"__{i}") / F.col("__n")).alias(f"{prefix}{t}{suffix}")
+                                          for i, t in enumerate(tags)])

@@ -110,9 +110,8 @@ def union_features(spark, sf_dir):
     second annotator knows no SCONJ), unioned by name: the missing tag is NULL there."""
     from penmark.operators import annotate, standin
     from penmark.plans.syntax_queries import annotated
-    tokens = annotate.tokens(annotated(spark, sf_dir))
+    tokens = annotate.token_field(annotated(spark, sf_dir), "pos")
     frames = []
     for parity, tags in enumerate((standin.POS, standin.POS[:-1])):
-        long = syntax.tag_frequencies(tokens.where(F.col("article_id") % 2 == parity), "pos")
-        frames.append(syntax.wide_tags(long, "pos_", "_freq", tags))
+        frames.append(syntax.wide_tags(tokens.where(F.col("article_id") % 2 == parity), "pos", "pos_", "_freq", tags))
     return rounded(prep.union_features(frames))

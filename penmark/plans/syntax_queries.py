@@ -24,12 +24,12 @@ def annotated(spark, sf_dir):
 
 @query("pos_freq")
 def pos_freq(spark, sf_dir):
-    return rounded(syntax.tag_frequencies(annotate.tokens(annotated(spark, sf_dir)), "pos"))
+    return rounded(syntax.tag_frequencies(annotate.token_field(annotated(spark, sf_dir), "pos"), "pos"))
 
 
 @query("dep_freq")
 def dep_freq(spark, sf_dir):
-    return rounded(syntax.tag_frequencies(annotate.tokens(annotated(spark, sf_dir)), "dep"))
+    return rounded(syntax.tag_frequencies(annotate.token_field(annotated(spark, sf_dir), "dep"), "dep"))
 
 
 @query("ent_freq")
@@ -77,9 +77,9 @@ def syntax_features(spark, sf_dir):
 def article_tag_table(docs, sents):
     """A column per tag of the annotator and the noun-chunk complexity, for every row of ``docs`` (article_id)."""
     out = docs.select("article_id")
-    long = syntax.tag_tables(sents)
-    for family, tags in (("pos", standin.POS), ("dep", standin.DEP), ("ent", standin.ENT)):
-        out = out.join(syntax.wide_tags(long[family], f"{family}_freq_", "", tags), "article_id", "left")
+    for family, rows, col, tags in (("pos", annotate.token_field(sents, "pos"), "pos", standin.POS), ("dep", annotate.token_field(sents, "dep"), "dep", standin.DEP),
+                                    ("ent", annotate.entities(sents), "label", standin.ENT)):
+        out = out.join(syntax.wide_tags(rows, col, f"{family}_freq_", "", tags), "article_id", "left")
     out = out.join(syntax.sentence_features(sents, ["avg_sentence_complexity"]), "article_id", "left")
     return out.withColumn("avg_sentence_complexity", F.coalesce("avg_sentence_complexity", F.lit(0.0)))
 
@@ -100,18 +100,25 @@ def process_articles(spark, sf_dir):
     return rounded(lex.join(article_tag_table(docs, annotated(spark, sf_dir)), "article_id", "left"))
 
 
+def stored_tags(spark, sf_dir):
+    """The long tag frequencies by family, small next to the sentences: the registry reads them and the cells do."""
+    long = syntax.tag_tables(annotated(spark, sf_dir))
+    return {family: shared.stored_once(spark, sf_dir, f"tags-{family}", lambda t=t: t) for family, t in long.items()}
+
+
 def wide_features(spark, sf_dir, basic_too=False):
     """The registry and the sparse rows of every document: (basic,) syntax, tag and n-gram features."""
     docs = styled_documents(spark, sf_dir).withColumnRenamed("doc_id", "article_id")
     sents = annotated(spark, sf_dir)
-    norm = docs.select("article_id", basic.T.normalize_text("text").alias("text"))
+    # the fit reads the normalised texts twice, the transform once more
+    norm = shared.stored_once(spark, sf_dir, "normalized", lambda: docs.select("article_id", basic.T.normalize_text("text").alias("text")))
     model = ngrams.fit(norm, "text", 500)
     parts = []
     if basic_too:
         b = basic.basic_features(docs, keep=["article_id"], mode="normalized")
         parts.append(wide.Fixed("basic", [c for c in b.columns if c != "article_id"], b))
     parts.append(wide.Fixed("syntax", syntax.SYNTAX_FEATURES, syntax.syntax_features(docs, sents)))
-    parts += [wide.Tags(family, long, f"{family}_{{}}_freq") for family, long in syntax.tag_tables(sents).items()]
+    parts += [wide.Tags(family, long, f"{family}_{{}}_freq") for family, long in stored_tags(spark, sf_dir).items()]
     parts.append(wide.Vector("word_ngram", model.terms, model.transform(norm, "text").select("article_id", F.col("tfidf").alias("values"))))
     return wide.assemble(docs.select("article_id"), parts)
 

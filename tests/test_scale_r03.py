@@ -28,3 +28,43 @@ def test_captures_match_the_plain_patterns(spark):
                      (clean.capture_url("t", "a"), F.regexp_extract(F.regexp_extract("t", r"(?:https?://|www\.)[\s\S]*", 0),
                                                                     r"\A(?:https?://|www\.)[\s\S]+?\.html\b", 0))):
         assert df.where(~new.eqNullSafe(old)).count() == 0
+
+
+def test_spaced_words_count_as_the_text_does(spark):
+    from penmark.functions import text as T
+    r = random.Random(7)
+    parts = ["e", "es", "ed", "a", "y", "b", "th", "İ", "Σ", "é", "1", "_", " ", "\n", ".", "'", "ß", "́", "😀", "𝒳", "E", "S", "u"]
+    rows = [("".join(r.choice(parts) for _ in range(r.randint(0, 30))),) for _ in range(4000)] + [("",), ("bleed shes tree queue",)]
+    df = spark.createDataFrame(rows, "t string")
+    w = T.spaced_words("t")
+    low = T.lower_words(w)
+    # T8 word by word (the passes over the whole text miss letters beyond U+FFFF in their look-behinds)
+    each = F.aggregate(F.transform(T.word_tokens(F.lower("t")), T.syllables), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    for new, old in ((T.spaced_count(w), F.size(T.word_tokens("t"))), (T.spaced_length(w), F.length(F.array_join(T.word_tokens("t"), ""))),
+                     (T.spaced_count(low), F.size(T.word_tokens(F.lower("t")))), (T.spaced_syllables(low), each)):
+        assert [x.t for x in df.where(~new.eqNullSafe(old)).limit(3).collect()] == []
+
+
+def test_frequent_terms_of_no_words(spark):
+    from penmark.operators import ngrams
+    assert ngrams.frequent_terms(spark.createDataFrame([("",), (None,)], "text string")) == ([], 2)
+
+
+def test_tag_shares_read_the_tokens_once(spark):
+    from penmark.operators import syntax
+    rows = [(1, "A"), (1, "A"), (1, "B"), (2, None), (None, "A")]
+    df = spark.createDataFrame(rows, "article_id long, tag string")
+    long = syntax.tag_frequencies(df, "tag")
+    assert sorted(map(tuple, long.collect()), key=str) == [(1, "A", 2 / 3), (1, "B", 1 / 3), (2, None, 1.0)]
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1      # a join read them twice
+    wide = syntax.wide_tags(df, "tag", "p_", "", ["A", "C"])
+    assert sorted(map(tuple, wide.collect())) == [(1, 2 / 3, None), (2, None, None)]
+
+
+def test_annotation_checks_every_token():
+    from penmark.operators import annotate
+    good = [("a", "X", "dep", 0), ("b", "X", "dep", 1)]
+    sent = lambda toks: [{"text": "a b", "tokens": toks, "ents": [], "chunks": []}]
+    assert annotate.problem(sent(good)) is None and annotate.problem(sent([])) is None
+    for bad in (("a", "X", "dep", 2), ("a", "X", "dep", -1), ("a", "X", "dep", True), ("a", None, "dep", 0), ("a", "X", "dep")):
+        assert "a token needs" in annotate.problem(sent([good[0], bad]))
