@@ -82,7 +82,8 @@ def candidate_terms(grams: DataFrame, k: int, tracked: int) -> list[str] | None:
     rows = grams.select(F.explode_outer(GRAMS).alias("term"), F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g"))
     parts = rows.where(F.col("term").isNotNull()).groupBy("g").agg(
         F.expr(f"approx_top_k_accumulate(term, {tracked})").alias("s"), F.count(F.lit(1)).alias("n"))
-    found = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n")).where("n > 0") \
+    # grouped by a constant: no words leave no row, where a total would combine no summary
+    found = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n")).where("n > 0") \
                  .select(F.expr(f"approx_top_k_estimate(s, {tracked})").alias("top"), "n")
     items = found.select(F.explode_outer("top").alias("t"), (F.col("n") * F.lit(SUMMARY_ERROR / tracked)).alias("error"),
                          F.get(F.col("top"), F.lit(k - 1))["count"].alias("kth"))
