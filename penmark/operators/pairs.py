@@ -74,7 +74,8 @@ def pairs_of_ordinals(draws: DataFrame, mem: DataFrame, space: DataFrame, total:
     draws = draws.withColumn("__slice", F.expr(f"__o div {width}"))
     slices = space.withColumn("__slice", F.explode(F.sequence(
         F.expr(f"__first div {width}"), F.expr(f"(__first + __pairs - 1) div {width}"))))
-    own = draws.join(slices, "__slice").where((F.col("__o") >= F.col("__first")) & (F.col("__o") < F.col("__first") + F.col("__pairs")))
+    # Spark takes the draws of a walk for as small as its list of ranges: without the hint it would broadcast them
+    own = draws.hint("merge").join(slices, "__slice").where((F.col("__o") >= F.col("__first")) & (F.col("__o") < F.col("__first") + F.col("__pairs")))
     o = F.col("__o") - F.col("__first")
     # ordinal o is the pair (i, j), i < j, with o = j(j-1)/2 + i; the root is set right by one step
     j = F.floor((F.sqrt(o * 8.0 + 1.0) + 1.0) / 2.0).cast("bigint")

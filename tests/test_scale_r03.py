@@ -68,3 +68,13 @@ def test_annotation_checks_every_token():
     assert annotate.problem(sent(good)) is None and annotate.problem(sent([])) is None
     for bad in (("a", "X", "dep", 2), ("a", "X", "dep", -1), ("a", "X", "dep", True), ("a", None, "dep", 0), ("a", "X", "dep")):
         assert "a token needs" in annotate.problem(sent([good[0], bad]))
+
+
+def test_draws_are_never_broadcast(spark):
+    from penmark.operators import pairs
+    df = spark.createDataFrame([(i, "g") for i in range(40)], "i long, g string")
+    got = pairs.sampled_group_pairs(df, "g", "i", 1.0)
+    assert got.select("id1", "id2").distinct().count() == 40 * 39 // 2
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [__slice" in plan      # was a broadcast of the draws
