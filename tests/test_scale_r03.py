@@ -78,3 +78,46 @@ def test_draws_are_never_broadcast(spark):
     got.collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [__slice" in plan      # was a broadcast of the draws
+
+
+def test_pair_cosine_reads_its_documents_once(spark):
+    from penmark.operators import ngrams, pairs
+    r = random.Random(3)
+    words = ["red", "fox", "Élan", "naïve", "x1", "a_b", "日本", "ab", "abc", "don", "z"]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(60, ""), (61, None), (7, "fox"), (None, "red")]
+    pair = [(k, r.randint(0, 62), r.randint(0, 62)) for k in range(200)] + [(200, None, 1), (201, 99, 98)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    p = spark.createDataFrame(pair, "pair_id int, article1_idx long, article2_idx long")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    got = {x.pair_id: x.word_ngram_similarity for x in ngrams.pair_cosine(df.mapInArrow(counted, df.schema), p, "doc_id", "text", max_features=20).collect()}
+    assert reads.value == len(docs)         # three times before
+    ids = {i for x in pair for i in x[1:]}
+    used = df.where(F.col("doc_id").isin(list(ids - {None})))
+    best = ngrams.vocabulary(ngrams.term_stats(used), 20).collect()
+    model = ngrams.model_of([(t.term, t.cf, t.df) for t in best], used.count())
+    vectors = {}
+    for x in model.transform(used.na.fill("")).collect():
+        vectors.setdefault(x.doc_id, []).append(x.tfidf)
+    for k, a, b in pair:
+        va, vb = vectors.get(a, []), vectors.get(b, [])
+        want = sum(x * y for x, y in zip(va[0], vb[0])) if len(va) == len(vb) == 1 else 0.0
+        assert abs(got[k] - want) < 1e-12, (k, a, b)
+
+
+def test_fit_weights_where_no_summary_decides(spark, monkeypatch):
+    from penmark.operators import ngrams
+    r = random.Random(4)
+    docs = [(i, " ".join(f"w{r.randint(0, 40)}" for _ in range(30))) for i in range(40)]
+    words = spark.createDataFrame(docs, "i int, t string").select("i", ngrams.unigrams("t").alias(ngrams.UNI))
+    model, weights = ngrams.fit_weights(words, "i", 30)
+    assert model == ngrams.model_of([(t.term, t.cf, t.df) for t in ngrams.vocabulary(ngrams.gram_stats(ngrams.grams_of_words(words)), 30).collect()], 40)
+    want = sorted(weights.collect())
+    monkeypatch.setattr(ngrams, "MOST_TRACKED", 0)
+    again, weights = ngrams.fit_weights(words, "i", 30)
+    assert again == model and sorted(weights.collect()) == want
