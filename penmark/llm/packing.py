@@ -43,6 +43,10 @@ K1, B = 1.2, 0.75           # BM25
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
+# ASCII characters that the splitter keeps in one piece after a word (an apostrophe may open a piece of its own)
+STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# 1: letter, 2: one of these
+KINDS = np.array([1 if chr(b).isalpha() else 2 if chr(b) in STOPS else 0 for b in range(256)], dtype=np.uint8)
 # Latin-1 bytes, lower-cased as the tokenizer does it, line ends as blanks
 FOLDED = bytes(32 if b == 10 else ord(chr(b).lower()) for b in range(256))
 
@@ -54,8 +58,9 @@ class Encoder:
     of it, so the ids of a text are those of its parts between blanks and line
     ends, and each distinct part is encoded once per worker (bounded caches).  Its
     normaliser lower-cases character by character, so a Latin-1 text (which NFC leaves
-    alone) may be lower-cased first; its splitter separates letters from a
-    following comma or full stop, so such parts share the bare word's entry."""
+    alone) may be lower-cased first; its splitter separates letters from
+    punctuation that follows, so Latin-1 texts are parted there, too.  The parts of a batch of
+    them are told apart in Arrow, so each distinct one is looked up once."""
 
     def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,15 +74,26 @@ class Encoder:
         self.model = Tokenizer(self.tokenizer.model)
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
+        self.closing = np.zeros(1 << 16, dtype=bool)    # tokens that end a word
+        self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         probe = [chr(c) + w for c in self.letters if chr(c).islower() for w in ("", "the", "éa")]
         if self._direct(probe) != self._ids(probe):
             raise ValueError("expected a byte-level tokenizer that lower-cases and splits off letters")
-        self.folded: dict[bytes, bytes] = {b"": b""}    # parts of Latin-1 texts
+        self.folded: dict[bytes, bytes] = {}            # parts of Latin-1 texts
         self.other: dict[str, bytes] = {"": b""}        # parts of all other texts
         self.limit = limit
 
     def _direct(self, words: list[str]) -> list[bytes]:
-        return self._ids([w.translate(self.letters) for w in words], self.model)
+        """The ids of words of letters, whose last tokens close them."""
+        if not words:
+            return []
+        spelled = [w.translate(self.letters) for w in words]
+        ids = np.array(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u2")
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != len(words):
+            return self._ids(spelled, self.model)
+        raw, bounds = ids.tobytes(), [0, *(2 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def _ids(self, parts: list[str], tokenizer=None) -> list[bytes]:
         """The ids of each part, from one call."""
@@ -88,61 +104,74 @@ class Encoder:
         bounds = (2 * np.searchsorted(np.array(e.word_ids), np.arange(len(parts) + 1))).tolist()
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def learn(self, parts: set[bytes]) -> list[bytes]:
-        """Put the parts that the cache lacks into it; returns the long ones among them."""
-        cache = self.folded
-        words: dict[bytes, str] = {}
-        rest: dict[bytes, str] = {}
-        stopped: list[bytes] = []
-        long = []
-        for p in parts.difference(cache):
-            s = p.decode("latin-1")
-            if s.isalpha():
-                words[p] = s
-            elif s[-1] in ",." and s[:-1].isalpha():
-                stopped.append(p)
-                if p[:-1] not in cache:
-                    words[p[:-1]] = s[:-1]
-            else:
-                rest[p] = s
-            if len(p) > 64:
-                long.append(p)
-        for stop in (",", "."):
-            if stop.encode() not in cache:
-                rest[stop.encode()] = stop
-        cache.update(zip(words, self._direct(list(words.values()))))
-        cache.update(zip(rest, self._ids(list(rest.values()))))
-        for p in stopped:
-            cache[p] = cache[p[:-1]] + cache[p[-1:]]
-        return long
+    def learn(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of the parts; the cache keeps those it lacked, unless they are long."""
+        ids = list(map(self.folded.get, parts))
+        words, rest = [], []
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            (words if parts[i].decode("latin-1").isalpha() else rest).append(i)
+        for new, encode in ((words, self._direct), (rest, self._ids)):
+            for i, x in zip(new, encode([parts[i].decode("latin-1") for i in new])):
+                ids[i] = x
+                if len(parts[i]) <= 64:
+                    self.folded[parts[i]] = x
+        return ids
+
+    def encode_folded(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased Latin-1 texts whose white space is blanks."""
+        import pyarrow as pa
+        if not texts:
+            return []
+        data = b" ".join(texts) + b" "
+        chars = np.frombuffer(data, np.uint8)
+        kinds = KINDS[chars]
+        blank = chars == 32
+        cut = blank.copy()
+        cut[:-1] |= (kinds[:-1] == 1) & (kinds[1:] == 2)
+        ends = np.flatnonzero(cut)
+        offsets = np.concatenate(([0], ends + 1 - np.cumsum(blank, dtype=np.int32)[ends])).astype(np.int32)      # without the blanks
+        full = np.diff(offsets) > 0
+        ends, offsets = ends[full], offsets[np.concatenate(([True], full))]
+        bare = data.translate(None, b" ")
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(bare)]).dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids = self.learn(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) >> 1
+        held = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(held, dtype=np.int32)))
+        # token i of the batch is token i - upto[part] of its part
+        source = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[at] - upto[:-1], held)
+        source += np.arange(len(source), dtype=np.int32)
+        raw = np.frombuffer(b"".join(ids), "<u2")[source].tobytes()
+        texts_end = np.cumsum([len(t) + 1 for t in texts])
+        bounds = [0, *(2 * upto[np.searchsorted(ends, texts_end)]).tolist()]        # after the parts that end before the text does
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.folded) > self.limit:
-            self.folded = {b"": b""}
+            self.folded = {}
         if len(self.other) > self.limit // 4:
             self.other = {"": b""}
-        split: list[list] = []
-        for t in texts:
+        plain: dict[int, bytes] = {}
+        other: dict[int, list[str]] = {}
+        for i, t in enumerate(texts):
             try:
                 b = (t or "").encode("latin-1")
-                # (lower-casing must not make a special token's name)
-                split.append(b.translate(FOLDED).split(b" ") if b"<|" not in b else t.replace("\n", " ").split(" "))
+                if b"<|" not in b:                              # (lower-casing must not make a special token's name)
+                    plain[i] = b.translate(FOLDED)
+                    continue
             except UnicodeEncodeError:
-                split.append(t.replace("\n", " ").split(" "))
-        is_folded = [isinstance(x[0], bytes) for x in split]
-        parts = set().union(*(x for x, f in zip(split, is_folded) if f))
-        others = set().union(*(x for x, f in zip(split, is_folded) if not f))
-        long = self.learn(parts)
-        missing = list(others.difference(self.other))
+                pass
+            other[i] = t.replace("\n", " ").split(" ")
+        out = dict(zip(plain, self.encode_folded(list(plain.values()))))
+        missing = list(set().union(*other.values()).difference(self.other))
         self.other.update(zip(missing, self._ids(missing)))
-        folded, other = self.folded.__getitem__, self.other.__getitem__
-        out = [b"".join(map(folded if f else other, x)) for x, f in zip(split, is_folded)]
-        for p in long:
-            del self.folded[p]
+        for i, x in other.items():
+            out[i] = b"".join(map(self.other.__getitem__, x))
         for p in missing:
             if len(p) > 64:
                 del self.other[p]
-        return out
+        return [out[i] for i in range(len(texts))]
 
 
 @functools.lru_cache(maxsize=1)
@@ -159,7 +188,7 @@ def tokenize(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int =
     def run(batches):
         e = encoder(tokenizer)
         for b in batches:
-            for i, j in batched(b["text"], 1 << 21):
+            for i, j in batched(b["text"], 1 << 22):
                 ids = [x + end for x in e.encode(b["text"][i:j])]
                 yield {"doc_id": b["doc_id"][i:j], "ids": ids, "n": [len(x) // 2 for x in ids]}
 
@@ -176,13 +205,38 @@ def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[starts], np.diff(starts, append=len(ids))
 
 
+def terms_of_each(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``terms_of`` for many texts by one sort: (text, term, count), by text and term."""
+    sizes = [len(x) for x in ids]
+    kind = np.uint32 if len(ids) <= 1 << 16 else np.uint64
+    keys = np.repeat(np.arange(len(ids), dtype=kind) << kind(16), sizes)
+    keys |= np.concatenate([*ids, np.empty(0, dtype="<u2")])
+    keys.sort()
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[:len(keys)]
+    found = keys[starts]
+    return (found >> kind(16)).astype(np.int32), (found & kind(0xFFFF)).astype(np.uint16), np.diff(starts, append=len(keys))
+
+
+def chunks(ids: list[bytes], tokens: int = 1 << 20):
+    """Stored texts as token arrays, in lists of about so many tokens."""
+    held, n = [], 0
+    for x in ids:
+        held.append(np.frombuffer(x, "<u2"))
+        n += len(held[-1])
+        if n >= tokens:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """Documents per token id, number of documents, mean length, over the whole corpus."""
     def run(batches):
         df = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            for ids in b["ids"]:
-                df[terms_of(np.frombuffer(ids, "<u2"))[0]] += 1
+            for ids in chunks(b["ids"]):
+                df += np.bincount(terms_of_each(ids)[1], minlength=1 << 16)
         terms = np.flatnonzero(df)
         yield {"term": terms, "df": df[terms]}
 
@@ -201,17 +255,21 @@ def races() -> np.ndarray:
     return -np.log((x.astype(np.float64) + 0.5) / (1 << 53))
 
 
-def content_keys(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[int, int]:
-    """The two terms that win the race of squared BM25 weights: a text's likely
-    neighbours have the same with the chance of their weighted overlap."""
-    t, tf = terms_of(ids)
-    w = idf[t] * tf / (tf + K1 * (1 - B + B * len(ids) / mean))
+def content_keys(ids: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[list[int], list[int]]:
+    """Per text (of one token at least) the two terms that win the race of squared BM25 weights: a
+    text's likely neighbours have the same with the chance of their weighted overlap."""
+    row, t, tf = terms_of_each(ids)
+    w = idf[t] * tf / (tf + (K1 * (1 - B + B * np.array([len(x) for x in ids]) / mean))[row])
     v = races()[t] / np.maximum(w * w, 1e-30)
-    if len(t) < 2:
-        return int(t[0]), int(t[0])
-    first = int(v.argmin())
-    v[first] = np.inf
-    return int(t[first]), int(t[v.argmin()])
+    starts = np.searchsorted(row, np.arange(len(ids)))
+    winners = []
+    for _ in range(2):
+        best = np.flatnonzero(v == np.minimum.reduceat(v, starts)[row])
+        best = best[np.searchsorted(row[best], np.arange(len(ids)))]        # ties: the first
+        winners.append(t[best].tolist())
+        # a text of one term has it twice
+        v[best[np.diff(starts, append=len(row)) > 1]] = np.inf
+    return winners[0], winners[1]
 
 
 def bin_of(key: int, bins: int) -> int:
@@ -247,9 +305,9 @@ def deal(tokens: DataFrame, shared, room: int) -> Deal:
         idf, mean = shared.value
         n: Counter = Counter()
         for b in batches:
-            for x in b["ids"]:
-                x = np.frombuffer(x, "<u2")
-                n[content_keys(x, idf, mean)] += len(x)
+            for ids in chunks(b["ids"]):
+                for x, *key in zip(ids, *content_keys(ids, idf, mean)):
+                    n[tuple(key)] += len(x)
             if len(n) > 100_000:
                 yield {"first": [k for k, _ in n], "second": [k for _, k in n], "n": [*n.values()]}
                 n.clear()
@@ -275,18 +333,12 @@ class Shard:
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         self.left = np.array([len(x) for x in ids], dtype=np.int64)     # unused tokens; 0: used up
-        rows, terms, weights = [], [], []
-        for i, x in enumerate(ids):
-            t, tf = terms_of(x)
-            rows.append(np.full(len(t), i, dtype=np.int32))
-            terms.append(t)
-            weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean)))
-        self.bounds = np.cumsum([0] + [len(t) for t in terms])
-        self.terms = np.concatenate(terms) if ids else np.empty(0, dtype=np.int64)
+        rows, self.terms, tf = terms_of_each(ids)
+        weights = idf[self.terms] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * self.left / mean))[rows])
+        self.bounds = np.searchsorted(rows, np.arange(len(ids) + 1))
         order = np.argsort(self.terms, kind="stable")
         self.order = self.terms[order]
-        self.index(np.concatenate(rows)[order] if ids else np.empty(0, dtype=np.int32),
-                   np.concatenate(weights).astype(np.float32)[order] if ids else np.empty(0, dtype=np.float32))
+        self.index(rows[order], weights.astype(np.float32)[order])
 
     def index(self, rows: np.ndarray, weights: np.ndarray) -> None:
         """Postings of the unused pieces; ``order`` holds their terms, ascending."""
@@ -417,7 +469,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = DEFAULT_TOKENIZ
     def place(batches):
         idf, mean = shared.value
         for b in batches:
-            where = [dealt.value(*content_keys(np.frombuffer(x, "<u2"), idf, mean), salt) for x, salt in zip(b["ids"], b["salt"])]
+            keys = [k for ids in chunks(b["ids"]) for k in zip(*content_keys(ids, idf, mean))]
+            where = [dealt.value(*k, salt) for k, salt in zip(keys, b["salt"])]
             yield {"doc_id": b["doc_id"], "ids": b["ids"], "n": b["n"], "shard": where}
 
     def packed(shard, doc_ids, ids):

@@ -597,3 +597,25 @@ def test_every_whole_neighbour_is_tried():
     x = rng.integers(0, 50, 1000).astype(np.uint16)
     a, b = packing.terms_of(x), np.unique(x, return_counts=True)
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and len(packing.terms_of(x[:0])[0]) == 0
+
+
+def test_packing_looks_up_a_word_once_whatever_follows_it():
+    import public_tokenizers
+    e = packing.Encoder(str(public_tokenizers.path(packing.DEFAULT_TOKENIZER)))
+    texts = ["Fox fox! fox*** (fox), don't 'tis fox's. x1 ²é\xa0fox\n\nfox--", None, "", " ", "<|endoftext|> fox!", "日本 fox!"]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+    assert b"fox" in e.folded and not {b"fox!", b"fox***", b"fox--"} & set(e.folded)     # each was encoded on its own before
+
+
+def test_packing_terms_and_keys_of_many_texts():
+    r = np.random.default_rng(2)
+    ids = [r.integers(0, 50, n).astype("<u2") for n in (1, 5, 400, 2, 90)] + [np.array([7, 7, 7], "<u2"), np.array([49407], "<u2")]
+    row, term, count = packing.terms_of_each([*ids, ids[0][:0]])
+    for i, x in enumerate([*ids, ids[0][:0]]):
+        t, tf = packing.terms_of(x)
+        assert term[row == i].tolist() == t.tolist() and count[row == i].tolist() == tf.tolist()
+    idf = r.random(1 << 16).astype(np.float32)
+    together = list(zip(*packing.content_keys(ids, idf, 60.0)))
+    assert together == [tuple(k[0] for k in packing.content_keys([x], idf, 60.0)) for x in ids]
+    assert together[-2] == (7, 7) and together[-1] == (49407, 49407) and together[2][0] != together[2][1]
