@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penmark.llm.common import WORD_BYTES, map_columns, shared_path, stored, words_of
+from penmark.llm.common import WORD_BYTES, map_batches, map_columns, shared_path, stored, words_of
 
 WINDOW = 13                  # words
 COVERAGE = 20                # contaminated: COVERAGE * hit words >= all words
@@ -380,4 +380,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
             out = pa.RecordBatch.from_arrays(columns, schema=b.schema)
             yield out if all(keep) else out.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

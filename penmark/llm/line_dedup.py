@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penmark.llm.common import map_columns, splitmix, stored
+from penmark.llm.common import map_batches, map_columns, splitmix, stored
 
 MIN_CHARS = 20          # code points of a key that counts
 MIN_DOCS = 3            # documents that make a key a repeat
@@ -232,4 +232,4 @@ def clean(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS)
                         type=b.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([b.schema.field(i) for i in range(len(columns))]))
 
-    return with_drops(docs, min_chars, min_docs).mapInArrow(run, schema)
+    return map_batches(with_drops(docs, min_chars, min_docs), run, schema)

@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +61,13 @@ class Encoder:
     normaliser lower-cases character by character, so a Latin-1 text (which NFC leaves
     alone) may be lower-cased first; its splitter separates letters from
     punctuation that follows, so Latin-1 texts are parted there, too.  The parts of a batch of
-    them are told apart in Arrow, so each distinct one is looked up once."""
+    them are told apart in Arrow, so each distinct one is looked up once.
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    The cache has two generations: a full one becomes the older one, from which parts that are seen
+    again come back.  So it holds about twice ``limit`` parts, the frequent ones among them, however
+    many different parts the corpus has."""
+
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -80,6 +85,7 @@ class Encoder:
         if self._direct(probe) != self._ids(probe):
             raise ValueError("expected a byte-level tokenizer that lower-cases and splits off letters")
         self.folded: dict[bytes, bytes] = {}            # parts of Latin-1 texts
+        self.older: dict[bytes, bytes] = {}             # those of the generation before
         self.other: dict[str, bytes] = {"": b""}        # parts of all other texts
         self.limit = limit
 
@@ -109,7 +115,10 @@ class Encoder:
         ids = list(map(self.folded.get, parts))
         words, rest = [], []
         for i in [i for i, x in enumerate(ids) if x is None]:
-            (words if parts[i].decode("latin-1").isalpha() else rest).append(i)
+            if (x := self.older.get(parts[i])) is not None:
+                ids[i] = self.folded[parts[i]] = x
+            else:
+                (words if parts[i].decode("latin-1").isalpha() else rest).append(i)
         for new, encode in ((words, self._direct), (rest, self._ids)):
             for i, x in zip(new, encode([parts[i].decode("latin-1") for i in new])):
                 ids[i] = x
@@ -119,7 +128,6 @@ class Encoder:
 
     def encode_folded(self, texts: list[bytes]) -> list[bytes]:
         """Ids of lower-cased Latin-1 texts whose white space is blanks."""
-        import pyarrow as pa
         if not texts:
             return []
         data = b" ".join(texts) + b" "
@@ -149,8 +157,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.folded) > self.limit:
-            self.folded = {}
-        if len(self.other) > self.limit // 4:
+            self.older, self.folded = self.folded, {}
+        if len(self.other) > self.limit:
             self.other = {"": b""}
         plain: dict[int, bytes] = {}
         other: dict[int, list[str]] = {}
@@ -233,6 +241,7 @@ def chunks(ids: list[bytes], tokens: int = 1 << 20):
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """Documents per token id, number of documents, mean length, over the whole corpus."""
     def run(batches):
+        encoder.cache_clear()           # the texts are encoded: a worker that serves on needs it no more
         df = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
             for ids in chunks(b["ids"]):
@@ -302,6 +311,7 @@ def deal(tokens: DataFrame, shared, room: int) -> Deal:
     """Counts the tokens of all keys; the driver gets at most one row per token id, and
     ``SPLIT`` rows per shard that an overflowing key fills."""
     def run(batches):
+        encoder.cache_clear()
         idf, mean = shared.value
         n: Counter = Counter()
         for b in batches:
@@ -321,7 +331,8 @@ def deal(tokens: DataFrame, shared, room: int) -> Deal:
         else:
             units.append((r["first"], -1, r.n))
     if bins:
-        split = keys.sparkSession.createDataFrame(list(bins.items()), "first int, bins bigint")
+        split = pa.table([[*bins], [*bins.values()]], pa.schema([("first", pa.int32()), ("bins", pa.int64())]))
+        split = keys.sparkSession.createDataFrame(split)        # (a list would start more Python workers)
         part = F.shiftright(F.col("second").cast("bigint") * 40503 % (1 << 16) * F.col("bins"), 16).cast("int")
         rows = keys.join(F.broadcast(split), "first").groupBy("first", part.alias("part")).agg(F.sum("n").alias("n"))
         units += [(r["first"], r.part, r.n) for r in rows.collect()]
@@ -491,6 +502,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = DEFAULT_TOKENIZ
         return out
 
     def run(batches):
+        encoder.cache_clear()
         shard, doc_ids, ids = None, [], []
         for b in batches:
             for at, i, x in zip(b["shard"], b["doc_id"], b["ids"]):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penmark.llm.common import stored
+from penmark.llm.common import map_batches, stored
 from penmark.llm.toxicity import held_out
 
 TRAIN_ROWS = 20_000         # labelled rows drawn for training
@@ -73,7 +73,7 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             x = pa.array([statistics(t) for t in b.column(at).to_pylist()], type=pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, x], names=[*b.schema.names, "__s"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__s", T.ArrayType(T.DoubleType()))]))
+    return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField("__s", T.ArrayType(T.DoubleType()))]))
 
 
 NODE = re.compile(r"^( *)(?:If|Else) \(feature (\d+) (<=|>) ([-+.\dEe]+)\)")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penmark.llm.common import map_columns, stored, words_of
+from penmark.llm.common import map_batches, map_columns, stored, words_of
 
 TRAIN_ROWS = 20_000         # labelled rows drawn for training
 LEXICON_SIZE = 2_000
@@ -139,7 +139,7 @@ def with_features(df: DataFrame, lexicon: dict[str, float], text: str = "text")
             x = pa.array([f(t) for t in b.column(at).to_pylist()], type=pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, x], names=[*b.schema.names, "__x"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__x", T.ArrayType(T.DoubleType()))]))
+    return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField("__x", T.ArrayType(T.DoubleType()))]))
 
 
 def held_out():
