@@ -24,6 +24,7 @@ so a task that runs again gives the same sequences.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections import Counter
@@ -67,7 +68,7 @@ class Encoder:
     again come back.  So it holds about twice ``limit`` parts, the frequent ones among them, however
     many different parts the corpus has."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -93,7 +94,7 @@ class Encoder:
         """The ids of words of letters, whose last tokens close them."""
         if not words:
             return []
-        spelled = [w.translate(self.letters) for w in words]
+        spelled = [w if w.isascii() else w.translate(self.letters) for w in words]      # ASCII letters stand for themselves
         ids = np.array(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u2")
         ends = np.flatnonzero(self.closing[ids]) + 1
         if len(ends) != len(words):
@@ -113,14 +114,16 @@ class Encoder:
     def learn(self, parts: list[bytes]) -> list[bytes]:
         """The ids of the parts; the cache keeps those it lacked, unless they are long."""
         ids = list(map(self.folded.get, parts))
-        words, rest = [], []
-        for i in [i for i, x in enumerate(ids) if x is None]:
-            if (x := self.older.get(parts[i])) is not None:
+        at = [i for i, x in enumerate(ids) if x is None]
+        if self.older:
+            again = [(i, x) for i, x in zip(at, map(self.older.get, [parts[i] for i in at])) if x is not None]
+            for i, x in again:
                 ids[i] = self.folded[parts[i]] = x
-            else:
-                (words if parts[i].decode("latin-1").isalpha() else rest).append(i)
-        for new, encode in ((words, self._direct), (rest, self._ids)):
-            for i, x in zip(new, encode([parts[i].decode("latin-1") for i in new])):
+            at = [i for i in at if ids[i] is None] if again else at
+        texts = b" ".join([parts[i] for i in at]).decode("latin-1").split(" ") if at else []    # (no part holds a blank)
+        letters = list(map(str.isalpha, texts))
+        for chosen, encode in ((letters, self._direct), ([not x for x in letters], self._ids)):
+            for i, x in zip(itertools.compress(at, chosen), encode(list(itertools.compress(texts, chosen)))):
                 ids[i] = x
                 if len(parts[i]) <= 64:
                     self.folded[parts[i]] = x
@@ -140,6 +143,7 @@ class Encoder:
         offsets = np.concatenate(([0], ends + 1 - np.cumsum(blank, dtype=np.int32)[ends])).astype(np.int32)      # without the blanks
         full = np.diff(offsets) > 0
         ends, offsets = ends[full], offsets[np.concatenate(([True], full))]
+        del chars, kinds, blank, cut            # as long as the texts, each
         bare = data.translate(None, b" ")
         coded = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(bare)]).dictionary_encode()
         at = coded.indices.to_numpy()

@@ -619,3 +619,26 @@ def test_packing_terms_and_keys_of_many_texts():
     together = list(zip(*packing.content_keys(ids, idf, 60.0)))
     assert together == [tuple(k[0] for k in packing.content_keys([x], idf, 60.0)) for x in ids]
     assert together[-2] == (7, 7) and together[-1] == (49407, 49407) and together[2][0] != together[2][1]
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    from penmark.llm import common
+    rows = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield {"n": [len(b["text"])], "chars": [sum(map(len, b["text"]))]}
+
+    got = common.map_columns(rows, run, "n bigint, chars bigint").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.chars for r in got) <= common.BATCH_BYTES + 10_000      # 30 MB at once before
+
+
+def test_encoder_cache_is_bounded_and_keeps_frequent_words():
+    import public_tokenizers
+    e = packing.Encoder(str(public_tokenizers.path(packing.DEFAULT_TOKENIZER)), limit=100)
+    for k in range(40):
+        texts = [f"the fox q{k}x{i} z{i}y{k}" for i in range(20)]
+        for t, ids in zip(texts, e.encode(texts)):
+            assert np.frombuffer(ids, "<u2").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(e.folded) + len(e.older) <= 2 * (100 + 45) and b"fox" in e.folded
+    assert b"q0x0" not in e.folded | e.older
