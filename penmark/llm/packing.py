@@ -68,7 +68,7 @@ class Encoder:
     again come back.  So it holds about twice ``limit`` parts, the frequent ones among them, however
     many different parts the corpus has."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
