@@ -20,14 +20,18 @@ predicted from the context.
 
 from __future__ import annotations
 
+import ctypes
+import zlib
 from collections import Counter
-from itertools import repeat
+from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penmark.llm.common import map_columns, stored, words_of
+from penmark.llm.common import WORD_BYTES, map_batches, map_columns, stored
 
 CLASSES, SLOTS = 64, 64         # classes, and words of a class
 BUCKETS = 256                   # vocabulary entries for all words that have none of their own
@@ -36,6 +40,8 @@ DIMS = 24
 SIDE = 2                        # context words on either side
 ROUNDS = 2
 BATCH = 16_384                  # words of a step
+WIDE = 2048                     # columns of logits that are worked on at a time: they fit a processor's cache
+COUNTED = 1 << 24               # bytes of words that are counted at a time
 RATE = 0.15
 SEED = 2024
 BLOCK = 1 << 14                 # weights of a row when tasks report
@@ -46,19 +52,46 @@ SHAPES = {"embed": (SIZE + 1, DIMS), "gate": (2 * SIDE, DIMS), "bias": (DIMS,),
           "class_bias": (CLASSES,), "to_word": (CLASSES, DIMS, SLOTS), "word_bias": (CLASSES, SLOTS)}
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (as ``words_of`` parts them) of all texts, one after another, and where every text's words
+    begin, with the end of the last.  No object is made of a word."""
+    texts = texts.cast(pa.binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    first, last = int(offsets[0]), int(offsets[-1])
+    data = data.slice(first, last - first).to_pybytes().translate(WORD_BYTES) if last > first else b""
+    offsets -= first
+    inside = np.frombuffer(data, np.uint8) != 0x20
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    some = offsets[1:] > offsets[:-1]       # a text's border parts words too
+    borders = offsets[:-1][some], offsets[1:][some] - 1
+    begins[borders[0]], ends[borders[1]] = inside[borders[0]], inside[borders[1]]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    at = np.zeros(len(begins) + 1, dtype=np.int32)
+    np.cumsum(ends - begins + 1, out=at[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(at), pa.py_buffer(data.translate(None, b" "))])
+    return words, np.searchsorted(begins, offsets)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of all words of the corpus, stored."""
-    from penmark.llm.token_counts import batched
+    def counted(held: list[pa.Array]) -> pa.RecordBatch:
+        values, n = pc.value_counts(pa.chunked_array(held, pa.binary())).flatten()
+        return pa.RecordBatch.from_arrays([values.cast(pa.string()), n], ["word", "n"])
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            for i, j in batched(b["text"], 1 << 22):
-                n: Counter = Counter()
-                for t in b["text"][i:j]:
-                    n.update(words_of(t))
-                yield {"word": [w.decode() for w in n], "n": [*n.values()]}
-
-    counts = map_columns(docs.select("text"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+            held.append(words_in(b.column(0))[0])
+            size += b.nbytes
+            if size >= COUNTED:
+                yield counted(held)
+                held, size = [], 0
+        yield counted(held)
+
+    counts = map_batches(docs.select("text"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return stored(counts, "lm-counts")
 
 
@@ -115,17 +148,40 @@ class Network:
             at += n
         self.w["embed"][PAD] = 0
 
-    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        e = self.w["embed"][context]                        # (words, neighbours, dims)
-        return e, np.tanh(np.einsum("npd,pd->nd", e, self.w["gate"]) + self.w["bias"])
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """(dims, words).  Embeddings are weighted for every neighbour's place before they are looked up."""
+        weighted = self.w["embed"] * self.w["gate"][:, None, :]
+        x = weighted[0].take(context[:, 0], axis=0)
+        for p in range(1, 2 * SIDE):
+            x += weighted[p].take(context[:, p], axis=0)
+        return self.bent(x)
+
+    def bent(self, x: np.ndarray) -> np.ndarray:
+        h = np.ascontiguousarray(x.T)
+        h += self.w["bias"][:, None]
+        return np.tanh(h, out=h)
+
+    def class_logits(self, h: np.ndarray) -> np.ndarray:
+        logits = self.w["to_class"].T @ h
+        logits += self.w["class_bias"][:, None]
+        return logits
+
+    def word_logits(self, h: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+        logits = np.empty((SLOTS, h.shape[1]), dtype=np.float32)
+        for c, a, b in classes:
+            part = logits[:, a:b]
+            np.matmul(self.w["to_word"][c].T, h[:, a:b], out=part)
+            part += self.w["word_bias"][c][:, None]
+        return logits
 
     def log_probs(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
+        if not len(target):         # texts without words
+            return np.empty(0, dtype=np.float32)
         classes, order = by_class(target % CLASSES)
         target = target[order]
-        h = np.ascontiguousarray(self.hidden(context[order])[1].T)
-        found = picked(self.w["to_class"].T @ h + self.w["class_bias"][:, None], target % CLASSES)[0]
-        for c, a, b in classes:
-            found[a:b] += picked(self.w["to_word"][c].T @ h[:, a:b] + self.w["word_bias"][c][:, None], target[a:b] // CLASSES)[0]
+        h = self.hidden(context[order])
+        found = picked(self.class_logits(h), target % CLASSES, blocks([len(target)]))
+        found += picked(self.word_logits(h, classes), target // CLASSES, blocks(b for _, _, b in classes))
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -135,25 +191,30 @@ class Network:
         are handled in the order of their classes, so that a class is a slice."""
         w, n = self.w, len(target)
         classes, order = by_class(target % CLASSES)
-        target, context = target[order], context[order]
-        e, h = self.hidden(context)
-        h = np.ascontiguousarray(h.T)
+        target, context = target[order], context[order].astype(np.intp)
+        e = w["embed"].take(context, axis=0)                # (words, neighbours, dims)
+        h = self.bent(np.einsum("npd,pd->nd", e, w["gate"]))
         grad = {"to_word": np.zeros_like(w["to_word"]), "word_bias": np.zeros_like(w["word_bias"])}
-        _, p = picked(w["to_class"].T @ h + w["class_bias"][:, None], target % CLASSES, gradient=True)
+        p = self.class_logits(h)
+        picked(p, target % CLASSES, blocks([n]), gradient=True)
         dh = w["to_class"] @ p
         grad["to_class"], grad["class_bias"] = h @ p.T, p.sum(axis=1)
+        p = self.word_logits(h, classes)
+        picked(p, target // CLASSES, blocks(b for _, _, b in classes), gradient=True)
         for c, a, b in classes:
-            hc = h[:, a:b]
-            _, p = picked(w["to_word"][c].T @ hc + w["word_bias"][c][:, None], target[a:b] // CLASSES, gradient=True)
-            dh[:, a:b] += w["to_word"][c] @ p
-            grad["to_word"][c], grad["word_bias"][c] = hc @ p.T, p.sum(axis=1)
+            part = p[:, a:b]
+            dh[:, a:b] += w["to_word"][c] @ part
+            np.matmul(h[:, a:b], part.T, out=grad["to_word"][c])
+            part.sum(axis=1, out=grad["word_bias"][c])
         dh *= 1 - h * h
         grad["bias"] = dh.sum(axis=1)
-        grad["gate"] = np.einsum("npd,dn->pd", e, dh)
+        grad["gate"] = np.einsum("npd,nd->pd", e, np.ascontiguousarray(dh.T))
         around = context.T.ravel()
         grad["embed"] = np.empty_like(w["embed"])
+        added = np.empty((2 * SIDE, n))
         for d in range(DIMS):       # what every neighbour adds, summed by id
-            grad["embed"][:, d] = np.bincount(around, np.outer(w["gate"][:, d], dh[d]).ravel(), SIZE + 1)
+            np.outer(w["gate"][:, d], dh[d], out=added)
+            grad["embed"][:, d] = np.bincount(around, added.ravel(), SIZE + 1)
         grad["embed"][PAD] = 0
         for k, g in grad.items():
             g /= n ** 0.5
@@ -161,17 +222,44 @@ class Network:
             w[k] -= RATE * g / np.sqrt(seen[k])
 
 
-def picked(logits: np.ndarray, which: np.ndarray, gradient: bool = False):
-    """Log-softmax values at ``which`` of every column and, if asked for, softmax minus one-hot."""
-    logits -= logits.max(axis=0)
-    columns = np.arange(len(which))
-    at = logits[which, columns]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=0)
-    if gradient:
-        logits /= total
-        logits[which, columns] -= 1
-    return at - np.log(total), logits
+def blocks(ends: Iterable[int]) -> list[int]:
+    """Bounds of blocks of ``WIDE`` to 2 * ``WIDE`` columns (the last may be smaller), given the ends of the classes.  A class
+    of one column is a block of its own: numpy sums a single column in another order, and so a word's
+    probability does not hang on the width of the blocks."""
+    bounds, begin = [0], 0
+    for b in ends:
+        if b - begin == 1 and begin > bounds[-1]:
+            bounds.append(begin)
+        while b - bounds[-1] >= 2 * WIDE:
+            bounds.append(bounds[-1] + WIDE)
+        if b - begin == 1 or b - bounds[-1] >= WIDE:
+            bounds.append(b)
+        begin = b
+    return bounds if bounds[-1] == begin else [*bounds, begin]
+
+
+def picked(logits: np.ndarray, which: np.ndarray, bounds: list[int], gradient: bool = False) -> np.ndarray:
+    """Log-softmax values at ``which`` of every column, block by block; the logits become, if asked for, softmax minus one-hot."""
+    found = np.empty_like(logits[0])
+    for a, b in zip(bounds, bounds[1:]):
+        x, row, columns = logits[:, a:b], which[a:b], np.arange(b - a)
+        x -= x.max(axis=0)
+        at = x[row, columns]
+        np.exp(x, out=x)
+        total = x.sum(axis=0)
+        np.subtract(at, np.log(total), out=found[a:b])
+        if gradient:
+            x /= total
+            x[row, columns] -= 1
+    return found
+
+
+def keep_memory() -> None:
+    """A step's arrays come from memory that the last step freed, not from the system anew (glibc's
+    thresholds at the highest values that it would choose; a task still gives all back at its end)."""
+    if option := getattr(ctypes.CDLL(None), "mallopt", None):
+        option(-3, 32 << 20)        # M_MMAP_THRESHOLD
+        option(-1, 64 << 20)        # M_TRIM_THRESHOLD
 
 
 def grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,30 +279,31 @@ def by_class(cls: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
 
 class Ids:
     """Vocabulary ids and shares of words: entries 0.. are the vocabulary's own words, then the words
-    whose share is known, then one per bucket for all others, which a bounded cache remembers."""
-
-    def __init__(self, own: list[bytes], names: list[bytes], shares: np.ndarray, limit: int = 400_000):
-        import zlib
-        self.bucket = lambda w: SIZE - BUCKETS + zlib.crc32(w) % BUCKETS
-        self.entry = {w: i for i, w in enumerate([*own, *names])}
-        self.rest = len(self.entry)
-        self.ids = np.array([*range(len(own)), *map(self.bucket, names), *range(SIZE - BUCKETS, SIZE)], dtype="<u2")
-        self.shares = np.r_[np.zeros(len(own)), shares, np.zeros(BUCKETS)]
-        self.known, self.limit = {}, limit
-
-    def __call__(self, words: list[bytes]) -> tuple[bytes, float, bytes]:
-        """The ids, the sum of the known shares, and the words without a known one."""
-        entries = np.fromiter(map(self.entry.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        other = np.flatnonzero(entries < 0)
-        rare = [words[i] for i in other.tolist()]
-        if rare:
-            if len(self.known) > self.limit:
-                self.known.clear()
-            known = self.known
-            for w in set(rare).difference(known):
-                known[w] = self.rest + self.bucket(w) - (SIZE - BUCKETS)
-            entries[other] = np.fromiter(map(known.__getitem__, rare), dtype=np.int64, count=len(rare))
-        return self.ids[entries].tobytes(), float(self.shares[entries].sum()), b" ".join(rare)
+    whose share is known; all others have their bucket's id."""
+
+    def __init__(self, own: list[bytes], names: list[bytes], shares: np.ndarray):
+        self.known = pa.array([*own, *names], pa.binary())
+        self.ids = np.array([*range(len(own)), *map(self.bucket, names), 0], dtype="<u2")
+        self.shares = np.r_[np.zeros(len(own)), shares, 0]
+
+    @staticmethod
+    def bucket(word: bytes) -> int:
+        return SIZE - BUCKETS + zlib.crc32(word) % BUCKETS
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """The ids, the known shares (or 0), which words have none, and those words."""
+        entries = pc.index_in(words, value_set=self.known).fill_null(len(self.known)).to_numpy()
+        other = np.flatnonzero(entries == len(self.known))
+        rare = words.take(pa.array(other))
+        ids, coded = self.ids[entries], rare.dictionary_encode()
+        distinct = joined(coded.dictionary, [0, len(coded.dictionary)])[0].as_py().split()
+        ids[other] = np.fromiter(map(self.bucket, distinct), dtype="<u2")[coded.indices.to_numpy()]
+        return ids, self.shares[entries], other, rare
+
+
+def joined(words: pa.Array, bounds: np.ndarray | list[int]) -> pa.Array:
+    """Stretches of words, each joined by blanks."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), b" ")
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,20 +319,26 @@ def numbered(docs: DataFrame, words: list[bytes], shares: tuple[list[bytes], np.
     """(doc_id, row, part, ids, share, rare): every document's words as 16-bit vocabulary ids, read by
     all rounds and by scoring; ``part`` is the round that trains on the document, ``share`` the
     sum of its known words' shares of their buckets, ``rare`` its words that have neither an entry nor a known share."""
-    from penmark.llm.token_counts import batched
     shared = docs.sparkSession.sparkContext.broadcast((words, *shares))
 
     def run(batches):
-        ids = Ids(*shared.value)
+        number = Ids(*shared.value)
         for b in batches:
-            for i, j in batched(b["text"]):
-                found = [ids(words_of(t)) for t in b["text"][i:j]]
-                yield {"doc_id": b["doc_id"][i:j], "row": b["row"][i:j], "part": b["part"][i:j],
-                       "ids": [f[0] for f in found], "share": [f[1] for f in found], "rare": [f[2] for f in found]}
+            if not b.num_rows:
+                continue
+            words, at = words_in(b.column("text"))
+            ids, known, other, rare = number(words)
+            bounds = at.tolist()
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id"), b.column("row"), b.column("part"),
+                pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids)]),
+                pa.array([known[i:j].sum() for i, j in zip(bounds, bounds[1:])], pa.float64()),
+                joined(rare, np.searchsorted(other, at)),
+            ], ["doc_id", "row", "part", "ids", "share", "rare"])
 
     part = F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("part")
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), part, "text")
-    return stored(map_columns(rows, run, "doc_id bigint, row bigint, part int, ids binary, share double, rare binary"), "lm-ids")
+    return stored(map_batches(rows, run, "doc_id bigint, row bigint, part int, ids binary, share double, rare binary"), "lm-ids")
 
 
 def unpacked(ids: list[bytes]) -> list[np.ndarray]:
@@ -258,6 +353,7 @@ def train(numbers: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
         shared = spark.sparkContext.broadcast(flat)
 
         def run(batches):
+            keep_memory()
             net = Network(shared.value.copy())
             seen = {name: np.full_like(w, 1e-2) for name, w in net.w.items()}
             held, size, total = [], 0, 0
@@ -320,6 +416,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train(numbers, rounds))
 
     def run(batches):
+        keep_memory()
         net = Network(shared.value)
         for b in batches:
             at = 0

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -544,6 +545,48 @@ def test_scores_word_by_word(spark, monkeypatch, shared):
         assert got[i].n_words == len(words) and got[i].pll == pytest.approx(total, abs=1e-3)
 
 
+def test_words_of_a_batch_are_those_of_its_texts():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab Z9\t\n-é漢\U0001F600\x00") for _ in range(rng.randint(0, 9))) for _ in range(2000)] + ["", "a", "b", ""]
+    for some in (pa.array(texts), pa.array(texts).slice(7, 900), pa.array([""]), pa.array([], pa.string()), pa.array(["ab", "cd"])):
+        words, at = lm_score.words_in(some)
+        words = words.to_pylist()
+        assert [words[i:j] for i, j in zip(at, at[1:])] == [words_of(t) for t in some.to_pylist()] and len(words) == at[-1]
+
+
+def test_ids_and_shares_of_a_batch():
+    own, names, shares = [b"the", b"of"], [b"some", b"rare"], np.array([-1.5, -2.5])
+    words, at = lm_score.words_in(pa.array(["The new, rare of", "", "new some newer the"]))
+    ids, known, other, rare = lm_score.Ids(own, names, shares)(words)
+    bucket = [lm_score.SIZE - lm_score.BUCKETS + zlib.crc32(w) % lm_score.BUCKETS for w in (b"new", b"rare", b"some", b"newer")]
+    assert ids.tolist() == [0, bucket[0], bucket[1], 1, bucket[0], bucket[2], bucket[3], 0]
+    assert known.tolist() == [0, 0, -2.5, 0, 0, -1.5, 0, 0] and other.tolist() == [1, 4, 6]
+    assert lm_score.joined(rare, np.searchsorted(other, at)).to_pylist() == [b"new", b"", b"new newer"]
+
+
+def test_blocks_of_logits(monkeypatch):
+    """Log-softmax and gradient do not hang on the blocks in which they are worked out."""
+    monkeypatch.setattr(lm_score, "WIDE", 10)
+    rng = np.random.default_rng(3)
+    for ends in ([1], [9], [10, 11, 12, 30], [1, 2, 5, 90], [20, 41, 42], np.cumsum(rng.integers(1, 25, 40)).tolist()):
+        bounds = lm_score.blocks(ends)
+        assert bounds[0] == 0 and bounds[-1] == ends[-1] and 0 < min(np.diff(bounds)) and max(np.diff(bounds)) < 2 * 10
+        assert {b for a, b in zip(bounds, bounds[1:]) if b - a == 1} == {b for a, b in zip([0, *ends], ends) if b - a == 1}
+        logits = rng.standard_normal((lm_score.SLOTS, ends[-1])).astype(np.float32)
+        which = rng.integers(0, lm_score.SLOTS, ends[-1])
+        p = np.exp(logits.astype(float)) / np.exp(logits.astype(float)).sum(axis=0)
+        at = which, np.arange(ends[-1])
+        assert lm_score.picked(logits, which, bounds, gradient=True) == pytest.approx(np.log(p[at]), abs=1e-5)
+        p[at] -= 1
+        assert np.abs(logits - p).max() < 1e-6
+
+
+def test_scores_of_texts_without_words(spark):
+    rows = [(1, None), (2, ""), (3, " - ")]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.pll, r.mean_pll) for r in got) == [(i, 0, 0.0, None) for i in (1, 2, 3)]
+
+
 def test_width_of_the_network():
     assert lm_score.DIMS == 24
     assert lm_score.Network().w["to_word"].shape == (lm_score.CLASSES, 24, lm_score.SLOTS)
