@@ -74,7 +74,7 @@ def pairs_of_ordinals(draws: DataFrame, mem: DataFrame, space: DataFrame, total:
     draws = draws.withColumn("__slice", F.expr(f"__o div {width}"))
     slices = space.withColumn("__slice", F.explode(F.sequence(
         F.expr(f"__first div {width}"), F.expr(f"(__first + __pairs - 1) div {width}"))))
-    # Spark takes the draws of a walk for as small as its list of ranges: without the hint it would broadcast them
+    # draws are shuffled to their slices, never broadcast
     own = draws.hint("merge").join(slices, "__slice").where((F.col("__o") >= F.col("__first")) & (F.col("__o") < F.col("__first") + F.col("__pairs")))
     o = F.col("__o") - F.col("__first")
     # ordinal o is the pair (i, j), i < j, with o = j(j-1)/2 + i; the root is set right by one step
@@ -102,45 +102,122 @@ def distinct_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: i
 
 
 RANGE_DRAWS = 1024      # pairs expected in one range of ordinals
-
-
-def skip_ordinals(spark, total: int, share: float, seed: int) -> DataFrame:
-    """(draw = ordinal, __o) of a Bernoulli sample of 0 .. total - 1: every ordinal is taken with
-    probability ``share``.  Ranges are walked on their own, by geometric gaps from one
-    ordinal taken to the next, so the work is that of the sample and no ordinal is looked at in between."""
-    width = max(1, round(RANGE_DRAWS / share))
-    ranges = -(-total // width)
-
-    def walk(batches):
-        import hashlib
-        import math
-
-        import pandas as pd
-        missed = math.log1p(-share) if share < 1 else -math.inf
-        for b in batches:
-            taken = []
-            for r in b["id"].tolist():
-                at, end, i = r * width, min(total, (r + 1) * width), 0
-                while True:
-                    u = int(hashlib.md5(f"{seed}|gap|{r}|{i}".encode()).hexdigest()[:15], 16) / (1 << 60)
-                    at += math.floor(math.log1p(-u) / missed)
-                    if at >= end:
-                        break
-                    taken.append(at)
-                    at, i = at + 1, i + 1
-            yield pd.DataFrame({"draw": taken, "__o": taken}, dtype="int64")
-
-    return spark.range(ranges).mapInPandas(walk, "draw bigint, __o bigint")
+SLICE_RANGES = 64       # ranges of a slice at least
+MOST_SLICES = 512       # a slice gets the ids of the groups that it lies in: no more slices, so that these copies follow the rows
+BLOCK_RANKS = 4096      # ids of a block
+WALK_RANGES = 32        # ranges whose draws make an output batch
+
+
+def taken_ordinals(r: int, width: int, total: int, share: float, seed: int):
+    """The ordinals of a Bernoulli sample that lie in range ``r``, ascending: by geometric gaps from one
+    ordinal taken to the next, so no ordinal is looked at in between."""
+    import hashlib
+    import math
+
+    import numpy as np
+    start, end = r * width, min(total, (r + 1) * width)
+    missed = math.log1p(-share) if share < 1 else -math.inf
+    prefix, found, at, i, n = f"{seed}|gap|{r}|".encode(), [], start - 1, 0, RANGE_DRAWS + 64
+    while at < end:
+        raw = b"".join([hashlib.md5(prefix + b"%d" % k).digest() for k in range(i, i + n)])
+        u = (np.frombuffer(raw, ">u8")[::2] >> np.uint64(4)) / float(1 << 60)
+        with np.errstate(divide="ignore"):
+            gaps = np.minimum(np.floor(np.log1p(-u) / missed), width)
+        found.append(at + np.cumsum(gaps.astype(np.int64) + 1))
+        at, i, n = int(found[-1][-1]), i + n, 64
+    taken = np.concatenate(found)
+    return taken[taken < end]
+
+
+def rows_of_ordinals(o):
+    """j of the ordinals j(j-1)/2 + i, 0 <= i < j; the root is set right by one step."""
+    import numpy as np
+    j = np.floor((np.sqrt(o * 8.0 + 1.0) + 1.0) / 2.0).astype(np.int64)
+    return j - (j * (j - 1) // 2 > o) + (j * (j + 1) // 2 <= o)
+
+
+def slice_parts(mem: DataFrame, space: DataFrame, group: str, id_col: str, width: int) -> DataFrame:
+    """(__slice, group, __first, __block, __ids): the ids, by rank, of those blocks of ``BLOCK_RANKS`` ranks that pairs of
+    a slice of ``width`` ordinals can be members of, and the first ordinal of their group."""
+    def row(o: str) -> str:
+        j = f"CAST(floor((sqrt({o} * 8.0D + 1.0D) + 1.0D) / 2.0D) AS BIGINT)"
+        return f"({j} - CAST({j} * ({j} - 1) div 2 > {o} AS BIGINT) + CAST({j} * ({j} + 1) div 2 <= {o} AS BIGINT))"
+
+    own = space.select(group, "__first", "__pairs", F.explode(F.expr(f"sequence(__first div {width}, (__first + __pairs - 1) div {width})")).alias("__slice"))
+    own = own.withColumn("__lo", F.expr(f"greatest(0, __slice * {width} - __first)")) \
+             .withColumn("__hi", F.expr(f"least(__pairs, (__slice + 1) * {width} - __first) - 1"))
+    own = own.withColumn("__j0", F.expr(row("__lo"))).withColumn("__j1", F.expr(row("__hi")))
+    # a slice within one j has a run of i; otherwise every lower rank may be an i
+    tri, n = "__j0 * (__j0 - 1) div 2", BLOCK_RANKS
+    blocks = F.expr(f"CASE WHEN __j0 = __j1 THEN array_union(sequence((__lo - {tri}) div {n}, (__hi - {tri}) div {n}), array(__j0 div {n})) "
+                    f"ELSE sequence(0L, __j1 div {n}) END")
+    own = own.select("__slice", group, "__first", F.explode(blocks).alias("__block"))
+    ids = mem.groupBy(group, F.expr(f"rank div {n}").alias("__block")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(id_col).alias("id")))).alias("__m"))
+    return own.join(ids.select(group, "__block", F.transform("__m", lambda x: x["id"]).alias("__ids")), [group, "__block"]) \
+              .select("__slice", group, "__first", "__block", "__ids")
 
 
 def sampled_group_pairs(df: DataFrame, group: str, id_col: str, share: float, seed: int = 42) -> DataFrame:
     """``(group, draw, id1, id2)``, every same-group pair with probability
-    ``share`` (0 < share <= 1); the sample follows the number of pairs, which is never listed."""
+    ``share`` (0 < share <= 1); the sample follows the number of pairs, which is never listed.
+
+    Draws are made where they are returned: what is shuffled are the members' ids, to the slices of
+    the pair space that need them, and a slice walks its ranges one after the other."""
     if not 0 < share <= 1:
         raise ValueError(f"share {share} is not in (0, 1]")
     mem = ranked_members(df, group, id_col, seed)
     space, total = pair_space(mem, group, seed)
-    return pairs_of_ordinals(skip_ordinals(df.sparkSession, total, share, seed), mem, space, total, group, id_col)
+    width = max(1, round(RANGE_DRAWS / share))
+    ranges = -(-total // width)
+    per = max(SLICE_RANGES, -(-ranges // MOST_SLICES))
+    n = max(1, -(-ranges // per))
+
+    def pairs_in(number: int, parts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        parts = pa.Table.from_batches(parts)
+        parts = parts.take(pc.sort_indices(parts, [("__first", "ascending"), ("__block", "ascending")])).combine_chunks()
+        first, block = parts["__first"].to_numpy(), parts["__block"].to_numpy()
+        lists = parts["__ids"].chunk(0)
+        ids, starts = lists.flatten(), np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy()))[:-1]
+        firsts, lead, of = np.unique(first, return_index=True, return_inverse=True)
+        names = parts[group].chunk(0).take(pa.array(lead))
+        key = of << 32 | block
+
+        def member(g, rank):
+            at = np.searchsorted(key, g << 32 | rank // BLOCK_RANKS)
+            return ids.take(pa.array(starts[at] + rank % BLOCK_RANKS))
+
+        for r in range(number * per, min(ranges, (number + 1) * per), WALK_RANGES):
+            o = np.concatenate([taken_ordinals(k, width, total, share, seed) for k in range(r, min(ranges, (number + 1) * per, r + WALK_RANGES))])
+            g = np.searchsorted(firsts, o, side="right") - 1
+            local = o - firsts[g]
+            j = rows_of_ordinals(local)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(g)), pa.array(o), member(g, local - j * (j - 1) // 2), member(g, j)], names=[group, "draw", "id1", "id2"])
+
+    def walk(batches):
+        number, held = None, []
+        for b in batches:
+            column, at = b.column(0).to_numpy(), 0
+            while at < len(column):         # rows of a slice are neighbours
+                if column[at] != number and held:
+                    yield from pairs_in(number, held)
+                    held = []
+                number, end = int(column[at]), at
+                while end < len(column) and column[end] == number:
+                    end += 1
+                held.append(b.slice(at, end - at))
+                at = end
+        if held:
+            yield from pairs_in(number, held)
+
+    parts = slice_parts(mem, space, group, id_col, per * width)
+    # both sides are dealt out by hand: the merge join's partitions stay as they are, however few bytes the ids have
+    slices = df.sparkSession.range(n).select(F.col("id").alias("__slice")).repartition(n, "__slice").hint("merge")
+    rows = slices.join(parts.repartition(n, "__slice"), "__slice")
+    kind = {c: mem.schema[c].dataType.simpleString() for c in (group, id_col)}
+    return rows.mapInArrow(walk, f"`{group}` {kind[group]}, draw bigint, id1 {kind[id_col]}, id2 {kind[id_col]}")
 
 
 def cross_group_pairs(df: DataFrame, group: str, id_col: str, n: int, seed: int = 42) -> DataFrame:

@@ -52,3 +52,55 @@ def test_forest_has_no_more_partitions_than_cores(spark, monkeypatch):
     m = model.train_forest(model.to_vector(df, "x"), trees=2)
     assert seen == [spark.sparkContext.defaultParallelism]      # 40 before
     assert model.predict(m, model.to_vector(df, "x")).where("prediction = label").count() > 190
+
+
+def walked(seed, r, width, total, share):
+    """The sample of a range, draw by draw."""
+    import hashlib
+    import math
+    missed, at, i, taken = math.log1p(-share) if share < 1 else -math.inf, r * width, 0, []
+    while True:
+        u = int(hashlib.md5(f"{seed}|gap|{r}|{i}".encode()).hexdigest()[:15], 16) / (1 << 60)
+        at += math.floor(math.log1p(-u) / missed)
+        if at >= min(total, (r + 1) * width):
+            return taken
+        taken.append(at)
+        at, i = at + 1, i + 1
+
+
+def test_taken_ordinals_are_the_walk():
+    from penmark.operators import pairs
+    for share in (1.0, 0.25, 0.9, 0.003):
+        width = max(1, round(pairs.RANGE_DRAWS / share))
+        for r, total in ((0, 10**9), (7, 10**9), (3, 3 * width + 5), (0, 2)):
+            assert pairs.taken_ordinals(r, width, total, share, 42).tolist() == walked(42, r, width, total, share)
+    o = [j * (j - 1) // 2 + d for j in (1, 2, 3, 1000, 94906266) for d in (0, j - 1)]
+    import numpy as np
+    assert pairs.rows_of_ordinals(np.array(o)).tolist() == [j for j in (1, 2, 3, 1000, 94906266) for _ in (0, 1)]
+
+
+def test_sampled_pairs_shuffle_members_not_draws(spark, monkeypatch):
+    """Every draw against the member table, with blocks and slices so small that groups span many; ids repeat and may be null."""
+    from penmark.operators import pairs
+    for name, value in (("RANGE_DRAWS", 8), ("SLICE_RANGES", 3), ("MOST_SLICES", 40), ("BLOCK_RANKS", 4), ("WALK_RANGES", 2)):
+        monkeypatch.setattr(pairs, name, value)
+    rows = [(i, f"g{i % 3}") for i in range(70)] + [(900, "g0"), (900, "g0"), (None, "g1"), (5, None), (6, "one")] + [(1000 + i, f"p{i // 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, g string")
+    mem = pairs.ranked_members(df, "g", "i", 42)
+    space, total = pairs.pair_space(mem, "g", 42)
+    member = {(x.g, x["rank"]): x.i for x in mem.collect()}
+    firsts = sorted((x.__getitem__("__first"), x.g) for x in space.collect())
+    for share in (1.0, 0.3):
+        width = max(1, round(8 / share))
+        want = []
+        for o in (o for r in range(-(-total // width)) for o in walked(42, r, width, total, share)):
+            first, g = max(x for x in firsts if x[0] <= o)
+            j = next(j for j in range(1, 200) if j * (j + 1) // 2 > o - first)
+            want.append((g, o, member[g, o - first - j * (j - 1) // 2], member[g, j]))
+        out = pairs.sampled_group_pairs(df, "g", "i", share)
+        got = sorted(map(tuple, out.collect()), key=lambda x: x[1])
+        # equal hashes of repeated ids may change places; both have the same id
+        assert got == want and (share < 1 or len(got) == total)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[:plan.index("MapInArrow")]      # the draws were shuffled three times
+    assert pairs.sampled_group_pairs(df.where("g = 'one'"), "g", "i", 0.5).count() == 0
