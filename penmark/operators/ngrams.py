@@ -43,6 +43,12 @@ def unigrams(text) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(f"{WORD}{{2,}}"), F.lit(0))
 
 
+def normalized_unigrams(text) -> Column:
+    """``unigrams`` of what ``normalize_text`` made: lower-case words with one blank between two."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.split(t, " ", -1), lambda w: F.length(w) >= 2)
+
+
 def with_ngrams(df: DataFrame, text_col: str = "text", out: str = GRAMS) -> DataFrame:
     """Append the uni+bigram array (N1); bigrams come from ML ``NGram``."""
     return grams_of_words(df.withColumn(UNI, unigrams(text_col)), out)
@@ -249,7 +255,7 @@ def long_weights(df: DataFrame, model: TfidfModel, id_col: str, vec_col: str = "
 
 
 def fit_weights(words: DataFrame, id_col: str, max_features: int = 500, tracked: int = TRACKED) -> tuple[TfidfModel, DataFrame]:
-    """N3 + N4 over stored words (``UNI``): the model, and per row (id, tfidf) its non-zero weights as
+    """N3 + N4 over words (``UNI``) that are stored or cheap to find: the model, and per row (id, tfidf) its non-zero weights as
     struct<at: columns, ascending; w: weights>.  The documents' counts are stored once; fit and weights read them."""
     from penmark.sources import files
     spark = words.sparkSession

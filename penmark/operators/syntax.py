@@ -8,7 +8,8 @@ rule for tests, not a parser.
 
 Plan: whatever belongs to one sentence is computed from its row's arrays, map-side;
 one shuffle by article with partial aggregation is left.  Dependency depth follows
-head pointers inside one sentence by pointer doubling (n log n for n tokens).
+head pointers inside one sentence by pointer doubling (n log n for n tokens), over
+the arrays of a batch at once.
 """
 
 from __future__ import annotations
@@ -65,23 +66,75 @@ RATIOS = ["verb_noun_ratio", "adj_adv_ratio", "passive_voice_freq"]
 SENTENCE_FEATURES = ["question_freq", "complex_sentence_ratio", "compound_sentence_ratio", "avg_dependency_depth", "avg_sentence_complexity"]
 
 
-def _with_depth(s: DataFrame) -> DataFrame:
-    """``max_depth`` of a sentence: max over tokens of ROOT 0, otherwise 1 + edges
-    to the self-headed root.  ``head_id`` is a 0-based position in the
-    sentence.  Pointer doubling: every round replaces a token's ancestor by that
-    ancestor's ancestor and adds their distances, so log2(n) rounds reach
-    every root."""
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.lit(1), F.size("tokens")))).cast("int")))
-    start = F.struct(F.transform("tokens", lambda t: (t["head_id"] + 1).cast("int")).alias("up"),
-                     F.transform("tokens", lambda t: (t["head_id"] != t["tok_id"]).cast("int")).alias("dist"))
-    walked = F.aggregate(
-        rounds, start,
-        lambda acc, _: F.struct(
-            F.transform(acc["up"], lambda u: F.element_at(acc["up"], u)).alias("up"),
-            F.zip_with(acc["dist"], acc["up"], lambda d, u: d + F.element_at(acc["dist"], u)).alias("dist")),
-        lambda acc: acc["dist"])
-    return s.withColumn("max_depth", F.array_max(F.zip_with(
-        "tokens", walked, lambda t, d: F.when(t["dep"] == "ROOT", F.lit(0)).otherwise(d + 1))))
+# per sentence: tokens with one of these tags, by their field
+COUNTED = {"verb_noun_ratio": [("pos", ("VERB", "AUX")), ("pos", ("NOUN", "PROPN"))], "adj_adv_ratio": [("pos", ("ADJ",)), ("pos", ("ADV",))],
+           "passive_voice_freq": [("dep", ("auxpass", "nsubjpass"))], "complex_sentence_ratio": [("dep", ("mark",))], "compound_sentence_ratio": [("dep", ("cc",))]}
+FLAGS = ("mark", "cc")
+NO_DEPTH = -(1 << 40)
+
+
+def depths_of(size, up, dist):
+    """Edges from every token to the root of its sentence, for sentences of ``size`` tokens one after the other: ``up`` has the
+    heads' places in the sentence (-1: unknown), ``dist`` 1 or, for a root, 0.  Every round of a sentence replaces
+    the ancestors by their ancestors and adds the distances, so log2(n) rounds reach every root.  Negative where a
+    head on the way is unknown."""
+    import numpy as np
+    start = np.repeat(np.cumsum(size) - size, size)
+    n = len(up)
+    if n and ((up < -1) | (up >= np.repeat(size, size))).any():
+        raise ValueError("a head is not among its sentence's tokens")
+    up = np.append(np.where(up < 0, n, up + start), n)
+    dist = np.append(np.where(up[:n] == n, NO_DEPTH, dist), NO_DEPTH)
+    rounds = np.repeat(np.maximum(1, np.ceil(np.log2(np.maximum(1, size)))).astype(np.int64), size)
+    live, k = np.arange(n), 0
+    while len(live):
+        dist[live], up[live] = dist[live] + dist[up[live]], up[up[live]]
+        k += 1
+        live = live[rounds[live] > k]
+    return dist[:n]
+
+
+def _sentence_facts(s: DataFrame, wanted: list[str]) -> DataFrame:
+    """Per sentence: the tag counts and flags of the wanted features, the number of tokens, and Y8 as ``max_depth``: max over tokens of
+    ROOT 0, otherwise 1 + edges to the self-headed root.  ``head_id`` is a 0-based position in the sentence.  Tags are counted by
+    array functions and the heads of a batch followed as columns; lambdas made every token an object several times over."""
+    def count(field: str, tags: tuple):
+        if tags[0] in FLAGS:
+            return F.array_contains(f"tokens.{field}", tags[0]).cast("bigint")
+        a = F.col(f"tokens.{field}")
+        return sum((F.size(a) - F.size(F.array_remove(a, t)) for t in tags), F.lit(0)).cast("bigint")
+
+    facts = {"article_id": F.col("article_id")} | {f"__n{i}": count(*x) for i, x in enumerate(x for w in wanted for x in COUNTED.get(w, []))}
+    if "question_freq" in wanted:
+        facts["__question"] = _asks().cast("int")
+    if "avg_sentence_complexity" in wanted:
+        facts["__chunks"] = F.size("chunks")
+    kept = list(facts)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for b in batches:
+            size = pc.list_value_length(b.column("head_id")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            root, head, tok = (b.column(c).flatten() for c in ("root", "head_id", "tok_id"))
+            up = head.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            if head.null_count and (up[head.is_valid().to_numpy(zero_copy_only=False)] < 0).any():
+                raise ValueError("a head is not among its sentence's tokens")
+            dist = (up != tok.fill_null(-1).to_numpy(zero_copy_only=False)).astype(np.int64)
+            if tok.null_count:
+                dist[tok.is_null().to_numpy(zero_copy_only=False)] = NO_DEPTH
+            depth = depths_of(size, up, dist) + 1
+            depth[root.fill_null(False).to_numpy(zero_copy_only=False)] = 0
+            most, some = np.full(b.num_rows, -1, dtype=np.int64), size > 0
+            if some.any():
+                most[some] = np.maximum.reduceat(depth, (np.cumsum(size) - size)[some])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(size), pa.array(most, mask=most < 0)], names=[*kept, "__tokens", "max_depth"])
+
+    x = s.select(*[v.alias(c) for c, v in facts.items()], F.transform("tokens.dep", lambda d: d == "ROOT").alias("root"),
+                 F.col("tokens.head_id").alias("head_id"), F.col("tokens.tok_id").alias("tok_id"))
+    kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in kept)
+    return x.mapInArrow(run, f"{kinds}, __tokens bigint, max_depth bigint")
 
 
 def article_features(annotated: DataFrame, wanted: list[str]) -> DataFrame:
@@ -89,22 +142,34 @@ def article_features(annotated: DataFrame, wanted: list[str]) -> DataFrame:
     flags and counts per sentence row, then one aggregation by article.  Only the
     nested columns that the wanted features read are fetched.  ``n_tokens`` is added."""
     s = annotated.where("error is null")
+    n, order = F.count(F.lit(1)), [x for w in wanted for x in COUNTED.get(w, [])]
     if "avg_dependency_depth" in wanted:
-        s = _with_depth(s)
-    n = F.count(F.lit(1))
-    tagged = lambda field, *tags: F.sum(F.size(F.filter("tokens", lambda t: t[field].isin(*tags))))
-    share = lambda flag: F.sum(flag.cast("int")) / F.greatest(F.lit(1), n)
+        s = _sentence_facts(s, wanted)
+        tokens, question, chunks = F.col("__tokens"), F.col("__question"), F.col("__chunks")
+        count = lambda field, *tags: F.col(f"__n{order.index((field, tags))}")
+        flag = count
+    else:
+        tokens, question, chunks = F.size("tokens"), _asks().cast("int"), F.size("chunks")
+        count = lambda field, *tags: F.size(F.filter("tokens", lambda t: t[field].isin(*tags)))
+        flag = lambda field, tag: F.exists("tokens", lambda t: t[field] == tag).cast("int")
+    tagged = lambda field, *tags: F.sum(count(field, *tags))
+    share = lambda yes: F.sum(yes) / F.greatest(F.lit(1), n)
     features = {
         "verb_noun_ratio": lambda: tagged("pos", "VERB", "AUX") / F.greatest(F.lit(1), tagged("pos", "NOUN", "PROPN")),
         "adj_adv_ratio": lambda: tagged("pos", "ADJ") / F.greatest(F.lit(1), tagged("pos", "ADV")),
-        "passive_voice_freq": lambda: tagged("dep", "auxpass", "nsubjpass") / F.greatest(F.lit(1), F.sum(F.size("tokens"))),
-        "question_freq": lambda: share(T.strip_ws(F.col("text")).endswith("?")),
-        "complex_sentence_ratio": lambda: share(F.exists("tokens", lambda t: t["dep"] == "mark")),
-        "compound_sentence_ratio": lambda: share(F.exists("tokens", lambda t: t["dep"] == "cc")),
+        "passive_voice_freq": lambda: tagged("dep", "auxpass", "nsubjpass") / F.greatest(F.lit(1), F.sum(tokens)),
+        "question_freq": lambda: share(question),
+        "complex_sentence_ratio": lambda: share(flag("dep", "mark")),
+        "compound_sentence_ratio": lambda: share(flag("dep", "cc")),
         "avg_dependency_depth": lambda: F.sum(F.coalesce("max_depth", F.lit(0))) / F.greatest(F.lit(1), n),
-        "avg_sentence_complexity": lambda: F.sum(F.size("chunks")) / n,
+        "avg_sentence_complexity": lambda: F.sum(chunks) / n,
     }
-    return s.groupBy("article_id").agg(*[features[c]().alias(c) for c in wanted], F.sum(F.size("tokens")).alias("n_tokens"))
+    return s.groupBy("article_id").agg(*[features[c]().alias(c) for c in wanted], F.sum(tokens).alias("n_tokens"))
+
+
+def _asks(text: str = "text"):
+    """Does the stripped text end in a question mark?  Only texts that have one are stripped."""
+    return F.col(text).contains("?") & T.strip_ws(F.col(text)).endswith("?")
 
 
 def token_ratios(annotated: DataFrame) -> DataFrame:

@@ -75,6 +75,19 @@ class Vector:
         return self.names, self.df.select("article_id", F.filter(cells, lambda c: c["value"] != 0).alias("cells"))
 
 
+@dataclass
+class Sparse:
+    """Rows (article_id, values: struct<at: positions in the names, w: their values>); other positions are zero."""
+    family: str
+    names: list[str]
+    df: DataFrame
+    zero: bool = True
+
+    def build(self, first: int) -> tuple[list[str], DataFrame]:
+        cells = F.zip_with("values.at", "values.w", lambda a, w: F.struct((a + first).cast("int").alias("pos"), w.alias("value")))
+        return self.names, self.df.select("article_id", cells.alias("cells"))
+
+
 @dataclass
 class Registry:
     """(pos, family, name, zero); as many rows as the vector is wide."""

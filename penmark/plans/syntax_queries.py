@@ -110,16 +110,17 @@ def wide_features(spark, sf_dir, basic_too=False):
     """The registry and the sparse rows of every document: (basic,) syntax, tag and n-gram features."""
     docs = styled_documents(spark, sf_dir).withColumnRenamed("doc_id", "article_id")
     sents = annotated(spark, sf_dir)
-    # the fit reads the normalised texts twice, the transform once more
+    # the fit reads the normalised texts twice, the basic features once more; the weights come from the fit's counts
     norm = shared.stored_once(spark, sf_dir, "normalized", lambda: docs.select("article_id", basic.T.normalize_text("text").alias("text")))
-    model = ngrams.fit(norm, "text", 500)
+    words = norm.select("article_id", ngrams.normalized_unigrams("text").alias(ngrams.UNI))
+    model, weights = ngrams.fit_weights(words, "article_id", 500)
     parts = []
     if basic_too:
-        b = basic.basic_features(docs, keep=["article_id"], mode="normalized")
+        b = basic.basic_features(norm, keep=["article_id"], mode="normalized", ready=True)
         parts.append(wide.Fixed("basic", [c for c in b.columns if c != "article_id"], b))
     parts.append(wide.Fixed("syntax", syntax.SYNTAX_FEATURES, syntax.syntax_features(docs, sents)))
     parts += [wide.Tags(family, long, f"{family}_{{}}_freq") for family, long in stored_tags(spark, sf_dir).items()]
-    parts.append(wide.Vector("word_ngram", model.terms, model.transform(norm, "text").select("article_id", F.col("tfidf").alias("values"))))
+    parts.append(wide.Sparse("word_ngram", model.terms, weights.withColumnRenamed("tfidf", "values")))
     return wide.assemble(docs.select("article_id"), parts)
 
 
