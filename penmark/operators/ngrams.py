@@ -264,7 +264,7 @@ def fit_weights(words: DataFrame, id_col: str, max_features: int = 500, tracked:
         best = every_term(words, max_features)
         listed = sorted({w for t in best for w in t[0].split(" ")}, key=str.encode)
     counts = listed_counts(words, listed, id_col)
-    counts = spark.read.schema(counts.schema).parquet(files.write_parquet(counts, files.scratch_path(spark, "term-counts")))
+    counts = spark.read.schema(counts.schema).parquet(files.write_parquet(counts, files.scratch_path(spark, "term-counts"), compression="zstd"))
     if best is None:
         codes = frequent_codes(counts, max_features)
         best = [(term_of(c, listed), cf, n) for c, cf, n in codes]

@@ -28,4 +28,4 @@ def path_of(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str],
 
 
 def stored_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    return spark.read.parquet(path_of(spark, sf_dir, name, lambda path: files.write_parquet(build(), path)))
+    return spark.read.parquet(path_of(spark, sf_dir, name, lambda path: files.write_parquet(build(), path, compression="zstd")))

@@ -85,9 +85,11 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> str
     return path
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None) -> str:
     """S6 default sink; partitioning by source lets readers prune folders."""
     w = df.write.mode("overwrite")
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -206,3 +206,13 @@ def test_documents_are_checked_together_as_they_are_one_by_one():
     for d in bad:
         got = annotate.checked([*good, d])
         assert got == [*[None] * len(good), annotate.problem(d)] and got[-1]
+
+
+def test_scratch_tables_are_zstd(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    from penmark.plans import shared
+    assert shared.stored_once(spark, str(tmp_path), "y", lambda: spark.range(3).coalesce(1)).count() == 3
+    path = shared._paths[spark.sparkContext.applicationId, str(tmp_path), "y"]
+    assert {pq.read_metadata(f).row_group(0).column(0).compression for f in glob.glob(f"{path}/part-*")} == {"ZSTD"}      # snappy before
